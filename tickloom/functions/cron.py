@@ -5,8 +5,8 @@ tested in that order. Steps keep the multiples of n, not offsets from the first
 value. All six fields must hold, day of month and weekday together.
 
 There are two readers of the same rules. :func:`compile_rule` reads one rule on
-the driver and gives plain predicates; :func:`field_values` reads a column of
-rules inside Spark.
+the driver and gives plain predicates; :func:`listed_values` and its neighbours read a
+column of rules inside Spark.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ FIELDS = (
 MINUTE, HOUR, DAY, MONTH, WEEKDAY, YEAR = FIELDS
 
 _DIGITS = "^[0-9]+$"
-_STEP = r"^\*/\+?([0-9]+)$"
+_STEP = "^[*]/[+]?([0-9]+)$"
 _ANY_BITS = -1
 
 
@@ -111,6 +111,8 @@ def cron_match(ts: Column | str, pattern: str) -> Column:
 
 
 # -- a column of rules, inside Spark -------------------------------------------
+#
+# Written as SQL text: the expressions are long, and text reaches Spark in one call.
 
 
 def cron_words(cron: Column) -> Column:
@@ -118,66 +120,63 @@ def cron_words(cron: Column) -> Column:
     return F.regexp_extract_all(F.upper(cron), F.lit(r"\S+"), F.lit(0))
 
 
-def field_values(word: Column, field: Field) -> Column:
-    """Allowed values of one field: NULL for ``*``, an empty array for a bad field."""
+def cron_word(words: str, place: int) -> Column:
+    """One word from the column of words; NULL unless there is one for every field."""
+    return F.when(F.size(words) == len(FIELDS), F.get(words, F.lit(place)))
 
-    def number(text: Column) -> Column:
-        named = F.lit(None).cast("int")
-        if field.names:
-            listed = F.array_position(F.array(*map(F.lit, field.names)), text).cast("int")
-            named = F.when(listed > 0, listed)
-        return F.when(text.rlike(_DIGITS), text.try_cast("int")).otherwise(named)
 
-    ends = F.split(word, "-")
-    low, high = number(F.get(ends, F.lit(0))), number(F.get(ends, F.lit(1)))
-    one_kind = F.get(ends, F.lit(0)).rlike(_DIGITS) == F.get(ends, F.lit(1)).rlike(_DIGITS)
-    is_range = (F.size(ends) == 2) & one_kind & (low <= high) & (
-        (low >= field.low) & (high <= field.high)
-    )
+def _number(text: str, field: Field) -> str:
+    names = ", ".join(f"'{name}'" for name in field.names)
+    named = f"CAST(nullif(array_position(array({names}), {text}), 0) AS INT)" if names else "NULL"
+    return f"CASE WHEN {text} RLIKE '{_DIGITS}' THEN try_cast({text} AS INT) ELSE {named} END"
+
+
+def listed_values(word: str, field: Field) -> Column:
+    """Values the word in column ``word`` lists, unchecked; NULL if it cannot be read."""
+    ends = f"split({word}, '-')"
+    low, high = f"get({ends}, 0)", f"get({ends}, 1)"
     # a step too long for an int still keeps 0
-    step = F.coalesce(F.regexp_extract(word, _STEP, 1).try_cast("int"), F.lit(2**31 - 1))
-
-    values = (
-        F.when(word.contains(","), F.transform(F.split(word, ","), number))
-        .when(word.contains("-"), F.when(is_range, F.sequence(low, high)))
-        .when(
-            word.contains("/"),
-            F.when(
-                word.rlike(_STEP),
-                F.filter(
-                    F.sequence(F.lit(field.low), F.lit(field.high)),
-                    lambda v: F.try_mod(v, step) == 0,
-                ),
-            ),
-        )
-        .otherwise(F.array(number(word)))
-    )
-    # NULL elements (unreadable items) make the comparison NULL, hence the coalesce
-    in_range = F.coalesce(
-        F.forall(values, lambda v: F.coalesce(v.between(field.low, field.high), F.lit(False))),
-        F.lit(False),
+    step = f"coalesce(try_cast(regexp_extract({word}, '{_STEP}', 1) AS INT), {2**31 - 1})"
+    return F.expr(
+        f"""CASE
+        WHEN contains({word}, ',') THEN transform(split({word}, ','), x -> {_number("x", field)})
+        WHEN contains({word}, '-') THEN CASE
+          WHEN size({ends}) = 2
+           AND ({low} RLIKE '{_DIGITS}') = ({high} RLIKE '{_DIGITS}')
+           AND {_number(low, field)} BETWEEN {field.low} AND {_number(high, field)}
+           AND {_number(high, field)} <= {field.high}
+          THEN sequence({_number(low, field)}, {_number(high, field)}) END
+        WHEN contains({word}, '/') THEN CASE
+          WHEN {word} RLIKE '{_STEP}'
+          THEN filter(sequence({field.low}, {field.high}), v -> try_mod(v, {step}) = 0) END
+        ELSE array({_number(word, field)}) END"""
     )
-    empty = F.array().cast("array<int>")
-    return F.when(word == "*", F.lit(None).cast("array<int>")).otherwise(
-        F.when(in_range, F.array_sort(F.array_distinct(values))).otherwise(empty)
+
+
+def allowed_values(word: str, listed: str, field: Field) -> Column:
+    """Listed values in order: NULL for ``*``, an empty array for a bad field."""
+    good = f"forall({listed}, v -> coalesce(v BETWEEN {field.low} AND {field.high}, false))"
+    return F.expr(
+        f"""CASE WHEN {word} = '*' THEN CAST(NULL AS ARRAY<INT>)
+        WHEN coalesce({good}, false) THEN array_sort(array_distinct({listed}))
+        ELSE CAST(array() AS ARRAY<INT>) END"""
     )
 
 
-def value_mask(values: Column, field: Field) -> Column:
+def _first_bit(field: Field) -> int:
+    return field.low if field is YEAR else 0
+
+
+def value_mask(values: str, field: Field) -> Column:
     """Allowed values as bits of a bigint (bit 0 is value 0, for years 2014); ``*`` is -1."""
-    base = field.low if field.name == "year" else 0
-    bits = F.aggregate(
-        values,
-        F.lit(0).cast("bigint"),
-        lambda mask, v: mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), v - base)),
-    )
-    return F.coalesce(bits, F.lit(_ANY_BITS).cast("bigint"))
+    bit = f"shiftleft(1L, v - {_first_bit(field)})"
+    return F.expr(f"coalesce(aggregate({values}, 0L, (mask, v) -> mask | {bit}), {_ANY_BITS}L)")
 
 
-def in_mask(mask: Column, value: Column, field: Field) -> Column:
-    """Is the value among the bits of the mask?"""
-    base = field.low if field.name == "year" else 0
-    bit = F.call_function("shiftright", mask, value - base).bitwiseAND(F.lit(1).cast("bigint"))
-    if field.name == "year":  # bits name a fixed span of years, * any year
-        return (mask == _ANY_BITS) | (value.between(field.low, field.high) & (bit == 1))
-    return bit == 1
+def in_mask(mask: str, value: Column, field: Field) -> Column:
+    """Is the value among the bits of the mask column?"""
+    shifted = F.call_function("shiftright", F.col(mask), value - _first_bit(field))
+    bit = shifted.bitwiseAND(F.lit(1).cast("bigint")) == 1
+    if field is YEAR:  # bits name a fixed span of years, * any year
+        return (F.col(mask) == _ANY_BITS) | (value.between(field.low, field.high) & bit)
+    return bit

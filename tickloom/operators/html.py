@@ -8,25 +8,18 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from tickloom.operators.spread import spread_if_small
 
 # Tags left out, and tags that never hold anything.
 SKIPPED_TAGS = frozenset(["html", "head", "link", "meta", "br"])
 CHILDLESS_TAGS = frozenset(["input", "img"])
 
-_ELEMENT = pa.schema(
-    [
-        ("elem_id", pa.int32()),
-        ("parent_id", pa.int32()),
-        ("depth", pa.int32()),
-        ("tag", pa.string()),
-        ("data", pa.string()),
-        ("attributes", pa.map_(pa.string(), pa.string())),
-        ("balanced", pa.bool_()),
-    ]
-)
 _BLANKS = " \t\n\r\x0b\x0c"
-# Elements sent to Spark at a time.
-_ROWS_PER_BATCH = 4096
+# Elements gathered, over pages, before they are sent to Spark.
+_ROWS_PER_BATCH = 8192
 
 
 class _Elements(HTMLParser):
@@ -64,39 +57,52 @@ def _page_elements(html: str) -> tuple[list[list], bool]:
     return parser.rows, not parser.open
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, pages = batch.column(0), batch.column(1)
-        for i in range(batch.num_rows):
-            html = pages[i].as_py()
-            if html is None:
-                continue
-            rows, balanced = _page_elements(html)
-            for lo in range(0, len(rows), _ROWS_PER_BATCH):
-                part = rows[lo : lo + _ROWS_PER_BATCH]
-                parent, depth, tag, data, attributes = zip(*part)
-                columns = [range(lo, lo + len(part)), parent, depth, tag, data, attributes,
-                           [balanced] * len(part)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(ids[i], len(part))]
-                    + [pa.array(c, type=f.type) for c, f in zip(columns, _ELEMENT)],
-                    names=["page_id", *_ELEMENT.names],
-                )
+def _parse_batches(schema: pa.Schema):
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
+        )
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for page_id, html in zip(*(column.to_pylist() for column in batch.columns)):
+                if html is None:
+                    continue
+                elements, balanced = _page_elements(html)
+                rows.extend((page_id, n, *e, balanced) for n, e in enumerate(elements))
+                if len(rows) >= _ROWS_PER_BATCH:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
+
+    return parse
 
 
 def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Element rows (page_id, elem_id, parent_id, depth, tag, data, attributes, balanced).
 
     elem_id counts in document order, parent_id is NULL for outermost elements.
-    ``balanced`` is FALSE for pages that leave tags open. Pages are independent: no
-    shuffle, and a task holds the elements of one page at a time.
+    ``balanced`` is FALSE for pages that leave tags open. Pages are parsed where they
+    are read; only an input too small to keep all tasks busy is dealt out first.
     """
-    kind = pages.schema[id_col].dataType.simpleString()
-    schema = (
-        f"page_id {kind}, elem_id int, parent_id int, depth int, tag string, data string, "
-        "attributes map<string,string>, balanced boolean"
+    kind = pages.schema[id_col].dataType
+    schema = T.StructType(
+        [
+            T.StructField("page_id", kind),
+            T.StructField("elem_id", T.IntegerType()),
+            T.StructField("parent_id", T.IntegerType()),
+            T.StructField("depth", T.IntegerType()),
+            T.StructField("tag", T.StringType()),
+            T.StructField("data", T.StringType()),
+            T.StructField("attributes", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("balanced", T.BooleanType()),
+        ]
     )
-    return pages.select(id_col, html_col).mapInArrow(_parse_batches, schema)
+    texts = spread_if_small(pages.select(id_col, html_col), id_col)
+    return texts.mapInArrow(_parse_batches(to_arrow_schema(schema)), schema)
 
 
 def html_values_for(elements: DataFrame, keys: dict[str, str]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.bind import let
+
 # Block size and line window of the log viewer.
 LOG_CHUNK, LOG_WINDOW = 65_536, 128
 
@@ -37,11 +39,12 @@ def _int(value: int | Column) -> Column:
 def byte_range(data: Column, pos: int | Column, offset: int | Column) -> Column:
     """Bytes [pos, pos + offset), or the -offset bytes before pos; cut to the data."""
     pos, offset = _int(pos).cast("bigint"), _int(offset).cast("bigint")
-    size = F.octet_length(data)
     low = F.greatest(F.least(pos, pos + offset), F.lit(0))
-    high = F.least(F.greatest(pos, pos + offset), size)
-    length = F.greatest(high - low, F.lit(0))
-    return F.substring(data, (low + 1).cast("int"), length.cast("int"))
+    high = F.greatest(pos, pos + offset)
+    far = F.lit(2**31 - 2)  # beyond any value
+    return F.substring(
+        data, (F.least(low, far) + 1).cast("int"), F.least(high - low, far).cast("int")
+    )
 
 
 def read_range(df: DataFrame, col: str, pos: int | Column, offset: int | Column = 500) -> DataFrame:
@@ -56,14 +59,15 @@ def _newline_at(data: Column) -> Column:
 
 def line_crop_before(data: Column) -> Column:
     """What follows the first newline; all of it without one."""
-    at = _newline_at(data)
-    return F.substring(data, at + 1, F.octet_length(data))
+    return F.substring(data, _newline_at(data) + 1, F.octet_length(data))
 
 
 def line_crop_after(data: Column) -> Column:
     """What precedes the first newline; all of it without one."""
-    at = _newline_at(data)
-    return F.when(at > 0, F.substring(data, F.lit(1), at - 1)).otherwise(data)
+    return let(
+        _newline_at(data),
+        lambda at: F.when(at > 0, F.substring(data, F.lit(1), at - 1)).otherwise(data),
+    )
 
 
 def page_block(data: Column, start: Column, chunk: int, window: int) -> Column:
@@ -71,11 +75,11 @@ def page_block(data: Column, start: Column, chunk: int, window: int) -> Column:
     body = byte_range(data, start, chunk)
     if window <= 0:
         return body
-    before = F.when(start > 0, line_crop_before(byte_range(data, start, -window))).otherwise(
-        F.lit(b"")
+    return F.concat(
+        let(byte_range(data, start, -window), line_crop_before),
+        body,
+        let(byte_range(data, start + chunk, window), line_crop_after),
     )
-    after = line_crop_after(byte_range(data, start + chunk, window))
-    return F.when(F.octet_length(body) > 0, F.concat(before, body, after)).otherwise(body)
 
 
 def paginate(
@@ -90,21 +94,27 @@ def paginate(
     if origin not in ("start", "end"):
         raise ValueError("origin is 'start' or 'end'")
     rest = [c for c in df.columns if c != col]
-    data = F.col("_data")
-    size = F.octet_length(data).cast("bigint")
+    size = F.octet_length(col).cast("bigint")
+    count = pages_of(size, chunk)
 
-    def page(number: Column) -> Column:
+    def page(data: Column, size: Column, number: Column) -> Column:
         first = (number - 1) * chunk if origin == "start" else size - number * chunk
-        return F.struct(
-            number.alias("page"), page_block(data, first, chunk, offset).alias("block")
+        return let(
+            first,
+            lambda at: F.struct(
+                number.alias("page"), page_block(data, at, chunk, offset).alias("block")
+            ),
         )
 
-    numbers = F.sequence(F.lit(1).cast("bigint"), F.col("page_count"))
-    return (
-        df.select(*rest, as_bytes(df, col).alias("_data"))
-        .withColumn("page_count", pages_of(F.octet_length(data), chunk))
-        .select(*rest, "page_count", F.explode(F.transform(numbers, page)).alias("_page"))
-        .select(*rest, "_page.page", "page_count", "_page.block")
+    numbers = F.sequence(F.lit(1).cast("bigint"), count)
+    pages = let(
+        as_bytes(df, col),
+        lambda data: let(
+            size, lambda n: F.transform(numbers, lambda number: page(data, n, number))
+        ),
+    )
+    return df.select(*rest, count.alias("page_count"), F.explode(pages).alias("_page")).select(
+        *rest, "_page.page", "page_count", "_page.block"
     )
 
 
@@ -113,12 +123,12 @@ def read_page(
     origin: str = "start",
 ) -> DataFrame:
     """Adds ``block``: one page of each text; NULL if it has no such page."""
-    data = as_bytes(df, col)
     page = _int(page).cast("bigint")
-    size = F.octet_length(data).cast("bigint")
+    size = F.octet_length(col).cast("bigint")
     first = (page - 1) * chunk if origin == "start" else size - page * chunk
     exists = (page >= 1) & (page <= pages_of(size, chunk))
-    return df.withColumn("block", F.when(exists, page_block(data, first, chunk, offset)))
+    block = let(as_bytes(df, col), lambda data: page_block(data, first, chunk, offset))
+    return df.withColumn("block", F.when(exists, block))
 
 
 def page_nav(pages: DataFrame) -> DataFrame:

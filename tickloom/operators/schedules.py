@@ -10,26 +10,41 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.clean import exact_ms
 from tickloom.functions.cron import (
-    DAY, FIELDS, HOUR, MINUTE, MONTH, WEEKDAY, YEAR,
-    cron_match, cron_words, field_values, in_mask, value_mask,
+    DAY, FIELDS, HOUR, MINUTE, MONTH, WEEKDAY, YEAR, Field,
+    allowed_values, cron_match, cron_word, cron_words, in_mask, listed_values, value_mask,
 )
+from tickloom.operators.spread import spread
 
 
 def parse_schedules(df: DataFrame, cron_col: str = "cron") -> DataFrame:
-    """Adds ``valid``, ``error``, ``<field>_values`` (NULL for ``*``) and ``<field>_mask``."""
-    words = cron_words(F.col(cron_col))
-    count = F.size(words)
-    parsed = df.withColumns(
-        {f"{f.name}_values": field_values(F.get(words, F.lit(i)), f) for i, f in enumerate(FIELDS)}
+    """Adds ``valid``, ``error``, ``<field>_values`` (NULL for ``*``) and ``<field>_mask``.
+
+    A field that cannot be read has no values and an empty mask, so a bad rule names no
+    minute. The operators below rely on that instead of filtering on ``valid``: the
+    optimizer would move such a filter down and repeat the parsing in it.
+    """
+    words = {f: f"_word_{f.name}" for f in FIELDS}
+    lists = {f: f"_list_{f.name}" for f in FIELDS}
+    values = {f: f"{f.name}_values" for f in FIELDS}
+    # one step at a time, since each result is named often in the next
+    parsed = (
+        df.withColumn("_words", cron_words(F.col(cron_col)))
+        .withColumns({words[f]: cron_word("_words", i) for i, f in enumerate(FIELDS)})
+        .withColumns({lists[f]: listed_values(words[f], f) for f in FIELDS})
+        .withColumns({values[f]: allowed_values(words[f], lists[f], f) for f in FIELDS})
     )
-    bad = [F.when(F.size(f"{f.name}_values") == 0, F.lit(f.name)) for f in FIELDS]
+    count = F.size("_words")
     error = F.when(F.col(cron_col).isNull(), F.lit("no rule")).when(
         count != len(FIELDS), F.concat(F.lit("fields: "), count)
     )
-    for f, test in zip(FIELDS, bad):
-        error = error.when(F.size(f"{f.name}_values") == 0, F.lit(f"bad {f.name}"))
-    masks = {f"{f.name}_mask": value_mask(F.col(f"{f.name}_values"), f) for f in FIELDS}
-    return parsed.withColumns({"error": error, **masks}).withColumn("valid", F.col("error").isNull())
+    for f in FIELDS:
+        error = error.when(F.size(values[f]) == 0, F.lit(f"bad {f.name}"))
+    masks = {f"{f.name}_mask": value_mask(values[f], f) for f in FIELDS}
+    return (
+        parsed.withColumns({"error": error, **masks})
+        .withColumn("valid", F.col("error").isNull())
+        .drop("_words", *words.values(), *lists.values())
+    )
 
 
 def cron_filter(df: DataFrame, ts_col: str, pattern: str) -> DataFrame:
@@ -38,18 +53,13 @@ def cron_filter(df: DataFrame, ts_col: str, pattern: str) -> DataFrame:
 
 
 def _day_matches(day: Column) -> Column:
-    tests = [in_mask(F.col(f"{f.name}_mask"), f.of(day), f) for f in (YEAR, MONTH, DAY, WEEKDAY)]
+    tests = [in_mask(f"{f.name}_mask", f.of(day), f) for f in (YEAR, MONTH, DAY, WEEKDAY)]
     return reduce(lambda a, b: a & b, tests)
 
 
-def _allowed(field, mask: Column) -> Column:
-    return F.filter(
-        F.sequence(F.lit(field.low), F.lit(field.high)), lambda v: in_mask(mask, v, field)
-    )
-
-
-def hours_of(mask_col: str) -> Column:
-    return _allowed(HOUR, F.col(mask_col))
+def _allowed(field: Field) -> Column:
+    """Values of the field a parsed rule allows, written out for ``*``."""
+    return F.coalesce(f"{field.name}_values", F.sequence(F.lit(field.low), F.lit(field.high)))
 
 
 def active(timetables: DataFrame) -> DataFrame:
@@ -61,29 +71,24 @@ def fire_times(
 ) -> DataFrame:
     """(timetable_uid, fire_ts) for each whole minute in ``[start, end)`` that a rule names.
 
-    Every row expands by itself: days that fit, then hours, then minutes. There is
-    no shuffle, and a rule shared by many rows puts no load on one task.
+    Every row expands by itself: days that fit, then hours, then minutes. Only the
+    short (uid, cron) rows are dealt out beforehand, by uid, so a rule shared by many
+    timetables puts no load on one task.
     """
-    parsed = parse_schedules(schedules.select(uid_col, cron_col), cron_col).filter("valid")
-    days = F.sequence(F.lit(start.date()), F.lit(end.date()))
+    rules = parse_schedules(spread(schedules.select(uid_col, cron_col), uid_col), cron_col)
     day, hour, minute = F.col("fire_day"), F.col("fire_hour"), F.col("fire_minute")
+    days = F.sequence(F.lit(start.date()), F.lit(end.date()))
     fire = F.make_timestamp_ntz(
         F.year(day), F.month(day), F.dayofmonth(day), hour, minute, F.lit(0).cast("decimal(8,6)")
     )
-    masks = [f"{f.name}_mask" for f in FIELDS]
+    masks = [f"{f.name}_mask" for f in (YEAR, MONTH, DAY, WEEKDAY)]
     return (
-        parsed.select(uid_col, *masks, F.explode(days).alias("fire_day"))
+        rules.select(uid_col, *masks, "hour_values", "minute_values", F.explode(days).alias("fire_day"))
         .filter(_day_matches(day))
-        .select(
-            uid_col, "fire_day", "minute_mask",
-            F.explode(hours_of("hour_mask")).alias("fire_hour"),
-        )
-        .select(
-            uid_col, "fire_day", "fire_hour",
-            F.explode(_allowed(MINUTE, F.col("minute_mask"))).alias("fire_minute"),
-        )
+        .select(uid_col, "fire_day", "minute_values", F.explode(_allowed(HOUR)).alias("fire_hour"))
+        .select(uid_col, "fire_day", "fire_hour", F.explode(_allowed(MINUTE)).alias("fire_minute"))
         .select(F.col(uid_col).alias("timetable_uid"), fire.alias("fire_ts"))
-        .filter(F.col("fire_ts").between(_ntz(start), _ntz(end)) & (F.col("fire_ts") < _ntz(end)))
+        .filter((F.col("fire_ts") >= _ntz(start)) & (F.col("fire_ts") < _ntz(end)))
     )
 
 
@@ -103,29 +108,30 @@ def rule_minutes(minutes: DataFrame, schedules: DataFrame, cron_col: str = "cron
     month, then the surviving (rule, day, hour) meet the minutes on the hour, where
     one bit test is left.
     """
-    rules = parse_schedules(schedules.select(cron_col).distinct(), cron_col).filter("valid")
+    rules = parse_schedules(schedules.select(cron_col).distinct(), cron_col)
     day = F.col("match_day")
     days = (
         minutes.select(F.col("minute").cast("date").alias("match_day"))
         .distinct()
         .withColumn("match_month", F.month(day))
     )
-    masks = [f"{f.name}_mask" for f in FIELDS]
+    masks = [f"{f.name}_mask" for f in FIELDS if f is not HOUR]
     rule_days = (
-        rules.select(cron_col, *masks, F.explode(_allowed(MONTH, F.col("month_mask"))).alias("match_month"))
+        rules.select(
+            cron_col, *masks, "hour_values", F.explode(_allowed(MONTH)).alias("match_month")
+        )
         .join(days, "match_month")
         .filter(_day_matches(day))
     )
     rule_hours = rule_days.select(
-        cron_col, "minute_mask", day,
-        F.explode(hours_of("hour_mask")).alias("match_hour"),
+        cron_col, "minute_mask", day, F.explode(_allowed(HOUR)).alias("match_hour")
     )
     keyed = minutes.withColumns(
         {"match_day": F.col("minute").cast("date"), "match_hour": F.hour("minute")}
     )
     return (
         keyed.join(rule_hours, ["match_day", "match_hour"])
-        .filter(in_mask(F.col("minute_mask"), F.minute("minute"), MINUTE))
+        .filter(in_mask("minute_mask", F.minute("minute"), MINUTE))
         .drop("match_day", "match_hour", "minute_mask")
     )
 
@@ -227,4 +233,9 @@ def spawn_runs(
             *_COPIED,
         )
     )
-    return runs, runs.select("timetable_uid", F.col("name").alias("job_name"), "createtime")
+    return runs, run_log(runs)
+
+
+def run_log(runs: DataFrame) -> DataFrame:
+    """The run-log row of each new job."""
+    return runs.select("timetable_uid", F.col("name").alias("job_name"), "createtime")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tickloom.functions import clean, paths
 from tickloom.functions.cron import FIELDS
 from tickloom.operators import history, html, inventory, logs, quality, queue, records, schedules, status
+from tickloom.operators.spread import spread_if_small
 from tickloom.plans import fixtures as fx
 from tickloom.plans import flows
 from tickloom.session import scratch_dir
@@ -523,7 +524,8 @@ def land_logs(spark: SparkSession, sf_dir: str, folder: str) -> None:
                     out.write(row["text"].encode())
             yield pa.RecordBatch.from_pydict({"written": [batch.num_rows]})
 
-    documents(spark, sf_dir).mapInArrow(write, "written bigint").agg(F.sum("written")).collect()
+    texts = spread_if_small(documents(spark, sf_dir), "doc_id")
+    texts.mapInArrow(write, "written bigint").agg(F.sum("written")).collect()
 
 
 @query
@@ -557,10 +559,16 @@ def s4_cron_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def s5_spawn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs, _ = streams.due_runs(
-        event_stream(spark, sf_dir), fx.timetables(spark, sf_dir), fx.jobs(spark, sf_dir)
+    folder = scratch_dir(spark)
+    streams.follow_due_runs(
+        event_stream(spark, sf_dir), fx.timetables(spark, sf_dir), fx.jobs(spark, sf_dir),
+        folder, f"{folder}/checkpoint",
+    ).awaitTermination()
+    runs = spark.read.parquet(f"{folder}/runs")
+    log = spark.read.parquet(f"{folder}/log").select("timetable_uid", "createtime", "job_name")
+    return runs.join(log, ["timetable_uid", "createtime"]).select(
+        "timetable_uid", "name", "status", "createtime", "priority", "entrypoint", "job_name"
     )
-    return landed(runs.select("timetable_uid", "name", "status", "createtime", "priority", "entrypoint"))
 
 
 def followed(spark: SparkSession, rows: DataFrame, machine: history.Machine) -> DataFrame:

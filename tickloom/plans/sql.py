@@ -101,13 +101,13 @@ PARSED = [
     (None, "5", "7", None, None, "1,3,7", _YEARS, 128, 262143),
     (None, "7", "0,5,10,15,20", "1,31", "1,2", None, "2031", 1082401, 131072),
     (None, "0", None, None, None, None, None, -1, -1),
-    ("fields: 4", None, None, None, None, "missing", "missing", -1, 0),
+    ("fields: 4", "", "", "", "", "", "", 0, 0),
     ("bad hour", None, "", None, None, None, None, 0, -1),
     ("bad day", None, None, "", None, None, "2015", -1, 2),
     ("bad month", None, None, "1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18,19,20,21,22,23,24,25,"
                             "26,27,28,29,30,31", "", None, "2015", -1, 2),
     ("bad minute", "", "", "11", "9", None, "2015", 0, 2),
-    ("fields: 1", "", "missing", "missing", "missing", "missing", "missing", 0, 0),
+    ("fields: 1", "", "", "", "", "", "", 0, 0),
     ("bad minute", "", None, None, None, None, None, -1, -1),
     ("bad minute", "", None, None, None, None, None, -1, -1),
     ("bad minute", "", None, None, None, None, None, -1, -1),
@@ -127,12 +127,7 @@ def literal(value) -> str:
 
 
 def parsed_rows() -> str:
-    rows = []
-    for n, row in enumerate(PARSED):
-        # a word that is not there is as bad as an unreadable one
-        row = ["" if v == "missing" else v for v in row]
-        rows.append(f"({n}, {', '.join(map(literal, row))})")
-    return ",\n".join(rows)
+    return ",\n".join(f"({n}, {', '.join(map(literal, row))})" for n, row in enumerate(PARSED))
 
 
 def hex_page(first: str, chunk: int, window: int) -> str:
@@ -298,7 +293,7 @@ ORACLE: dict[str, str] = {
         {RUNS} SELECT timetable_uid, name, status, createtime, createtime AS submittime,
                CAST(NULL AS BIGINT) AS starttime, CAST(NULL AS BIGINT) AS finishtime,
                createtime AS priority, CAST(NULL AS VARCHAR) AS sparkappid, uid AS template_job_uid,
-               entrypoint, jar, options, jobconf FROM runs""".replace("t.name ||", "t.name ||"),
+               entrypoint, jar, options, jobconf FROM runs""",
     "a5_run_log": f"{RUNS} SELECT timetable_uid, name AS job_name, createtime FROM runs",
     "b1_derive_submission": """
         WITH s AS (SELECT o_orderkey AS uid, epoch_ms(o_orderdate) AS createtime,
@@ -516,7 +511,8 @@ ORACLE: dict[str, str] = {
     "s5_spawn_stream": f"""
         WITH {JOBS}, {TIMETABLES}, minutes AS (SELECT DISTINCT date_trunc('minute', ts) AS m FROM events)
         SELECT t.uid AS timetable_uid, t.name || '-T-' || epoch_ms(m) AS name, 'READY' AS status,
-               epoch_ms(m) AS createtime, epoch_ms(m) AS priority, entrypoint
+               epoch_ms(m) AS createtime, epoch_ms(m) AS priority, entrypoint,
+               t.name || '-T-' || epoch_ms(m) AS job_name
         FROM due t JOIN minutes ON {fires('t.uid', 'm')} JOIN jobs j ON j.uid = t.job_uid""",
     "s6_job_status_stream": JOB_WALK,
     "s6_timetable_status_stream": TIMETABLE_WALK,

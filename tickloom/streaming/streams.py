@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.functions.cron import FIELDS, HOUR, in_mask
 from tickloom.operators.history import Machine, compose, effects, settle
 from tickloom.operators.records import run_totals
-from tickloom.operators.schedules import active, hours_of, parse_schedules, spawn_runs
+from tickloom.operators.schedules import active, rule_minutes, run_log, spawn_runs
 
 Trigger = dict[str, object]
 ALL_THERE_IS: Trigger = {"availableNow": True}
@@ -72,36 +71,46 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
 # -- runs spawned by ticks -----------------------------------------------------
 
 
-def due_runs(
+def follow_due_runs(
     ticks: DataFrame,
     timetables: DataFrame,
     jobs: DataFrame,
+    path: str,
+    checkpoint: str,
     ts_col: str = "ts",
     late: str = "10 minutes",
-) -> tuple[DataFrame, DataFrame]:
-    """New jobs and run-log rows for each minute that ticks; batch rules as in spawn_runs.
+    trigger: Trigger = ALL_THERE_IS,
+) -> StreamingQuery:
+    """New jobs (``path/runs``) and run-log rows (``path/log``) for each minute that ticks.
 
-    A minute counts once however often it ticks. State is one entry per minute within
-    ``late``; a minute that ticks later than that is missed, not caught up.
+    A minute counts once however often it ticks; state is one entry per minute within
+    ``late``, and a minute that ticks later than that is missed, not caught up. Each
+    micro-batch matches its minutes to the timetables as they are then: PAUSED ones
+    stay in the table but give no run. A batch tried again replaces its folders.
     """
     minutes = (
         ticks.select(F.date_trunc("minute", F.col(ts_col)).cast("timestamp").alias("minute"))
         .withWatermark("minute", late)
         .dropDuplicates(["minute"])
     )
-    ntz = F.col("minute").cast("timestamp_ntz")
-    minutes = minutes.select(ntz.alias("fire_ts"), F.hour("minute").alias("hour"))
-    rules = parse_schedules(active(timetables).select("uid", "cron")).filter("valid")
-    masks = [f"{f.name}_mask" for f in FIELDS if f is not HOUR]
-    by_hour = rules.select(
-        F.col("uid").alias("timetable_uid"), *masks, F.explode(hours_of("hour_mask")).alias("hour")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        due = active(timetables).select(F.col("uid").alias("timetable_uid"), "cron")
+        minutes = batch.select(F.col("minute").cast("timestamp_ntz").alias("minute"))
+        fires = rule_minutes(minutes, due).join(due, "cron")
+        fires = fires.select("timetable_uid", F.col("minute").alias("fire_ts"))
+        runs, _ = spawn_runs(fires, timetables, jobs)
+        target = f"{path}/runs/batch={batch_id}"
+        runs.write.mode("overwrite").parquet(target)
+        written = batch.sparkSession.read.schema(runs.schema).parquet(target)
+        run_log(written).write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+
+    return (
+        minutes.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
     )
-    # distinct minutes of a batch: at most 525,600 rows of 12 bytes for a year of backlog
-    fires = F.broadcast(minutes).join(by_hour, "hour")
-    for f in FIELDS:
-        if f is not HOUR:
-            fires = fires.filter(in_mask(F.col(f"{f.name}_mask"), f.of(F.col("fire_ts")), f))
-    return spawn_runs(fires.select("timetable_uid", "fire_ts"), timetables, jobs)
 
 
 # -- status changes ------------------------------------------------------------
