@@ -95,7 +95,6 @@ def paginate(
         raise ValueError("origin is 'start' or 'end'")
     rest = [c for c in df.columns if c != col]
     size = F.octet_length(col).cast("bigint")
-    count = pages_of(size, chunk)
 
     def page(data: Column, size: Column, number: Column) -> Column:
         first = (number - 1) * chunk if origin == "start" else size - number * chunk
@@ -106,14 +105,15 @@ def paginate(
             ),
         )
 
-    numbers = F.sequence(F.lit(1).cast("bigint"), count)
+    numbers = F.sequence(F.lit(1).cast("bigint"), F.col("page_count"))
     pages = let(
         as_bytes(df, col),
         lambda data: let(
             size, lambda n: F.transform(numbers, lambda number: page(data, n, number))
         ),
     )
-    return df.select(*rest, count.alias("page_count"), F.explode(pages).alias("_page")).select(
+    counted = df.select(*rest, col, pages_of(size, chunk).alias("page_count"))
+    return counted.select(*rest, "page_count", F.explode(pages).alias("_page")).select(
         *rest, "_page.page", "page_count", "_page.block"
     )
 

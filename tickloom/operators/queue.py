@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.clean import JOB_STATUSES, TIMETABLE_STATUSES, floor_div, int_or_else
 
@@ -25,9 +26,10 @@ def derive_submission(df: DataFrame, now: int | Column, delay_col: str = "delay"
     A delay of up to one second still means READY. Delayed jobs get a priority in
     seconds, which puts them before every ready job once they are due.
     """
-    delay = F.greatest(
-        F.coalesce(int_or_else(F.col(delay_col).cast("string"), 0), F.lit(0)), F.lit(0)
-    )
+    delay = F.col(delay_col)
+    if isinstance(df.schema[delay_col].dataType, T.StringType):
+        delay = int_or_else(delay, 0)
+    delay = F.greatest(F.coalesce(delay.cast("bigint"), F.lit(0)), F.lit(0))
     created, submit = F.col("createtime"), F.col("submittime")
     late = submit > created + 1000
     return (

@@ -93,7 +93,7 @@ def fire_times(
 
 
 def _ntz(moment: datetime) -> Column:
-    return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def to_minute(ts: Column) -> Column:
@@ -154,10 +154,15 @@ def match_schedules(
 ) -> DataFrame:
     """Events with each ACTIVE timetable that is due in their minute.
 
-    The result has one row per pair; use :func:`match_summary` when totals will do.
+    Timetables join their rule's minutes first, so the events, the widest rows, are
+    shuffled once, by minute. The result has one row per pair; use
+    :func:`match_summary` when totals will do.
     """
     due = active(timetables).select(F.col(uid_col).alias("timetable_uid"), cron_col)
-    return match_rules(events, due, ts_col, cron_col).join(due, cron_col).drop(cron_col)
+    keyed = events.withColumn("minute", to_minute(F.col(ts_col)))
+    minutes = keyed.select("minute").filter("minute IS NOT NULL").distinct()
+    fires = rule_minutes(minutes, due, cron_col).join(due, cron_col).drop(cron_col)
+    return keyed.join(fires, "minute").drop("minute")
 
 
 def match_summary(

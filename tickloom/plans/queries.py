@@ -540,8 +540,8 @@ def s3_read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s3_read_log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark)
     land_logs(spark, sf_dir, folder)
-    pages = logs.page_nav(log_files.read_log_pages(spark, folder, 4096))
-    return hex_pages(pages)
+    jobs = documents(spark, sf_dir).select(F.col("doc_id").alias("uid"))
+    return hex_pages(logs.page_nav(log_files.read_log_pages(spark, folder, 4096, jobs=jobs)))
 
 
 def landed(rows: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "16g")
+        # small listings need no ten thousand tasks
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", "64")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

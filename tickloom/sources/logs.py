@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.logs import LOG_CHUNK, LOG_WINDOW, pages_of
+from tickloom.operators.spread import spread
 
 # Neighbouring pages read by one task, so a file is opened once per run of pages.
 _RUN = 64
+# Page bytes and rows a task gathers before it sends them to Spark.
+_HELD, _HELD_ROWS = 4 << 20, 4096
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -37,11 +40,15 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).select("uid", "type", "length", "content")
 
 
-def _open(uri: str):
-    local = re.match(r"^file:/+(.*)$", uri)
+def _system(uri: str) -> tuple[fs.FileSystem, str]:
+    local = re.match(r"^(?:file:)?/+(.*)$", uri)
     if local:
-        return fs.LocalFileSystem().open_input_file("/" + local[1])
-    system, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+        return fs.LocalFileSystem(), "/" + local[1]
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
+def _open(uri: str):
+    system, path = _system(uri)
     return system.open_input_file(path)
 
 
@@ -55,6 +62,7 @@ def _line_window(data: bytes, before: bool) -> bytes:
 def _read_pages(chunk: int, window: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
+        rows, held = [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 if row["path"] != name:
@@ -74,10 +82,13 @@ def _read_pages(chunk: int, window: int):
                         + block
                         + _line_window(piece(start + chunk, start + chunk + window), False)
                     )
-                yield pa.RecordBatch.from_pylist(
-                    [{**{k: row[k] for k in ("uid", "type", "page", "page_count")}, "block": block}],
-                    schema=_PAGE,
-                )
+                rows.append({**{k: row[k] for k in _PAGE.names[:-1]}, "block": block})
+                held += len(block)
+                if held >= _HELD or len(rows) >= _HELD_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_PAGE)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_PAGE)
         if file is not None:
             file.close()
 
@@ -90,18 +101,53 @@ _PAGE = pa.schema(
 )
 
 
+_FILE = pa.schema(
+    [("path", pa.string()), ("uid", pa.int64()), ("type", pa.string()), ("length", pa.int64())]
+)
+
+
+def _stat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            system, path = _system(row["path"])
+            info = system.get_file_info(path)
+            if info.type == fs.FileType.File:
+                found.append({**row, "length": info.size})
+        if found:
+            yield pa.RecordBatch.from_pylist(found, schema=_FILE)
+
+
+def _files_of(jobs: DataFrame, path: str) -> DataFrame:
+    """The log files the given jobs have, looked up by name in the tasks."""
+    kinds = F.explode(F.array(F.lit("stdout"), F.lit("stderr"))).alias("type")
+    name = F.concat(F.lit(f"{path.rstrip('/')}/job-"), "uid", F.lit("/"), "type")
+    names = jobs.select(F.col("uid").cast("bigint"), kinds).select(name.alias("path"), "uid", "type")
+    return spread(names, "path").mapInArrow(
+        _stat, "path string, uid bigint, type string, length bigint"
+    )
+
+
 def read_log_pages(
-    spark: SparkSession, path: str, chunk: int = LOG_CHUNK, offset: int = LOG_WINDOW
+    spark: SparkSession,
+    path: str,
+    chunk: int = LOG_CHUNK,
+    offset: int = LOG_WINDOW,
+    jobs: DataFrame | None = None,
 ) -> DataFrame:
-    """(uid, type, page, page_count, block) of every log, from the start.
+    """(uid, type, page, page_count, block) of logs, from the start.
 
-    Only names and sizes are listed; tasks then seek to their own pages. A log of any
-    size is read by many tasks at once and never held whole, as in :func:`read_logs`
+    Tasks know names and sizes only and seek to their own pages. So a log of any size
+    is read by many tasks at once and never held whole, as it is by :func:`read_logs`
     followed by ``paginate``, which gives the same pages.
+
+    With ``jobs`` (column uid) their logs are looked up by name, without listing the
+    folder, and an empty log gives one empty page; Spark's listing passes over files
+    without content.
     """
+    files = _files(spark, path) if jobs is None else _files_of(jobs, path)
     pages = (
-        _files(spark, path)
-        .select("path", "uid", "type", "length", pages_of(F.col("length"), chunk).alias("page_count"))
+        files.select("path", "uid", "type", "length", pages_of(F.col("length"), chunk).alias("page_count"))
         .withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("page_count"))))
         .withColumn("run", F.call_function("div", F.col("page"), F.lit(_RUN).cast("bigint")))
         .repartition("path", "run")
