@@ -89,6 +89,13 @@ def test_snapshots(spark):
     assert "Exchange" not in A.cluster_status(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bodies_are_not_copied_per_app(spark):
+    df = spark.createDataFrame([(1, "[]")], "n bigint, body string")
+    plan = A.parse_apps(df)._jdf.queryExecution().executedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "body" not in generate and "_corrupt" in generate
+
+
 PATHS = ["/prod/start.jar", "/prod/a.txt", "/prod/sub/deep/x.JAR", "/b.jar", "/prod", "/z/.hidden", "/prod/start.jar",
          "relative/x.jar", "/bad//x.jar"]
 

@@ -107,7 +107,7 @@ def test_run_totals_stream(spark, tmp_path):
         "id AS n", "id % 7 AS timetable_uid", "id AS job_uid", "id div 3 AS createtime")
     path = str(tmp_path / "totals")
     streams.follow_run_totals(stream(spark, stats, tmp_path / "in"), path, str(tmp_path / "cp")).awaitTermination()
-    got = streams.read_latest(spark, path).select("timetable_uid", "jobs", "last_time", "last_job_uid")
+    got = streams.read_latest(spark, path, "timetable_uid").select("timetable_uid", "jobs", "last_time", "last_job_uid")
     assert settled(got) == settled(records.run_totals(stats))
 
 

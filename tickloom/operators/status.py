@@ -49,11 +49,13 @@ def parse_apps(snapshots: DataFrame, body_col: str = "body") -> DataFrame:
     """
     body = F.col(body_col)
     rest = [c for c in snapshots.columns if c != body_col]
-    parsed = snapshots.withColumn("_apps", apps_column(body))
-    corrupt = F.when(F.col("_apps").isNull() & body.isNotNull(), body)
-    return parsed.select(
-        *rest, corrupt.alias("_corrupt"), F.explode_outer("_apps").alias("_app")
-    ).select(*rest, "_app.*", "_corrupt")
+    # settled before the rows are multiplied, so that no body is copied per app
+    parsed = snapshots.withColumn("_apps", apps_column(body)).withColumn(
+        "_corrupt", F.when(F.col("_apps").isNull(), body)
+    )
+    return parsed.select(*rest, "_corrupt", F.explode_outer("_apps").alias("_app")).select(
+        *rest, "_app.*", "_corrupt"
+    )
 
 
 def running_apps(apps: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ def timetable_transitions(events: DataFrame) -> DataFrame:
 
 def app_snapshots(events: DataFrame) -> DataFrame:
     """One status snapshot per event; bodies of all kinds, also missing and broken ones."""
-    kind = F.get_json_object("props", "$.k").cast("int") % 10
+    kind = F.col("_kind")
     done = F.when(F.col("event_type") == "purchase", F.lit("true")).otherwise(F.lit("false"))
 
     def app(n: int, *completed: Column) -> Column:
@@ -203,7 +203,8 @@ def app_snapshots(events: DataFrame) -> DataFrame:
         .when(kind == 4, array(app(0)))
         .when(kind >= 5, array(app(0, done, F.lit("true")), app(1, F.lit("true"))))
     )
-    return events.select(F.col("event_id").alias("snapshot_id"), body.alias("body"))
+    kinds = events.withColumn("_kind", F.get_json_object("props", "$.k").cast("int") % 10)
+    return kinds.select(F.col("event_id").alias("snapshot_id"), body.alias("body"))
 
 
 def environment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

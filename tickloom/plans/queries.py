@@ -595,7 +595,7 @@ def s7_run_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark)
     runs = fx.timetable_stats(event_stream(spark, sf_dir))
     streams.follow_run_totals(runs, f"{folder}/totals", f"{folder}/checkpoint").awaitTermination()
-    return streams.read_latest(spark, f"{folder}/totals")
+    return streams.read_latest(spark, f"{folder}/totals", "timetable_uid")
 
 
 @query

@@ -18,6 +18,7 @@ from tickloom.operators.schedules import active, rule_minutes, run_log, spawn_ru
 
 Trigger = dict[str, object]
 ALL_THERE_IS: Trigger = {"availableNow": True}
+SALTS = 64
 
 
 # -- sinks ---------------------------------------------------------------------
@@ -61,11 +62,11 @@ def write_batches(
     )
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The last batch written by :func:`write_batches` in complete mode."""
+def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The newest row of each key among those :func:`write_batches` wrote in update mode."""
     rows = spark.read.parquet(path)
-    latest = rows.select(F.max("batch")).first()[0]
-    return rows.filter(F.col("batch") == latest).drop("batch")
+    values = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(*[F.max_by(c, "batch").alias(c) for c in values])
 
 
 # -- runs spawned by ticks -----------------------------------------------------
@@ -83,14 +84,22 @@ def follow_due_runs(
 ) -> StreamingQuery:
     """New jobs (``path/runs``) and run-log rows (``path/log``) for each minute that ticks.
 
-    A minute counts once however often it ticks; state is one entry per minute within
+    A minute counts once however often it ticks; state is kept for minutes within
     ``late``, and a minute that ticks later than that is missed, not caught up. Each
     micro-batch matches its minutes to the timetables as they are then: PAUSED ones
     stay in the table but give no run. A batch tried again replaces its folders.
+
+    Ticks are thinned out in ``SALTS`` parts per minute before a minute meets in one
+    task, so a minute with most of the ticks is no bottleneck.
     """
+    ts = F.col(ts_col)
     minutes = (
-        ticks.select(F.date_trunc("minute", F.col(ts_col)).cast("timestamp").alias("minute"))
+        ticks.select(
+            F.date_trunc("minute", ts).cast("timestamp").alias("minute"),
+            F.pmod(F.xxhash64(*ticks.columns), F.lit(SALTS)).alias("part"),
+        )
         .withWatermark("minute", late)
+        .dropDuplicates(["minute", "part"])
         .dropDuplicates(["minute"])
     )
 
@@ -180,7 +189,10 @@ def compact_states(
 def follow_run_totals(
     stats: DataFrame, path: str, checkpoint: str, trigger: Trigger = ALL_THERE_IS
 ) -> StreamingQuery:
-    """Run totals per timetable, kept current; read them with :func:`read_latest`."""
+    """Run totals per timetable, kept current; read them with :func:`read_latest`.
+
+    A batch writes the totals that changed in it, not all there are.
+    """
     return write_batches(
-        run_totals(stats), lambda totals: totals, path, checkpoint, "complete", trigger
+        run_totals(stats), lambda totals: totals, path, checkpoint, "update", trigger
     )
