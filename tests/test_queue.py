@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions.clean import TIMETABLE_STATUSES
 from tickloom.operators import queue as Q
 from tickloom.plans import flows
 
@@ -45,6 +46,15 @@ def test_listing(jobs):
     assert uids(Q.list_by_status(jobs, None, 0)) == [5, 4, 2, 6, 3, 1]
     assert uids(Q.list_by_status(jobs, "WRONG", -1)) == [5, 4, 2, 6, 3, 1]
     assert uids(Q.list_by_status(jobs, None, 2)) == [5, 4]
+    assert len(uids(Q.list_by_status(jobs, "ACTIVE"))) == 6  # no status of jobs
+
+
+def test_listing_timetables(spark):
+    rows = [(1, "ACTIVE", 1), (2, "PAUSED", 2), (3, "CANCELLED", 3)]
+    timetables = spark.createDataFrame(rows, "uid bigint, status string, createtime bigint")
+    assert uids(Q.list_by_status(timetables, "paused", 0, TIMETABLE_STATUSES)) == [2]
+    assert uids(Q.list_by_status(timetables, "READY", 0, TIMETABLE_STATUSES)) == [3, 2, 1]
+    assert sorted(uids(Q.list_enabled(timetables))) == [1, 2]
 
 
 def test_queue_puts_delayed_first(jobs):

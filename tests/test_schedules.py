@@ -193,8 +193,9 @@ def test_matching_makes_no_nested_loop(spark):
 
 def test_spawned_runs(spark):
     timetables = spark.createDataFrame(
-        [(1, "nightly", "ACTIVE", 10), (2, "paused", "PAUSED", 10), (3, "orphan", "ACTIVE", 99)],
-        "uid bigint, name string, status string, job_uid bigint")
+        [(1, "nightly", "ACTIVE", "* * * * * *", 10), (2, "paused", "PAUSED", "* * * * * *", 10),
+         (3, "orphan", "ACTIVE", "* * * * * *", 99)],
+        "uid bigint, name string, status string, cron string, job_uid bigint")
     jobs = spark.sql("""SELECT 10L AS uid, 'template' AS name, 'FINISHED' AS status, 'com.test.Main' AS entrypoint,
         '/tmp/file.jar' AS jar, map('a', 'b') AS options, array('x') AS jobconf""")
     fires = spark.sql("""SELECT explode(array(1L, 2L, 3L)) AS timetable_uid, timestamp_ntz'2024-01-01 00:01:00'
@@ -208,3 +209,19 @@ def test_spawned_runs(spark):
         "starttime": None, "finishtime": None, "priority": ms, "sparkappid": None, "template_job_uid": 10,
         "entrypoint": "com.test.Main", "jar": "/tmp/file.jar", "options": {"a": "b"}, "jobconf": ["x"]}
     assert [tuple(r) for r in log.collect()] == [(1, f"nightly-T-{ms}", ms)]
+    minute = datetime(2024, 1, 1, 0, 1)
+    planned, planned_log = S.planned_runs(timetables, jobs, minute, minute + timedelta(minutes=1))
+    assert planned.collect() == run and planned_log.collect() == log.collect()
+
+
+def test_expanded_fires_are_not_broadcast(spark):
+    timetables = spark.createDataFrame(
+        [(1, "a", "ACTIVE", "* * * * * *", 10)], "uid bigint, name string, status string, cron string, job_uid bigint")
+    jobs = spark.sql("SELECT 10L AS uid, 'M' AS entrypoint, '/a.jar' AS jar, map('a', 'b') AS options, array('x') AS jobconf")
+    window = datetime(2024, 1, 1), datetime(2024, 2, 1)
+    runs, _ = S.spawn_runs(S.fire_times(timetables, *window), timetables, jobs)
+    planned, _ = S.planned_runs(timetables, jobs, *window)
+    assert runs.count() == planned.count() == 31 * 1440
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [timetable_uid" in plan
+    assert planned._jdf.queryExecution().executedPlan().toString().count("Join") == 1

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.clean import JOB_STATUSES, TIMETABLE_STATUSES, floor_div, int_or_else
+from tickloom.functions.clean import JOB_STATUSES, floor_div, int_or_else
 
 # Parts a pool is ranked in before its survivors are ranked together.
 SALTS = 64
@@ -48,9 +48,12 @@ def list_by_status(
     df: DataFrame,
     status: str | None = None,
     limit: int = 100,
-    statuses: tuple[str, ...] = JOB_STATUSES + TIMETABLE_STATUSES,
+    statuses: tuple[str, ...] = JOB_STATUSES,
 ) -> DataFrame:
-    """Newest first; an unknown status filters nothing; limit 0 or less gives all rows."""
+    """Newest first; an unknown status filters nothing; limit 0 or less gives all rows.
+
+    ``statuses`` are the known ones; timetables have others than jobs, templates none.
+    """
     wanted = (status or "").upper()
     if wanted in statuses:
         df = df.filter(F.col("status") == wanted)

@@ -66,16 +66,9 @@ def active(timetables: DataFrame) -> DataFrame:
     return timetables.filter(F.col("status") == "ACTIVE")
 
 
-def fire_times(
-    schedules: DataFrame, start: datetime, end: datetime, uid_col: str = "uid", cron_col: str = "cron"
-) -> DataFrame:
-    """(timetable_uid, fire_ts) for each whole minute in ``[start, end)`` that a rule names.
-
-    Every row expands by itself: days that fit, then hours, then minutes. Only the
-    short (uid, cron) rows are dealt out beforehand, by uid, so a rule shared by many
-    timetables puts no load on one task.
-    """
-    rules = parse_schedules(spread(schedules.select(uid_col, cron_col), uid_col), cron_col)
+def _expand(rules: DataFrame, start: datetime, end: datetime, cron_col: str) -> DataFrame:
+    """Rows once per whole minute in ``[start, end)`` their rule names, in ``fire_ts``."""
+    kept = [c for c in rules.columns if c != cron_col]
     day, hour, minute = F.col("fire_day"), F.col("fire_hour"), F.col("fire_minute")
     days = F.sequence(F.lit(start.date()), F.lit(end.date()))
     fire = F.make_timestamp_ntz(
@@ -83,15 +76,29 @@ def fire_times(
     )
     masks = [f"{f.name}_mask" for f in (YEAR, MONTH, DAY, WEEKDAY)]
     return (
-        rules.select(uid_col, *masks, "hour_values", "minute_values", F.explode(days).alias("fire_day"))
+        parse_schedules(rules, cron_col)
+        .select(*kept, *masks, "hour_values", "minute_values", F.explode(days).alias("fire_day"))
         .filter(_day_matches(day))
-        .select(uid_col, "fire_day", "minute_values", F.explode(_allowed(HOUR)).alias("fire_hour"))
-        .select(uid_col, "fire_day", "fire_hour", F.explode(_allowed(MINUTE)).alias("fire_minute"))
-        .select(F.col(uid_col).alias("timetable_uid"), fire.alias("fire_ts"))
+        .select(*kept, "fire_day", "minute_values", F.explode(_allowed(HOUR)).alias("fire_hour"))
+        .select(*kept, "fire_day", "fire_hour", F.explode(_allowed(MINUTE)).alias("fire_minute"))
+        .select(*kept, fire.alias("fire_ts"))
         .filter((F.col("fire_ts") >= _ntz(start)) & (F.col("fire_ts") < _ntz(end)))
     )
 
 
+def fire_times(
+    schedules: DataFrame, start: datetime, end: datetime, uid_col: str = "uid", cron_col: str = "cron"
+) -> DataFrame:
+    """(timetable_uid, fire_ts) for each whole minute in ``[start, end)`` that a rule names.
+
+    Every row expands by itself: days that fit, then hours, then minutes. Only the
+    short (uid, cron) rows are dealt out beforehand, by uid, so a rule shared by many
+    timetables puts no load on one task.
+    """
+    rules = schedules.select(F.col(uid_col).alias("timetable_uid"), cron_col)
+    return _expand(spread(rules, "timetable_uid"), start, end, cron_col)
+
+
 def _ntz(moment: datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
@@ -206,38 +213,55 @@ def match_summary(
 _COPIED = ("entrypoint", "jar", "options", "jobconf")
 
 
+def _with_template(timetables: DataFrame, jobs: DataFrame) -> DataFrame:
+    """ACTIVE timetables with the job they copy; those whose job is missing give no run."""
+    t = active(timetables).select(
+        F.col("uid").alias("timetable_uid"), F.col("name").alias("timetable_name"), "cron", "job_uid"
+    )
+    return t.join(jobs.select(F.col("uid").alias("job_uid"), *_COPIED), "job_uid")
+
+
+def _as_runs(fired: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("bigint")
+    return fired.withColumn("createtime", exact_ms("fire_ts")).select(
+        "timetable_uid",
+        F.concat("timetable_name", F.lit("-T-"), "createtime").alias("name"),
+        F.lit("READY").alias("status"),
+        "createtime",
+        F.col("createtime").alias("submittime"),
+        none.alias("starttime"),
+        none.alias("finishtime"),
+        F.col("createtime").alias("priority"),
+        F.lit(None).cast("string").alias("sparkappid"),
+        F.col("job_uid").alias("template_job_uid"),
+        *_COPIED,
+    )
+
+
 def spawn_runs(
     fires: DataFrame, timetables: DataFrame, jobs: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """New job rows and run-log rows for the fires of ACTIVE timetables.
 
     A run has no number of its own: (timetable_uid, createtime) is its key, since a
-    timetable fires at most once a minute. The timetables meet their jobs first, so
-    the fires, by far the longest input, take part in one join only.
+    timetable fires at most once a minute. The join is asked for as a merge: fires that
+    were just expanded from rules look as small to the optimizer as the rules, and must
+    not be broadcast on that estimate.
     """
-    t = active(timetables).select(
-        F.col("uid").alias("timetable_uid"), F.col("name").alias("timetable_name"), "job_uid"
-    )
-    j = jobs.select(F.col("uid").alias("job_uid"), *_COPIED)
-    ms = exact_ms("fire_ts")
-    none = F.lit(None).cast("bigint")
-    runs = (
-        fires.join(t.join(j, "job_uid"), "timetable_uid")
-        .withColumn("createtime", ms)
-        .select(
-            "timetable_uid",
-            F.concat("timetable_name", F.lit("-T-"), "createtime").alias("name"),
-            F.lit("READY").alias("status"),
-            "createtime",
-            F.col("createtime").alias("submittime"),
-            none.alias("starttime"),
-            none.alias("finishtime"),
-            F.col("createtime").alias("priority"),
-            F.lit(None).cast("string").alias("sparkappid"),
-            F.col("job_uid").alias("template_job_uid"),
-            *_COPIED,
-        )
-    )
+    runs = _as_runs(fires.hint("merge").join(_with_template(timetables, jobs), "timetable_uid"))
+    return runs, run_log(runs)
+
+
+def planned_runs(
+    timetables: DataFrame, jobs: DataFrame, start: datetime, end: datetime
+) -> tuple[DataFrame, DataFrame]:
+    """``spawn_runs`` for all fires in ``[start, end)``, without a join of fires.
+
+    Timetables take their job along first and expand afterwards, so what is shuffled
+    is the timetables, not their many fires.
+    """
+    due = spread(_with_template(timetables, jobs), "timetable_uid")
+    runs = _as_runs(_expand(due, start, end, "cron"))
     return runs, run_log(runs)
 
 

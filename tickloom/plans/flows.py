@@ -1,12 +1,10 @@
-"""The three everyday flows, each one lazy plan."""
+"""Everyday flows, each one lazy plan; planned runs are ``schedules.planned_runs``."""
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import DataFrame
 
-from tickloom.operators import logs, quality, queue, schedules
+from tickloom.operators import logs, quality, queue
 
 
 def admission_round(
@@ -18,14 +16,6 @@ def admission_round(
     return queue.admit(valid.filter(queue.is_runnable(now)), running_apps, capacity, pool_col)
 
 
-def planned_runs(
-    timetables: DataFrame, jobs: DataFrame, start: datetime, end: datetime
-) -> tuple[DataFrame, DataFrame]:
-    """New jobs and run-log rows of all ACTIVE timetables between two moments."""
-    fires = schedules.fire_times(schedules.active(timetables), start, end)
-    return schedules.spawn_runs(fires, timetables, jobs)
-
-
 def log_pages(texts: DataFrame, col: str) -> DataFrame:
     """Every page of every text with its neighbours' numbers."""
     return logs.page_nav(logs.paginate(texts, col, logs.LOG_CHUNK, logs.LOG_WINDOW))

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from datetime import datetime
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,15 +114,23 @@ def a4_fire_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def a5_spawn_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs, _ = flows.planned_runs(fx.timetables(spark, sf_dir), fx.jobs(spark, sf_dir), *DAY)
+    runs, _ = schedules.planned_runs(fx.timetables(spark, sf_dir), fx.jobs(spark, sf_dir), *DAY)
     return runs.withColumn("options", map_text(F.col("options"))).withColumn(
         "jobconf", F.array_join("jobconf", " ")
     )
 
 
+@query
+def a5_spawn_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timetables = fx.timetables(spark, sf_dir)
+    fires = schedules.fire_times(timetables, *DAY)
+    runs, _ = schedules.spawn_runs(fires, timetables, fx.jobs(spark, sf_dir))
+    return runs.select("timetable_uid", "name", "createtime", "template_job_uid", "jar")
+
+
 @query
 def a5_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, log = flows.planned_runs(fx.timetables(spark, sf_dir), fx.jobs(spark, sf_dir), *DAY)
+    _, log = schedules.planned_runs(fx.timetables(spark, sf_dir), fx.jobs(spark, sf_dir), *DAY)
     return log
 
 
@@ -516,7 +523,7 @@ def land_logs(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """Each document as the stdout file of a job, written by the tasks that hold it."""
 
     def write(batches):
-        system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system, base = log_files.file_system(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 system.create_dir(f"{base}/job-{row['doc_id']}", recursive=True)

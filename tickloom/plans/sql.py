@@ -294,6 +294,8 @@ ORACLE: dict[str, str] = {
                CAST(NULL AS BIGINT) AS starttime, CAST(NULL AS BIGINT) AS finishtime,
                createtime AS priority, CAST(NULL AS VARCHAR) AS sparkappid, uid AS template_job_uid,
                entrypoint, jar, options, jobconf FROM runs""",
+    "a5_spawn_fires": f"""
+        {RUNS} SELECT timetable_uid, name, createtime, uid AS template_job_uid, jar FROM runs""",
     "a5_run_log": f"{RUNS} SELECT timetable_uid, name AS job_name, createtime FROM runs",
     "b1_derive_submission": """
         WITH s AS (SELECT o_orderkey AS uid, epoch_ms(o_orderdate) AS createtime,

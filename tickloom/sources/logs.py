@@ -40,7 +40,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).select("uid", "type", "length", "content")
 
 
-def _system(uri: str) -> tuple[fs.FileSystem, str]:
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     local = re.match(r"^(?:file:)?/+(.*)$", uri)
     if local:
         return fs.LocalFileSystem(), "/" + local[1]
@@ -48,7 +48,7 @@ def _system(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _open(uri: str):
-    system, path = _system(uri)
+    system, path = file_system(uri)
     return system.open_input_file(path)
 
 
@@ -110,7 +110,7 @@ def _stat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
         for row in batch.to_pylist():
-            system, path = _system(row["path"])
+            system, path = file_system(row["path"])
             info = system.get_file_info(path)
             if info.type == fs.FileType.File:
                 found.append({**row, "length": info.size})
@@ -150,10 +150,9 @@ def read_log_pages(
         files.select("path", "uid", "type", "length", pages_of(F.col("length"), chunk).alias("page_count"))
         .withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("page_count"))))
         .withColumn("run", F.call_function("div", F.col("page"), F.lit(_RUN).cast("bigint")))
-        .repartition("path", "run")
-        .sortWithinPartitions("path", "page")
     )
-    return pages.mapInArrow(
+    # a row of a page is short and its reading long: tasks are not merged by row size
+    return spread(pages, "path", "run").sortWithinPartitions("path", "page").mapInArrow(
         _read_pages(chunk, offset),
         "uid bigint, type string, page bigint, page_count bigint, block binary",
     )
