@@ -64,6 +64,9 @@ def test_documents(spark):
     assert [tuple(docs[i][f] for f in flags) for i in (1, 2, 3)] == [
         (True, False, True), (False, True, True), (False, False, False)]
     assert docs[1]["stats"] == {"jobs": 3}
+    rule = documents(spark.sql("SELECT 1L AS uid, 'ACTIVE' AS status, '5 * * JAN,2 * *' AS cron"), "timetable")[1]["cron"]
+    assert rule == {"pattern": "5 * * JAN,2 * *", "minute": [5], "hour": None, "day": None, "month": [1, 2],
+                    "weekday": None, "year": None}
     templates = spark.createDataFrame([(1, '{"name": "x"}')], "uid bigint, content string")
     assert documents(templates, "template")[1]["content"]["name"] == "x"
     with pytest.raises(ValueError):

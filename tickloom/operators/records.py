@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.clean import json_or_else
+from tickloom.functions.cron import FIELDS
 from tickloom.functions.labels import age_label, duration_label
+from tickloom.operators.schedules import parse_schedules
 
 JOB_COLUMNS = (
     "uid", "name", "status", "createtime", "submittime", "starttime", "finishtime",
@@ -94,18 +96,23 @@ def action_flags(kind: str) -> dict:
 def to_documents(df: DataFrame, kind: str) -> DataFrame:
     """(uid, status, document): one JSON text per row, NULL fields kept.
 
-    Documents of timetables want the columns of :func:`run_stats` and
+    A timetable's rule becomes an object of its text and the values of each field, NULL
+    for any. Documents of timetables want the columns of :func:`run_stats` and
     :func:`enrich_timetables`; those present are nested under ``stats`` and kept as ``job``.
     """
-    columns = df.columns
     flags = [flag.alias(name) for name, flag in action_flags(kind).items()]
-    nested = [c for c in ("jobs", "last_time", "last_job_uid") if kind == "timetable" and c in columns]
-    plain = [F.col(c) for c in columns if c not in nested and c != "content"]
-    if nested:
-        plain.append(F.struct(*nested).alias("stats"))
+    columns, replaced, nested = df.columns, {}, []
+    if kind == "timetable":
+        nested = [c for c in ("jobs", "last_time", "last_job_uid") if c in columns]
+        if "cron" in columns:
+            df = parse_schedules(df)
+            values = [F.col(f"{f.name}_values").alias(f.name) for f in FIELDS]
+            replaced["cron"] = F.struct(F.col("cron").alias("pattern"), *values)
     if kind == "template" and "content" in columns:
-        content = json_or_else("content", TEMPLATE_FIELDS)
-        plain.append(content.alias("content"))
+        replaced["content"] = json_or_else("content", TEMPLATE_FIELDS)
+    fields = [replaced.get(c, F.col(c)).alias(c) for c in columns if c not in nested]
+    if nested:
+        fields.append(F.struct(*nested).alias("stats"))
     status = F.col("status") if "status" in columns else F.lit(None).cast("string")
-    document = F.to_json(F.struct(*plain, *flags), {"ignoreNullFields": "false"})
+    document = F.to_json(F.struct(*fields, *flags), {"ignoreNullFields": "false"})
     return df.select("uid", status.alias("status"), document.alias("document"))

@@ -21,7 +21,8 @@ def spread_if_small(df: DataFrame, *keys: str) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    split = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    plan = df._jdf.queryExecution()
+    split = plan.sparkSession().sessionState().conf().filesMaxPartitionBytes()
+    size = int(plan.optimizedPlan().stats().sizeInBytes())
     tasks = _partitions(df)
-    return df.repartition(tasks, *keys) if size < tasks * int(split) else df
+    return df.repartition(tasks, *keys) if size < tasks * split else df

@@ -187,7 +187,7 @@ def b5_admit_by_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = fx.jobs(spark, sf_dir)
     waiting = jobs.filter(queue.is_runnable(NOW_MS))
     running = queue.running(jobs)
-    tracked = running.filter(F.col("uid") % 2 == 0)
+    tracked = running.filter(F.col("starttime") <= NOW_MS)
     down = jobs.filter(F.col("pool") == 7).select("pool")
     admitted = queue.admit(waiting, running, POOL_SLOTS, tracked=tracked, down=down)
     return admitted.select("uid", "pool", "priority")

@@ -75,6 +75,22 @@ def fires(uid: str, ts: str) -> str:
       ELSE minute({ts}) IN (5, 35) AND hour({ts}) <= 5 AND isodow({ts}) >= 6 END)"""
 
 
+def cron_values(uid: str) -> str:
+    """Values of the rule's fields as JSON members, by uid."""
+    any_day = '"day":null,"month":null,"weekday":null,"year":null'
+    return f"""(CASE
+      WHEN {uid} % 500 = 8 THEN '"minute":null,"hour":null,{any_day}'
+      WHEN {uid} % 8 = 0 THEN '"minute":[' || ({uid} % 60) || '],"hour":[' || ({uid} % 24) || '],{any_day}'
+      WHEN {uid} % 8 = 1 THEN '"minute":[0,15,30,45],"hour":[8,9,10,11,12,13,14,15,16,17],"day":null,'
+        || '"month":null,"weekday":[1,2,3,4,5],"year":null'
+      WHEN {uid} % 8 = 2 THEN '"minute":[0],"hour":[0,12],"day":[1],"month":[2,4,6,8,10,12],"weekday":null,"year":null'
+      WHEN {uid} % 8 = 3 THEN '"minute":[0],"hour":[9],"day":null,"month":null,"weekday":null,"year":[2024]'
+      WHEN {uid} % 8 = 4 THEN '"minute":[0],"hour":[12],"day":null,"month":null,"weekday":[1,2,3,4,5],"year":null'
+      WHEN {uid} % 8 = 5 THEN '"minute":[45],"hour":[17],"day":[7],"month":[6],"weekday":null,"year":[2015,2016]'
+      WHEN {uid} % 8 = 6 THEN '"minute":[30],"hour":[0,6,12,18],"day":[1,15,31],"month":[1],"weekday":null,"year":null'
+      ELSE '"minute":[5,35],"hour":[0,1,2,3,4,5],"day":null,"month":null,"weekday":[6,7],"year":null' END)"""
+
+
 def grid(start: str, end: str) -> str:
     return (
         f"grid AS (SELECT unnest(generate_series(TIMESTAMP '{start}', "
@@ -323,7 +339,7 @@ ORACLE: dict[str, str] = {
         WHERE r <= 700 - coalesce(n, 0)""",
     "b5_admit_by_pool": f"""
         WITH {JOBS}, slots AS (SELECT * FROM (VALUES {_SLOTS}) AS s(pool, slots)),
-        busy AS (SELECT pool, count(*) AS n, count(*) FILTER (uid % 2 = 0) AS tracked
+        busy AS (SELECT pool, count(*) AS n, count(*) FILTER (starttime <= {NOW_MS}) AS tracked
                  FROM jobs WHERE status = 'RUNNING' GROUP BY pool),
         queued AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY priority, uid) AS r
                    FROM jobs WHERE {RUNNABLE})
@@ -378,7 +394,7 @@ ORACLE: dict[str, str] = {
         WITH {JOBS}, {TIMETABLES}, {STATS}
         SELECT t.uid, t.status, '{{"uid":' || t.uid || ',"name":"' || t.name || '","status":"' || t.status
           || '","canceltime":' || coalesce(CAST(canceltime AS VARCHAR), 'null')
-          || ',"cron":"' || cron || '","job":'
+          || ',"cron":{{"pattern":"' || cron || '",' || {cron_values('t.uid')} || '}},"job":'
           || coalesce('{{"uid":' || j.uid || ',"name":"' || j.name || '","status":"' || j.status || '"}}', 'null')
           || ',"stats":{{"jobs":' || coalesce(jobs, 0)
           || ',"last_time":' || coalesce(CAST(last_time AS VARCHAR), 'null')
