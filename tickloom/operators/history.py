@@ -72,46 +72,72 @@ TIMETABLE_MACHINE = Machine(
 _UNSET = np.iinfo(np.int64).min
 
 
+class _Steps:
+    """What runs of events can do to the state, numbered.
+
+    An action is a function on states, and so is a run of actions. A small machine has
+    few such functions, so each gets a number and a table tells what two in a row give.
+    """
+
+    def __init__(self, machine: Machine) -> None:
+        nxt = machine.table()
+        width = nxt.shape[1]
+        moves = [tuple(np.where(row >= 0, row, np.arange(width)).tolist()) for row in nxt]
+        found = [tuple(range(width))]  # number 0 changes nothing
+        for step in found:  # grows while it is read
+            for move in moves:
+                longer = tuple(move[state] for state in step)
+                if longer not in found:
+                    found.append(longer)
+        number = {step: i for i, step in enumerate(found)}
+        self.ends = np.array(found)
+        self.of_action = np.array([number[move] for move in moves])
+        self.then = np.array(
+            [[number[tuple(b[state] for state in a)] for b in found] for a in found]
+        )
+        # by action and by what came before: is it accepted, for each state at the start?
+        self.accepted = (nxt >= 0)[:, self.ends]
+
+
 def _segment_effects(
-    actions: np.ndarray, ts: np.ndarray, starts: np.ndarray, table: np.ndarray, stamped: list[int]
+    actions: np.ndarray, ts: np.ndarray, starts: np.ndarray, steps: _Steps, stamped: list[int]
 ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Effects of consecutive segments of ordered events: ends, accepted, stamp times.
 
-    Each event is a function on states; composing neighbours at distance 1, 2, 4, …
-    gives every prefix of every segment in a logarithmic number of array steps.
+    Joining neighbours at distance 1, 2, 4, … gives every prefix of every segment in a
+    logarithmic number of array steps.
     """
-    n, width = len(actions), table.shape[1]
-    identity = np.arange(width)
-    legal_move = table[actions]
-    upto = np.where(legal_move >= 0, legal_move, identity)
-    segment = np.zeros(n, dtype=np.int64)
-    segment[starts[1:]] = 1
-    segment = np.cumsum(segment)
+    n = len(actions)
+    lengths = np.diff(np.append(starts, n))
+    segment = np.repeat(np.arange(len(starts)), lengths)
     reach = np.arange(n) - starts[segment]  # earlier events in the same segment
+    upto = steps.of_action[actions]
     step = 1
-    while step <= reach.max(initial=0):
+    while step < lengths.max():
         later = np.nonzero(reach >= step)[0]
-        upto[later] = np.take_along_axis(upto[later], upto[later - step], axis=1)
+        upto[later] = steps.then[upto[later - step], upto[later]]
         step *= 2
-    before = np.tile(identity, (n, 1))
-    inner = np.nonzero(reach > 0)[0]
-    before[inner] = upto[inner - 1]
-    accepted = np.take_along_axis(legal_move, before, axis=1) >= 0
-    ends = upto[np.append(starts[1:], n) - 1]
-    times = [
-        np.maximum.reduceat(
-            np.where(accepted & (actions == a)[:, None], ts[:, None], _UNSET), starts, axis=0
-        )
-        for a in stamped
-    ]
-    return ends, np.add.reduceat(accepted.astype(np.int64), starts, axis=0), times
+    before = np.zeros(n, dtype=upto.dtype)
+    before[1:] = upto[:-1]
+    before[starts] = 0
+    accepted = steps.accepted[actions, before]
+    times = []
+    for action in stamped:
+        at = np.full((len(starts), accepted.shape[1]), _UNSET)
+        rows = np.nonzero(actions == action)[0]
+        for state in range(accepted.shape[1]):
+            taken = rows[accepted[rows, state]]
+            at[segment[taken], state] = ts[taken]  # in order, so the last one stays
+        times.append(at)
+    total = np.add.reduceat(accepted.astype(np.int64), starts, axis=0)
+    return steps.ends[upto[starts + lengths - 1]], total, times
 
 
 def _fold_batches(machine: Machine):
     """mapInArrow function: rows ordered by (key, ts, seq) to one effect per key."""
-    table = machine.table()
+    steps = _Steps(machine)
     stamped = [machine.actions.index(a) for a in machine.stamps]
-    width = table.shape[1]
+    width = len(machine.states)
 
     def as_batch(keys, first_ts, first_seq, count, ends, accepted, times) -> pa.RecordBatch:
         offsets = pa.array(np.arange(len(count) + 1, dtype=np.int32) * width)
@@ -150,7 +176,7 @@ def _fold_batches(machine: Machine):
             changed = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
             starts = np.append(0, np.nonzero(changed)[0] + 1)
             ts, seq, actions = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            ends, accepted, times = _segment_effects(actions, ts, starts, table, stamped)
+            ends, accepted, times = _segment_effects(actions, ts, starts, steps, stamped)
             count = np.diff(np.append(starts, n))
             effect = (keys.take(pa.array(starts)), ts[starts], seq[starts], count, ends, accepted, times)
             first = 0
