@@ -184,6 +184,15 @@ def test_matching_against_brute_force(spark, seed, hot):
     assert by_rule == {(i, tables[uid][1]) for i, uid in want}
 
 
+def test_due_minutes_may_be_written_first(spark, tmp_path):
+    _, _, events, timetables = match_tables(spark, 3, True)
+    for match, name in ((S.match_rules, "rules"), (S.match_schedules, "pairs")):
+        plain, written = match(events, timetables), match(events, timetables, via=str(tmp_path / name))
+        assert sorted(map(tuple, written.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+        plan = written._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [minute" in plan and "hashpartitioning" not in plan  # events stay in place
+
+
 def test_matching_makes_no_nested_loop(spark):
     _, _, events, timetables = match_tables(spark, 1, False)
     for df in (S.match_schedules(events, timetables), S.match_summary(events, timetables)):

@@ -104,7 +104,10 @@ def _ntz(moment: datetime) -> Column:
 
 
 def to_minute(ts: Column) -> Column:
-    return F.date_trunc("minute", ts).cast("timestamp_ntz")
+    """The minute a timestamp lies in; arithmetic, several times faster than date_trunc."""
+    micros = F.unix_micros(ts.cast("timestamp"))
+    whole = micros - F.pmod(micros, F.lit(60_000_000).cast("bigint"))
+    return F.timestamp_micros(whole).cast("timestamp_ntz")
 
 
 def rule_minutes(minutes: DataFrame, schedules: DataFrame, cron_col: str = "cron") -> DataFrame:
@@ -143,13 +146,35 @@ def rule_minutes(minutes: DataFrame, schedules: DataFrame, cron_col: str = "cron
     )
 
 
+def _minutes_of(keyed: DataFrame) -> DataFrame:
+    return keyed.select("minute").filter("minute IS NOT NULL").distinct()
+
+
+def _joined_on_minute(keyed: DataFrame, due: DataFrame, via: str | None) -> DataFrame:
+    """Events with what is due in their minute; see :func:`match_rules` for ``via``."""
+    if via is not None:
+        due.write.parquet(via)
+        due = due.sparkSession.read.schema(due.schema).parquet(via)
+    return keyed.join(due, "minute").drop("minute")
+
+
 def match_rules(
-    events: DataFrame, schedules: DataFrame, ts_col: str = "ts", cron_col: str = "cron"
+    events: DataFrame,
+    schedules: DataFrame,
+    ts_col: str = "ts",
+    cron_col: str = "cron",
+    via: str | None = None,
 ) -> DataFrame:
-    """Events joined to each distinct rule that names their minute."""
+    """Events joined to each distinct rule that names their minute.
+
+    As one plan the events are shuffled by minute, since the size of the other side is
+    only known once it has been computed. Given a new folder ``via``, the (rule, minute)
+    rows, made from the time column alone, are written there first. Spark then knows
+    their size before it reads the events, and where they are few it broadcasts them and
+    leaves the events in place.
+    """
     keyed = events.withColumn("minute", to_minute(F.col(ts_col)))
-    minutes = keyed.select("minute").filter("minute IS NOT NULL").distinct()
-    return keyed.join(rule_minutes(minutes, schedules, cron_col), "minute").drop("minute")
+    return _joined_on_minute(keyed, rule_minutes(_minutes_of(keyed), schedules, cron_col), via)
 
 
 def match_schedules(
@@ -158,18 +183,18 @@ def match_schedules(
     ts_col: str = "ts",
     uid_col: str = "uid",
     cron_col: str = "cron",
+    via: str | None = None,
 ) -> DataFrame:
     """Events with each ACTIVE timetable that is due in their minute.
 
-    Timetables join their rule's minutes first, so the events, the widest rows, are
-    shuffled once, by minute. The result has one row per pair; use
-    :func:`match_summary` when totals will do.
+    Timetables join their rule's minutes first, so the events, the widest rows, take
+    part in one join; ``via`` works as in :func:`match_rules`. The result has one row per
+    pair; use :func:`match_summary` when totals will do.
     """
     due = active(timetables).select(F.col(uid_col).alias("timetable_uid"), cron_col)
     keyed = events.withColumn("minute", to_minute(F.col(ts_col)))
-    minutes = keyed.select("minute").filter("minute IS NOT NULL").distinct()
-    fires = rule_minutes(minutes, due, cron_col).join(due, cron_col).drop(cron_col)
-    return keyed.join(fires, "minute").drop("minute")
+    fires = rule_minutes(_minutes_of(keyed), due, cron_col).join(due, cron_col).drop(cron_col)
+    return _joined_on_minute(keyed, fires, via)
 
 
 def match_summary(
