@@ -6,19 +6,20 @@ they are stateless.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators.history import Machine, compose, effects, settle
 from tickloom.operators.records import run_totals
-from tickloom.operators.schedules import active, rule_minutes, run_log, spawn_runs
+from tickloom.operators.schedules import active, rule_minutes, run_log, spawn_runs, to_minute
 
 Trigger = dict[str, object]
 ALL_THERE_IS: Trigger = {"availableNow": True}
-SALTS = 64
 
 
 # -- sinks ---------------------------------------------------------------------
@@ -72,6 +73,16 @@ def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
 # -- runs spawned by ticks -----------------------------------------------------
 
 
+def _once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each value of the only column once; the minutes of a year are half a million."""
+    seen: set = set()
+    for batch in batches:
+        values = pc.unique(batch.column(0))
+        new = [value.value not in seen for value in values]
+        seen.update(value.value for value in values)
+        yield pa.RecordBatch.from_arrays([values.filter(pa.array(new, pa.bool_()))], batch.schema.names)
+
+
 def follow_due_runs(
     ticks: DataFrame,
     timetables: DataFrame,
@@ -84,35 +95,41 @@ def follow_due_runs(
 ) -> StreamingQuery:
     """New jobs (``path/runs``) and run-log rows (``path/log``) for each minute that ticks.
 
+    The minutes themselves are kept in ``path/minutes``.
+
     A minute counts once however often it ticks; state is kept for minutes within
     ``late``, and a minute that ticks later than that is missed, not caught up. Each
     micro-batch matches its minutes to the timetables as they are then: PAUSED ones
     stay in the table but give no run. A batch tried again replaces its folders.
 
-    Ticks are thinned out in ``SALTS`` parts per minute before a minute meets in one
-    task, so a minute with most of the ticks is no bottleneck.
+    Each task first thins its ticks out to single minutes, so a minute with most of the
+    ticks is no bottleneck where its ticks meet.
     """
-    ts = F.col(ts_col)
     minutes = (
-        ticks.select(
-            F.date_trunc("minute", ts).cast("timestamp").alias("minute"),
-            F.pmod(F.xxhash64(*ticks.columns), F.lit(SALTS)).alias("part"),
-        )
+        ticks.select(to_minute(F.col(ts_col)).cast("timestamp").alias("minute"))
+        .filter("minute IS NOT NULL")
+        .mapInArrow(_once_per_task, "minute timestamp")
         .withWatermark("minute", late)
-        .dropDuplicates(["minute", "part"])
         .dropDuplicates(["minute"])
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+
+        def kept(rows: DataFrame, name: str) -> DataFrame:
+            folder = f"{path}/{name}/batch={batch_id}"
+            rows.write.mode("overwrite").parquet(folder)
+            return spark.read.schema(rows.schema).parquet(folder)
+
+        # written before use: what follows reads the minutes more than once
+        fresh = kept(batch.select(F.col("minute").cast("timestamp_ntz").alias("minute")), "minutes")
+        if fresh.isEmpty():
+            return
         due = active(timetables).select(F.col("uid").alias("timetable_uid"), "cron")
-        minutes = batch.select(F.col("minute").cast("timestamp_ntz").alias("minute"))
-        fires = rule_minutes(minutes, due).join(due, "cron")
+        fires = rule_minutes(fresh, due).join(due, "cron")
         fires = fires.select("timetable_uid", F.col("minute").alias("fire_ts"))
         runs, _ = spawn_runs(fires, timetables, jobs)
-        target = f"{path}/runs/batch={batch_id}"
-        runs.write.mode("overwrite").parquet(target)
-        written = batch.sparkSession.read.schema(runs.schema).parquet(target)
-        run_log(written).write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+        kept(run_log(kept(runs, "runs")), "log")
 
     return (
         minutes.writeStream.foreachBatch(write)
