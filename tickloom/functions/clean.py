@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.functions.bind import let
+
 END = r"\n?\z"
 
 # The accepted forms of each field.
@@ -113,18 +115,25 @@ def parse_options(text: Column | str) -> Column:
             F.substring(w, F.instr(w, "=") + 1, F.length(w)).alias("v"),
         ),
     )
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    last = F.transform(
-        keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
-    )
-    return F.map_from_arrays(keys, last)
+
+    def last_of_each(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+        last = F.transform(
+            keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
+        )
+        return F.map_from_arrays(keys, last)
+
+    return let(pairs, last_of_each)
 
 
 def merge_options(base: Column | str, overrides: Column | str) -> Column:
     """Both maps together; the right side wins."""
-    base, overrides = _col(base), _col(overrides)
-    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(overrides, k))
-    return F.map_concat(kept, overrides)
+
+    def merged(right: Column) -> Column:
+        kept = F.map_filter(_col(base), lambda k, _: ~F.map_contains_key(right, k))
+        return F.map_concat(kept, right)
+
+    return let(_col(overrides), merged)
 
 
 def job_options(text: Column | str, driver_memory: Column, executor_memory: Column) -> Column:

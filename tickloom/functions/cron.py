@@ -147,8 +147,8 @@ def listed_values(word: str, field: Field) -> Column:
            AND {_number(high, field)} <= {field.high}
           THEN sequence({_number(low, field)}, {_number(high, field)}) END
         WHEN contains({word}, '/') THEN CASE
-          WHEN {word} RLIKE '{_STEP}'
-          THEN filter(sequence({field.low}, {field.high}), v -> try_mod(v, {step}) = 0) END
+          WHEN {word} RLIKE '{_STEP}' THEN get(transform(array({step}), n ->
+            filter(sequence({field.low}, {field.high}), v -> try_mod(v, n) = 0)), 0) END
         ELSE array({_number(word, field)}) END"""
     )
 

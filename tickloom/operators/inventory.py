@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.bind import let
 from tickloom.functions.paths import extension, path_parts, within
 
 
@@ -58,19 +59,17 @@ def breadcrumbs(paths: DataFrame, home: str = "/", path_col: str = "path") -> Da
     """
     home = "/" + home.strip("/")
     skip = 0 if home == "/" else len(home.strip("/").split("/"))
-    parts = path_parts(path_col)
+    top = F.struct(F.lit("home").alias("name"), F.lit(home).alias("path"))
 
-    def crumb(i):
-        prefix = F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))
-        return F.struct(F.get(parts, i - 1).alias("name"), prefix.alias("path"))
+    def below(parts: Column) -> Column:
+        def crumb(i: Column) -> Column:
+            prefix = F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))
+            return F.struct(F.get(parts, i - 1).alias("name"), prefix.alias("path"))
 
-    top = F.array(F.struct(F.lit("home").alias("name"), F.lit(home).alias("path")))
-    depth = F.size(parts)
-    below = F.when(
-        depth > skip, F.transform(F.sequence(F.lit(skip + 1), depth), crumb)
-    ).otherwise(F.slice(top, 1, 0))
-    at_root = F.col(path_col) == home
-    crumbs = F.when(at_root, top).when(
-        within(path_col, home) & parts.isNotNull(), F.concat(top, below)
+        crumbs = F.transform(F.sequence(F.lit(skip + 1), F.size(parts)), crumb)
+        return F.when(F.size(parts) > skip, F.concat(F.array(top), crumbs))
+
+    crumbs = F.when(F.col(path_col) == home, F.array(top)).when(
+        within(path_col, home), let(path_parts(path_col), below)
     )
     return paths.withColumn("crumbs", crumbs)
