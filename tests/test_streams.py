@@ -61,6 +61,24 @@ def test_due_runs_stream(spark, ticks, tmp_path):
     assert len({r.batch for r in log.select("batch").distinct().collect()}) > 1
 
 
+def test_paused_while_the_stream_runs(spark, ticks, tmp_path):
+    jobs = spark.sql("SELECT 10L AS uid, 'Main' AS entrypoint, '/a.jar' AS jar, map('a','b') AS options, array('x') AS jobconf")
+    reads = []
+
+    def timetables():
+        reads.append(None)
+        state = "ACTIVE" if len(reads) <= 2 else "PAUSED"
+        return spark.createDataFrame([(1, "all", state, "* * * * * *", 10)],
+                                     "uid bigint, name string, status string, cron string, job_uid bigint")
+
+    out = str(tmp_path / "out")
+    streams.follow_due_runs(
+        stream(spark, ticks, tmp_path / "in", 4), timetables, jobs, out, str(tmp_path / "cp")).awaitTermination()
+    assert len(reads) == 4
+    assert spark.read.parquet(f"{out}/minutes").count() == 40
+    assert spark.read.parquet(f"{out}/runs").count() == 20
+
+
 def transitions(spark):
     actions = ["run", "finish", "close", "run", "bogus"]
     rows = [(n, f"k{n * 7 % 13}", n, n, actions[n * 3 % 5]) for n in range(300)]

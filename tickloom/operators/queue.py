@@ -65,14 +65,14 @@ def lookup(df: DataFrame, uids: DataFrame | int, uid_col: str = "uid") -> DataFr
     """Rows with the given keys: one number, or a table with the key column."""
     if isinstance(uids, int):
         return df.filter(F.col(uid_col) == uids)
-    return df.join(uids.select(uid_col), uid_col, "left_semi")
+    return df.join(uids.select(uid_col).distinct(), uid_col, "left_semi")
 
 
 def delete_by_key(df: DataFrame, uids: DataFrame | int, uid_col: str = "uid") -> DataFrame:
     """The rows that remain once the given keys are gone."""
     if isinstance(uids, int):
         return df.filter(F.col(uid_col) != uids)
-    return df.join(uids.select(uid_col), uid_col, "left_anti")
+    return df.join(uids.select(uid_col).distinct(), uid_col, "left_anti")
 
 
 def is_runnable(now: int | Column) -> Column:

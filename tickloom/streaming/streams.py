@@ -19,6 +19,7 @@ from tickloom.operators.records import run_totals
 from tickloom.operators.schedules import active, rule_minutes, run_log, spawn_runs, to_minute
 
 Trigger = dict[str, object]
+Table = DataFrame | Callable[[], DataFrame]  # a function reads the table anew per batch
 ALL_THERE_IS: Trigger = {"availableNow": True}
 
 
@@ -85,8 +86,8 @@ def _once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def follow_due_runs(
     ticks: DataFrame,
-    timetables: DataFrame,
-    jobs: DataFrame,
+    timetables: Table,
+    jobs: Table,
     path: str,
     checkpoint: str,
     ts_col: str = "ts",
@@ -98,9 +99,9 @@ def follow_due_runs(
     The minutes themselves are kept in ``path/minutes``.
 
     A minute counts once however often it ticks; state is kept for minutes within
-    ``late``, and a minute that ticks later than that is missed, not caught up. Each
-    micro-batch matches its minutes to the timetables as they are then: PAUSED ones
-    stay in the table but give no run. A batch tried again replaces its folders.
+    ``late``, and a minute that ticks later than that is missed, not caught up. PAUSED
+    timetables stay in the table but give no run; where statuses change while the stream
+    runs, pass a function that reads the table. A batch tried again replaces its folders.
 
     Each task first thins its ticks out to single minutes, so a minute with most of the
     ticks is no bottleneck where its ticks meet.
@@ -125,10 +126,11 @@ def follow_due_runs(
         fresh = kept(batch.select(F.col("minute").cast("timestamp_ntz").alias("minute")), "minutes")
         if fresh.isEmpty():
             return
-        due = active(timetables).select(F.col("uid").alias("timetable_uid"), "cron")
+        listed, templates = (t() if callable(t) else t for t in (timetables, jobs))
+        due = active(listed).select(F.col("uid").alias("timetable_uid"), "cron")
         fires = rule_minutes(fresh, due).join(due, "cron")
         fires = fires.select("timetable_uid", F.col("minute").alias("fire_ts"))
-        runs, _ = spawn_runs(fires, timetables, jobs)
+        runs, _ = spawn_runs(fires, listed, templates)
         kept(run_log(kept(runs, "runs")), "log")
 
     return (
