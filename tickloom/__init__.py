@@ -1,3 +1,10 @@
 """Schedule, job-queue and run-history analytics as plain PySpark functions."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in tasks travel with the job, so executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
