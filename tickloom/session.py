@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,16 +28,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh folder below ``spark.checkpoint.dir``, or below the warehouse where that is not set.
 
-    Only a local session may go without that setting: a cluster's executors do
-    not share the driver's temporary folder.
+    Both are folders that the driver and all executors share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tickloom-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
