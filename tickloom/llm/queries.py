@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, near_copies, packing, toxicity
+from tickloom.llm import language_model, mixing, near_copies, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,3 +65,15 @@ def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+HELD_OUT_WORDS = (7, 2)
+
+
+@query
+def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores, total = language_model.fit_and_score(docs, docs.filter(~held_out(*HELD_OUT_WORDS)))
+    return scores.select(
+        "doc_id", held_out(*HELD_OUT_WORDS).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        "base_score", "score")
