@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import language_model, mixing, near_copies, packing, toxicity
+from tickloom.llm import cap_filters, language_model, mixing, near_copies, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -51,6 +51,11 @@ def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").alias("n_spans"))
 
 
+@query
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.cap_filter_classes(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
