@@ -6,8 +6,8 @@ to every filter whose direction it exceeds a threshold in; these are listed with
 of the first half of the blocks are matched with the sorted sums of the second half. Vectors meet in their filters; pairs
 whose sign sketches are too far apart are dropped, the rest is verified by the exact cosine.
 
-The code grows with the number of vectors n (16 n filters) and the threshold is set so that a vector
-has ``per_vector`` filters on average, so lists stay as long and filters as full at any size.
+There are a few such codes. They grow with the number of vectors n (16 n filters in all) and the thresholds are set so
+that a vector has ``per_vector`` filters on average, so lists stay as long and filters as full at any size.
 """
 
 from __future__ import annotations
@@ -23,7 +23,10 @@ from tickloom.llm.components import classes_of
 from tickloom.llm.shared import cut, gather_runs
 
 BLOCKS = 4
-PER_VECTOR = 32
+# Codes with rotations of their own, and the filters a vector has on average in all of them together: a vector
+# that one code happens to cover thinly has others.
+CODES = 8
+PER_VECTOR = 48
 SKETCH_BITS = 256
 # Members of a filter that are compared as one block; a filter of any size is many pairs of blocks.
 BLOCK_ROWS = 1024
@@ -32,16 +35,15 @@ BLOCK_ROWS = 1024
 class Code:
     """The rotation, the codewords, the threshold and the sketch directions for vectors of one length."""
 
-    def __init__(self, dims: int, n: int, per_vector: int = PER_VECTOR, seed: int = 23):
-        draw = np.random.default_rng(seed + dims)
+    def __init__(self, dims: int, n: int, per_vector: float = PER_VECTOR / CODES, number: int = 0, seed: int = 23):
+        draw = np.random.default_rng([seed, dims, number])
+        self.number = number
         self.dims, self.padded = dims, max(BLOCKS, -(-dims // BLOCKS) * BLOCKS)
-        # vectors of few dimensions have few directions, and need few filters to tell them
-        self.words = max(2, math.ceil((16.0 * max(n, 2)) ** (1 / BLOCKS)))
+        self.words = max(2, math.ceil((16.0 * max(n, 2) / CODES) ** (1 / BLOCKS)))
         self.rotation = np.linalg.qr(draw.normal(size=(self.padded, self.padded)))[0][:dims]
         width = self.padded // BLOCKS
         code = draw.normal(size=(BLOCKS, self.words, width))
         self.code = code / np.linalg.norm(code, axis=2, keepdims=True)
-        self.planes = draw.normal(size=(dims, SKETCH_BITS))
         self.threshold = self._threshold(draw, min(per_vector, self.words**BLOCKS / 2))
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,15 +74,17 @@ class Code:
                 at = np.flatnonzero(first[i] >= min(self.threshold + down[0], first[i].max()))
                 many = np.maximum(np.searchsorted(down, first[i][at] - self.threshold, side="right"), first[i][at] == first[i].max())
                 picks = order[i][gather_runs(np.zeros(len(at), np.int64), many)]
-                keys.append(np.repeat(at, many).astype(np.int64) * second.shape[1] + picks)
+                keys.append((np.repeat(at, many).astype(np.int64) * second.shape[1] + picks) * CODES + self.number)
                 who.append(np.full(len(picks), start + i))
         if not keys:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(who), np.concatenate(keys)
 
-    def sketch(self, x: np.ndarray) -> np.ndarray:
-        """(n, words of 64 signs)."""
-        return np.packbits(x @ self.planes > 0, axis=1).view(np.int64)
+
+def _sketch(x: np.ndarray, seed: int = 29) -> np.ndarray:
+    """(n, words of 64 signs) against random planes."""
+    planes = np.random.default_rng(seed).normal(size=(x.shape[1], SKETCH_BITS))
+    return np.packbits(x @ planes > 0, axis=1).view(np.int64)
 
 
 def _far(cosine: float) -> int:
@@ -94,7 +98,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def memberships(vectors: DataFrame, code: Code) -> DataFrame:
+def memberships(vectors: DataFrame, codes: list[Code]) -> DataFrame:
     """(vec_id, key, s0..s3): every filter of every vector, with the vector's sketch."""
 
     def run(batches):
@@ -104,8 +108,8 @@ def memberships(vectors: DataFrame, code: Code) -> DataFrame:
             x = _matrix(batch.column("embedding"))
             x = x / np.abs(x).max(1, keepdims=True)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            who, keys = code.filters(x)
-            signs = code.sketch(x)[who]
+            who, keys = (np.concatenate(z) for z in zip(*(code.filters(x) for code in codes)))
+            signs = _sketch(x)[who]
             ids = batch.column("vec_id").to_numpy()[who]
             for a in range(0, len(ids), 1 << 16):
                 s = slice(a, a + (1 << 16))
@@ -126,7 +130,7 @@ def _near_pairs(far: int):
         group = np.cumsum(new)
         ids, own = held.column("vec_id").to_numpy(), held.column("own").to_numpy()
         cross = unit[:, 1] != unit[:, 2]
-        signs = np.stack([held.column(f"s{k}").to_numpy() for k in range(4)], 1)
+        signs = np.stack([held.column(f"s{k}").to_numpy() for k in range(4)], 1).view(np.uint64)
         left = np.arange(len(ids))
         step = 1
         while True:
@@ -180,7 +184,7 @@ def links_of(vectors: DataFrame, cosine: float, per_vector: int = PER_VECTOR) ->
     sizes = vectors.groupBy(F.size("embedding").alias("dims")).count().collect()  # a row per vector length
     for dims, n in sizes:
         own = vectors.filter(F.size("embedding") == dims)
-        rows = cut(memberships(own, Code(dims, n, per_vector)))
+        rows = cut(memberships(own, [Code(dims, n, per_vector / CODES, k) for k in range(CODES)]))
         crowd = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
         units = rows.join(crowd.drop("n"), "key").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
         units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
