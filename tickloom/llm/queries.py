@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import cap_filters, language_model, mixing, near_copies, packing, toxicity
+from tickloom.llm import cap_filters, language_model, license_scan, mixing, near_copies, packing, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,8 +37,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Learned from the labelled rows of ``docs`` whose id is not held out."""
-    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity.train(docs.filter(~held_out(*HELD_OUT_TOXIC)).select("doc_id", "text").join(marks, "doc_id"))
+    return toxicity.train(docs, labels.filter(~held_out(*HELD_OUT_TOXIC)))
 
 
 @query
@@ -82,3 +81,24 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select(
         "doc_id", held_out(*HELD_OUT_WORDS).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         "base_score", "score")
+
+
+@query
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = winnowing.edit_prints(table(spark, sf_dir, "documents"))
+    return prints.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        winnowing.printed(F.col("prints")).alias("fingerprint"), winnowing.printed(F.col("edited_prints")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    base = F.transform("places", lambda p: p["label"])
+    own = F.transform("blocks", lambda b: b["label"])
+    joined = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.concat(base, own)).alias("labels"), "score")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tickloom.session import scratch_dir
 
 # Text bytes a task works on at once; a longer text is a slice by itself.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -111,23 +111,21 @@ def _offending(words: Words, toxic: np.ndarray, per_word: list[list[str]]) -> se
     around = mix(around + inside(-1).astype(np.uint64) * np.uint64(2) + toxic[doc].astype(np.uint64))
     _, one_each = np.unique(around, return_index=True)
     totals = np.stack([np.bincount(codes[one_each][toxic[doc[one_each]] == k], minlength=len(per_word)) for k in (0, 1)], 1).astype(float)
-    counts: dict[str, np.ndarray] = {}
-    for own, both in zip(per_word, totals):
-        for f in own:
-            counts[f] = counts[f] + both if f in counts else both
+    index: dict[str, int] = {}
+    what = np.array([index.setdefault(f, len(index)) for own in per_word for f in own], np.int64)
+    who = np.repeat(np.arange(len(per_word)), [len(own) for own in per_word])
+    counts = np.stack([np.bincount(what, totals[who, k], len(index)) for k in (0, 1)], 1)
     share = totals[:, 1].sum() / max(totals.sum(), 1)
     if not 0 < share < 1:
         return set()
-    often = {f: c for f, c in counts.items() if c[1] >= 3}
-    bound = math.log(len(often) + 1) + 5
-    found = set()
-    for f, (clean, bad) in often.items():
-        p = bad / (bad + clean)
-        if p >= 0.8 and p > share:
-            kl = p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)
-            if (bad + clean) * kl > bound:
-                found.add(f)
-    return found
+    often = counts[:, 1] >= 3
+    bound = math.log(often.sum() + 1) + 5
+    seen = counts.sum(1)
+    p = counts[:, 1] / np.maximum(seen, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = p * np.log(p / share) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - share)), 0.0)
+    beyond = often & (p >= 0.8) & (p > share) & (seen * kl > bound)
+    return {f for f, i in index.items() if beyond[i]}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-2) -> np.ndarray:
@@ -140,10 +138,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-
     return w
 
 
+# Words below these log odds are background, of which a long text has more.
+_FLOOR = -4.0
+
+
 def _summary(odds: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Per text: the log odds that some word is toxic, and the expected number of toxic words (log)."""
-    p = 1 / (1 + np.exp(-odds))
-    some = np.concatenate(([0.0], np.cumsum(np.logaddexp(0, odds))))
+    """Per text: the log odds that some word is toxic, and the expected number of toxic words (log), without the background."""
+    over = odds > _FLOOR
+    p = np.where(over, 1 / (1 + np.exp(-odds)), 0.0)
+    some = np.concatenate(([0.0], np.cumsum(np.where(over, np.logaddexp(0, odds), 0.0))))
     any_log = some[starts[1:]] - some[starts[:-1]]
     total = np.concatenate(([0.0], np.cumsum(p)))
     sums = np.maximum(total[starts[1:]] - total[starts[:-1]], 0)
@@ -151,8 +154,12 @@ def _summary(odds: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([np.clip(odds_any, -8, 8) / 8, np.log1p(sums)], 1)
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.3, ridge: float = 1e-3) -> ToxicityModel:
-    """Trains on whole texts with labels 0/1. Without both labels the model calls everything clean."""
+def fit(texts: list[str], toxic: list[int], share: float | None = None, rounds: int = 40, rate: float = 0.3,
+        ridge: float = 1e-3) -> ToxicityModel:
+    """Trains on whole texts with labels 0/1. Without both labels the model calls everything clean.
+
+    ``share`` is the share of toxic texts among all, where the sample's is another.
+    """
     if len(set(toxic)) < 2:
         return ToxicityModel()
     y_doc = np.array(toxic)
@@ -192,23 +199,29 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.3,
         x -= rate * (m / (1 - 0.9 ** (k + 1))) / (np.sqrt(v / (1 - 0.99 ** (k + 1))) + 1e-8)
     model = ToxicityModel({f: float(w) for f, w in zip(names, x) if abs(w) > 1e-3}, float(x[-5]), float(x[-4]), tuple(map(float, x[-3:])))
     odds, _, _ = marginals(np.array([model.emission(w) for w in words.unique])[words.codes], words.starts, model.start, model.moves, lanes)
-    model.curve = tuple(map(float, _logistic(_summary(odds, words.starts), y_doc)))
+    a, b, c = map(float, _logistic(_summary(odds, words.starts), y_doc))
+    log_odds = lambda p: math.log(p / (1 - p))
+    model.curve = (a + (log_odds(share) - log_odds(y_doc.mean()) if share and share < 1 else 0.0), b, c)
     return model
 
 
-def train(labelled: DataFrame, sample: int = 2000, longest: int = 10_000) -> ToxicityModel:
-    """Fits on ``labelled`` (doc_id, text, toxic 0/1); rows without label or text are not used.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1000, longest: int = 6000) -> ToxicityModel:
+    """Fits on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic 0/1) marks.
 
-    The driver receives at most ``sample`` texts per label, none longer than ``longest`` characters.
+    Of each label 2 x ``sample`` ids are drawn by a hash, and of those the first ``sample`` texts of at most ``longest`` characters
+    reach the driver. An id with both labels counts as toxic; rows without label or text are not used.
     """
-    rows = labelled.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull() & (F.length("text") <= longest))
-    rows = rows.select("text", "toxic", F.xxhash64("doc_id", F.lit(7)).alias("draw"))
+    marks = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    there = dict(marks.groupBy("toxic").count().collect())
+    drawn = marks.withColumn("draw", F.xxhash64("doc_id", F.lit(7)))
     texts, toxic = [], []
     for label in (0, 1):
-        for row in rows.filter(F.col("toxic") == label).orderBy("draw", "text").limit(sample).select("text").collect():
+        ids = drawn.filter(F.col("toxic") == label).orderBy("draw", "doc_id").limit(2 * sample)
+        rows = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(ids), "doc_id")
+        for row in rows.orderBy("draw", "text").limit(sample).select("text").collect():
             texts.append(row[0])
             toxic.append(label)
-    return fit(texts, toxic)
+    return fit(texts, toxic, there.get(1, 0) / max(there.get(0, 0) + there.get(1, 0), 1))
 
 
 class _Scorer:
