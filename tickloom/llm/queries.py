@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import cap_filters, language_model, license_scan, mixing, near_copies, packing, toxicity, winnowing
+from tickloom.llm import cap_filters, id_coder, language_model, license_scan, mixing, near_copies, packing, toxicity, warc, winnowing
+from tickloom.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -40,6 +41,11 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel
     return toxicity.train(docs, labels.filter(~held_out(*HELD_OUT_TOXIC)))
 
 
+@query
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch_dir(spark))
+
+
 @query
 def op2_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -71,6 +77,11 @@ def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query
+def op9_id_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_coder.round_trip(table(spark, sf_dir, "documents"), vocabulary(), scratch_dir(spark))
+
+
 HELD_OUT_WORDS = (7, 2)
 
 
