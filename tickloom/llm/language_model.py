@@ -110,8 +110,17 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
+    """At most ``frequent`` words reach the driver: those over the lowest count step that lets no more through."""
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toPandas()
+    # counts in steps of a few percent, so that the words over a threshold can be counted first
+    step = F.floor(F.log2("c") * 32).cast("int")
+    steps = sorted(counts.groupBy(step.alias("s")).count().collect(), reverse=True)
+    room, least = frequent, 1 << 30
+    for s, n in steps:
+        if n > room:
+            break
+        room, least = room - n, s
+    top = counts.filter(step >= least).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     short = top.head(SHORTLIST)
     own = counts.filter(~F.col("h").isin([int(x) for x in short["h"]])) if len(short) else counts
     kinds = own.groupBy("class").agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once")).toPandas()
