@@ -52,7 +52,7 @@ def test_listing(jobs):
 def test_listing_timetables(spark):
     rows = [(1, "ACTIVE", 1), (2, "PAUSED", 2), (3, "CANCELLED", 3)]
     timetables = spark.createDataFrame(rows, "uid bigint, status string, createtime bigint")
-    assert uids(Q.list_by_status(timetables, "paused", 0, TIMETABLE_STATUSES)) == [2]
+    assert uids(Q.list_by_status(timetables, "paused", statuses=TIMETABLE_STATUSES)) == [2]
     assert uids(Q.list_by_status(timetables, "READY", 0, TIMETABLE_STATUSES)) == [3, 2, 1]
     assert sorted(uids(Q.list_enabled(timetables))) == [1, 2]
 
@@ -106,14 +106,13 @@ def test_admission_against_brute_force(spark, capacity):
     assert len(got) == len(set(got)) and set(got) == expected(rows, busy, lambda _: capacity)
 
 
-@pytest.mark.parametrize("ranked_rows", [0, 10**6])
-def test_admission_by_pool(spark, monkeypatch, ranked_rows):
-    monkeypatch.setattr(Q, "RANKED_ROWS", ranked_rows)  # both ways give the same
+def test_admission_by_pool(spark):
     rows, busy, queue, running = crowd(spark, 5)
     slots = {0: 900, 1: 10_000, 2: 0, 3: 60, 4: 500}  # the others have none
     down = spark.sql("SELECT 4L AS pool")
     got = uids(Q.admit(queue, running, slots, down=down))
-    assert len(got) == len(set(got))
+    table = spark.createDataFrame(list(slots.items()), "pool bigint, slots bigint")
+    assert len(got) == len(set(got)) and set(got) == set(uids(Q.admit(queue, running, table, down=down)))
     assert set(got) == expected(rows, busy, lambda p: slots.get(p, 0), blocked=[4])
 
 
@@ -124,10 +123,23 @@ def test_full_tracked_pool_takes_nothing(spark):
     assert uids(Q.admit(queue, none, 2, tracked=tracked)) == [2]
 
 
-def test_admission_ranks_in_parts(spark):
+@pytest.mark.parametrize("capacity", [50, 10**6])
+def test_no_window_over_a_pool(spark, capacity):
     _, _, queue, running = crowd(spark, 1)
-    plan = Q.admit(queue, running, 50)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit [pool" in plan and "_salt" in plan
+    plan = Q.admit(queue, running, capacity)._jdf.queryExecution().executedPlan().toString()
+    ranked = [line for line in plan.split("\n") if "row_number" in line and "Window [" in line]
+    assert ranked and all("_step" in line and "_part" in line for line in ranked)
+
+
+@pytest.mark.parametrize("capacity", [0, 1, 40, 700, 10**6])
+def test_one_pool_of_equal_priorities(spark, capacity):
+    """Ranked by uid alone, where a priority is shared by all or by most."""
+    rows = [(n * 7919 % 3001, 5 if n % 10 else n) for n in range(3000)]
+    queue = spark.createDataFrame(rows, "uid bigint, priority bigint")
+    none = spark.createDataFrame([], "uid bigint")
+    want = {u for _, u in sorted((p, u) for u, p in rows)[:capacity]}
+    got = uids(Q.admit(queue, none, capacity, pool_col=None))
+    assert len(got) == len(want) and set(got) == want
 
 
 def test_admission_round_drops_bad_rows(spark):

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.clean import JOB_STATUSES, floor_div, int_or_else
+from tickloom.functions.clean import JOB_STATUSES, TIMETABLE_STATUSES, floor_div, int_or_else
 
-# Parts a pool is ranked in before its survivors are ranked together.
+# Rows of the job listing.
+JOB_LISTING = 100
+# Parts of a pool that meet its short tables in different tasks.
 SALTS = 64
-# Capacity up to which ranking the survivors of all parts is cheap.
-RANKED_ROWS = 100_000
+# Steps in which a pool's queue is cut to find the row its slots end at.
+STEPS = 256
 
 
 def _now(now: int | Column) -> Column:
@@ -47,12 +49,13 @@ def derive_submission(df: DataFrame, now: int | Column, delay_col: str = "delay"
 def list_by_status(
     df: DataFrame,
     status: str | None = None,
-    limit: int = 100,
+    limit: int = 0,
     statuses: tuple[str, ...] = JOB_STATUSES,
 ) -> DataFrame:
     """Newest first; an unknown status filters nothing; limit 0 or less gives all rows.
 
     ``statuses`` are the known ones; timetables have others than jobs, templates none.
+    The listing of jobs shows the newest ``JOB_LISTING``; the others are listed whole.
     """
     wanted = (status or "").upper()
     if wanted in statuses:
@@ -106,8 +109,8 @@ def list_enabled(timetables: DataFrame) -> DataFrame:
 def admit(
     queue: DataFrame,
     running_apps: DataFrame,
-    capacity: int | Mapping,
-    pool_col: str = "pool",
+    capacity: int | Mapping | DataFrame,
+    pool_col: str | None = "pool",
     tracked: DataFrame | None = None,
     down: DataFrame | None = None,
 ) -> DataFrame:
@@ -115,55 +118,76 @@ def admit(
 
     free = capacity − running apps of the pool. A pool takes nothing if its jobs
     tracked here (rows of ``tracked``) fill the capacity, or if it is listed in
-    ``down``. ``capacity`` is one number or {pool: number}.
+    ``down``. ``capacity`` is one number, {pool: number} or a table (pool, slots); a pool
+    it does not list has none. Without ``pool_col`` the whole queue is one pool, and any row
+    of ``down`` closes it. Rows without a pool are not admitted.
 
-    Each of ``SALTS`` parts of a pool keeps its best ``capacity`` rows, then the
-    survivors are ranked together: exact, and no task sorts a whole pool. With a
-    capacity beyond ``RANKED_ROWS`` the survivors could be most of a pool, so pools
-    with room for their whole queue are counted first and admitted unranked.
+    A pool's queue is cut into steps of about equal size, by priority and then, within a
+    priority many share, by uid; steps are counted, and only the step in which the slots end is
+    ranked. So no task sorts or holds a pool, whatever its size and capacity.
     """
-    pool = F.col(pool_col)
-    if isinstance(capacity, Mapping):
-        pairs = [F.lit(x) for pair in capacity.items() for x in pair]
-        slots = F.coalesce(F.try_element_at(F.create_map(*pairs), pool), F.lit(0))
-        bound = max(capacity.values(), default=0)
-    else:
-        slots, bound = F.lit(capacity), capacity
-
-    def per_pool(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(pool_col).agg(F.count("*").alias(name))
-
-    def with_free(rows: DataFrame) -> DataFrame:
-        """Rows of pools that have free slots, with their number."""
-        free = slots - F.coalesce("_apps", F.lit(0))
-        rows = rows.join(per_pool(running_apps, "_apps"), pool_col, "left")
-        if tracked is not None:
-            rows = rows.join(per_pool(tracked, "_tracked"), pool_col, "left")
-            free = F.when(F.coalesce("_tracked", F.lit(0)) < slots, free).otherwise(F.lit(0))
-        if down is not None:
-            rows = rows.join(down.select(pool_col).distinct(), pool_col, "left_anti")
-        return rows.withColumn("_free", free).filter("_free > 0").drop("_apps", "_tracked")
-
-    by_urgency = (F.col("priority"), F.col("uid"))
-    part = Window.partitionBy(pool_col, "_salt").orderBy(*by_urgency)
-    whole = Window.partitionBy(pool_col).orderBy(*by_urgency)
-
-    def best(rows: DataFrame) -> DataFrame:
-        return (
-            with_free(
-                rows.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)))
-                .withColumn("_rank", F.row_number().over(part))
-                .filter(F.col("_rank") <= bound)
-            )
-            .filter(F.col("_rank") <= F.col("_free"))
-            .withColumn("_rank", F.row_number().over(whole))
-            .filter(F.col("_rank") <= F.col("_free"))
-            .select(queue.columns)
-        )
+    pool = "_pool"
+    name = F.lit("") if pool_col is None else F.col(pool_col)
 
-    if bound <= RANKED_ROWS:
-        return best(queue)
-    roomy = with_free(per_pool(queue, "_queued")).filter("_queued <= _free").select(pool_col)
-    return queue.join(roomy, pool_col, "left_semi").unionByName(
-        best(queue.join(roomy, pool_col, "left_anti"))
-    )
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(pool, name)
+
+    def per_pool(rows: DataFrame, count: str) -> DataFrame:
+        return keyed(rows).groupBy(pool).agg(F.count("*").alias(count))
+
+    rows = keyed(queue).filter(F.col(pool).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)))
+    free = rows.groupBy(pool).agg(F.percentile_approx("priority", _SHARES, 4 * STEPS).alias("_bounds"))
+    if isinstance(capacity, int):
+        free = free.withColumn("_slots", F.lit(capacity).cast("bigint"))
+    else:
+        if isinstance(capacity, Mapping):
+            kind = "string" if pool_col is None else queue.schema[pool_col].dataType.simpleString()
+            capacity = queue.sparkSession.createDataFrame(list(capacity.items()), f"pool {kind}, slots bigint")
+        free = free.join(capacity.select(F.col("pool").alias(pool), F.col("slots").cast("bigint").alias("_slots")), pool)
+    free = free.join(per_pool(running_apps, "_apps"), pool, "left")
+    left = F.col("_slots") - F.coalesce("_apps", F.lit(0))
+    if tracked is not None:
+        free = free.join(per_pool(tracked, "_tracked"), pool, "left")
+        left = F.when(F.coalesce("_tracked", F.lit(0)) < F.col("_slots"), left).otherwise(F.lit(0))
+    if down is not None:
+        free = free.join(keyed(down).select(pool).distinct(), pool, "left_anti")
+    free = free.withColumn("_free", left).filter("_free > 0").select(pool, "_free", "_bounds")
+
+    rows = _salted(rows, free, [pool]).withColumn("_step", _step(F.col("priority"))).drop("_bounds")
+    sure, edge = _split(rows, [pool], "_step")
+    # a step of one priority is cut by uid, any other one by priority again
+    one = F.min("priority") == F.max("priority")
+    finer = edge.groupBy(pool).agg(one.alias("_one"), F.percentile_approx("uid", _SHARES, 4 * STEPS).alias("_uids"),
+                                   F.percentile_approx("priority", _SHARES, 4 * STEPS).alias("_priorities"))
+    finer = finer.select(pool, "_one", F.when(F.col("_one"), F.col("_uids")).otherwise(F.col("_priorities")).alias("_bounds"))
+    edge = _salted(edge, finer, [pool]).withColumn("_part", _step(F.when(F.col("_one"), F.col("uid")).otherwise(F.col("priority"))))
+    more, last = _split(edge.drop("_bounds", "_one"), [pool, "_step"], "_part")
+    within = Window.partitionBy(pool, "_step", "_part").orderBy("priority", "uid")
+    ranked = last.withColumn("_rank", F.row_number().over(within)).filter("_rank <= _free")
+    return sure.select(queue.columns).unionByName(more.select(queue.columns)).unionByName(ranked.select(queue.columns))
+
+
+_SHARES = [i / STEPS for i in range(1, STEPS)]
+
+
+def _step(value: Column) -> Column:
+    """The step of a value among ``_bounds``; a bound that is met exactly is a step of its own."""
+    below = F.size(F.filter("_bounds", lambda b: b < value))
+    return below * 2 + F.array_contains("_bounds", value).cast("int")
+
+
+def _salted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what a short table says about their key, met in ``SALTS`` parts per key."""
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("_salt")
+    return rows.join(table.select("*", parts), [*keys, "_salt"])
+
+
+def _split(rows: DataFrame, keys: list[str], step: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the steps that fit ``_free`` whole, and those of the step it ends in, with ``_free`` less the former."""
+    counts = rows.groupBy(*keys, step).agg(F.count("*").alias("_n"), F.first("_free").alias("_room"))
+    before = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter("_before < _room")
+    placed = _salted(rows, counts.drop("_room"), [*keys, step])
+    whole = F.col("_before") + F.col("_n") <= F.col("_free")
+    left = placed.filter(~whole).withColumn("_free", F.col("_free") - F.col("_before"))
+    return placed.filter(whole), left.drop("_before", "_n")
