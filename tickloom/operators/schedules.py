@@ -104,10 +104,9 @@ def _ntz(moment: datetime) -> Column:
 
 
 def to_minute(ts: Column) -> Column:
-    """The minute a timestamp lies in; arithmetic, several times faster than date_trunc."""
-    micros = F.unix_micros(ts.cast("timestamp"))
-    whole = micros - F.pmod(micros, F.lit(60_000_000).cast("bigint"))
-    return F.timestamp_micros(whole).cast("timestamp_ntz")
+    """The minute of the wall clock a timestamp shows; no detour through an instant, which a change of clocks would move."""
+    wall = ts.cast("timestamp_ntz")
+    return wall - F.make_dt_interval(secs=F.date_part(F.lit("SECOND"), wall))
 
 
 def rule_minutes(minutes: DataFrame, schedules: DataFrame, cron_col: str = "cron") -> DataFrame:
@@ -277,6 +276,17 @@ def spawn_runs(
     return runs, run_log(runs)
 
 
+def spawn_due(fires: DataFrame, timetables: DataFrame, jobs: DataFrame) -> DataFrame:
+    """New job rows for a written table of ``fires``, few against all timetables and jobs.
+
+    The timetables that fire are picked first, then the jobs those copy, so neither table is shuffled whole
+    where Spark sees that the other side is small.
+    """
+    firing = timetables.join(fires.select(F.col("timetable_uid").alias("uid")).distinct(), "uid", "left_semi")
+    copied = jobs.join(active(firing).select(F.col("job_uid").alias("uid")).distinct(), "uid", "left_semi")
+    return _as_runs(fires.join(_with_template(firing, copied), "timetable_uid"))
+
+
 def planned_runs(
     timetables: DataFrame, jobs: DataFrame, start: datetime, end: datetime
 ) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators.history import Machine, compose, effects, settle
 from tickloom.operators.records import run_totals
-from tickloom.operators.schedules import active, rule_minutes, run_log, spawn_runs, to_minute
+from tickloom.operators.schedules import active, rule_minutes, run_log, spawn_due, to_minute
 
 Trigger = dict[str, object]
 Table = DataFrame | Callable[[], DataFrame]  # a function reads the table anew per batch
@@ -91,27 +91,23 @@ def follow_due_runs(
     path: str,
     checkpoint: str,
     ts_col: str = "ts",
-    late: str = "10 minutes",
     trigger: Trigger = ALL_THERE_IS,
 ) -> StreamingQuery:
     """New jobs (``path/runs``) and run-log rows (``path/log``) for each minute that ticks.
 
-    The minutes themselves are kept in ``path/minutes``.
-
-    A minute counts once however often it ticks; state is kept for minutes within
-    ``late``, and a minute that ticks later than that is missed, not caught up. PAUSED
-    timetables stay in the table but give no run; where statuses change while the stream
-    runs, pass a function that reads the table. A batch tried again replaces its folders.
+    The minutes themselves are kept in ``path/minutes``. A minute counts once, however often
+    and however late it ticks: a batch leaves out the minutes that earlier batches have written.
+    PAUSED timetables stay in the table but give no run; where statuses change while the
+    stream runs, pass a function that reads the table. A batch tried again replaces its folders.
 
     Each task first thins its ticks out to single minutes, so a minute with most of the
-    ticks is no bottleneck where its ticks meet.
+    ticks is no bottleneck where its ticks meet. A batch finds the few timetables that are due before
+    it looks at jobs, and reads only the jobs those copy.
     """
     minutes = (
-        ticks.select(to_minute(F.col(ts_col)).cast("timestamp").alias("minute"))
+        ticks.select(to_minute(F.col(ts_col)).alias("minute"))
         .filter("minute IS NOT NULL")
-        .mapInArrow(_once_per_task, "minute timestamp")
-        .withWatermark("minute", late)
-        .dropDuplicates(["minute"])
+        .mapInArrow(_once_per_task, "minute timestamp_ntz")
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -122,16 +118,21 @@ def follow_due_runs(
             rows.write.mode("overwrite").parquet(folder)
             return spark.read.schema(rows.schema).parquet(folder)
 
+        fresh = batch.distinct()
+        if batch_id > 0:
+            # batches are written one after the other, so all earlier ones are complete
+            known = spark.read.schema("minute timestamp_ntz, batch bigint").parquet(f"{path}/minutes")
+            fresh = fresh.join(known.filter(F.col("batch") < batch_id).select("minute"), "minute", "left_anti")
         # written before use: what follows reads the minutes more than once
-        fresh = kept(batch.select(F.col("minute").cast("timestamp_ntz").alias("minute")), "minutes")
+        fresh = kept(fresh, "minutes")
         if fresh.isEmpty():
             return
         listed, templates = (t() if callable(t) else t for t in (timetables, jobs))
         due = active(listed).select(F.col("uid").alias("timetable_uid"), "cron")
         fires = rule_minutes(fresh, due).join(due, "cron")
-        fires = fires.select("timetable_uid", F.col("minute").alias("fire_ts"))
-        runs, _ = spawn_runs(fires, listed, templates)
-        kept(run_log(kept(runs, "runs")), "log")
+        fires = kept(fires.select("timetable_uid", F.col("minute").alias("fire_ts")), "fires")
+        runs = kept(spawn_due(fires, listed, templates), "runs")
+        kept(run_log(runs), "log")
 
     return (
         minutes.writeStream.foreachBatch(write)
