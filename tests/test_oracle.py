@@ -7,6 +7,8 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as contract
+from tickloom.plans.queries import QUERIES
+from tickloom.plans.sql import ORACLE
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -17,7 +19,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
@@ -25,7 +27,7 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     found = differences(contract.queries()[name](spark, SF_DIR), con, contract.oracle_sql()[name])
     assert not found, found

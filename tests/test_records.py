@@ -23,10 +23,11 @@ def test_run_stats(spark):
     assert R.run_totals(big).first().last_job_uid == 2**63 - 1
 
 
-def test_run_totals_stay_in_hash_form(spark):
-    stats = spark.range(10).selectExpr("id AS timetable_uid", "id AS job_uid", "id AS createtime")
-    plan = R.run_totals(stats)._jdf.queryExecution().executedPlan().toString()
-    assert "HashAggregate" in plan and "SortAggregate" not in plan
+def test_run_totals_of_odd_uids(spark):
+    rows = [(1, -5, 3), (1, -9, 3), (2, 7, 1), (2, None, 2), (3, None, 4), (3, -1, 4), (4, 2**63 - 1, -8), (4, -(2**63), -9), (5, 1, None)]
+    stats = spark.createDataFrame(rows, "timetable_uid bigint, job_uid bigint, createtime bigint")
+    got = {r.timetable_uid: (r.jobs, r.last_time, r.last_job_uid) for r in R.run_totals(stats).collect()}
+    assert got == {1: (2, 3, -5), 2: (2, 2, None), 3: (2, 4, -1), 4: (2, -8, 2**63 - 1), 5: (1, None, 1)}
 
 
 def test_enrichment_and_elapsed(spark):
@@ -45,6 +46,14 @@ def test_templates(spark):
     rows = {r.uid: r for r in R.expand_templates(df).collect()}
     assert (rows[1].job_name, rows[1].job_entrypoint, rows[1].job_delay, rows[1].job_jar) == ("n", "Main", "5", None)
     assert rows[2].job_name is None and rows[3].job_name is None
+    assert rows[1].fields == {"name": "n", "entrypoint": "Main", "delay": "5", "other": "1"} and rows[2].fields is None
+
+
+def test_template_keeps_its_keys(spark):
+    df = spark.createDataFrame([(1, "t", ' {"key": "value", "z": {"a": [1, null]}} '), (2, "t", "{"), (3, "t", None)],
+                               "uid bigint, name string, content string")
+    got = {r.uid: json.loads(r.document)["content"] for r in R.to_documents(df, "template").collect()}
+    assert got == {1: {"key": "value", "z": {"a": [1, None]}}, 2: None, 3: None}
 
 
 def documents(df, kind):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tickloom.operators.spread import spread_if_small
+from tickloom.operators.spread import spread
 
 # Tags left out, and tags that never hold anything.
 SKIPPED_TAGS = frozenset(["html", "head", "link", "meta", "br"])
@@ -81,12 +81,14 @@ def _parse_batches(schema: pa.Schema):
     return parse
 
 
-def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def html_elements(
+    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", deal: bool = False
+) -> DataFrame:
     """Element rows (page_id, elem_id, parent_id, depth, tag, data, attributes, balanced).
 
     elem_id counts in document order, parent_id is NULL for outermost elements.
     ``balanced`` is FALSE for pages that leave tags open. Pages are parsed where they
-    are read; only an input too small to keep all tasks busy is dealt out first.
+    are read; ``deal`` moves them to all shuffle partitions first, for pages made from few files.
     """
     kind = pages.schema[id_col].dataType
     schema = T.StructType(
@@ -101,7 +103,8 @@ def html_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
             T.StructField("balanced", T.BooleanType()),
         ]
     )
-    texts = spread_if_small(pages.select(id_col, html_col), id_col)
+    texts = pages.select(id_col, html_col)
+    texts = spread(texts, id_col) if deal else texts
     return texts.mapInArrow(_parse_batches(to_arrow_schema(schema)), schema)
 
 

@@ -9,35 +9,56 @@ from tickloom.functions.bind import let
 from tickloom.functions.paths import extension, path_parts, within
 
 
+def _named(path: Column) -> Column:
+    """The path without a slash at its end."""
+    return F.when(path == "/", path).otherwise(F.regexp_replace(path, "(?s)/$", ""))
+
+
+def rejected_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """Rows :func:`list_children` cannot place, with ``reason``: no path, relative, or an empty part."""
+    path = F.col(path_col)
+    reason = (
+        F.when(path.isNull(), "no path")
+        .when(~path.startswith("/"), "relative")
+        .when((path != "/") & path_parts(_named(path)).isNull(), "empty part")
+    )
+    return paths.withColumn("reason", reason).filter("reason IS NOT NULL")
+
+
 def list_children(
     paths: DataFrame,
     parent: str | None = None,
     extensions: tuple[str, ...] = (),
     path_col: str = "path",
+    dir_col: str | None = None,
 ) -> DataFrame:
     """(parent, name, isdir, type, path) of every directory's children.
 
     Directories come first, then names in order. With ``extensions`` only files of
-    those types are kept, and all directories. Each path gives one row per level,
+    those types are kept, and all directories. A path that ends in ``/``, or whose row says so
+    in ``dir_col``, is a directory itself, listed even if nothing is below it. What cannot be placed
+    is given by :func:`rejected_paths`. Each path gives one row per level,
     reduced to distinct children on the map side before anything is shuffled; for a
     single ``parent`` it gives one row.
     """
-    rows = paths.select(path_col).filter(F.col(path_col).startswith("/"))
+    path = F.col(path_col)
+    isdir = path.endswith("/") if dir_col is None else path.endswith("/") | F.coalesce(F.col(dir_col), F.lit(False))
+    rows = paths.select(_named(path).alias("path"), isdir.alias("own")).filter("path LIKE '/_%'")
     parts, level = F.col("parts"), F.col("level")
     levels = F.sequence(F.lit(1), F.size(parts))
     if parent is not None:
         parent = "/" + parent.strip("/")
-        rows = rows.filter(within(path_col, parent) & (F.col(path_col) != parent))
+        rows = rows.filter(within("path", parent) & (F.col("path") != parent))
         levels = F.array(F.lit(len([p for p in parent.split("/") if p]) + 1))
     above = F.slice(parts, F.lit(1), level - 1)
     children = (
-        rows.select(path_parts(path_col).alias("parts"))
+        rows.select(path_parts("path").alias("parts"), "own")
         .filter("parts IS NOT NULL")
-        .select("parts", F.explode(levels).alias("level"))
+        .select("parts", "own", F.explode(levels).alias("level"))
         .select(
             F.concat(F.lit("/"), F.array_join(above, "/")).alias("parent"),
             F.get(parts, level - 1).alias("name"),
-            (level < F.size(parts)).alias("isdir"),
+            ((level < F.size(parts)) | F.col("own")).alias("isdir"),
         )
         .groupBy("parent", "name")
         .agg(F.max("isdir").alias("isdir"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,19 +28,12 @@ TEMPLATE_FIELDS = T.StructType(
 
 
 def run_totals(stats: DataFrame) -> DataFrame:
-    """Per timetable: jobs, last_time, last_job_uid (the larger uid on equal times).
-
-    The newest run is found as one decimal, time before uid, because a number keeps
-    the aggregation in hash form where a struct would have every partition sorted.
-    """
-    shift = F.lit(Decimal(10**19))  # beyond any uid
-    newest = F.col("createtime").cast("decimal(18,0)") * shift + F.col("job_uid").cast("decimal(19,0)")
-    uid_part = F.pmod("_newest", shift)
+    """Per timetable: jobs, last_time, last_job_uid (the larger uid on equal times, NULL only if it is NULL in all of those)."""
     return (
         stats.groupBy("timetable_uid")
         .agg(F.count("*").alias("jobs"), F.max("createtime").alias("last_time"),
-             F.max(newest.cast("decimal(38,0)")).alias("_newest"))
-        .select("timetable_uid", "jobs", "last_time", uid_part.cast("bigint").alias("last_job_uid"))
+             F.max(F.struct("createtime", "job_uid")).alias("_newest"))
+        .select("timetable_uid", "jobs", "last_time", F.col("_newest.job_uid").alias("last_job_uid"))
     )
 
 
@@ -69,12 +60,14 @@ def elapsed(df: DataFrame, now_ms: int | None = None) -> DataFrame:
 
 
 def expand_templates(templates: DataFrame) -> DataFrame:
-    """Adds the stored job fields as columns ``job_<field>``; NULL where unreadable."""
-    fields = json_or_else("content", TEMPLATE_FIELDS)
-    parsed = templates.withColumn("_fields", fields)
-    return parsed.withColumns(
-        {f"job_{f.name}": F.col("_fields")[f.name] for f in TEMPLATE_FIELDS}
-    ).drop("_fields")
+    """Adds the stored job fields as columns ``job_<field>``, and ``fields``, a map of all keys; NULL where unreadable.
+
+    A value that is no text stands in ``fields`` as its JSON.
+    """
+    parsed = templates.withColumn("_fields", json_or_else("content", TEMPLATE_FIELDS))
+    named = {f"job_{f.name}": F.col("_fields")[f.name] for f in TEMPLATE_FIELDS}
+    every = F.when(F.col("_fields").isNotNull(), json_or_else("content", T.MapType(T.StringType(), T.StringType())))
+    return parsed.withColumns({**named, "fields": every}).drop("_fields")
 
 
 def action_flags(kind: str) -> dict:
@@ -93,6 +86,10 @@ def action_flags(kind: str) -> dict:
     raise ValueError(f"unknown kind of record: {kind!r}")
 
 
+# Stands in a document's text until the stored content takes its place; no other text holds a number there.
+_MARK = "8077001254390267311"
+
+
 def to_documents(df: DataFrame, kind: str) -> DataFrame:
     """(uid, status, document): one JSON text per row, NULL fields kept.
 
@@ -105,14 +102,21 @@ def to_documents(df: DataFrame, kind: str) -> DataFrame:
     if kind == "timetable":
         nested = [c for c in ("jobs", "last_time", "last_job_uid") if c in columns]
         if "cron" in columns:
-            df = parse_schedules(df)
+            # few rules are shared by many rows: each is parsed once
+            rules = parse_schedules(df.select("cron").distinct())
             values = [F.col(f"{f.name}_values").alias(f.name) for f in FIELDS]
-            replaced["cron"] = F.struct(F.col("cron").alias("pattern"), *values)
-    if kind == "template" and "content" in columns:
-        replaced["content"] = json_or_else("content", TEMPLATE_FIELDS)
+            rules = rules.select(F.col("cron").alias("_rule"), F.struct(F.col("cron").alias("pattern"), *values).alias("_parsed"))
+            df = df.join(rules, F.col("cron").eqNullSafe(F.col("_rule")), "left")
+            replaced["cron"] = F.col("_parsed")
     fields = [replaced.get(c, F.col(c)).alias(c) for c in columns if c not in nested]
+    if kind == "template" and "content" in columns:
+        fields = [F.lit(int(_MARK)).alias(c) if c == "content" else f for c, f in zip(columns, fields)]
     if nested:
         fields.append(F.struct(*nested).alias("stats"))
     status = F.col("status") if "status" in columns else F.lit(None).cast("string")
     document = F.to_json(F.struct(*fields, *flags), {"ignoreNullFields": "false"})
+    if kind == "template" and "content" in columns:
+        # the stored JSON stands as it is, with all its keys
+        whole = F.when(json_or_else("content", TEMPLATE_FIELDS).isNotNull(), F.trim("content")).otherwise(F.lit("null"))
+        document = F.replace(document, F.lit(f'"content":{_MARK}'), F.concat(F.lit('"content":'), whole))
     return df.select("uid", status.alias("status"), document.alias("document"))

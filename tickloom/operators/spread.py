@@ -13,16 +13,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Narrow rows that are about to grow a lot, over all shuffle partitions."""
     return df.repartition(_partitions(df), *keys)
 
-
-def spread_if_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Wide rows: only where the input is too small to fill the tasks by itself.
-
-    From one file split per shuffle partition on, rows stay where they are read.
-    """
-    if df.isStreaming:
-        return df
-    plan = df._jdf.queryExecution()
-    split = plan.sparkSession().sessionState().conf().filesMaxPartitionBytes()
-    size = int(plan.optimizedPlan().stats().sizeInBytes())
-    tasks = _partitions(df)
-    return df.repartition(tasks, *keys) if size < tasks * split else df

@@ -278,6 +278,23 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def any_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates whose content has keys of its own kind."""
+    uid = F.col("uid")
+    content = F.concat(F.lit('{"key":"'), "name", F.lit('","n":'), uid, F.lit(',"deep":{"list":[1,'), uid % 7, F.lit("]}}"))
+    return submissions(spark, sf_dir).select(
+        uid, F.lit("any").alias("name"), (uid + 1).alias("createtime"),
+        F.when(uid % 13 == 6, F.lit("{broken")).otherwise(content).alias("content"))
+
+
+def mixed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory with relative paths, empty parts, directories and missing paths among it."""
+    kind, path = F.col("page_id") % 5, F.col("path")
+    return inventory(spark, sf_dir).withColumn(
+        "path", F.when(kind == 1, F.substring(path, 2, 1 << 20)).when(kind == 2, F.concat(F.lit("/"), path))
+        .when(kind == 3, F.concat(path, F.lit("/"))).when(kind == 0, path))
+
+
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Master, UI and JDBC addresses, a part of them wrong."""
     key = F.col("s_suppkey")

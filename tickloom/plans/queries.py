@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tickloom.functions import clean, paths
 from tickloom.functions.cron import FIELDS
 from tickloom.operators import history, html, inventory, logs, quality, queue, records, schedules, status
-from tickloom.operators.spread import spread_if_small
+from tickloom.operators.spread import spread
 from tickloom.plans import fixtures as fx
 from tickloom.plans import flows
 from tickloom.session import scratch_dir
@@ -29,6 +29,7 @@ OFFICE_HOURS = "*/15 8-17 * * MON-FRI *"
 NOW_MS = 909_100_800_000  # 1998-10-23
 MONTH = (datetime(2024, 1, 1), datetime(2024, 2, 1))
 DAY = (datetime(2024, 1, 5, 6, 30), datetime(2024, 1, 6, 6, 30))
+GLOBAL_SLOTS = 3000
 POOL_SLOTS = {0: 200_000, 1: 0, 2: 650, 3: 700, 4: 5000, 5: 700, 7: 1000}
 
 
@@ -148,7 +149,7 @@ def b1_derive_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def b2_list_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = queue.list_by_status(fx.jobs(spark, sf_dir), "ready")
+    listed = queue.list_by_status(fx.jobs(spark, sf_dir), "ready", queue.JOB_LISTING)
     return listed.select("uid", "status", "createtime")
 
 
@@ -158,6 +159,17 @@ def b2_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("uid", "status", "createtime")
 
 
+@query
+def b2_list_timetables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = queue.list_by_status(fx.timetables(spark, sf_dir), "paused", statuses=queue.TIMETABLE_STATUSES)
+    return listed.select("uid", "status", "createtime")
+
+
+@query
+def b2_list_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.list_by_status(fx.templates(spark, sf_dir), statuses=()).select("uid", "createtime")
+
+
 @query
 def b3_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = queue.list_enabled(fx.timetables(spark, sf_dir)).select(F.col("job_uid").alias("uid"))
@@ -193,6 +205,25 @@ def b5_admit_by_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admitted.select("uid", "pool", "priority")
 
 
+@query
+def b5_admit_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole queue as one pool."""
+    jobs = fx.jobs(spark, sf_dir)
+    waiting = jobs.filter(queue.is_runnable(NOW_MS))
+    return queue.admit(waiting, queue.running(jobs), GLOBAL_SLOTS, pool_col=None).select("uid", "pool", "priority")
+
+
+@query
+def b5_admit_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots from a table: a tenth of what waits in a pool, beyond what runs there."""
+    jobs = fx.jobs(spark, sf_dir)
+    waiting, running = jobs.filter(queue.is_runnable(NOW_MS)), queue.running(jobs)
+    waits = waiting.groupBy("pool").agg(F.floor(F.count("*") / 10).alias("extra"))
+    runs = running.groupBy("pool").agg(F.count("*").alias("running"))
+    slots = waits.join(runs, "pool", "left").select("pool", (F.col("extra") + F.coalesce("running", F.lit(0))).alias("slots"))
+    return queue.admit(waiting, running, slots).select("uid", "pool", "priority")
+
+
 @query
 def b6_replay_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.replay_transitions(
@@ -247,7 +278,13 @@ def b12_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def b13_expand_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.expand_templates(fx.templates(spark, sf_dir)).drop("content", "name")
+    return records.expand_templates(fx.templates(spark, sf_dir)).drop("content", "name", "fields")
+
+
+@query
+def b13_template_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expanded = records.expand_templates(fx.any_templates(spark, sf_dir))
+    return expanded.select("uid", map_text(F.col("fields")).alias("fields"))
 
 
 @query
@@ -279,6 +316,11 @@ def b15_template_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.to_documents(fx.templates(spark, sf_dir), "template").drop("status")
 
 
+@query
+def b15_template_any_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.to_documents(fx.any_templates(spark, sf_dir), "template").drop("status")
+
+
 # -- C: cluster and application status -----------------------------------------
 
 
@@ -386,6 +428,17 @@ def e1_list_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.list_children(fx.inventory(spark, sf_dir), extensions=(".html",))
 
 
+@query
+def e1_rejected_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.rejected_paths(fx.mixed_paths(spark, sf_dir)).select("page_id", "reason")
+
+
+@query
+def e1_list_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories of the inventory that hold nothing are listed too."""
+    return inventory.list_children(fx.mixed_paths(spark, sf_dir)).select("path", "isdir")
+
+
 @query
 def e2_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inventory.breadcrumbs(fx.inventory(spark, sf_dir))
@@ -519,7 +572,7 @@ def s2_write_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def land_logs(spark: SparkSession, sf_dir: str, folder: str) -> None:
+def land_logs(texts: DataFrame, folder: str) -> None:
     """Each document as the stdout file of a job, written by the tasks that hold it."""
 
     def write(batches):
@@ -531,14 +584,13 @@ def land_logs(spark: SparkSession, sf_dir: str, folder: str) -> None:
                     out.write(row["text"].encode())
             yield pa.RecordBatch.from_pydict({"written": [batch.num_rows]})
 
-    texts = spread_if_small(documents(spark, sf_dir), "doc_id")
-    texts.mapInArrow(write, "written bigint").agg(F.sum("written")).collect()
+    spread(texts, "doc_id").mapInArrow(write, "written bigint").agg(F.sum("written")).collect()
 
 
 @query
 def s3_read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark)
-    land_logs(spark, sf_dir, folder)
+    land_logs(documents(spark, sf_dir), folder)
     whole = log_files.read_logs(spark, folder)
     return whole.select("uid", "type", "length", F.md5("content").alias("digest"))
 
@@ -546,11 +598,22 @@ def s3_read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def s3_read_log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark)
-    land_logs(spark, sf_dir, folder)
+    land_logs(documents(spark, sf_dir), folder)
     jobs = documents(spark, sf_dir).select(F.col("doc_id").alias("uid"))
     return hex_pages(logs.page_nav(log_files.read_log_pages(spark, folder, 4096, jobs=jobs)))
 
 
+@query
+def s3_empty_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both readers over logs of which some are empty."""
+    folder = scratch_dir(spark)
+    text = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.col("text"))
+    land_logs(documents(spark, sf_dir).withColumn("text", text), folder)
+    pages = log_files.read_log_pages(spark, folder, 4096).groupBy("uid", "type").agg(
+        F.count("*").alias("pages"), F.max("page_count").alias("page_count"))
+    return log_files.read_logs(spark, folder).select("uid", "type", "length").join(pages, ["uid", "type"])
+
+
 def landed(rows: DataFrame) -> DataFrame:
     """What a stream appends until its source is read up."""
     spark, folder = rows.sparkSession, scratch_dir(rows.sparkSession)

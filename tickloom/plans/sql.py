@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tickloom.functions.clean import ADJECTIVES, NOUNS
 from tickloom.plans.fixtures import RULES
-from tickloom.plans.queries import NOW_MS, POOL_SLOTS
+from tickloom.plans.queries import NOW_MS, GLOBAL_SLOTS, POOL_SLOTS
 
 JOBS = """
 jobs0 AS (
@@ -324,6 +324,8 @@ ORACLE: dict[str, str] = {
         WITH {JOBS} SELECT uid, status, createtime FROM jobs WHERE status = 'READY'
         ORDER BY createtime DESC, uid LIMIT 100""",
     "b2_list_all": f"WITH {JOBS} SELECT uid, status, createtime FROM jobs",
+    "b2_list_timetables": f"WITH {TIMETABLES} SELECT uid, status, createtime FROM timetables WHERE status = 'PAUSED'",
+    "b2_list_templates": "SELECT p_partkey AS uid, p_partkey + 1 AS createtime FROM part",
     "b3_lookup": f"""
         WITH {JOBS}, {TIMETABLES} SELECT uid, name, status FROM jobs
         WHERE uid IN (SELECT job_uid FROM timetables WHERE status <> 'CANCELLED')""",
@@ -345,6 +347,14 @@ ORACLE: dict[str, str] = {
                    FROM jobs WHERE {RUNNABLE})
         SELECT uid, pool, priority FROM queued JOIN slots USING (pool) LEFT JOIN busy USING (pool)
         WHERE pool <> 7 AND coalesce(tracked, 0) < slots AND r <= slots - coalesce(n, 0)""",
+    "b5_admit_global": f"""
+        WITH {JOBS}, queued AS (SELECT *, row_number() OVER (ORDER BY priority, uid) AS r FROM jobs WHERE {RUNNABLE})
+        SELECT uid, pool, priority FROM queued
+        WHERE r <= {GLOBAL_SLOTS} - (SELECT count(*) FROM jobs WHERE status = 'RUNNING')""",
+    "b5_admit_by_table": f"""
+        WITH {JOBS}, queued AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY priority, uid) AS r,
+                                       count(*) OVER (PARTITION BY pool) AS n FROM jobs WHERE {RUNNABLE})
+        SELECT uid, pool, priority FROM queued WHERE r <= n // 10""",
     "b6_replay_jobs": JOB_WALK,
     "b6_replay_timetables": TIMETABLE_WALK,
     "b7_close_stale": f"""
@@ -376,6 +386,9 @@ ORACLE: dict[str, str] = {
                ok.memory AS job_dmemory, ok.memory AS job_ememory, ok.options AS job_options,
                ok.jobconf AS job_jobconf, ok.delay AS job_delay, ok.jar AS job_jar
         FROM submissions s LEFT JOIN ok USING (uid)""",
+    "b13_template_fields": """
+        SELECT p_partkey AS uid, CASE WHEN p_partkey % 13 <> 6 THEN
+          'deep={"list":[1,' || (p_partkey % 7) || ']};key=' || p_name || ';n=' || p_partkey END AS fields FROM part""",
     "b14_delete_by_key": f"""
         WITH {JOBS}, {TIMETABLES} SELECT uid, name FROM jobs
         WHERE uid NOT IN (SELECT job_uid FROM timetables)""",
@@ -413,6 +426,10 @@ ORACLE: dict[str, str] = {
           || '","jobconf":"' || jobconf || '","delay":"' || delay || '","jar":"' || jar || '"}}' END
           || '}}' AS document
         FROM esc""",
+    "b15_template_any_keys": """
+        SELECT p_partkey AS uid, '{"uid":' || p_partkey || ',"name":"any","createtime":' || (p_partkey + 1) || ',"content":'
+          || CASE WHEN p_partkey % 13 = 6 THEN 'null' ELSE '{"key":"' || p_name || '","n":' || p_partkey
+          || ',"deep":{"list":[1,' || (p_partkey % 7) || ']}}' END || '}' AS document FROM part""",
     "c1_parse_apps": f"""
         WITH {SNAPSHOTS} SELECT event_id AS snapshot_id, app_id, app_name, completed,
                CASE WHEN kind = 2 THEN '{{"key":}}' END AS _corrupt
@@ -465,6 +482,13 @@ ORACLE: dict[str, str] = {
         SELECT parent, name, isdir, CASE WHEN isdir THEN 'dir' ELSE '.html' END AS type,
                CASE WHEN parent = '/' THEN '/' ELSE parent || '/' END || name AS path
         FROM kids WHERE isdir OR name LIKE '%_.html'""",
+    "e1_rejected_paths": f"""
+        WITH {INVENTORY} SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'relative' WHEN 2 THEN 'empty part' ELSE 'no path' END AS reason
+        FROM inventory WHERE page_id % 5 IN (1, 2, 4)""",
+    "e1_list_directories": f"""
+        WITH {INVENTORY}, levels AS (
+          SELECT page_id, parts, unnest(generate_series(1, len(parts))) AS i FROM split WHERE page_id % 5 IN (0, 3))
+        SELECT '/' || array_to_string(parts[1:i], '/') AS path, bool_or(i < len(parts) OR page_id % 5 = 3) AS isdir FROM levels GROUP BY 1""",
     "e2_breadcrumbs": f"""
         WITH {INVENTORY} SELECT page_id, array_to_string(list_concat(['home:/'],
           list_transform(generate_series(1, len(parts)),
@@ -525,6 +549,10 @@ ORACLE: dict[str, str] = {
                md5(text) AS digest FROM documents""",
     "s3_read_log_pages": f"""
         WITH {pages(4096, 128)} SELECT doc_id AS uid, 'stdout' AS type, * EXCLUDE (doc_id) FROM nav""",
+    "s3_empty_logs": """
+        SELECT doc_id AS uid, 'stdout' AS type, n AS length, greatest(1, (n + 4095) // 4096) AS pages,
+               greatest(1, (n + 4095) // 4096) AS page_count
+        FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE CAST(octet_length(encode(text)) AS BIGINT) END AS n FROM documents)""",
     "s4_cron_stream": OFFICE_EVENTS,
     "s5_spawn_stream": f"""
         WITH {JOBS}, {TIMETABLES}, minutes AS (SELECT DISTINCT date_trunc('minute', ts) AS m FROM events)

@@ -19,25 +19,43 @@ _RUN = 64
 _HELD, _HELD_ROWS = 4 << 20, 4096
 
 
+def _jobs_in(path: str):
+    """The jobs whose folder stands in ``path``, as one task lists it."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                system, root = file_system(path)
+                names = [info.base_name for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True))]
+                uids = [int(name[4:]) for name in names if re.fullmatch(r"job-[0-9]{1,18}", name)]
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64())], ["uid"])
+
+    return listed
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "std{out,err}")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .withColumns(
-            {
-                "uid": F.regexp_extract("path", r"job-([0-9]+)/[^/]+$", 1).try_cast("bigint"),
-                "type": F.regexp_extract("path", r"([^/]+)$", 1),
-            }
-        )
-        .filter("uid IS NOT NULL")
-    )
+    """(path, uid, type, length) of all log files; empty ones too, which Spark's own listing passes over.
+
+    Schemes are those of pyarrow's file systems: local files, hdfs, s3, gs.
+    """
+    return _files_of(spark.range(1).mapInArrow(_jobs_in(path), "uid bigint"), path)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            with _open(row["path"]) as file:
+                content = file.read()
+            yield pa.RecordBatch.from_pylist([{**{k: row[k] for k in ("uid", "type")}, "length": len(content), "content": content}],
+                                             schema=_WHOLE)
+
+
+_WHOLE = pa.schema([("uid", pa.int64()), ("type", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(uid, type, length, content): whole logs, for files of up to 2 GB each."""
-    return _files(spark, path).select("uid", "type", "length", "content")
+    """(uid, type, length, content): whole logs, for files of up to 2 GB each; an empty file has empty content."""
+    return _files(spark, path).mapInArrow(_contents, "uid bigint, type string, length bigint, content binary")
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -141,9 +159,8 @@ def read_log_pages(
     is read by many tasks at once and never held whole, as it is by :func:`read_logs`
     followed by ``paginate``, which gives the same pages.
 
-    With ``jobs`` (column uid) their logs are looked up by name, without listing the
-    folder, and an empty log gives one empty page; Spark's listing passes over files
-    without content.
+    An empty log gives one empty page. With ``jobs`` (column uid) their logs are looked up by
+    name, without listing the folder.
     """
     files = _files(spark, path) if jobs is None else _files_of(jobs, path)
     pages = (
