@@ -16,14 +16,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import classes_of
-from tickloom.llm.shared import Words, cut, in_slices, mix, slices, texts_of
+from tickloom.llm.shared import Words, cut, in_slices, mix, slices, texts_of, tidy
 
 SHINGLE = 5
 LIKENESS = 0.8
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 24, 6
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,52 +130,86 @@ def sketch(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return in_slices(rows_in, make, "doc_id long, digest binary, size long, bands array<long>")
 
 
-def bag_table(texts: DataFrame) -> DataFrame:
-    """(doc_id, bag): the sorted shingle hashes and their counts as little-endian 64-bit integers, one after the other."""
+class Sieve:
+    """Lets through all ids it was made of and few others: a table of bits whose size has a bound.
 
-    def make():
-        def one(part: pa.RecordBatch) -> pa.RecordBatch:
-            doc, shingle, count = bags(part.column("text"))
-            at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            bag = [shingle[a:b].tobytes() + count[a:b].astype(np.int64).tobytes() for a, b in zip(at[:-1], at[1:])]
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bag, pa.binary())], ["doc_id", "bag"])
+    It saves moving texts that nobody asked for; what passes it is still joined with the ids.
+    """
 
-        return one
+    def __init__(self, ids: DataFrame, column: str, most_bits: int = 1 << 28):
+        n = ids.count()
+        self.bits = min(most_bits, 1 << max(10, (16 * n).bit_length()))
+        places = ids.select(self.place(F.col(column)).alias("p")).selectExpr("p div 64 AS word", "shiftleft(1L, cast(p % 64 AS int)) AS bit")
+        found = places.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        table = np.zeros(self.bits // 64, np.int64)
+        table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+        self.table = table
 
-    return in_slices(texts, make, "doc_id long, bag binary")
+    def place(self, column):
+        return F.pmod(F.xxhash64(column), F.lit(self.bits))
 
+    def passes(self, places: np.ndarray) -> np.ndarray:
+        return (self.table[places // 64] >> (places % 64)) & 1 == 1
 
-def _unpack(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
-    half = len(bag) // 2
-    return np.frombuffer(bag[:half], np.uint64), np.frombuffer(bag[half:], np.int64)
 
+def bag_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, bag) of the texts whose id ``wanted`` (doc_id) has: sorted 64-bit hashes, one per shingle and occurrence.
 
-def likeness(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard index of two packed bags."""
-    (x, n), (y, k) = _unpack(a), _unpack(b)
-    both, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    shared = int(np.minimum(n[at], k[to]).sum())
-    return shared / max(int(n.sum()) + int(k.sum()) - shared, 1)
+    The n-th occurrence of a shingle has a hash of its own, so that bags are sets.
+    """
+    sieve = Sieve(wanted, "doc_id")
+    rows = texts.select("doc_id", "text", sieve.place(F.col("doc_id")).alias("place"))
 
+    @tidy
+    def run(batches):
+        for batch in batches:
+            some = batch.filter(pa.array(sieve.passes(batch.column("place").to_numpy())))
+            for part in slices(iter([some])):
+                doc, shingle, count = bags(part.column("text"))
+                who = np.repeat(np.arange(len(doc)), count)
+                nth = (np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    each = np.where(nth > 0, mix(shingle[who] + nth * _STEP), shingle[who])
+                at = np.searchsorted(doc[who], np.arange(part.num_rows + 1))
+                bag = [np.sort(each[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bag, pa.binary())], ["doc_id", "bag"])
 
-def compare(pairs: DataFrame, bags_of: DataFrame, share: int = 2000) -> DataFrame:
-    """(a, b, like) of all ``pairs`` (a, b) by their whole bags.
+    return rows.mapInArrow(run, "doc_id long, bag binary").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    A text that is compared with many others is copied once per ``share`` of them, so that no task
-    has to hold all of them.
-    """
-    many = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / share).cast("int"))
-    right = bags_of.join(many, F.col("doc_id") == F.col("b")).select(
-        "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.col("bag").alias("bag_b"))
-    left = pairs.join(many.select("b", "parts"), "b").join(bags_of.select(F.col("doc_id").alias("a"), "bag"), "a")
-    left = left.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
 
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard index of two bags, which is the weighted one of the multisets."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / max(len(a) + len(b) - shared, 1)
+
+
+# A text that is compared with very many others meets them in so many tasks.
+PARTS = 128
+
+
+def compare(pairs: DataFrame, bags_of: DataFrame) -> DataFrame:
+    """(a, b, like) of all ``pairs`` (a, b) by their whole bags: each group's b comes first, then all its a."""
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(PARTS)).alias("part"))
+    left = dealt.join(bags_of.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "bag")
+    right = dealt.select("b", "part").distinct().join(bags_of.withColumnRenamed("doc_id", "b"), "b").select(
+        "b", "part", F.lit(None).cast("long").alias("a"), "bag")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = left.union(right).repartition(parts, "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+
+    @tidy
     def run(batches):
-        for part in slices(batches, "bag", 16 << 20):
-            like = [likeness(x.as_py(), y.as_py()) for x, y in zip(part.column("bag"), part.column("bag_b"))]
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(like, pa.float64())], ["a", "b", "like"])
+        head = np.zeros(0, np.uint64)
+        for batch in batches:
+            like = np.zeros(batch.num_rows)
+            for i, (a, bag) in enumerate(zip(batch.column("a").to_pylist(), batch.column("bag"))):
+                if a is None:
+                    head = np.frombuffer(bag.as_py(), np.uint64)
+                else:
+                    like[i] = likeness(np.frombuffer(bag.as_py(), np.uint64), head)
+            whole = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(like)], ["a", "b", "like"])
+            yield whole.filter(batch.column("a").is_valid())
 
-    return left.join(right.drop("parts"), ["b", "part"]).select("a", "b", "bag", "bag_b").mapInArrow(run, "a long, b long, like double")
+    return rows.mapInArrow(run, "a long, b long, like double")
 
 
 def near_copies(docs: DataFrame, likeness_at_least: float = LIKENESS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -184,7 +219,7 @@ def near_copies(docs: DataFrame, likeness_at_least: float = LIKENESS, bands: int
     that share a band are linked if their likeness is ``likeness_at_least`` or more: every text of
     a band's bucket is compared with the bucket's smallest id and with its neighbour when the bucket is
     ordered by the texts' other bands; what misses the smallest id by up to the link distance is then compared
-    with all texts linked to it that the triangle inequality leaves possible. Classes are the connected
+    with all texts around it that an exact prefix filter on rare shingles leaves possible. Classes are the connected
     components; ``class_id`` is the smallest id of the class and ``kept`` marks that row. Rows that repeat
     an id share its class; rows without an id are compared with nothing and kept (class null). Other columns
     are ignored; an empty table gives no rows.
@@ -193,20 +228,23 @@ def near_copies(docs: DataFrame, likeness_at_least: float = LIKENESS, bands: int
     sketches = cut(sketch(texts, bands, rows))
     held = sketches.filter("doc_id IS NOT NULL")
     firsts = cut(held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    items = firsts.filter("size > 0").select("rep", "size", "bands", F.posexplode("bands").alias("band", "key"))
-    items = items.select("rep", "size", "key", F.expr(f"bands[(band + 1) % {bands}]").alias("beside"))
-    crowd = items.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    members = cut(items.join(crowd.drop("n"), "key"))
+    items = firsts.filter("size > 0").select("rep", F.posexplode("bands").alias("band", "key"))
+    crowd = items.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = items.join(crowd, "key").join(firsts.select("rep", "size", "bands"), "rep")
+    members = cut(members.select("key", "rep", "head", "size", F.expr(f"bands[(band + 1) % {bands}]").alias("beside")))
     # a pair whose sizes differ by more can neither be linked nor help to find a link
     enough = F.least("size", "other_size") >= (2 * likeness_at_least - 1) * F.greatest("size", "other_size")
     sizes = firsts.select(F.col("rep").alias("other"), F.col("size").alias("other_size"))
     pairs = cut(_candidates(members).join(sizes, F.col("b") == F.col("other")).filter(enough).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    packed = cut(bag_table(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    packed = cut(bag_table(texts, wanted))
     likes = cut(compare(pairs, packed))
-    again = cut(_missed(members, likes, likeness_at_least))
-    links = likes.union(compare(again, packed)).filter(F.col("like") >= likeness_at_least)
-    found = classes_of(links.select("a", "b"))
+    links = likes.filter(F.col("like") >= likeness_at_least).select("a", "b")
+    found = cut(classes_of(links))
+    again = cut(_missed(members, likes, found, packed, likeness_at_least))
+    if again.take(1):
+        more = cut(compare(again, packed)).filter(F.col("like") >= likeness_at_least)
+        found = classes_of(links.union(more.select("a", "b")))
     named = cut(firsts.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("class_id", "rep").alias("class_id")))
     out = held.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
@@ -224,12 +262,42 @@ def _candidates(members: DataFrame) -> DataFrame:
     return heads.union(beside).groupBy("a", "b").agg(F.min("size").alias("size"))
 
 
-def _missed(members: DataFrame, likes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) a head could not settle: ``a`` is no link of the head, ``b`` is one, and the distance of the two may be small enough."""
+def _missed(members: DataFrame, likes: DataFrame, found: DataFrame, packed: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that heads and neighbours could not settle.
+
+    ``a`` misses the head of a bucket by up to the distance of a link and is in another class. By the triangle inequality
+    only such texts can be close to a text that is linked to the head. Which ones they may be linked with is told by an exact prefix
+    filter: two bags of the wanted likeness share one of their rarest hashes, of each the share that may differ and one more,
+    and have enough hashes behind it.
+    """
     far = 1 - least
-    to_head = members.filter("rep <> head").join(likes.withColumn("d", 1 - F.col("like")).drop("like"),
-                                                 (F.col("rep") == F.col("a")) & (F.col("head") == F.col("b"))).select("key", "rep", "d")
-    outside = to_head.filter((F.col("d") > far) & (F.col("d") <= 2 * far)).select("key", F.col("rep").alias("a"), F.col("d").alias("da"))
-    inside = to_head.filter((F.col("d") <= far)).select("key", F.col("rep").alias("b"), F.col("d").alias("db"))
-    open_pairs = outside.join(inside, "key").filter(F.col("da") - F.col("db") <= far).select("a", "b").distinct()
-    return open_pairs.join(likes.select("a", "b"), ["a", "b"], "left_anti")
+    distance = likes.select(F.col("a").alias("rep"), F.col("b").alias("head"), (1 - F.col("like")).alias("d"))
+    to_head = members.filter("rep <> head").select("rep", "head").distinct().join(distance, ["rep", "head"])
+    classes = lambda name: found.select(F.col("node").alias(name), F.col("class_id").alias(f"{name}_class"))
+    near = to_head.filter(F.col("d") <= 2 * far).join(classes("rep"), "rep", "left").join(classes("head"), "head", "left")
+    near = cut(near.select("rep", "head", F.coalesce("rep_class", "rep").alias("class"), (
+        (F.col("d") > far) & (F.coalesce("rep_class", "rep") != F.coalesce("head_class", "head"))).alias("stray")))
+    heads = near.filter("stray").select("head").distinct()
+    around = near.join(heads, "head", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.min("class").alias("class"), F.max("stray").alias("stray"))
+
+    def hashes(batches):
+        for part in slices(batches, "bag"):
+            bag = [np.frombuffer(b.as_py(), np.int64) for b in part.column("bag")]
+            size = np.array([len(b) for b in bag], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(part.column("doc_id").to_numpy(), size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(bag))],
+                ["doc_id", "size", "hash"])
+
+    held = packed.join(around.select("doc_id"), "doc_id", "left_semi").mapInArrow(tidy(hashes), "doc_id long, size long, hash long")
+    seen = held.groupBy("hash").agg(F.count("*").alias("n"))
+    order = W.partitionBy("doc_id").orderBy("n", "hash")
+    first = held.join(seen, "hash").withColumn("at", F.row_number().over(order))
+    first = first.filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least) + 1).join(around, "doc_id").select("doc_id", "size", "at", "hash", "class", "stray")
+    other = first.toDF("other", "other_size", "other_at", "hash", "other_class", "other_stray")
+    # behind the first shared hash there must be enough left in both
+    most = 1 + F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
+    enough = most * (1 + least) >= (F.col("size") + F.col("other_size")) * least - 1e-6
+    met = first.filter("stray").join(other, "hash").filter((F.col("class") != F.col("other_class")) & enough & (
+        F.least("size", "other_size") >= least * F.greatest("size", "other_size")))
+    pairs = met.select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
+    return pairs.join(likes.select("a", "b"), ["a", "b"], "left_anti")
