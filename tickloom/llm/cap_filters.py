@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import classes_of
-from tickloom.llm.shared import cut, gather_runs
+from tickloom.llm.shared import cut, gather_runs, tidy
 
 BLOCKS = 4
 # Codes with rotations of their own, and the filters a vector has on average in all of them together: a vector
@@ -101,6 +101,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def memberships(vectors: DataFrame, codes: list[Code]) -> DataFrame:
     """(vec_id, key, s0..s3): every filter of every vector, with the vector's sketch."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -147,6 +148,7 @@ def _near_pairs(far: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
             step += 1
 
+    @tidy
     def run(batches):
         held = None
         for batch in batches:

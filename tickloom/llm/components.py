@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import cut
+from tickloom.llm.shared import cut, tidy
 
 # Links a task contracts at once.
 _HELD = 200_000
@@ -33,6 +33,7 @@ def _contract(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["a", "b"])
 
 
+@tidy
 def _contracted(batches):
     held: list[pa.RecordBatch] = []
     for batch in batches:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import cut, slices, texts_of
+from tickloom.llm.shared import cut, slices, texts_of, tidy
 from tickloom.llm.token_ids import TOKEN_SLICE, Encoder
 from tickloom.sources.logs import file_system
 
@@ -243,6 +243,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) ->
     A file: magic; blocks (ids, bytes and CRC-32 as unsigned 32-bit integers, then the code); the zlib-compressed table of documents
     (which have no id, all ids, all lengths); its size, the blocks' and the documents' number as unsigned 64-bit integers.
     """
+    @tidy
     def run(batches):
         encoder = Encoder(tokenizer)
         task = TaskContext.get()
@@ -336,6 +337,7 @@ def read_ids(files: DataFrame) -> DataFrame:
     starts = np.cumsum([0, *(n for _, _, n in listed)]).tolist()
     rows = [(path, start) for (_, path, _), start in zip(listed, starts)]
 
+    @tidy
     def run(batches):
         for batch in batches:
             for path, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import Words, cut, hash_strings, in_slices, mix, slices, texts_of
+from tickloom.llm.shared import Words, cut, hash_strings, in_slices, mix, slices, texts_of, tidy
 
 SHORTLIST, CLASSES, WIDTH = 640, 128, 24
 # Words whose counts every task holds; counts of rarer ones are joined.
@@ -65,6 +65,7 @@ class Tokens:
 def count_tokens(texts: DataFrame) -> DataFrame:
     """(h, class, c): the 64-bit hash, class and count of every distinct token; counted per partition first."""
 
+    @tidy
     def run(batches):
         held = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))
         for part in slices(batches):
@@ -253,6 +254,7 @@ def train(texts: DataFrame, words: Vocabulary, first_texts: int = 400, longest:
         teach.learn(*_contexts(units, start.starts, end), units)
     base = model.pack()
 
+    @tidy
     def run(batches):
         own = LogBilinear(words.unit_counts).unpack(base)
         trainer, seen = Trainer(own, rate=0.05), 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tickloom.llm.shared import slices, texts_of
+from tickloom.llm.shared import slices, texts_of, tidy
 from tickloom.llm.token_ids import TOKEN_SLICE, Encoder
 
 # Items packed together; a task packs one group after the other.
@@ -85,6 +85,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
     table gives no rows, other columns are ignored.
     """
 
+    @tidy
     def run(batches):
         encoder = Encoder(tokenizer)
         bin_id = TaskContext.get().partitionId() << 36

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,23 @@ def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def tidy(run: Callable) -> Callable:
+    """A function over a task's batches that hands the memory it has freed back to the system at the end.
+
+    Workers live on between tasks, and what they keep counts against the executor.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``limit`` bytes of text each."""
     for batch in batches:
@@ -46,6 +64,7 @@ def in_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
               limit: int = SLICE_BYTES) -> DataFrame:
     """Rows from slices of ``df``; ``make`` runs once per task and returns the function for a slice."""
 
+    @tidy
     def run(batches):
         one = make()
         for part in slices(batches, limit=limit):

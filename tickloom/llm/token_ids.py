@@ -21,7 +21,7 @@ _MARK = "\x00"
 _SPACE = r" ([!-~\x{C0}-\x{24F}])"
 _END = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([!-&(-/:-@\[-`{-~\n])"
 # Text bytes encoded at once.
-TOKEN_SLICE = 8 << 20
+TOKEN_SLICE = 5 << 20
 
 
 class Encoder:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import Words, in_slices, mix, slices
+from tickloom.llm.shared import Words, in_slices, mix, slices, tidy
 
 _CORE = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -277,6 +277,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, spans_over: float = 0
 def keep_clean(docs: DataFrame, model: ToxicityModel, reject: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below ``reject``; a missing text counts as empty."""
 
+    @tidy
     def run(batches):
         scorer = _Scorer(model)
         for part in slices(batches):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import cut
+from tickloom.llm.shared import cut, tidy
 from tickloom.sources.logs import file_system
 
 # Payloads of fewer bytes are stored again rather than revisited.
@@ -47,10 +47,9 @@ def url_key(url: str | None) -> str:
     except ValueError:
         host, port = "", None
     if host:
-        labels = host.rstrip(".").split(".")
-        if not re.fullmatch(r"[0-9.]+|.*:.*", host):
-            labels.reverse()
-        text = ",".join(labels) + (f":{port}" if port not in (None, 80, 443) else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+        # an address stays as it is
+        name = host if re.fullmatch(r"[0-9.]+|.*:.*", host) else ",".join(reversed(host.rstrip(".").split(".")))
+        text = name + (f":{port}" if port not in (None, 80, 443) else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
@@ -103,6 +102,7 @@ def write_archives(pages: DataFrame, folder: str, least_shared: int = LEAST_SHAR
     refers = F.when(large & F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader")), F.col("leader"))
     rows = rows.select("page_id", "url", "payload", refers.alias("refers_to"))
 
+    @tidy
     def run(batches):
         path = out = None
         at = 0
@@ -140,6 +140,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     lines "key json", and beside it lies the directory of its blocks: first key, offset and length of each, as JSON.
     """
 
+    @tidy
     def run(batches):
         path = out = first = last = None
         directory, lines, at = [], [], 0
@@ -218,6 +219,7 @@ def look_up(index: DataFrame, wanted: DataFrame) -> DataFrame:
     files = sorted((r["first"], r["last"], r["file"]) for r in index.collect())
     firsts = [f[0] for f in files]
 
+    @tidy
     def place(batches):
         for batch in batches:
             keys, places = [], []
@@ -230,6 +232,7 @@ def look_up(index: DataFrame, wanted: DataFrame) -> DataFrame:
                     k += 1
             yield pa.RecordBatch.from_arrays([pa.array(places, pa.string()), pa.array(keys, pa.string())], ["index_file", "key"])
 
+    @tidy
     def run(batches):
         path = opened = None
         for batch in batches:
@@ -276,6 +279,7 @@ def read_records(captures: DataFrame, payloads: bool = False) -> DataFrame:
     names = [f.split(" ")[0] for f in RECORD.split(", ")] + ["payload"] * payloads
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: len(names)]
 
+    @tidy
     def run(batches):
         path = opened = None
         for batch in batches:
