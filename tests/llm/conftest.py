@@ -1,18 +1,13 @@
 from __future__ import annotations
 
-import pytest
-
-WORDS = "the of and tion er ing re on at en ed stone river glass lamp paper green house cloud table".split()
+import sys
+from pathlib import Path
 
+import pytest
 
-def text_of(seed: int, n: int) -> str:
-    """An invented text, the same for the same seed."""
-    out, x = [], seed * 7919 + 13
-    for _ in range(n):
-        x = (x * 1103515245 + 12345) % (1 << 31)
-        out.append(WORDS[x % len(WORDS)] + (WORDS[(x // 97) % len(WORDS)] if x % 3 else ""))
-    return " ".join(out)
+sys.path.insert(0, str(Path(__file__).parent))
 
+from conftest_text import text_of  # noqa: E402
 
 @pytest.fixture(scope="session")
 def odd_rows():

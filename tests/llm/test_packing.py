@@ -1,0 +1,140 @@
+from __future__ import annotations
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from tickloom.llm import id_coder, packing, queries, token_ids
+
+
+@pytest.fixture(scope="module")
+def plain():
+    tokenizer = Tokenizer.from_file(queries.vocabulary())
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+ODD = ["a  b   c\n\n d", "\x00x y", "", " lead", "x \ny", "é è  ñ x 　y  z", "it's 'so  ''s", "<|endoftext|> b <|endoftext|>c",
+       "日本 語 x", "tab\t x \t y", "a \x1cb \x85c", "foo.\n\nBar ,x", "a.'s b,'t", "don't. 'll x'll,'ve", "1,2.3 4", "🙂 🙂. é.é"]
+
+
+def test_ids_are_the_tokenizers(plain):
+    encoder = token_ids.Encoder(queries.vocabulary())
+    for texts in (ODD, [t for t in ODD if "\x00" not in t and "<|" not in t]):
+        starts, flat = encoder.encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(starts, starts[1:])] == [plain(t) for t in texts]
+
+
+def test_long_text_in_parts(plain, monkeypatch):
+    monkeypatch.setattr(token_ids, "TOKEN_SLICE", 2000)
+    text = " ".join(ODD[2:] * 40) + "x" * 3000 + " y" * 3000
+    text = text.replace("<|endoftext|>", "")
+    starts, flat = token_ids.Encoder(queries.vocabulary()).encode(pa.array([text, "b c"]))
+    assert flat[: starts[1]].tolist() == plain(text) and flat[starts[1] :].tolist() == plain("b c")
+
+
+@pytest.mark.parametrize("cutting", [True, False])
+def test_limits_hold_together(cutting):
+    draw = np.random.default_rng(4)
+    tokens, limits = draw.integers(0, 300, 400), packing.Limits(tokens=512, segments=5, loss=200)
+    loss = (tokens * draw.random(400)).astype(int)
+    where, bins = defaultdict(list), packing.pack(tokens, loss, limits, cutting)
+    for pieces in bins:
+        bears = lambda i, at, n: max(0, at + n - max(at, tokens[i] - loss[i]))
+        assert 1 <= len(pieces) <= 5 and sum(n for *_, n in pieces) <= 512 and sum(bears(*p) for p in pieces) <= 200
+        for i, at, n in pieces:
+            where[i].append((at, n))
+    for i, n in enumerate(tokens):
+        end = 0
+        for at, k in sorted(where[i]):
+            assert at == end and k > 0
+            end += k
+        assert end == n or not cutting and loss[i] > 200
+        assert cutting or len(where[i]) <= 1
+
+
+def check_pieces(rows, got, plain):
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+    for doc, text in rows:
+        ids, at = np.array([*plain(text), 1], "<u4"), 0
+        for r in sorted(by_doc[doc], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    padding = total = 0
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+        total += at
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    return padding / total
+
+
+def test_packing_a_table(spark, plain):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in queries.table(spark, sf, "documents").select("doc_id", "text").collect()]
+    assert check_pieces(rows, queries.op8_pack_documents(spark, sf).collect(), plain) < 0.02
+
+
+def test_packing_odd_rows(odd, none, odd_rows, plain):
+    got = packing.pack_documents(odd, queries.vocabulary()).collect()
+    for doc, copies in ((3, 2), (None, 1), (5, 1)):
+        text = next(t for i, t, *_ in odd_rows if i == doc)
+        assert sum(r["length"] for r in got if r["doc_id"] == doc) == copies * (len(plain(text)) + 1)
+    assert packing.pack_documents(none, queries.vocabulary()).count() == 0
+
+
+@pytest.mark.parametrize("steps", [1, 2, 7, 9, 40, 70, 300])
+def test_coder_round_trip(steps):
+    draw = np.random.default_rng(steps)
+    for high in (1, 2, 5, 400, 65536):
+        rows = draw.integers(0, high, (3, steps))
+        codes = id_coder.encode_blocks(rows)
+        assert (id_coder.decode_blocks(codes, steps) == rows).all()
+
+
+def test_coder_compresses():
+    words = np.random.default_rng(1).integers(0, 50_000, (40, 3))
+    rows = np.concatenate([words[np.random.default_rng(k).integers(0, 40, 600)].reshape(1, -1) for k in range(4)])
+    assert sum(map(len, id_coder.encode_blocks(rows))) * 8 < 6 * rows.size
+
+
+def check_ids(rows, got, plain):
+    start, left = 0, defaultdict(list)
+    for r in got:
+        left[r["doc_id"]].append((r["start"], r["n_tokens"], r["ids_crc32"]))
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = np.array([*plain(text), 0], "<u4")
+        left[doc].remove((start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert not any(left.values())
+
+
+def test_id_files_of_a_table(spark, plain):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in queries.table(spark, sf, "documents").select("doc_id", "text").collect()]
+    check_ids(rows, queries.op9_id_coder(spark, sf).collect(), plain)
+
+
+def test_id_files_of_odd_rows(odd, none, odd_rows, plain, tmp_path):
+    check_ids([r[:2] for r in odd_rows], id_coder.round_trip(odd, queries.vocabulary(), str(tmp_path / "ids")).collect(), plain)
+    assert id_coder.round_trip(none, queries.vocabulary(), str(tmp_path / "none")).count() == 0
+
+
+def test_damaged_block_is_noticed(odd, tmp_path):
+    path = id_coder.write_ids(odd.limit(3), queries.vocabulary(), str(tmp_path)).first()["file"]
+    data = bytearray(open(path, "rb").read())
+    data[len(id_coder.MAGIC) + 20] ^= 255
+    open(path, "wb").write(data)
+    with pytest.raises(Exception):
+        list(id_coder.read_file(path))
