@@ -103,3 +103,20 @@ def test_links(spark):
         "app_id string, completed boolean")
     links = H.link_apps_to_jobs(apps, pages, job_key="my.job").collect()
     assert sorted(tuple(r) for r in links) == [("a1", "a1", "7"), ("a3", None, None)]
+
+
+def test_values_where_pages_are_parsed(spark):
+    """The same as from element rows, and a row for pages without the keys."""
+    cell = lambda *texts: "<tr>" + "".join(f"<td>{t}</td>" if t is not None else "<td></td>" for t in texts) + "</tr>"
+    pages = [
+        (1, "<table>" + cell("k", "v") + cell("k", "w") + cell("j", "x", "y") + "</table>"), (2, "<table>" + cell("v", "k") + "</table>"),
+        (3, "<table>" + cell("k", "k") + cell("k", "z") + "</table>"), (4, "<table>" + cell("k", None, "z") + "</table>"), (5, "<p>k</p>"), (6, ""), (7, None),
+        (8, "<div>k<p>k</p><b>late</b></div><table>" + cell(" j ", "1") + "</table>")]
+    df = spark.createDataFrame(pages, "page_id bigint, html string")
+    keys = {"a": "k", "b": "j"}
+    want = sorted(tuple(r) for r in H.html_values_for(H.html_elements(df), keys).collect())
+    got = H.page_values(df, keys).collect()
+    assert sorted(tuple(r)[:3] for r in got if r.found) == want and len(want) >= 5
+    assert sorted(r.page_id for r in got) == [1, 2, 3, 4, 5, 6, 8]
+    cells = H.html_elements(df, tags=("td",)).collect()
+    assert {r.tag for r in cells} == {"td"} and len(cells) == H.html_elements(df).filter("tag = 'td'").count()

@@ -219,3 +219,20 @@ def test_scratch_needs_a_shared_folder(spark):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     first, second = scratch_dir(spark), scratch_dir(spark)
     assert first.startswith(root) and first != second
+
+
+def test_half_written_batches_are_not_read(spark, tmp_path):
+    path, events = str(tmp_path / "log"), transitions(spark)
+    source = stream(spark, events, tmp_path / "in", 4)
+    streams.follow_transitions(source, H.JOB_MACHINE, path, str(tmp_path / "cp")).awaitTermination()
+    before = settled(streams.states_now(spark, path, H.JOB_MACHINE))
+    aside = tmp_path / "log" / "_writing" / "batch=99"
+    aside.mkdir(parents=True)
+    (aside / "part-0.parquet").write_bytes(b"half")
+    assert settled(streams.states_now(spark, path, H.JOB_MACHINE)) == before
+    # a batch that is tried again takes its folder's place
+    again = spark.read.parquet(f"{path}/batch=1")
+    count = spark.read.parquet(path).count()
+    again.write.parquet(str(tmp_path / "copy"))
+    streams.publish(spark.read.parquet(str(tmp_path / "copy")), path, 1)
+    assert spark.read.parquet(path).count() == count

@@ -206,7 +206,7 @@ def effects(
 ) -> DataFrame:
     """Effects of ordered events: one row per key and slice of the range partitioning.
 
-    ``ts_col`` and ``seq_col`` are bigints and order a key's events. Rows without an
+    ``ts_col`` and ``seq_col`` are bigints and order a key's events, equal ones in the order of the machine's actions. Rows without an
     action are left out; an action the machine does not know is always rejected.
     """
     known = F.array_position(F.array(*map(F.lit, machine.actions)), F.col(action_col)).cast("int")
@@ -226,8 +226,8 @@ def effects(
         f"ends array<int>, accepted array<bigint>{stamps}"
     )
     return (
-        rows.repartitionByRange("key", "ts", "seq")
-        .sortWithinPartitions("key", "ts", "seq")
+        rows.repartitionByRange("key", "ts", "seq", "action")
+        .sortWithinPartitions("key", "ts", "seq", "action")
         .mapInArrow(_fold_batches(machine), schema)
     )
 

@@ -57,7 +57,7 @@ def _page_elements(html: str) -> tuple[list[list], bool]:
     return parser.rows, not parser.open
 
 
-def _parse_batches(schema: pa.Schema):
+def _parse_batches(schema: pa.Schema, tags: frozenset[str]):
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows)
         return pa.RecordBatch.from_arrays(
@@ -71,7 +71,7 @@ def _parse_batches(schema: pa.Schema):
                 if html is None:
                     continue
                 elements, balanced = _page_elements(html)
-                rows.extend((page_id, n, *e, balanced) for n, e in enumerate(elements))
+                rows.extend((page_id, n, *e, balanced) for n, e in enumerate(elements) if not tags or e[2] in tags)
                 if len(rows) >= _ROWS_PER_BATCH:
                     yield batch_of(rows)
                     rows = []
@@ -82,13 +82,18 @@ def _parse_batches(schema: pa.Schema):
 
 
 def html_elements(
-    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", deal: bool = False
+    pages: DataFrame,
+    id_col: str = "page_id",
+    html_col: str = "html",
+    deal: bool = False,
+    tags: tuple[str, ...] = (),
 ) -> DataFrame:
     """Element rows (page_id, elem_id, parent_id, depth, tag, data, attributes, balanced).
 
     elem_id counts in document order, parent_id is NULL for outermost elements.
     ``balanced`` is FALSE for pages that leave tags open. Pages are parsed where they
     are read; ``deal`` moves them to all shuffle partitions first, for pages made from few files.
+    With ``tags`` only elements of those leave the parser.
     """
     kind = pages.schema[id_col].dataType
     schema = T.StructType(
@@ -105,7 +110,50 @@ def html_elements(
     )
     texts = pages.select(id_col, html_col)
     texts = spread(texts, id_col) if deal else texts
-    return texts.mapInArrow(_parse_batches(to_arrow_schema(schema)), schema)
+    return texts.mapInArrow(_parse_batches(to_arrow_schema(schema), frozenset(tags)), schema)
+
+
+def page_values(
+    pages: DataFrame, keys: dict[str, str], id_col: str = "page_id", html_col: str = "html"
+) -> DataFrame:
+    """(id, one column per name): what :func:`html_values_for` finds, one row for every page that has HTML.
+
+    A page is whole inside one task, so the values are taken where it is parsed and nothing is shuffled;
+    NULL where a page lacks a key. A NULL value and a missing key are told apart by ``found``, the names of the keys present.
+    """
+    schema = T.StructType(
+        [
+            T.StructField(id_col, pages.schema[id_col].dataType),
+            *[T.StructField(name, T.StringType()) for name in keys],
+            T.StructField("found", T.ArrayType(T.StringType())),
+        ]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page_id, html in zip(*(column.to_pylist() for column in batch.columns)):
+                if html is not None:
+                    values = _values_in(_page_elements(html)[0], keys)
+                    rows.append((page_id, *[values.get(name) for name in keys], list(values)))
+            columns = zip(*rows) if rows else [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return pages.select(id_col, html_col).mapInArrow(read, schema)
+
+
+def _values_in(elements: list[list], keys: dict[str, str]) -> dict[str, str | None]:
+    children: dict[int, list] = {}
+    for parent, _, _, data, _ in elements:
+        if parent is not None:
+            children.setdefault(parent, []).append(data)
+    found = {}
+    for name, key in keys.items():
+        first = min((p for p, texts in children.items() if key in texts), default=None)
+        if first is not None:
+            found[name] = next((t for t in children[first] if t != key), None)
+    return found
 
 
 def html_values_for(elements: DataFrame, keys: dict[str, str]) -> DataFrame:
@@ -154,7 +202,4 @@ def link_apps_to_jobs(
     wanted = pages.join(
         apps.filter(~F.col("completed")).select("app_id").distinct(), "app_id", "left_semi"
     )
-    found = html_values_for(
-        html_elements(wanted, "app_id", html_col), {"sparkid": app_key, "jobid": job_key}
-    ).withColumnRenamed("page_id", "app_id")
-    return wanted.filter(F.col(html_col).isNotNull()).select("app_id").join(found, "app_id", "left")
+    return page_values(wanted, {"sparkid": app_key, "jobid": job_key}, "app_id", html_col).drop("found")

@@ -63,6 +63,12 @@ def running_apps(apps: DataFrame) -> DataFrame:
     return apps.filter(~F.col("completed"))
 
 
+def running_apps_of(snapshots: DataFrame, body_col: str = "body") -> DataFrame:
+    """The running apps of snapshots, a row each; completed ones are dropped before rows are made."""
+    rest = [c for c in snapshots.columns if c != body_col]
+    return snapshots.select(*rest, F.explode(running_column(F.col(body_col))).alias("_app")).select(*rest, "_app.*")
+
+
 def running_column(body: Column) -> Column:
     """Running apps of one snapshot; NULL, not empty, without a snapshot."""
     return F.filter(apps_column(body), lambda a: ~a["completed"])

@@ -331,8 +331,8 @@ def c1_parse_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def c2_running_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apps = status.parse_apps(fx.app_snapshots(events(spark, sf_dir)))
-    return status.running_apps(apps).select("snapshot_id", "app_id", "app_name")
+    apps = status.running_apps_of(fx.app_snapshots(events(spark, sf_dir)))
+    return apps.select("snapshot_id", "app_id", "app_name")
 
 
 @query
@@ -356,13 +356,19 @@ def c4_html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def c4_settings_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements = html.html_elements(fx.environment_pages(spark, sf_dir), "app_id")
-    cells = elements.filter("tag = 'td'")
+    cells = html.html_elements(fx.environment_pages(spark, sf_dir), "app_id", tags=("td",))
     return cells.select(F.col("page_id").alias("app_id"), "elem_id", "parent_id", "depth", "data", "balanced")
 
 
 @query
 def c5_html_value_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.page_values(fx.environment_pages(spark, sf_dir), {"value": "spark.tickloom.jobId"}, "app_id")
+    return found.filter("size(found) > 0").drop("found")
+
+
+@query
+def c5_value_of_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from element rows."""
     elements = html.html_elements(fx.environment_pages(spark, sf_dir), "app_id")
     return html.html_value_for(elements, "spark.tickloom.jobId").withColumnRenamed("page_id", "app_id")
 

@@ -457,6 +457,7 @@ ORACLE: dict[str, str] = {
         SELECT 'app-' || uid AS app_id, CAST(e AS INTEGER) AS elem_id, CAST(p AS INTEGER) AS parent_id,
                CAST(5 AS INTEGER) AS depth, data, true AS balanced FROM cells""",
     "c5_html_value_for": "SELECT 'app-' || o_orderkey AS app_id, CAST(o_orderkey AS VARCHAR) AS value FROM orders",
+    "c5_value_of_elements": "SELECT 'app-' || o_orderkey AS app_id, CAST(o_orderkey AS VARCHAR) AS value FROM orders",
     "c6_link_apps_to_jobs": """
         SELECT 'app-' || o_orderkey AS app_id,
                CASE WHEN o_orderkey % 7 <> 3 THEN 'app-' || o_orderkey END AS sparkid,

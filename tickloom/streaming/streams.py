@@ -10,10 +10,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tickloom.sources.logs import file_system
 from tickloom.operators.history import Machine, compose, effects, settle
 from tickloom.operators.records import run_totals
 from tickloom.operators.schedules import active, rule_minutes, run_log, spawn_due, to_minute
@@ -39,6 +41,21 @@ def append_rows(
     )
 
 
+def publish(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Writes the folder ``batch=<id>`` aside and moves it into place once it is whole.
+
+    Readers and compaction never see half a batch where the file system moves a folder at once, as local ones
+    and hdfs do. Spark's readers pass over names that begin with ``_``.
+    """
+    aside, target = f"{path}/_writing/batch={batch_id}", f"{path}/batch={batch_id}"
+    rows.write.mode("overwrite").parquet(aside)
+    system, source = file_system(aside)
+    _, place = file_system(target)
+    if system.get_file_info(place).type != fs.FileType.NotFound:
+        system.delete_dir(place)
+    system.move(source, place)
+
+
 def write_batches(
     rows: DataFrame,
     shape: Callable[[DataFrame], DataFrame],
@@ -53,7 +70,7 @@ def write_batches(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        shape(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        publish(shape(batch), path, batch_id)
 
     return (
         rows.writeStream.foreachBatch(write)
