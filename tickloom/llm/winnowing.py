@@ -89,26 +89,15 @@ def printed(prints: Column) -> Column:
     return F.array_join(F.transform(prints, lambda p: F.concat(F.hex(p["hash"]), F.lit("@"), p["position"].cast("string"))), " ")
 
 
-def with_next(rows: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
-    """``rows`` with ``next``, a struct of ``columns`` of the row that follows by ``key`` (after the last: the first).
-
-    Keys fall into ranges of about equal numbers of rows; a row is moved once, and only the first row
-    of each range is handed to the range before. Equal keys follow each other in any order; null keys come first.
-    """
+def ranges_of(rows: DataFrame, key: str):
+    """The number of the range a key lies in, of about equal numbers of rows; null keys lie in the first."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    own = W.partitionBy("_part").orderBy(key)
-    held = rows.withColumn("_part", F.when(F.col(key).isNull(), 0).otherwise(part).cast("int"))
-    value = F.struct(*columns)
-    placed = held.withColumn("next", F.lead(value).over(own)).withColumn("_last", F.lead(F.lit(1)).over(own).isNull())
-    first = held.groupBy("_part").agg(F.min_by(value, F.coalesce(key, F.lit(-(1 << 63)))).alias("_first"))
-    spans = held.select("_part").distinct().withColumn("_follow", F.lead("_part").over(W.orderBy("_part")))
-    spans = spans.withColumn("_follow", F.coalesce("_follow", F.min("_part").over(W.partitionBy(F.lit(0)))))
-    ends = spans.join(first.withColumnRenamed("_part", "_follow"), "_follow").select("_part", F.lit(True).alias("_last"), "_first")
-    joined = placed.join(ends, ["_part", "_last"], "left")
-    return joined.withColumn("next", F.coalesce("next", "_first")).drop("_part", "_last", "_first")
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    cuts = sorted(set(rows.agg(F.percentile_approx(key, shares, 100 * parts)).first()[0] or []))
+    if not cuts:
+        return F.lit(0)
+    below = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col(key)))
+    return F.when(F.col(key).isNull(), 0).otherwise(below).cast("int")
 
 
 def edit_prints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
@@ -116,16 +105,29 @@ def edit_prints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
 
     The edited text has its last half of code points replaced by the first as many of the next document's text. A missing text
     counts as empty; texts without words have empty fingerprints, which are alike by 1 among themselves and by 0 to others. Rows with
-    equal ids follow each other in any order; null ids come first. An empty table gives no rows; other columns are ignored.
+    equal ids follow each other in any order; null ids come first, but the last row is followed by the first that has an id (by an empty text if
+    none has). An empty table gives no rows; other columns are ignored.
+
+    Ids fall into ranges; a text is moved once, to its range, and a copy of each range's first text to the end of the range before.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("prints", fingerprint(F.col("text"), k, w))
-    rows = rows.withColumn("hashes", hashes_of(F.col("prints")))
-    rows = with_next(rows, ["text", "hashes"])
+    held = rows.withColumn("part", ranges_of(rows, "doc_id"))
+    # one row per range, whatever the texts
+    firsts = held.groupBy("part").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL")
+    order = W.orderBy("part")
+    firsts = firsts.withColumn("before", F.lag("part").over(order)).withColumn(
+        "before", F.coalesce("before", F.max("part").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+    copies = held.join(F.broadcast(firsts), ["part", "doc_id"]).dropDuplicates(["part"])
+    copies = copies.select("doc_id", "text", F.col("before").alias("part"), F.lit(True).alias("copy"))
+    along = W.partitionBy("part").orderBy("copy", "doc_id")
+    placed = held.withColumn("copy", F.lit(False)).unionByName(copies)
+    placed = placed.withColumn("next_text", F.coalesce(F.lead("text").over(along), F.lit("")))
+    placed = placed.withColumn("prints", fingerprint(F.col("text"), k, w)).withColumn("hashes", hashes_of(F.col("prints")))
+    placed = placed.withColumn("next_hashes", F.coalesce(F.lead("hashes").over(along), F.array().cast("array<bigint>"))).filter(~F.col("copy"))
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.withColumn("edited", edited).withColumn("edited_prints", fingerprint(F.col("edited"), k, w))
-    return rows.select(
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
+    placed = placed.withColumn("edited", edited).withColumn("edited_prints", fingerprint(F.col("edited"), k, w))
+    return placed.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), "edited", "prints", "edited_prints",
         likeness(F.col("hashes"), hashes_of(F.col("edited_prints"))).alias("near_edited"),
-        likeness(F.col("hashes"), F.col("next.hashes")).alias("near_next"))
+        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))
