@@ -28,7 +28,7 @@ BLOCK = 2048
 LANES = 1024
 # Ids are below this; the distribution of order 0 gives every one of them a share.
 MOST_IDS = 1 << 16
-_GAIN, _FRESH = 48, 64
+_GAIN, _FRESH = 48, 128
 _SLOTS1, _SLOTS2 = 2048, 4096
 _TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48 = np.uint64(16), np.uint64(48)
@@ -130,7 +130,7 @@ class _Model:
             table[slot] = np.where(right, (x << 2) | np.minimum(sure + 1, 3), np.where((e >= 0) & (sure > 0), e - 1, x << 2))
         self.seen[:, t] = x
         self.b, self.a = self.a, x.astype(np.int64)
-        if (t + 1) % _FRESH == 0 or t + 1 in (8, 16, 32):
+        if (t + 1) % _FRESH == 0 or t + 1 in (8, 16, 32, 64):
             self._refresh(t + 1)
 
     # order 0: an id has _GAIN parts for each time it is held, and one more
