@@ -609,6 +609,22 @@ def s3_read_log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hex_pages(logs.page_nav(log_files.read_log_pages(spark, folder, 4096, jobs=jobs)))
 
 
+@query
+def s3_pages_from_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_dir(spark)
+    land_logs(documents(spark, sf_dir), folder)
+    return hex_pages(log_files.read_log_pages(spark, folder, 4096, origin="end"))
+
+
+@query
+def s3_read_one_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page of every log; some logs do not have it."""
+    folder = scratch_dir(spark)
+    land_logs(documents(spark, sf_dir), folder)
+    asked = documents(spark, sf_dir).select(F.col("doc_id").alias("uid"), F.lit("stdout").alias("type"), (F.col("doc_id") % 3 + 1).alias("page"))
+    return hex_pages(log_files.read_log_pages(spark, folder, 4096, requests=asked))
+
+
 @query
 def s3_empty_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both readers over logs of which some are empty."""

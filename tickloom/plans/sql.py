@@ -550,6 +550,12 @@ ORACLE: dict[str, str] = {
                md5(text) AS digest FROM documents""",
     "s3_read_log_pages": f"""
         WITH {pages(4096, 128)} SELECT doc_id AS uid, 'stdout' AS type, * EXCLUDE (doc_id) FROM nav""",
+    "s3_pages_from_end": f"""
+        WITH {pages(4096, 128, 'end')} SELECT doc_id AS uid, 'stdout' AS type, page, page_count, block FROM paged""",
+    "s3_read_one_page": f"""
+        WITH {pages(4096, 128)} SELECT c.doc_id AS uid, 'stdout' AS type, c.doc_id % 3 + 1 AS page,
+               CAST(c.page_count AS BIGINT) AS page_count, p.block
+        FROM counted c LEFT JOIN paged p ON p.doc_id = c.doc_id AND p.page = c.doc_id % 3 + 1""",
     "s3_empty_logs": """
         SELECT doc_id AS uid, 'stdout' AS type, n AS length, greatest(1, (n + 4095) // 4096) AS pages,
                greatest(1, (n + 4095) // 4096) AS page_count

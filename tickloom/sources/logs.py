@@ -77,7 +77,7 @@ def _line_window(data: bytes, before: bool) -> bytes:
     return data[at + 1 :] if before else data[:at]
 
 
-def _read_pages(chunk: int, window: int):
+def _read_pages(chunk: int, window: int, origin: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
         rows, held = [], 0
@@ -87,7 +87,8 @@ def _read_pages(chunk: int, window: int):
                     if file is not None:
                         file.close()
                     name, file = row["path"], _open(row["path"])
-                start, size = (row["page"] - 1) * chunk, row["length"]
+                size = row["length"]
+                start = (row["page"] - 1) * chunk if origin == "start" else size - row["page"] * chunk
 
                 def piece(low: int, high: int) -> bytes:
                     low, high = max(low, 0), min(high, size)
@@ -152,24 +153,36 @@ def read_log_pages(
     chunk: int = LOG_CHUNK,
     offset: int = LOG_WINDOW,
     jobs: DataFrame | None = None,
+    origin: str = "start",
+    requests: DataFrame | None = None,
 ) -> DataFrame:
-    """(uid, type, page, page_count, block) of logs, from the start.
+    """(uid, type, page, page_count, block) of logs, pages counted from the start or from the end.
 
     Tasks know names and sizes only and seek to their own pages. So a log of any size
     is read by many tasks at once and never held whole, as it is by :func:`read_logs`
     followed by ``paginate``, which gives the same pages.
 
-    An empty log gives one empty page. With ``jobs`` (column uid) their logs are looked up by
+    An empty log gives one empty page. With ``requests`` (uid, type, page) only those pages are read, each once;
+    the block is NULL where a log has no such page, the count too where there is no log. With ``jobs`` (column uid) their logs are looked up by
     name, without listing the folder.
     """
-    files = _files(spark, path) if jobs is None else _files_of(jobs, path)
-    pages = (
-        files.select("path", "uid", "type", "length", pages_of(F.col("length"), chunk).alias("page_count"))
-        .withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("page_count"))))
-        .withColumn("run", F.call_function("div", F.col("page"), F.lit(_RUN).cast("bigint")))
-    )
+    if origin not in ("start", "end"):
+        raise ValueError("origin is 'start' or 'end'")
+    named = jobs if requests is None else requests.select("uid").distinct()
+    files = _files(spark, path) if named is None else _files_of(named, path)
+    files = files.select("path", "uid", "type", "length", pages_of(F.col("length"), chunk).alias("page_count"))
+    if requests is None:
+        pages = files.withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("page_count"))))
+    else:
+        asked = requests.select(F.col("uid").cast("bigint"), "type", F.col("page").cast("bigint")).distinct()
+        pages = asked.join(files, ["uid", "type"], "left")
+    there = F.coalesce(F.col("page").between(F.lit(1), F.col("page_count")), F.lit(False))
+    found = pages.filter(there).withColumn("run", F.call_function("div", F.col("page"), F.lit(_RUN).cast("bigint")))
     # a row of a page is short and its reading long: tasks are not merged by row size
-    return spread(pages, "path", "run").sortWithinPartitions("path", "page").mapInArrow(
-        _read_pages(chunk, offset),
+    read = spread(found, "path", "run").sortWithinPartitions("path", "page").mapInArrow(
+        _read_pages(chunk, offset, origin),
         "uid bigint, type string, page bigint, page_count bigint, block binary",
     )
+    if requests is None:
+        return read
+    return read.unionByName(pages.filter(~there).select("uid", "type", "page", "page_count", F.lit(None).cast("binary").alias("block")))
