@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,9 @@ _MARK = "\x00"
 # Only at characters that are letters, visible or punctuation in every Unicode version; "'" may join.
 _SPACE = r" ([!-~\x{C0}-\x{24F}])"
 _END = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([!-&(-/:-@\[-`{-~\n])"
+# Pieces that stay apart from line ends around them.
+_PLAIN = re.compile(r" ?[!-~\u00a1-\u024f]+").fullmatch
+_RUN = 4096
 # Text bytes encoded at once.
 TOKEN_SLICE = 5 << 20
 
@@ -36,6 +40,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
         self.whole = [_MARK, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +74,40 @@ class Encoder:
         lists = pc.split_pattern(marked, _MARK)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         pieces = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
-        unique, ids = pieces.dictionary.to_pylist(), []
-        for a in range(0, len(unique), 20_000):
-            ids += [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(unique[a : a + 20_000], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        starts, lengths, flat = self._distinct(pieces.dictionary.to_pylist())
         codes = pieces.indices.to_numpy()
         each = lengths[codes]
-        out = flat[gather_runs((np.cumsum(lengths, dtype=np.int64) - lengths)[codes], each)]
+        out = flat[gather_runs(starts[codes], each)]
         return np.concatenate(([0], np.cumsum(each, dtype=np.int64)))[offsets - offsets[0]], out
+
+    def _distinct(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each piece start, how many they are, and all ids.
+
+        Pieces without white space inside are encoded in runs with line ends between them, which no piece can
+        join; a run whose line ends don't come out one by one is encoded piece by piece, as all others are.
+        """
+        starts, lengths = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int32)
+        plain = [i for i, p in enumerate(pieces) if _PLAIN(p)] if self.line_end is not None else []
+        single = sorted(set(range(len(pieces))).difference(plain))
+        parts, total = [], 0
+        for a in range(0, len(plain), _RUN):
+            run = plain[a : a + _RUN]
+            joined = self.tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in run])], add_special_tokens=False)
+            ids = np.array(joined[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) != len(run) - 1:
+                single += run
+                continue
+            edges = np.concatenate(([-1], ends, [len(ids)]))
+            lengths[run] = np.diff(edges) - 1
+            starts[run] = total + edges[:-1] + 1
+            parts.append(ids)
+            total += len(ids)
+        for a in range(0, len(single), _RUN):
+            run = single[a : a + _RUN]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in run], add_special_tokens=False)]
+            lengths[run] = [len(x) for x in ids]
+            starts[run] = total + np.cumsum(lengths[run], dtype=np.int64) - lengths[run]
+            parts.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths[run].sum())))
+            total += len(parts[-1])
+        return starts, lengths, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
