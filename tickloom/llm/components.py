@@ -66,13 +66,16 @@ def classes_of(links: DataFrame) -> DataFrame:
     links = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     links = cut(links.mapInArrow(_contracted, "a long, b long").distinct())
     before = _count(links)
+    # as many tasks as there is work for: rounds are short where few links are left
+    few = lambda df: df.coalesce(before["n"] // _HELD + 1)
     while before["n"]:
+        links = few(links)
         both = links.union(links.select("b", "a"))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("root")))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("x"), F.col("root").alias("y")).distinct()
-        to_least = large.groupBy("x").agg(F.min("y").alias("root"))
+        least = cut(few(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("root"))))
+        large = few(both.filter("b > a").join(least, "a").select(F.col("b").alias("x"), F.col("root").alias("y")).distinct())
+        to_least = few(large.groupBy("x").agg(F.min("y").alias("root")))
         small = large.join(to_least, "x").filter("y > root").select(F.col("y").alias("a"), F.col("root").alias("b"))
-        links = cut(small.union(to_least.select("x", "root")).distinct())
+        links = cut(few(small.union(to_least.select("x", "root")).distinct()))
         after = _count(links)
         if after == before:
             break

@@ -244,7 +244,8 @@ def near_copies(docs: DataFrame, likeness_at_least: float = LIKENESS, bands: int
     again = cut(_missed(members, likes, found, packed, likeness_at_least))
     if again.take(1):
         more = cut(compare(again, packed)).filter(F.col("like") >= likeness_at_least)
-        found = classes_of(links.union(more.select("a", "b")))
+        if more.take(1):
+            found = classes_of(found.select(F.col("node").alias("a"), F.col("class_id").alias("b")).union(more.select("a", "b")))
     named = cut(firsts.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("class_id", "rep").alias("class_id")))
     out = held.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
