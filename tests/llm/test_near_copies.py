@@ -71,6 +71,18 @@ def test_groups_chains_and_shared_passages(spark):
     assert len({got[k] for k in range(150)}) == 1 and len({got[300 + k] for k in range(30)}) == 30
 
 
+def test_copies_far_from_the_heads_of_their_buckets(spark):
+    """Pairs of near copies among many texts that are drawn from the same lines and so share buckets."""
+    draw, lines, rows = np.random.default_rng(11), [text_of(500 + k, 20) for k in range(34)], []
+    for _ in range(200):
+        own = np.sort(draw.choice(30, 22, replace=False))
+        rows.append((int(draw.integers(1 << 40)), "\n".join(lines[j] for j in own)))
+        own[draw.choice(22, 2, replace=False)] = 30 + draw.choice(4, 2, replace=False)
+        rows.append((int(draw.integers(1 << 40)), "\n".join(lines[j] for j in own)))
+    got = classes(near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bands=24))
+    assert got == brute(rows)
+
+
 def test_signatures_estimate_weighted_jaccard():
     a, b = "p q r s t u v w x y " * 3 + text_of(7, 40), "p q r s t u v w x y " * 5 + text_of(7, 30)
     doc, shingle, count = near_copies.bags(pa.array([a, b]))

@@ -185,6 +185,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 # A text that is compared with very many others meets them in so many tasks.
 PARTS = 128
+# Texts with the same rare hash that meet in one task.
+CROWD = 512
 
 
 def compare(pairs: DataFrame, bags_of: DataFrame) -> DataFrame:
@@ -218,8 +220,8 @@ def near_copies(docs: DataFrame, likeness_at_least: float = LIKENESS, bands: int
     Texts of equal bytes are one class at once (so are all empty or missing texts). Different texts
     that share a band are linked if their likeness is ``likeness_at_least`` or more: every text of
     a band's bucket is compared with the bucket's smallest id and with its neighbour when the bucket is
-    ordered by the texts' other bands; what misses the smallest id by up to the link distance is then compared
-    with all texts around it that an exact prefix filter on rare shingles leaves possible. Classes are the connected
+    ordered by the texts' other bands; where a bucket's texts are then still in different classes, they are compared
+    with all texts of other classes that an exact prefix filter on rare shingles leaves possible. Classes are the connected
     components; ``class_id`` is the smallest id of the class and ``kept`` marks that row. Rows that repeat
     an id share its class; rows without an id are compared with nothing and kept (class null). Other columns
     are ignored; an empty table gives no rows.
@@ -232,11 +234,11 @@ def near_copies(docs: DataFrame, likeness_at_least: float = LIKENESS, bands: int
     crowd = items.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = items.join(crowd, "key").join(firsts.select("rep", "size", "bands"), "rep")
     members = cut(members.select("key", "rep", "head", "size", F.expr(f"bands[(band + 1) % {bands}]").alias("beside")))
-    # a pair whose sizes differ by more can neither be linked nor help to find a link
-    enough = F.least("size", "other_size") >= (2 * likeness_at_least - 1) * F.greatest("size", "other_size")
+    # a pair whose sizes differ by more cannot be linked
+    enough = F.least("size", "other_size") >= likeness_at_least * F.greatest("size", "other_size") - 1e-6
     sizes = firsts.select(F.col("rep").alias("other"), F.col("size").alias("other_size"))
     pairs = cut(_candidates(members).join(sizes, F.col("b") == F.col("other")).filter(enough).select("a", "b"))
-    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    wanted = cut(members.select(F.col("rep").alias("doc_id")).distinct())
     packed = cut(bag_table(texts, wanted))
     likes = cut(compare(pairs, packed))
     links = likes.filter(F.col("like") >= likeness_at_least).select("a", "b")
@@ -264,41 +266,39 @@ def _candidates(members: DataFrame) -> DataFrame:
 
 
 def _missed(members: DataFrame, likes: DataFrame, found: DataFrame, packed: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) that heads and neighbours could not settle.
+    """Pairs (a, b) that heads and neighbours have not settled.
 
-    ``a`` misses the head of a bucket by up to the distance of a link and is in another class. By the triangle inequality
-    only such texts can be close to a text that is linked to the head. Which ones they may be linked with is told by an exact prefix
-    filter: two bags of the wanted likeness share one of their rarest hashes, of each the share that may differ and one more,
-    and have enough hashes behind it.
+    They are of texts that share some bucket with a text of another class, whatever their distance to its head. Which of
+    these texts may be linked is told by an exact prefix filter: two bags of the wanted likeness share one of their
+    rarest hashes, of each the share that may differ and one more, and have enough hashes behind it.
     """
-    far = 1 - least
-    distance = likes.select(F.col("a").alias("rep"), F.col("b").alias("head"), (1 - F.col("like")).alias("d"))
-    to_head = members.filter("rep <> head").select("rep", "head").distinct().join(distance, ["rep", "head"])
-    classes = lambda name: found.select(F.col("node").alias(name), F.col("class_id").alias(f"{name}_class"))
-    near = to_head.filter(F.col("d") <= 2 * far).join(classes("rep"), "rep", "left").join(classes("head"), "head", "left")
-    near = cut(near.select("rep", "head", F.coalesce("rep_class", "rep").alias("class"), (
-        (F.col("d") > far) & (F.coalesce("rep_class", "rep") != F.coalesce("head_class", "head"))).alias("stray")))
-    heads = near.filter("stray").select("head").distinct()
-    around = near.join(heads, "head", "left_semi").groupBy(F.col("rep").alias("doc_id")).agg(F.min("class").alias("class"), F.max("stray").alias("stray"))
+    classed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", F.col("rep").alias("doc_id"), F.coalesce("class_id", "rep").alias("class"))
+    mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
+    open_ = cut(classed.join(mixed, "key", "left_semi").select("doc_id", "class").distinct())
 
     def hashes(batches):
         for part in slices(batches, "bag"):
             bag = [np.frombuffer(b.as_py(), np.int64) for b in part.column("bag")]
             size = np.array([len(b) for b in bag], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(part.column("doc_id").to_numpy(), size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(bag))],
-                ["doc_id", "size", "hash"])
+                [pa.array(np.repeat(part.column("doc_id").to_numpy(), size)), pa.array(np.repeat(part.column("class").to_numpy(), size)),
+                 pa.array(np.repeat(size, size)), pa.array(np.concatenate(bag))], ["doc_id", "class", "size", "hash"])
 
-    held = packed.join(around.select("doc_id"), "doc_id", "left_semi").mapInArrow(tidy(hashes), "doc_id long, size long, hash long")
-    seen = held.groupBy("hash").agg(F.count("*").alias("n"))
+    held = packed.join(open_, "doc_id").mapInArrow(tidy(hashes), "doc_id long, class long, size long, hash long")
+    seen = held.groupBy("hash").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
     order = W.partitionBy("doc_id").orderBy("n", "hash")
     first = held.join(seen, "hash").withColumn("at", F.row_number().over(order))
-    first = first.filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least) + 1).join(around, "doc_id").select("doc_id", "size", "at", "hash", "class", "stray")
-    other = first.toDF("other", "other_size", "other_at", "hash", "other_class", "other_stray")
+    first = first.filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-6) + 1).filter("low <> high")
+    first = cut(first.withColumn("parts", F.ceil(F.col("n") / CROWD)).select("doc_id", "class", "size", "hash", "at", "parts"))
+    # a hash of many texts is many tasks: each text stands in one part of it, and meets all parts
+    part = first.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
+    other = first.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    other = other.toDF("other", "other_class", "other_size", "hash", "other_at", "part")
     # behind the first shared hash there must be enough left in both
     most = 1 + F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
     enough = most * (1 + least) >= (F.col("size") + F.col("other_size")) * least - 1e-6
-    met = first.filter("stray").join(other, "hash").filter((F.col("class") != F.col("other_class")) & enough & (
-        F.least("size", "other_size") >= least * F.greatest("size", "other_size")))
-    pairs = met.select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
+    met = part.join(other, ["hash", "part"]).filter((F.col("doc_id") > F.col("other")) & (F.col("class") != F.col("other_class")) & enough & (
+        F.least("size", "other_size") >= least * F.greatest("size", "other_size") - 1e-6))
+    pairs = met.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
     return pairs.join(likes.select("a", "b"), ["a", "b"], "left_anti")
