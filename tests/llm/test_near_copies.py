@@ -90,6 +90,11 @@ def test_signatures_estimate_weighted_jaccard():
     assert np.mean(found[0] == found[1]) == pytest.approx(like(shingles(a), shingles(b)), abs=0.03)
 
 
+def test_bands_miss_few_links():
+    """A pair at the wanted likeness shares no band with a probability below one in ten thousand."""
+    assert (1 - near_copies.LIKENESS**near_copies.ROWS) ** near_copies.BANDS < 1e-4
+
+
 def test_odd_rows(odd, none):
     got = [tuple(r) for r in near_copies.near_copies(odd).collect()]
     want = {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 8, 10: 10, 11: 10, 12: 12, 13: 13, 14: 14, 15: 14, None: None}

@@ -24,7 +24,7 @@ from tickloom.llm.shared import Words, cut, in_slices, mix, slices, texts_of, ti
 
 SHINGLE = 5
 LIKENESS = 0.8
-BANDS, ROWS = 24, 6
+BANDS, ROWS = 32, 6
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
