@@ -18,10 +18,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of every class of near copies; rows without an id stay."""
-    classes = near_copies.near_copies(docs)
-    kept = classes.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    one_each = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """The row with the smallest id of every class of near copies; rows without an id stay.
+
+    Of rows that repeat an id and its text one stays; rows that repeat an id with another text are documents by themselves.
+    """
+    classes = near_copies.classes_of_texts(docs)
+    kept = classes.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept"), F.col("digest").alias("_kept_text")).distinct()
+    marked = docs.withColumn("_text", near_copies.digest_of())
+    one_each = marked.join(kept, (F.col("doc_id") == F.col("_kept")) & (F.col("_text") == F.col("_kept_text")), "left_semi")
+    one_each = one_each.dropDuplicates(["doc_id", "_text"]).drop("_text")
     return one_each.unionByName(docs.filter("doc_id IS NULL"))
 
 

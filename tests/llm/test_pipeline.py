@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import pytest
+from conftest_text import text_of
 from pyspark.sql import functions as F
 from test_mixing import targets
 from test_near_copies import brute
@@ -41,6 +42,17 @@ def test_near_copy_stage(stages):
     assert stages[2].columns == stages[0].columns
 
 
+def test_rows_that_repeat_an_id(spark):
+    """Texts that share an id are classed one by one; only equal rows and near copies are dropped."""
+    a, b, c, d = (text_of(60 + k, 80) for k in range(4))
+    rows = [(3, a), (5, a), (5, b), (5, b), (5, c), (7, c + " more"), (8, d), (8, d + " more"), (9, ""), (9, None), (None, a), (None, a)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF)
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    eight = [x for x in got if x[0] == 8]
+    assert len(eight) == 1 and eight[0][1] in (d, d + " more")
+    assert [x for x in got if x[0] != 8] == sorted([(3, a), (5, b), (5, c), (9, ""), (0, a), (0, a)])
+
+
 def test_mixing_stage(stages):
     size = F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
     before = dict(stages[2].groupBy("source").agg(size).collect())

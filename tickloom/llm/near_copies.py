@@ -110,6 +110,11 @@ def _list_column(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values))
 
 
+def digest_of(text: str = "text"):
+    """The digest of a text; a missing one counts as empty."""
+    return F.unhex(F.sha1(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+
+
 def sketch(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, digest, size, bands): per text its digest, its number of shingles and its band keys (none if empty)."""
 
@@ -126,8 +131,7 @@ def sketch(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
         return one
 
-    rows_in = texts.withColumn("digest", F.unhex(F.sha1(F.col("text").cast("binary"))))
-    return in_slices(rows_in, make, "doc_id long, digest binary, size long, bands array<long>")
+    return in_slices(texts.withColumn("digest", digest_of()), make, "doc_id long, digest binary, size long, bands array<long>")
 
 
 class Sieve:
@@ -153,12 +157,14 @@ class Sieve:
 
 
 def bag_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, bag) of the texts whose id ``wanted`` (doc_id) has: sorted 64-bit hashes, one per shingle and occurrence.
+    """(doc_id, bag) of the texts in ``wanted`` (rep, first, digest), ``doc_id`` being ``rep``: sorted 64-bit hashes, one per shingle and occurrence.
 
+    A text is found by its digest in the rows with the id ``first``.
     The n-th occurrence of a shingle has a hash of its own, so that bags are sets.
     """
-    sieve = Sieve(wanted, "doc_id")
-    rows = texts.select("doc_id", "text", sieve.place(F.col("doc_id")).alias("place"))
+    sieve = Sieve(wanted.select(F.xxhash64("first", "digest").alias("both")), "both")
+    rows = texts.withColumn("digest", digest_of()).select(
+        F.col("doc_id").alias("first"), "digest", "text", sieve.place(F.xxhash64("doc_id", "digest")).alias("place"))
 
     @tidy
     def run(batches):
@@ -172,9 +178,10 @@ def bag_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     each = np.where(nth > 0, mix(shingle[who] + nth * _STEP), shingle[who])
                 at = np.searchsorted(doc[who], np.arange(part.num_rows + 1))
                 bag = [np.sort(each[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bag, pa.binary())], ["doc_id", "bag"])
+                yield pa.RecordBatch.from_arrays([part.column("first"), part.column("digest"), pa.array(bag, pa.binary())], ["first", "digest", "bag"])
 
-    return rows.mapInArrow(run, "doc_id long, bag binary").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    made = rows.mapInArrow(run, "first long, digest binary, bag binary").join(wanted, ["first", "digest"])
+    return made.select(F.col("rep").alias("doc_id"), "bag").dropDuplicates(["doc_id"])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -223,13 +230,21 @@ def near_copies(docs: DataFrame, likeness_at_least: float = LIKENESS, bands: int
     ordered by the texts' other bands; where a bucket's texts are then still in different classes, they are compared
     with all texts of other classes that an exact prefix filter on rare shingles leaves possible. Classes are the connected
     components; ``class_id`` is the smallest id of the class and ``kept`` marks that row. Rows that repeat
-    an id share its class; rows without an id are compared with nothing and kept (class null). Other columns
-    are ignored; an empty table gives no rows.
+    an id and its text share a class; rows that repeat an id with another text are texts by themselves, and where several
+    texts of a class have its smallest id, one of them is kept. Rows without an id are compared with nothing and kept (class
+    null). Other columns are ignored; an empty table gives no rows.
     """
+    return classes_of_texts(docs, likeness_at_least, bands, rows).drop("digest")
+
+
+def classes_of_texts(docs: DataFrame, likeness_at_least: float = LIKENESS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, digest, class_id, kept): ``near_copies`` with the digest of every row's text."""
     texts = texts_of(docs)
     sketches = cut(sketch(texts, bands, rows))
     held = sketches.filter("doc_id IS NOT NULL")
-    firsts = cut(held.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    # a number per text, since texts may share their smallest id
+    firsts = cut(held.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+                 .withColumn("rep", F.monotonically_increasing_id()))
     items = firsts.filter("size > 0").select("rep", F.posexplode("bands").alias("band", "key"))
     crowd = items.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = items.join(crowd, "key").join(firsts.select("rep", "size", "bands"), "rep")
@@ -238,7 +253,7 @@ def near_copies(docs: DataFrame, likeness_at_least: float = LIKENESS, bands: int
     enough = F.least("size", "other_size") >= likeness_at_least * F.greatest("size", "other_size") - 1e-6
     sizes = firsts.select(F.col("rep").alias("other"), F.col("size").alias("other_size"))
     pairs = cut(_candidates(members).join(sizes, F.col("b") == F.col("other")).filter(enough).select("a", "b"))
-    wanted = cut(members.select(F.col("rep").alias("doc_id")).distinct())
+    wanted = cut(firsts.select("rep", "first", "digest").join(members.select("rep").distinct(), "rep", "left_semi"))
     packed = cut(bag_table(texts, wanted))
     likes = cut(compare(pairs, packed))
     links = likes.filter(F.col("like") >= likeness_at_least).select("a", "b")
@@ -248,10 +263,13 @@ def near_copies(docs: DataFrame, likeness_at_least: float = LIKENESS, bands: int
         more = cut(compare(again, packed)).filter(F.col("like") >= likeness_at_least)
         if more.take(1):
             found = classes_of(found.select(F.col("node").alias("a"), F.col("class_id").alias("b")).union(more.select("a", "b")))
-    named = cut(firsts.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "digest", F.coalesce("class_id", "rep").alias("class_id")))
-    out = held.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    lone = sketches.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
+    linked = found.select(F.col("node").alias("rep"), F.col("class_id").alias("root")).join(firsts.select("rep", "first", "digest"), "rep")
+    least = linked.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("least"))
+    named = firsts.select("digest", "rep", "first").join(linked.join(least, "root").select("rep", "least"), "rep", "left")
+    named = cut(named.select("digest", F.coalesce("least", F.struct("first", "digest")).alias("least")))
+    out = held.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", F.col("least.first").alias("class_id"), (
+        (F.col("doc_id") == F.col("least.first")) & (F.col("digest") == F.col("least.digest"))).alias("kept"))
+    lone = sketches.filter("doc_id IS NULL").select("doc_id", "digest", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
     return out.union(lone)
 
 
