@@ -72,3 +72,21 @@ def test_odd_rows(odd, none, odd_rows):
     assert repeated.columns == odd.columns
     counts = {r["doc_id"]: r["count"] for r in repeated.groupBy("doc_id").count().collect()}
     assert counts == {i: n for i, n in whole.items() if n}
+
+
+def test_rows_without_an_id_and_repeated_ids(spark):
+    """Rows are repeated as often as the mix takes them, though they share an id or have none."""
+    rows = [(None, f"w{k} " * (k % 7 + 1), "a" if k % 2 else "b") for k in range(300)]
+    rows += [(7, f"v{k} " * (k % 5 + 1), "a") for k in range(40)] + [(None, "one two three", "c")] * 101 + [(None, None, None), (None, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mix = mixing.mix_sources(docs)
+    got = mix.collect()
+    check(rows, got)
+    assert len({r["taken"] / r["size"] for r in got if r["source"] == "a" and r["doc_id"] is None}) > 1
+    want, sizes = defaultdict(int), defaultdict(int)
+    for r in got:
+        want[r["source"]] += r["size"] * r["whole"]
+    found = mixing.repeat_rows(docs, mix).collect()
+    for r in found:
+        sizes[r["source"]] += len((r["text"] or "").split())
+    assert len(found) == sum(r["whole"] for r in got) and dict(sizes) == {s: n for s, n in want.items() if n}

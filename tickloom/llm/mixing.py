@@ -24,6 +24,11 @@ def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def digest_of(text: str = "text"):
+    """The digest of a text; a missing one counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, target) of a table (source, source_size), one row per source.
 
@@ -51,26 +56,32 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
 def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
                 most: float = 2.0, seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, source_size, target, epochs, taken, whole): what the mix takes of every row of ``docs``.
+    """(doc_id, source, size, source_size, target, epochs, taken, whole, digest): what the mix takes of every row of ``docs``.
 
     ``size`` is the number of words (missing text: 0), ``epochs`` the complete passes over the document's source,
     ``taken`` the words taken with repeats: ``epochs`` times the size, plus the whole document where the sample reaches past it, plus the
     part of the one document per source in which the budget ends, so that a source's words meet its
     target to the word. ``whole`` counts full copies instead, with that last document in if at least half of it fits.
+    ``digest`` is that of the text: it tells rows apart that share an id or have none.
     ``quality`` (doc_id, quality) sets the sampling weight: 2 for 1, 0.5 for 0, else 1. Keys depend on
-    ``seed`` and the id only, so reruns agree; rows that share an id are ordered by size and take part one by one. A null
-    source is a source, a null id an id. An empty table gives no rows; other columns are ignored.
+    ``seed`` and the id only, or the text where there is no id, so reruns agree; rows that share an id are ordered by size and
+    take part one by one. Equal rows are counted, ranked once and told apart at the end. A null source is a source. An empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"),
+                       digest_of().alias("digest"))
+    rows = rows.groupBy("doc_id", "source", "size", "digest").agg(F.count("*").alias("n"))
     weight = F.lit(1.0)
     if quality is not None:
-        marks = quality.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("quality"))
-        rows = rows.join(marks, F.col("doc_id") == F.col("id"), "left").drop("id")
+        marks = quality.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("quality"), F.min(F.lit(0).cast("long")).alias("zero"))
+        # rows without an id have no mark; they are spread by their texts
+        spread = F.when(F.col("doc_id").isNull(), F.xxhash64("digest")).otherwise(F.lit(0).cast("long"))
+        rows = rows.join(marks, (F.col("doc_id") == F.col("id")) & (spread == F.col("zero")), "left").drop("id", "zero")
         weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
     # a uniform draw strictly between 0 and 1
-    draw = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
-    rows = cut(rows.select("doc_id", "source", "size", (-F.log(draw) / weight).alias("key")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64("digest", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    draw = (F.shiftrightunsigned(drawn, 11).cast("double") + 0.5) * F.lit(2.0**-53)
+    rows = cut(rows.select("doc_id", "source", "size", "digest", "n", (-F.log(draw) / weight).alias("key")))
+    sizes = rows.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.count("*").alias("docs"))
     targets = source_targets(sizes.select("source", "source_size"), weights, share, most)
     plan = cut(targets.join(sizes.select(F.col("source").alias("s"), "docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumns({
         "epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"),
@@ -80,20 +91,35 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
     keyed = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     keyed = keyed.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1).cast("long"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = cut(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words")).select(
+    totals = cut(keyed.groupBy("source", "bucket").agg(F.sum(F.col("n") * F.col("size")).alias("words")).select(
         F.col("source").alias("s"), F.col("bucket").alias("k"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead")))
-    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = keyed.withColumn("prior", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "digest").rowsBetween(W.unboundedPreceding, -1)
+    placed = keyed.withColumn("prior", F.coalesce(F.sum(F.col("n") * F.col("size")).over(inside), F.lit(0)))
     placed = placed.join(totals, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
-    room = F.col("budget") - F.col("ahead") - F.col("prior")
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    room = F.col("budget") - F.col("ahead") - F.col("prior") - F.col("nth") * F.col("size")
     part = F.greatest(F.least(room, F.col("size")), F.lit(0))
     full = ((room > 0) & (2 * room >= F.col("size"))).cast("long")
     return placed.select("doc_id", "source", "size", "source_size", "target", "epochs",
-                         (F.col("epochs") * F.col("size") + part).alias("taken"), (F.col("epochs") + full).alias("whole"))
+                         (F.col("epochs") * F.col("size") + part).alias("taken"), (F.col("epochs") + full).alias("whole"), "digest")
 
 
 def repeat_rows(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """``docs`` with every row as often as ``mix`` (doc_id, whole) takes it whole; each id stands in one row of ``mix``."""
-    times = mix.select(F.col("doc_id").alias("_id"), F.col("whole").alias("_times")).filter("_times > 0")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    """``docs`` with every row as often as ``mix``, made of it by ``mix_sources``, takes it whole.
+
+    Rows meet by id, source and text, whether they have an id or not. Rows equal in all three are taken equally often,
+    but for the few between which a source's budget ends: there some are taken once more than the others.
+    """
+    alike = mix.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"))
+    times = cut(alike.agg(F.sum("whole").alias("_sum"), F.count("*").alias("_n")).select(
+        "_id", "_source", "_digest", F.expr("_sum div _n").alias("_times"), F.expr("_sum % _n").alias("_more")))
+    marked = docs.withColumn("_text", digest_of())
+    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+            & (F.col("_text") == F.col("_digest")))
+    out = marked.join(times.filter("_times > 0"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    out = out.select(*docs.columns)
+    some = times.filter("_more > 0")
+    if some.take(1):  # at most one group of equal rows per source
+        rank = F.row_number().over(W.partitionBy("_id", "_source", "_digest").orderBy("_more"))
+        out = out.union(marked.join(some, same).withColumn("_rank", rank).filter("_rank <= _more").select(*docs.columns))
+    return out
