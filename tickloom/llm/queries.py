@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import cap_filters, id_coder, language_model, license_scan, mixing, near_copies, packing, toxicity, warc, winnowing
+from tickloom.llm import (
+    cap_filters, id_coder, language_model, license_scan, mixing, near_copies, packing, periodic_runs, toxicity, warc, winnowing, word_bpe,
+)
 from tickloom.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +115,26 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.concat(base, own)).alias("labels"), "score")
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), places=periodic_runs.repeated_tail)
+    # the greatest length/period, compared exactly; runs come by start and period, so the first of equals stays
+    better = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate(
+        "runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda best, r: F.when(better(best, r), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), digest(F.array_join(lines, "")).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+@query
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("word_bpe_49k.json")
+    rows = word_bpe.decode_ids(word_bpe.encode_texts(table(spark, sf_dir, "documents"), path), path)
+    return rows.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
