@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import (
-    cap_filters, id_coder, language_model, license_scan, mixing, near_copies, packing, periodic_runs, toxicity, warc, winnowing, word_bpe,
+    cap_filters, hard_negatives, id_coder, language_model, license_scan, mixing, near_copies, packing, periodic_runs, toxicity, warc, winnowing, word_bpe,
 )
 from tickloom.session import scratch_dir
 
@@ -117,6 +117,16 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.concat(base, own)).alias("labels"), "score")
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    large = lambda x: 256 * x.cast("double")
+    # a number that large is whole already, and may be none that a long holds
+    whole = F.transform("embedding", lambda x: F.when(F.abs(large(x)) < 2**52, F.floor(large(x)).cast("double")).otherwise(large(x)))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), whole.alias("vector"))
+    return hard_negatives.mine_negatives(rows, "vec_id % 100 = 0")
+
+
 @query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), places=periodic_runs.repeated_tail)

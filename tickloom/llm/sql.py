@@ -37,4 +37,17 @@ ORACLE: dict[str, str] = {
                coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
                CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
         FROM words LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN every USING (doc_id)""",
+    "op11_hard_negatives": """
+        WITH usable AS (SELECT * FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+                        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM usable),
+        met AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+                FROM rows a, rows b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM met WHERE same
+                      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN met USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
 }
