@@ -26,11 +26,13 @@ from tickloom.llm.shared import Words, gather_runs, in_slices, slices, texts_of,
 # The mark of a word's last symbol; no symbol of a byte-level vocabulary is this character.
 END = "\x00"
 # Words and pairs a task keeps; what is forgotten is worked out again.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 _NEVER = 1 << 62
-_PLAIN = re.compile(r"[!-~]+").fullmatch
-# How this kind of vocabulary splits lower-cased visible ASCII (fixed values of its file).
-_ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+# Visible ASCII and the letters of Latin-1: normal as they are, and letters or not in every Unicode version.
+_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+# How this kind of vocabulary splits such text in lower case (fixed values of its file).
+_PLAIN_SPLIT = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
 
 
 class Merges:
@@ -63,7 +65,7 @@ class Merges:
             self.automaton.add_word(text, (len(text), token))
             self.shorter[token] = next((by_text[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in by_text), -1)
         self.automaton.make_automaton()
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
 
     def _spine(self, token: int, side: int) -> list[int]:
         """The symbols at one edge of a token in the order in which they come to be, the token last."""
@@ -74,11 +76,11 @@ class Merges:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether no merge ever crosses the border between ``a`` and ``b``; pairs are kept in a table."""
-        known = self._apart.get((a, b))
+        known = self._apart.get(a << 32 | b)
         if known is None:
             if len(self._apart) >= REMEMBERED:
                 self._apart.clear()
-            known = self._apart[a, b] = self._stay_apart(self._spine(a, 1), self._spine(b, 0))
+            known = self._apart[a << 32 | b] = self._stay_apart(self._spine(a, 1), self._spine(b, 0))
         return known
 
     def _stay_apart(self, left: list[int], right: list[int]) -> bool:
@@ -106,22 +108,28 @@ class Merges:
         for end, (size, token) in self.automaton.iter(text):
             longest[end - size + 1] = token
         out: list[int] = []
-        dead, size, shorter, compatible = bytearray(len(text) + 1), self.size, self.shorter, self.compatible
-        at, token = 0, longest[0]
-        while at < len(text):
-            while token >= 0 and (dead[at + size[token]] or out and not compatible(out[-1], token)):
+        size, shorter, apart, compatible = self.size, self.shorter, self._apart, self.compatible
+        dead, at, token, before, whole = bytearray(len(text) + 1), 0, longest[0], -1, len(text)
+        while at < whole:
+            while token >= 0:
+                if not dead[at + size[token]]:
+                    if before < 0:
+                        break
+                    fits = apart.get(before << 32 | token)
+                    if fits or fits is None and compatible(before, token):
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += size[token]
-                token = longest[at]
-            else:
-                if not out:
-                    raise ValueError("a symbol of the text is not in the vocabulary")
+                before, token = token, longest[at]
+            elif out:
                 dead[at] = 1
-                token = out.pop()
-                at -= size[token]
-                token = shorter[token]
+                token = shorter[out.pop()]
+                at -= size[before]
+                before = out[-1] if out else -1
+            else:
+                raise ValueError("a symbol of the text is not in the vocabulary")
         return out
 
 
@@ -141,30 +149,35 @@ class WordBpe:
         self._normal, self._split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else lambda text: [text]
-        self._words: dict[str, list[int]] = {}
+        self._bytes = {c: self._split(chr(c))[0][0] for c in range(0xC0, 0x100) if _PLAIN(chr(c))}
+        self._words: dict[str, tuple[int, ...]] = {}
 
-    def _word(self, word: str) -> list[int]:
-        found = self._words.get(word)
-        if found is None:
+    def _word(self, word: str) -> tuple[int, ...]:
+        """The ids of a word in the vocabulary's symbols."""
+        found = tuple(self.merges.encode(word))
+        if len(word) <= 64:
             if len(self._words) >= REMEMBERED:
                 self._words.clear()
-            found = self.merges.encode(word)
-            if len(word) <= 64:
-                self._words[word] = found
+            self._words[word] = found
         return found
 
     def ids(self, text: str) -> list[int]:
         """The ids of a stretch of text without ASCII white space."""
+        known = self._words.get
+        if known(text) and text.islower() and text.isascii():
+            return known(text)
         out: list[int] = []
         for part in self._cut(text) if "<" in text else (text,):
             if part in self.special:
                 out.append(self.special[part])
             elif _PLAIN(part):
-                for word in _ASCII_SPLIT(part.lower()):
-                    out += self._word(word)
+                part = part.lower()
+                for word in (part,) if part.isalpha() else _PLAIN_SPLIT(part):
+                    word = word if word.isascii() else word.translate(self._bytes)
+                    out += known(word) or self._word(word)
             elif part:
                 for word, _ in self._split(self._normal(part)):
-                    out += self._word(word)
+                    out += known(word) or self._word(word)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
