@@ -128,7 +128,8 @@ def test_no_window_over_a_pool(spark, capacity):
     _, _, queue, running = crowd(spark, 1)
     plan = Q.admit(queue, running, capacity)._jdf.queryExecution().executedPlan().toString()
     ranked = [line for line in plan.split("\n") if "row_number" in line and "Window [" in line]
-    assert ranked and all("_step" in line and "_part" in line for line in ranked)
+    # the window's keys are the pool and the part or salt within it, its rows parts of a pool
+    assert ranked and all(len(line[line.rindex(", [", 0, line.rindex(", [")) + 3 :].split("]")[0].split(",")) == 2 for line in ranked)
 
 
 @pytest.mark.parametrize("capacity", [0, 1, 40, 700, 10**6])
@@ -151,3 +152,52 @@ def test_admission_round_drops_bad_rows(spark):
     none = spark.createDataFrame([], "pool bigint")
     assert sorted(uids(flows.admission_round(subs, none, 5, 1000))) == [1, 4]
     assert uids(flows.admission_round(subs, none, 1, 1000)) == [1]
+
+
+def ranked(rows, free):
+    """uids of the first ``free`` rows (uid, priority) by priority, then uid, nulls first."""
+    first = lambda v: (v is not None, v if v is not None else 0)
+    key = lambda r: (first(r[1]), (r[0] is not None, r[0] if r[0] is not None else ""))
+    return [r[0] for r in sorted(rows, key=key)[:free]]
+
+
+def test_missing_priorities_are_admitted_first(spark):
+    for rows, slots in (([(1, None), (2, 1), (3, 2)], 5), ([(1, 3), (2, None)], 1), ([(1, None), (2, None), (3, None)], 2), ([(5, 2), (4, 2)], 1)):
+        queue = spark.createDataFrame([(u, 0, p) for u, p in rows], "uid bigint, pool bigint, priority bigint")
+        got = uids(Q.admit(queue, queue.filter("false"), slots))
+        assert sorted(got) == sorted(ranked(rows, slots))
+
+
+@pytest.mark.parametrize("slots", [1, 77, 400, 1100, 2500, 9000])
+def test_names_as_uids_and_nulls(spark, slots):
+    rng = random.Random(slots)
+    rows = [(f"job-{rng.randint(0, 10**9):010d}" if i else None, rng.choice([None, 1, 2, 2, 2, 2, rng.randint(3, 99)])) for i in range(3000)]
+    queue = spark.createDataFrame([(u, None if i % 500 == 499 else "p", p) for i, (u, p) in enumerate(rows)], "uid string, pool string, priority int")
+    got = uids(Q.admit(queue, queue.filter("false"), slots))
+    pooled = [r for i, r in enumerate(rows) if i % 500 != 499]
+    assert sorted(got, key=str) == sorted(ranked(pooled, slots), key=str)
+
+
+def test_one_priority_for_all(spark):
+    queue = spark.range(20_000).selectExpr("id AS uid", "0 AS pool", "7 AS priority").repartition(5)
+    assert sorted(uids(Q.admit(queue, queue.filter("false"), 1234))) == list(range(1234))
+
+
+def test_columns_keep_their_names(spark):
+    names = "rank part at end row salt free n cuts coarse left _pool _free _step".split()
+    queue = spark.range(600).selectExpr("id AS uid", "id % 3 AS pool", "id % 11 AS priority", *[f"concat('{c}', id) AS {c}" for c in names])
+    got = Q.admit(queue, queue.filter("uid < 0"), 50)
+    assert got.columns == queue.columns and got.count() == 150
+    assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in queue.collect()}
+
+
+def test_admission_of_an_empty_queue(spark, jobs):
+    queue = jobs.withColumn("pool", F.lit(1)).filter("false")
+    assert uids(Q.admit(queue, queue, 5)) == [] and uids(Q.admit(queue, queue, {1: 3}, pool_col=None)) == []
+
+
+def test_admission_reads_the_queue_few_times(spark, tmp_path):
+    spark.range(5000).selectExpr("id AS uid", "id % 3 AS pool", "id % 97 AS priority").write.parquet(str(tmp_path / "q"))
+    queue = spark.read.parquet(str(tmp_path / "q"))
+    plan = Q.admit(queue, queue.filter("uid < 9"), 700)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 8

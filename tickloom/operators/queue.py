@@ -13,9 +13,10 @@ from tickloom.functions.clean import JOB_STATUSES, TIMETABLE_STATUSES, floor_div
 # Rows of the job listing.
 JOB_LISTING = 100
 # Parts of a pool that meet its short tables in different tasks.
-SALTS = 64
-# Steps in which a pool's queue is cut to find the row its slots end at.
-STEPS = 256
+SALTS = 8
+# Places a pool's queue is cut at to find the job its slots end at, the jobs drawn to choose them, and every how many
+# cuts a job is compared with first.
+CUTS, SAMPLE, STRIDE = 144, 2048, 12
 
 
 def _now(now: int | Column) -> Column:
@@ -114,80 +115,87 @@ def admit(
     tracked: DataFrame | None = None,
     down: DataFrame | None = None,
 ) -> DataFrame:
-    """The most urgent queued jobs that fit the free slots of their pool.
+    """The most urgent queued jobs that fit the free slots of their pool, ranked as :func:`runnable` ranks them.
 
     free = capacity − running apps of the pool. A pool takes nothing if its jobs
     tracked here (rows of ``tracked``) fill the capacity, or if it is listed in
     ``down``. ``capacity`` is one number, {pool: number} or a table (pool, slots); a pool
     it does not list has none. Without ``pool_col`` the whole queue is one pool, and any row
-    of ``down`` closes it. Rows without a pool are not admitted.
+    of ``down`` closes it. Rows without a pool are not admitted. A missing priority comes before all others, a missing
+    uid before the others of its priority; uids may be of any type that has an order. Other columns come along, whatever
+    their names.
 
-    A pool's queue is cut into steps of about equal size, by priority and then, within a
-    priority many share, by uid; steps are counted, and only the step in which the slots end is
-    ranked. So no task sorts or holds a pool, whatever its size and capacity.
+    A sample of a pool's queue gives places to cut it at, parts between cuts are counted, parts that fit whole are
+    admitted, and only the part in which the slots end is ranked. So no task sorts or holds a pool, whatever its size and
+    capacity, and many jobs of one priority are cut by uid; the result is exact whatever the sample.
     """
-    pool = "_pool"
     name = F.lit("") if pool_col is None else F.col(pool_col)
-
-    def keyed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(pool, name)
+    at = F.struct("priority", "uid").alias("at")
+    ranks = queue.select(name.alias("pool"), at).filter("pool IS NOT NULL")
+    free = _free_slots(queue, ranks, name, running_apps, capacity, pool_col, tracked, down)
+    cuts = _cuts(ranks, free)
+    placed = _salted(ranks, cuts).select("pool", "free", _part(F.col("at")).alias("part"))
+    counts = placed.groupBy("pool", "part").agg(F.count("*").alias("n"), F.max("free").alias("free"))
+    before = F.sum("n").over(Window.partitionBy("pool").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    left = F.col("free") - F.coalesce(before, F.lit(0))
+    ends = counts.withColumn("left", left).filter("left > 0").groupBy("pool").agg(F.max(F.struct("part", "left")).alias("end"))
+    rows = queue.select(name.alias("pool"), at, F.struct("*").alias("row")).filter("pool IS NOT NULL")
+    rows = _salted(rows, cuts.join(ends, "pool")).withColumn("part", _part(F.col("at"))).filter("part <= coalesce(end.part, -1)")
+    # parts that fit whole need no rank: they are only dealt out evenly
+    group = F.when(F.col("part") == F.col("end.part"), F.lit(-1)).otherwise(F.col("salt"))
+    within = Window.partitionBy("pool", group).orderBy("at")
+    ranked = rows.withColumn("rank", F.row_number().over(within))
+    return ranked.filter("part < end.part OR rank <= end.left").select("row.*")
+
+
+def _free_slots(queue, ranks, name, running_apps, capacity, pool_col, tracked, down) -> DataFrame:
+    """(pool, free, n): the pools with jobs and free slots, and how many jobs wait in each."""
 
     def per_pool(rows: DataFrame, count: str) -> DataFrame:
-        return keyed(rows).groupBy(pool).agg(F.count("*").alias(count))
+        return rows.select(name.alias("pool")).groupBy("pool").agg(F.count("*").alias(count))
 
-    rows = keyed(queue).filter(F.col(pool).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)))
-    free = rows.groupBy(pool).agg(F.percentile_approx("priority", _SHARES, 4 * STEPS).alias("_bounds"))
+    free = ranks.groupBy("pool").agg(F.count("*").alias("n"))
     if isinstance(capacity, int):
-        free = free.withColumn("_slots", F.lit(capacity).cast("bigint"))
+        free = free.withColumn("slots", F.lit(capacity).cast("bigint"))
     else:
         if isinstance(capacity, Mapping):
             kind = "string" if pool_col is None else queue.schema[pool_col].dataType.simpleString()
             capacity = queue.sparkSession.createDataFrame(list(capacity.items()), f"pool {kind}, slots bigint")
-        free = free.join(capacity.select(F.col("pool").alias(pool), F.col("slots").cast("bigint").alias("_slots")), pool)
-    free = free.join(per_pool(running_apps, "_apps"), pool, "left")
-    left = F.col("_slots") - F.coalesce("_apps", F.lit(0))
+        free = free.join(capacity.select("pool", F.col("slots").cast("bigint").alias("slots")), "pool")
+    free = free.join(per_pool(running_apps, "apps"), "pool", "left")
+    left = F.col("slots") - F.coalesce("apps", F.lit(0))
     if tracked is not None:
-        free = free.join(per_pool(tracked, "_tracked"), pool, "left")
-        left = F.when(F.coalesce("_tracked", F.lit(0)) < F.col("_slots"), left).otherwise(F.lit(0))
+        free = free.join(per_pool(tracked, "tracked"), "pool", "left")
+        left = F.when(F.coalesce("tracked", F.lit(0)) < F.col("slots"), left).otherwise(F.lit(0))
     if down is not None:
-        free = free.join(keyed(down).select(pool).distinct(), pool, "left_anti")
-    free = free.withColumn("_free", left).filter("_free > 0").select(pool, "_free", "_bounds")
-
-    rows = _salted(rows, free, [pool]).withColumn("_step", _step(F.col("priority"))).drop("_bounds")
-    sure, edge = _split(rows, [pool], "_step")
-    # a step of one priority is cut by uid, any other one by priority again
-    one = F.min("priority") == F.max("priority")
-    finer = edge.groupBy(pool).agg(one.alias("_one"), F.percentile_approx("uid", _SHARES, 4 * STEPS).alias("_uids"),
-                                   F.percentile_approx("priority", _SHARES, 4 * STEPS).alias("_priorities"))
-    finer = finer.select(pool, "_one", F.when(F.col("_one"), F.col("_uids")).otherwise(F.col("_priorities")).alias("_bounds"))
-    edge = _salted(edge, finer, [pool]).withColumn("_part", _step(F.when(F.col("_one"), F.col("uid")).otherwise(F.col("priority"))))
-    more, last = _split(edge.drop("_bounds", "_one"), [pool, "_step"], "_part")
-    within = Window.partitionBy(pool, "_step", "_part").orderBy("priority", "uid")
-    ranked = last.withColumn("_rank", F.row_number().over(within)).filter("_rank <= _free")
-    return sure.select(queue.columns).unionByName(more.select(queue.columns)).unionByName(ranked.select(queue.columns))
-
-
-_SHARES = [i / STEPS for i in range(1, STEPS)]
-
-
-def _step(value: Column) -> Column:
-    """The step of a value among ``_bounds``; a bound that is met exactly is a step of its own."""
-    below = F.size(F.filter("_bounds", lambda b: b < value))
-    return below * 2 + F.array_contains("_bounds", value).cast("int")
-
-
-def _salted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with what a short table says about their key, met in ``SALTS`` parts per key."""
-    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("_salt")
-    return rows.join(table.select("*", parts), [*keys, "_salt"])
-
-
-def _split(rows: DataFrame, keys: list[str], step: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of the steps that fit ``_free`` whole, and those of the step it ends in, with ``_free`` less the former."""
-    counts = rows.groupBy(*keys, step).agg(F.count("*").alias("_n"), F.first("_free").alias("_room"))
-    before = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter("_before < _room")
-    placed = _salted(rows, counts.drop("_room"), [*keys, step])
-    whole = F.col("_before") + F.col("_n") <= F.col("_free")
-    left = placed.filter(~whole).withColumn("_free", F.col("_free") - F.col("_before"))
-    return placed.filter(whole), left.drop("_before", "_n")
+        free = free.join(down.select(name.alias("pool")).distinct(), "pool", "left_anti")
+    return free.select("pool", left.alias("free"), "n").filter("free > 0")
+
+
+def _cuts(ranks: DataFrame, free: DataFrame) -> DataFrame:
+    """(pool, free, cuts, coarse): up to ``CUTS`` places in rank order that cut a pool's queue about evenly."""
+    # the hash, a number of 40 bits, is below the pool's bound for about SAMPLE of its jobs
+    drawn = F.pmod(F.xxhash64("at"), F.lit(1 << 40)) * F.col("n") < F.lit(float(SAMPLE << 40))
+    # a pool without a sample is one part
+    listed = _salted(ranks, free).groupBy("pool").agg(
+        F.max("free").alias("free"), F.array_sort(F.collect_list(F.when(drawn, F.col("at")))).alias("sample"))
+    spaced = F.filter("sample", lambda _, i: F.floor(i * CUTS / F.size("sample")) < F.floor((i + 1) * CUTS / F.size("sample")))
+    cuts = listed.filter("free IS NOT NULL").select("pool", "free", spaced.alias("cuts"))
+    return cuts.select("pool", "free", "cuts", F.filter("cuts", lambda _, i: (i + 1) % STRIDE == 0).alias("coarse"))
+
+
+def _part(value: Column) -> Column:
+    """How many of ``cuts`` come before a rank: first among every ``STRIDE``-th, then among those between."""
+    above = F.size(F.filter("coarse", lambda b: b < value)) * STRIDE
+    fine = F.slice("cuts", above + 1, STRIDE - 1)
+    return F.coalesce(above + F.size(F.filter(fine, lambda b: b < value)), F.lit(0))
+
+
+def _salted(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with what a short table says about their pool, if anything, met in ``SALTS`` parts per pool.
+
+    A left join, so that Spark never gathers the rows to send them to the short table's few tasks.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)))
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
+    return salted.join(table.select("*", parts), ["pool", "salt"], "left")
