@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tickloom.operators.spread import spread
+from tickloom.operators.spread import deal
 
 # Tags left out, and tags that never hold anything.
 SKIPPED_TAGS = frozenset(["html", "head", "link", "meta", "br"])
@@ -85,15 +85,16 @@ def html_elements(
     pages: DataFrame,
     id_col: str = "page_id",
     html_col: str = "html",
-    deal: bool = False,
     tags: tuple[str, ...] = (),
 ) -> DataFrame:
     """Element rows (page_id, elem_id, parent_id, depth, tag, data, attributes, balanced).
 
     elem_id counts in document order, parent_id is NULL for outermost elements.
-    ``balanced`` is FALSE for pages that leave tags open. Pages are parsed where they
-    are read; ``deal`` moves them to all shuffle partitions first, for pages made from few files.
+    ``balanced`` is FALSE for pages that leave tags open.
     With ``tags`` only elements of those leave the parser.
+
+    Pages are dealt out evenly before they are parsed: parsing takes some twenty times as long as moving
+    them, and files, or pages made from a few rows, seldom hold as much HTML as a task should.
     """
     kind = pages.schema[id_col].dataType
     schema = T.StructType(
@@ -108,9 +109,7 @@ def html_elements(
             T.StructField("balanced", T.BooleanType()),
         ]
     )
-    texts = pages.select(id_col, html_col)
-    texts = spread(texts, id_col) if deal else texts
-    return texts.mapInArrow(_parse_batches(to_arrow_schema(schema), frozenset(tags)), schema)
+    return deal(pages.select(id_col, html_col)).mapInArrow(_parse_batches(to_arrow_schema(schema), frozenset(tags)), schema)
 
 
 def page_values(
@@ -140,7 +139,7 @@ def page_values(
             columns = zip(*rows) if rows else [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return pages.select(id_col, html_col).mapInArrow(read, schema)
+    return deal(pages.select(id_col, html_col)).mapInArrow(read, schema)
 
 
 def _values_in(elements: list[list], keys: dict[str, str]) -> dict[str, str | None]:
