@@ -11,7 +11,7 @@ from tickloom.operators import history as H
 from tickloom.operators import logs, records, schedules, status
 from tickloom.sources import logs as log_files
 from tickloom.sources import tables
-from tickloom.streaming import streams
+from tickloom.streaming import ledger, streams
 
 
 def land(df, folder, parts: int):
@@ -52,11 +52,11 @@ def test_due_runs_stream(spark, ticks, tmp_path):
     query = streams.follow_due_runs(
         stream(spark, ticks, tmp_path / "in", 5), timetables, jobs, out, str(tmp_path / "cp"))
     query.awaitTermination()
-    got = sorted((r.timetable_uid, r.createtime) for r in spark.read.parquet(f"{out}/runs").collect())
+    got = sorted((r.timetable_uid, r.createtime) for r in ledger.read(spark, f"{out}/runs").collect())
     fires = schedules.fire_times(schedules.active(timetables), datetime(2024, 1, 5, 8, 50), datetime(2024, 1, 5, 9, 30))
     want, _ = schedules.spawn_runs(fires, timetables, jobs)
     assert got == sorted((r.timetable_uid, r.createtime) for r in want.collect()) and len(got) == 40 + 2
-    log = spark.read.parquet(f"{out}/log")
+    log = ledger.read(spark, f"{out}/log")
     assert sorted((r.timetable_uid, r.createtime) for r in log.collect()) == got
     assert len({r.batch for r in log.select("batch").distinct().collect()}) > 1
 
@@ -72,12 +72,13 @@ def test_ticks_out_of_order(spark, tmp_path):
     jobs = spark.sql("SELECT 10L AS uid, 'Main' AS entrypoint, '/a.jar' AS jar, map('a','b') AS options, array('x') AS jobconf")
     out = str(tmp_path / "out")
     streams.follow_due_runs(stream(spark, ticks, tmp_path / "in", 6), timetables, jobs, out, str(tmp_path / "cp")).awaitTermination()
-    got = sorted((r.timetable_uid, r.createtime) for r in spark.read.parquet(f"{out}/runs").collect())
+    got = sorted((r.timetable_uid, r.createtime) for r in ledger.read(spark, f"{out}/runs").collect())
     fires = schedules.fire_times(schedules.active(timetables), start, start + timedelta(days=5))
     fires = fires.join(ticks.select(schedules.to_minute(F.col("ts")).alias("fire_ts")).distinct(), "fire_ts")
     want, _ = schedules.spawn_runs(fires, timetables, jobs)
     assert got == sorted((r.timetable_uid, r.createtime) for r in want.collect()) and len(got) > len(set(minutes))
-    assert len({r.batch for r in spark.read.parquet(f"{out}/minutes").select("batch").distinct().collect()}) > 1
+    assert len({r.batch for r in ledger.read(spark, f"{out}/runs").select("batch").distinct().collect()}) > 1
+    assert stored(spark, tmp_path / "cp").count() == len(set(minutes))
 
 
 def test_paused_while_the_stream_runs(spark, ticks, tmp_path):
@@ -94,8 +95,8 @@ def test_paused_while_the_stream_runs(spark, ticks, tmp_path):
     streams.follow_due_runs(
         stream(spark, ticks, tmp_path / "in", 4), timetables, jobs, out, str(tmp_path / "cp")).awaitTermination()
     assert len(reads) == 4
-    assert spark.read.parquet(f"{out}/minutes").count() == 40
-    assert spark.read.parquet(f"{out}/runs").count() == 20
+    assert stored(spark, tmp_path / "cp").count() == 40
+    assert ledger.read(spark, f"{out}/runs").count() == 20
 
 
 def transitions(spark):
@@ -108,34 +109,82 @@ def settled(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def stored(spark, checkpoint):
+    """The rows of a stream's state."""
+    return spark.read.format("statestore").load(str(checkpoint))
+
+
+def in_arrival(rows, machine, batches, start=None):
+    """What each key has come to when its events are applied batch by batch, and how many came late."""
+    found, last = {}, {}
+    for part in batches:
+        for key, ts, seq, action in sorted((r for r in part if r[3] is not None), key=lambda r: (r[1], r[2], r[3])):
+            state = found.setdefault(key, [(start or {}).get(key, machine.initial), dict.fromkeys(machine.stamps.values()), 0, 0, 0])
+            state[4] += key in last and last[key][0] is not part and (ts, seq) < last[key][1]
+            target = machine.moves.get((state[0], action))
+            state[2 if target else 3] += 1
+            if target:
+                state[0] = target
+                if action in machine.stamps:
+                    state[1][machine.stamps[action]] = ts
+        for key, ts, seq, _ in part:
+            last[key] = (part, max((ts, seq), last[key][1] if key in last else (ts, seq)))
+    return sorted((k, s[0], *s[1].values(), *s[2:]) for k, s in found.items())
+
+
 def test_status_stream(spark, tmp_path):
     events = transitions(spark)
-    path = str(tmp_path / "log")
+    path, checkpoint = str(tmp_path / "states"), str(tmp_path / "cp")
     source = stream(spark, events, tmp_path / "in", 6)
-    streams.follow_transitions(source, H.JOB_MACHINE, path, str(tmp_path / "cp")).awaitTermination()
+    streams.follow_transitions(source, H.JOB_MACHINE, path, checkpoint).awaitTermination()
     want = settled(H.replay_transitions(events, H.JOB_MACHINE))
-    assert settled(streams.states_now(spark, path, H.JOB_MACHINE)) == want
-    # compacted after the last batch, then continued
-    base = str(tmp_path / "base")
-    streams.compact_states(spark, path, base, H.JOB_MACHINE)
-    assert settled(streams.states_now(spark, path, H.JOB_MACHINE, base)) == want
+    assert settled(streams.states_now(spark, path).drop("late")) == want
+    assert streams.states_now(spark, path).filter("late > 0").count() == 0
+    assert stored(spark, checkpoint).count() == len(want) == 13
+    # continued after a stop
     more = events.select((F.col("n") + 300).alias("n"), "key", (F.col("ts") + 1000).alias("ts"),
                          (F.col("seq") + 300).alias("seq"), "action")
     land(more, tmp_path / "in", 2)
-    streams.follow_transitions(source, H.JOB_MACHINE, path, str(tmp_path / "cp")).awaitTermination()
+    streams.follow_transitions(source, H.JOB_MACHINE, path, checkpoint).awaitTermination()
     want = settled(H.replay_transitions(events.unionByName(more), H.JOB_MACHINE))
-    assert settled(streams.states_now(spark, path, H.JOB_MACHINE)) == want
-    assert settled(streams.states_now(spark, path, H.JOB_MACHINE, base)) == want
+    assert settled(streams.states_now(spark, path).drop("late")) == want
+    assert stored(spark, checkpoint).count() == 13
+
+
+@pytest.mark.parametrize("machine", [H.JOB_MACHINE, H.TIMETABLE_MACHINE], ids=["job", "timetable"])
+def test_late_events_and_given_states(spark, tmp_path, machine):
+    actions = [*machine.actions, "bogus", None]
+    rows = [(n, f"k{n * 5 % 7 if n % 4 else 0}", n * 37 % 101, n % 3, actions[n * 13 % len(actions)]) for n in range(400)]
+    events = spark.createDataFrame(rows, "n bigint, key string, ts bigint, seq bigint, action string")
+    start = {"k1": sorted(machine.states)[0], "k2": "unheard of", "k0": sorted(machine.states)[-1]}
+    initial = spark.createDataFrame(list(start.items()), "key string, status string")
+    path = str(tmp_path / "states")
+    streams.follow_transitions(stream(spark, events, tmp_path / "in", 5), machine, path, str(tmp_path / "cp"), initial=initial).awaitTermination()
+    parts = [[r[1:] for r in rows[i * 80 : i * 80 + 80]] for i in range(5)]
+    parts = [[r for r in part if r[3] is not None] for part in parts]
+    want = in_arrival(rows, machine, parts, {k: v for k, v in start.items() if v in machine.states})
+    assert settled(streams.states_now(spark, path)) == want
+    assert sum(r[-1] for r in want) > 100
+
+
+def test_hot_key_in_a_stream(spark, tmp_path):
+    """Enough events of one key in a batch that they are folded as arrays."""
+    actions = ["pause", "resume", "bogus", "resume", "pause"]
+    rows = [(n, "hot" if n % 9 else f"k{n % 4}", n // 2, n, actions[n * 7 % 5] if n < 2900 else "cancel") for n in range(3000)]
+    events = spark.createDataFrame(rows, "n bigint, key string, ts bigint, seq bigint, action string")
+    path = str(tmp_path / "states")
+    streams.follow_transitions(stream(spark, events, tmp_path / "in", 4), H.TIMETABLE_MACHINE, path, str(tmp_path / "cp")).awaitTermination()
+    assert settled(streams.states_now(spark, path).drop("late")) == settled(H.replay_transitions(events, H.TIMETABLE_MACHINE))
 
 
 def test_repeated_batch_counts_once(spark, tmp_path):
     events = transitions(spark)
-    path = str(tmp_path / "log")
+    path = str(tmp_path / "states")
     source = stream(spark, events, tmp_path / "in", 1)
     for attempt in range(2):  # as if the first had been lost before its commit
         checkpoint = str(tmp_path / f"cp-{attempt}")
         streams.follow_transitions(source, H.JOB_MACHINE, path, checkpoint).awaitTermination()
-    assert settled(streams.states_now(spark, path, H.JOB_MACHINE)) == settled(
+    assert settled(streams.states_now(spark, path).drop("late")) == settled(
         H.replay_transitions(events, H.JOB_MACHINE))
 
 
@@ -144,7 +193,7 @@ def test_run_totals_stream(spark, tmp_path):
         "id AS n", "id % 7 AS timetable_uid", "id AS job_uid", "id div 3 AS createtime")
     path = str(tmp_path / "totals")
     streams.follow_run_totals(stream(spark, stats, tmp_path / "in"), path, str(tmp_path / "cp")).awaitTermination()
-    got = streams.read_latest(spark, path, "timetable_uid").select("timetable_uid", "jobs", "last_time", "last_job_uid")
+    got = ledger.read_latest(spark, path, "timetable_uid").select("timetable_uid", "jobs", "last_time", "last_job_uid")
     assert settled(got) == settled(records.run_totals(stats))
 
 
@@ -219,20 +268,3 @@ def test_scratch_needs_a_shared_folder(spark):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     first, second = scratch_dir(spark), scratch_dir(spark)
     assert first.startswith(root) and first != second
-
-
-def test_half_written_batches_are_not_read(spark, tmp_path):
-    path, events = str(tmp_path / "log"), transitions(spark)
-    source = stream(spark, events, tmp_path / "in", 4)
-    streams.follow_transitions(source, H.JOB_MACHINE, path, str(tmp_path / "cp")).awaitTermination()
-    before = settled(streams.states_now(spark, path, H.JOB_MACHINE))
-    aside = tmp_path / "log" / "_writing" / "batch=99"
-    aside.mkdir(parents=True)
-    (aside / "part-0.parquet").write_bytes(b"half")
-    assert settled(streams.states_now(spark, path, H.JOB_MACHINE)) == before
-    # a batch that is tried again takes its folder's place
-    again = spark.read.parquet(f"{path}/batch=1")
-    count = spark.read.parquet(path).count()
-    again.write.parquet(str(tmp_path / "copy"))
-    streams.publish(spark.read.parquet(str(tmp_path / "copy")), path, 1)
-    assert spark.read.parquet(path).count() == count

@@ -69,10 +69,10 @@ TIMETABLE_MACHINE = Machine(
     stamps={"cancel": "canceltime"},
 )
 
-_UNSET = np.iinfo(np.int64).min
+UNSET = np.iinfo(np.int64).min
 
 
-class _Steps:
+class Steps:
     """What runs of events can do to the state, numbered.
 
     An action is a function on states, and so is a run of actions. A small machine has
@@ -99,8 +99,8 @@ class _Steps:
         self.accepted = (nxt >= 0)[:, self.ends]
 
 
-def _segment_effects(
-    actions: np.ndarray, ts: np.ndarray, starts: np.ndarray, steps: _Steps, stamped: list[int]
+def segment_effects(
+    actions: np.ndarray, ts: np.ndarray, starts: np.ndarray, steps: Steps, stamped: list[int]
 ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Effects of consecutive segments of ordered events: ends, accepted, stamp times.
 
@@ -123,7 +123,7 @@ def _segment_effects(
     accepted = steps.accepted[actions, before]
     times = []
     for action in stamped:
-        at = np.full((len(starts), accepted.shape[1]), _UNSET)
+        at = np.full((len(starts), accepted.shape[1]), UNSET)
         rows = np.nonzero(actions == action)[0]
         for state in range(accepted.shape[1]):
             taken = rows[accepted[rows, state]]
@@ -135,7 +135,7 @@ def _segment_effects(
 
 def _fold_batches(machine: Machine):
     """mapInArrow function: rows ordered by (key, ts, seq) to one effect per key."""
-    steps = _Steps(machine)
+    steps = Steps(machine)
     stamped = [machine.actions.index(a) for a in machine.stamps]
     width = len(machine.states)
 
@@ -149,7 +149,7 @@ def _fold_batches(machine: Machine):
 
         arrays = [keys, pa.array(first_ts, pa.int64()), pa.array(first_seq, pa.int64()),
                   pa.array(count, pa.int64()), lists(ends, pa.int32()), lists(accepted, pa.int64())]
-        arrays += [lists(t, pa.int64(), t == _UNSET) for t in times]
+        arrays += [lists(t, pa.int64(), t == UNSET) for t in times]
         names = ["key", "first_ts", "first_seq", "events", "ends", "accepted"]
         return pa.RecordBatch.from_arrays(arrays, names + [f"at_{i}" for i in range(len(times))])
 
@@ -158,7 +158,7 @@ def _fold_batches(machine: Machine):
         keys, ts, seq, count, ends, accepted, times = a
         _, _, _, more, ends_b, accepted_b, times_b = b
         via = ends[0]
-        later = [np.where(tb[:, via] != _UNSET, tb[:, via], t) for t, tb in zip(times, times_b)]
+        later = [np.where(tb[:, via] != UNSET, tb[:, via], t) for t, tb in zip(times, times_b)]
         return (keys, ts, seq, count + more, ends_b[:, via], accepted + accepted_b[:, via], later)
 
     def cut(effect, lo, hi):
@@ -176,7 +176,7 @@ def _fold_batches(machine: Machine):
             changed = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
             starts = np.append(0, np.nonzero(changed)[0] + 1)
             ts, seq, actions = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            ends, accepted, times = _segment_effects(actions, ts, starts, steps, stamped)
+            ends, accepted, times = segment_effects(actions, ts, starts, steps, stamped)
             count = np.diff(np.append(starts, n))
             effect = (keys.take(pa.array(starts)), ts[starts], seq[starts], count, ends, accepted, times)
             first = 0
@@ -196,7 +196,7 @@ def _fold_batches(machine: Machine):
     return fold
 
 
-def effects(
+def numbered(
     events: DataFrame,
     machine: Machine,
     key_col: str = "key",
@@ -204,14 +204,13 @@ def effects(
     seq_col: str = "seq",
     action_col: str = "action",
 ) -> DataFrame:
-    """Effects of ordered events: one row per key and slice of the range partitioning.
+    """(key, ts, seq, action) with actions as numbers of the machine; its count of actions stands for all others.
 
-    ``ts_col`` and ``seq_col`` are bigints and order a key's events, equal ones in the order of the machine's actions. Rows without an
-    action are left out; an action the machine does not know is always rejected.
+    Rows without a key or an action are left out; a missing time or number is 0.
     """
     known = F.array_position(F.array(*map(F.lit, machine.actions)), F.col(action_col)).cast("int")
     action = F.when(known > 0, known - 1).otherwise(F.lit(len(machine.actions)))
-    rows = events.filter(
+    return events.filter(
         F.col(action_col).isNotNull() & F.col(key_col).isNotNull()
     ).select(
         F.col(key_col).alias("key"),
@@ -219,6 +218,22 @@ def effects(
         F.coalesce(F.col(seq_col).cast("bigint"), F.lit(0)).alias("seq"),
         action.alias("action"),
     )
+
+
+def effects(
+    events: DataFrame,
+    machine: Machine,
+    key_col: str = "key",
+    ts_col: str = "ts",
+    seq_col: str = "seq",
+    action_col: str = "action",
+) -> DataFrame:
+    """Effects of ordered events: one row per key and slice of the range partitioning.
+
+    ``ts_col`` and ``seq_col`` are bigints and order a key's events, equal ones in the order of the machine's actions. Rows without an
+    action are left out; an action the machine does not know is always rejected.
+    """
+    rows = numbered(events, machine, key_col, ts_col, seq_col, action_col)
     kind = rows.schema["key"].dataType.simpleString()
     stamps = "".join(f", at_{i} array<bigint>" for i in range(len(machine.stamps)))
     schema = (

@@ -117,7 +117,11 @@ def rule_minutes(minutes: DataFrame, schedules: DataFrame, cron_col: str = "cron
     month, then the surviving (rule, day, hour) meet the minutes on the hour, where
     one bit test is left.
     """
-    rules = parse_schedules(schedules.select(cron_col).distinct(), cron_col)
+    return minutes_of_rules(minutes, parse_schedules(schedules.select(cron_col).distinct(), cron_col), cron_col)
+
+
+def minutes_of_rules(minutes: DataFrame, rules: DataFrame, cron_col: str = "cron") -> DataFrame:
+    """:func:`rule_minutes` for rules that are distinct and parsed already."""
     day = F.col("match_day")
     days = (
         minutes.select(F.col("minute").cast("date").alias("match_day"))

@@ -19,7 +19,7 @@ from tickloom.plans import flows
 from tickloom.session import scratch_dir
 from tickloom.sources import logs as log_files
 from tickloom.sources import tables as stored
-from tickloom.streaming import streams
+from tickloom.streaming import ledger, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +48,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
+def event_batches(spark: SparkSession, sf_dir: str, batches: int = 4, files: int = 4) -> DataFrame:
+    """The events as a stream of several micro-batches, in order of time; the events of one time stay together."""
+    rows, folder = events(spark, sf_dir), scratch_dir(spark)
+    second = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    ends = rows.select(second.alias("second")).approxQuantile("second", [k / batches for k in range(1, batches)], 0.001)
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = rows if low is None else rows.filter((second > low) | second.isNull())
+        part = part if high is None else part.filter(second <= high)
+        part.repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -653,11 +665,11 @@ def s4_cron_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s5_spawn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark)
     streams.follow_due_runs(
-        event_stream(spark, sf_dir), fx.timetables(spark, sf_dir), fx.jobs(spark, sf_dir),
+        event_batches(spark, sf_dir), fx.timetables(spark, sf_dir), fx.jobs(spark, sf_dir),
         folder, f"{folder}/checkpoint",
     ).awaitTermination()
-    runs = spark.read.parquet(f"{folder}/runs")
-    log = spark.read.parquet(f"{folder}/log").select("timetable_uid", "createtime", "job_name")
+    runs = ledger.read(spark, f"{folder}/runs")
+    log = ledger.read(spark, f"{folder}/log").select("timetable_uid", "createtime", "job_name")
     return runs.join(log, ["timetable_uid", "createtime"]).select(
         "timetable_uid", "name", "status", "createtime", "priority", "entrypoint", "job_name"
     )
@@ -666,28 +678,28 @@ def s5_spawn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def followed(spark: SparkSession, rows: DataFrame, machine: history.Machine) -> DataFrame:
     folder = scratch_dir(spark)
     streams.follow_transitions(
-        rows, machine, f"{folder}/log", f"{folder}/checkpoint"
+        rows, machine, f"{folder}/states", f"{folder}/checkpoint"
     ).awaitTermination()
-    return streams.states_now(spark, f"{folder}/log", machine)
+    return streams.states_now(spark, f"{folder}/states").drop("late")
 
 
 @query
 def s6_job_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return followed(spark, fx.job_transitions(event_stream(spark, sf_dir)), history.JOB_MACHINE)
+    return followed(spark, fx.job_transitions(event_batches(spark, sf_dir)), history.JOB_MACHINE)
 
 
 @query
 def s6_timetable_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.timetable_transitions(event_stream(spark, sf_dir))
+    rows = fx.timetable_transitions(event_batches(spark, sf_dir))
     return followed(spark, rows, history.TIMETABLE_MACHINE)
 
 
 @query
 def s7_run_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark)
-    runs = fx.timetable_stats(event_stream(spark, sf_dir))
+    runs = fx.timetable_stats(event_batches(spark, sf_dir))
     streams.follow_run_totals(runs, f"{folder}/totals", f"{folder}/checkpoint").awaitTermination()
-    return streams.read_latest(spark, f"{folder}/totals", "timetable_uid")
+    return ledger.read_latest(spark, f"{folder}/totals", "timetable_uid")
 
 
 @query

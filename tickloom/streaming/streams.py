@@ -1,4 +1,4 @@
-"""Continuous forms of the operators, and the two sinks they need.
+"""Continuous forms of the operators. Their results are plain files or ledgers (``ledger``), which hold batches whole.
 
 ``cron_filter``, ``cluster_status`` and ``parse_apps`` work on a stream as they are:
 they are stateless.
@@ -8,17 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickloom.sources.logs import file_system
-from tickloom.operators.history import Machine, compose, effects, settle
+from tickloom.operators.history import UNSET, Machine, Steps, numbered, segment_effects
 from tickloom.operators.records import run_totals
-from tickloom.operators.schedules import active, rule_minutes, run_log, spawn_due, to_minute
+from tickloom.operators.schedules import active, minutes_of_rules, parse_schedules, run_log, spawn_due, to_minute
+from tickloom.streaming import ledger
 
 Trigger = dict[str, object]
 Table = DataFrame | Callable[[], DataFrame]  # a function reads the table anew per batch
@@ -41,36 +43,29 @@ def append_rows(
     )
 
 
-def publish(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Writes the folder ``batch=<id>`` aside and moves it into place once it is whole.
-
-    Readers and compaction never see half a batch where the file system moves a folder at once, as local ones
-    and hdfs do. Spark's readers pass over names that begin with ``_``.
-    """
-    aside, target = f"{path}/_writing/batch={batch_id}", f"{path}/batch={batch_id}"
-    rows.write.mode("overwrite").parquet(aside)
-    system, source = file_system(aside)
-    _, place = file_system(target)
-    if system.get_file_info(place).type != fs.FileType.NotFound:
-        system.delete_dir(place)
-    system.move(source, place)
+def _run(batch: DataFrame) -> None:
+    """Computes a batch whose rows are written already: the stream's state needs all of it."""
+    batch.write.format("noop").mode("overwrite").save()
 
 
 def write_batches(
     rows: DataFrame,
-    shape: Callable[[DataFrame], DataFrame],
     path: str,
     checkpoint: str,
+    key: str | None = None,
     mode: str = "append",
     trigger: Trigger = ALL_THERE_IS,
 ) -> StreamingQuery:
-    """Each micro-batch, shaped, in its own folder ``batch=<id>``.
+    """Each micro-batch as a batch of the ledger at ``path``; with a ``key``, its rows replace earlier ones of their key.
 
-    A batch that is tried again replaces its folder, so its rows count once.
+    A batch that is tried again counts once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        publish(shape(batch), path, batch_id)
+        if ledger.committed(path, batch_id):
+            _run(batch)
+        else:
+            ledger.commit(batch, path, batch_id, key)
 
     return (
         rows.writeStream.foreachBatch(write)
@@ -81,13 +76,6 @@ def write_batches(
     )
 
 
-def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The newest row of each key among those :func:`write_batches` wrote in update mode."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(*[F.max_by(c, "batch").alias(c) for c in values])
-
-
 # -- runs spawned by ticks -----------------------------------------------------
 
 
@@ -110,46 +98,61 @@ def follow_due_runs(
     ts_col: str = "ts",
     trigger: Trigger = ALL_THERE_IS,
 ) -> StreamingQuery:
-    """New jobs (``path/runs``) and run-log rows (``path/log``) for each minute that ticks.
+    """New jobs (ledger ``path/runs``) and run-log rows (``path/log``) for each minute that ticks.
 
-    The minutes themselves are kept in ``path/minutes``. A minute counts once, however often
-    and however late it ticks: a batch leaves out the minutes that earlier batches have written.
-    PAUSED timetables stay in the table but give no run; where statuses change while the
-    stream runs, pass a function that reads the table. A batch tried again replaces its folders.
+    A minute counts once, however often and however late it ticks: the minutes seen are the stream's state, half a
+    million a year, so a batch costs what its own minutes cost. PAUSED timetables stay in the table but give no run; where
+    statuses change while the stream runs, pass a function that reads the table. A batch tried again counts once.
 
     Each task first thins its ticks out to single minutes, so a minute with most of the
-    ticks is no bottleneck where its ticks meet. A batch finds the few timetables that are due before
-    it looks at jobs, and reads only the jobs those copy.
+    ticks is no bottleneck where its ticks meet. Rules are parsed once and kept in ``path/rules``, a batch parses those it
+    meets for the first time. It finds the few timetables that are due before it looks at jobs, and reads only the jobs
+    those copy.
     """
     minutes = (
         ticks.select(to_minute(F.col(ts_col)).alias("minute"))
         .filter("minute IS NOT NULL")
         .mapInArrow(_once_per_task, "minute timestamp_ntz")
+        .dropDuplicates(["minute"])
     )
+    indexed = []  # whether a table that stays as it is has had its rules parsed
+
+    def rules_of(due: DataFrame, batch_id: int) -> DataFrame:
+        """The parsed rules; those that no batch has met before are added."""
+        spark, place = due.sparkSession, f"{path}/rules"
+        if not indexed or callable(timetables):
+            texts = due.select("cron").distinct()
+            if ledger.newest(place) is not None:
+                texts = texts.join(ledger.read(spark, place).select("cron"), "cron", "left_anti")
+            ledger.commit(parse_schedules(texts, "cron"), place, batch_id)
+            indexed.append(True)
+        return ledger.read(spark, place).drop("batch")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-
-        def kept(rows: DataFrame, name: str) -> DataFrame:
-            folder = f"{path}/{name}/batch={batch_id}"
-            rows.write.mode("overwrite").parquet(folder)
-            return spark.read.schema(rows.schema).parquet(folder)
-
-        fresh = batch.distinct()
-        if batch_id > 0:
-            # batches are written one after the other, so all earlier ones are complete
-            known = spark.read.schema("minute timestamp_ntz, batch bigint").parquet(f"{path}/minutes")
-            fresh = fresh.join(known.filter(F.col("batch") < batch_id).select("minute"), "minute", "left_anti")
-        # written before use: what follows reads the minutes more than once
-        fresh = kept(fresh, "minutes")
-        if fresh.isEmpty():
+        if ledger.committed(f"{path}/log", batch_id):
+            _run(batch)
             return
-        listed, templates = (t() if callable(t) else t for t in (timetables, jobs))
-        due = active(listed).select(F.col("uid").alias("timetable_uid"), "cron")
-        fires = rule_minutes(fresh, due).join(due, "cron")
-        fires = kept(fires.select("timetable_uid", F.col("minute").alias("fire_ts")), "fires")
-        runs = kept(spawn_due(fires, listed, templates), "runs")
-        kept(run_log(runs), "log")
+        if ledger.committed(f"{path}/runs", batch_id):
+            _run(batch)
+        else:
+            fresh = batch.persist()
+            try:
+                if fresh.count() == 0:  # a count reads the whole batch, as the state needs
+                    return
+                listed, templates = (t() if callable(t) else t for t in (timetables, jobs))
+                due = active(listed).select(F.col("uid").alias("timetable_uid"), "cron")
+                fires = minutes_of_rules(fresh, rules_of(due, batch_id), "cron").join(due, "cron")
+                fires = fires.select("timetable_uid", F.col("minute").alias("fire_ts")).persist()
+                try:
+                    fires.count()  # Spark knows the size of what it has held
+                    ledger.commit(spawn_due(fires, listed, templates), f"{path}/runs", batch_id)
+                finally:
+                    fires.unpersist()
+            finally:
+                fresh.unpersist()
+        runs = ledger.read(spark, f"{path}/runs").filter(F.col("batch") == batch_id)
+        ledger.commit(run_log(runs), f"{path}/log", batch_id)
 
     return (
         minutes.writeStream.foreachBatch(write)
@@ -162,62 +165,91 @@ def follow_due_runs(
 # -- status changes ------------------------------------------------------------
 
 
+# Events of a key in a batch from which on they are folded as arrays.
+_MANY = 64
+
+
+def _step(machine: Machine):
+    """The state function: a key's events of one batch, in order, on what is known of the key."""
+    steps, moves, states = Steps(machine), machine.table(), machine.states
+    stamped = [machine.actions.index(a) for a in machine.stamps]
+    names = ["key", "status", *machine.stamps.values(), "accepted", "rejected", "late"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = [[b[c].to_numpy() for c in ("ts", "seq", "action", "start")] for b in batches]
+        ts, seq, action, start = (np.concatenate(column) for column in zip(*parts))
+        order = np.lexsort((action, seq, ts))
+        ts, seq, action = ts[order], seq[order], action[order]
+        if state.exists:
+            now, accepted, rejected, late, *times = state.get
+            last, times = tuple(times[:2]), times[2:]
+            late += int(((ts < last[0]) | (ts == last[0]) & (seq < last[1])).sum())
+        else:
+            now, accepted, rejected, late, last, times = int(start[0]), 0, 0, 0, (ts[0], seq[0]), [None] * len(stamped)
+        if len(ts) < _MANY:
+            for at, what in zip(ts.tolist(), action.tolist()):
+                target = moves[what, now]
+                if target < 0:
+                    rejected += 1
+                    continue
+                now, accepted = int(target), accepted + 1
+                if what in stamped:
+                    times[stamped.index(what)] = at
+        else:
+            ends, total, set_at = segment_effects(action, ts, np.array([0]), steps, stamped)
+            times = [old if new[0, now] == UNSET else int(new[0, now]) for old, new in zip(times, set_at)]
+            accepted, rejected = accepted + int(total[0, now]), rejected + len(ts) - int(total[0, now])
+            now = int(ends[0, now])
+        last = max(tuple(map(int, last)), (int(ts[-1]), int(seq[-1])))
+        state.update((now, accepted, rejected, late, *last, *times))
+        row = [*key, states[now], *times, accepted, rejected, late]
+        frame = pd.DataFrame([row], columns=names)
+        yield frame.astype({name: "Int64" for name in machine.stamps.values()})
+
+    return step
+
+
 def follow_transitions(
     events: DataFrame,
     machine: Machine,
     path: str,
     checkpoint: str,
     trigger: Trigger = ALL_THERE_IS,
-    **columns: str,
+    initial: DataFrame | None = None,
+    key_col: str = "key",
+    ts_col: str = "ts",
+    seq_col: str = "seq",
+    action_col: str = "action",
 ) -> StreamingQuery:
-    """Keeps a log of effects, a folder per micro-batch; read it with :func:`states_now`.
-
-    A batch adds what it did to each key it touched and nothing else, so its cost
-    follows the batch, not the number of keys known. Within a batch events are ordered
-    by (ts, seq); an event that arrives in a later batch is applied after it.
-    """
-    return write_batches(
-        events, lambda batch: effects(batch, machine, **columns), path, checkpoint, trigger=trigger
-    )
-
+    """Keeps the status of every key, in the stream's state and in the ledger at ``path``; read it with :func:`states_now`.
 
-_ORDER = ("batch", "first_ts", "first_seq")
+    A batch touches only the keys it has events of, and neither it nor a reader folds earlier events again: a key's state is one
+    row. Within a batch events are ordered by (ts, seq), equal ones in the order of the machine's actions. An event that
+    comes in a later batch than one of greater (ts, seq) is applied when it comes, as the queue's owner would, and counted
+    in ``late``. ``initial`` (key, status) gives keys that do not start in the machine's initial state; it counts when a key is
+    met first. Rows without a key or an action are left out.
 
-
-def _last_batch(log: DataFrame) -> int:
-    return log.select(F.max("batch")).first()[0]
-
-
-def _effect_log(spark: SparkSession, path: str, base: str | None) -> DataFrame:
-    log = spark.read.parquet(path)
-    if base is None:
-        return log
-    done = spark.read.parquet(base)
-    return done.unionByName(log.filter(F.col("batch") > _last_batch(done)))
-
-
-def states_now(
-    spark: SparkSession,
-    path: str,
-    machine: Machine,
-    base: str | None = None,
-    initial: DataFrame | None = None,
-) -> DataFrame:
-    """Status per key after all batches written so far.
-
-    With ``base``, a compacted log, only batches after it are read from ``path``.
+    A key's events of one batch meet in one task, as 17 bytes each; the source's limit on a batch bounds them.
     """
-    return settle(_effect_log(spark, path, base), machine, _ORDER, initial)
-
-
-def compact_states(
-    spark: SparkSession, path: str, target: str, machine: Machine, base: str | None = None
-) -> None:
-    """Writes the log so far to ``target`` with one effect per key, as a new base."""
-    log = _effect_log(spark, path, base)
-    last = _last_batch(log)
-    whole = compose(log, machine, _ORDER).drop("batch")
-    whole.write.mode("errorifexists").parquet(f"{target}/batch={last}")
+    rows = numbered(events, machine, key_col, ts_col, seq_col, action_col)
+    states = F.array(*map(F.lit, machine.states))
+    start = F.lit(machine.states.index(machine.initial))
+    if initial is not None:
+        given = initial.select("key", (F.array_position(states, F.col("status")) - 1).cast("int").alias("given"))
+        rows = rows.join(given, "key", "left")
+        start = F.when(F.col("given") >= 0, F.col("given")).otherwise(start)
+    kind = rows.schema["key"].dataType.simpleString()
+    stamps = "".join(f", {name} bigint" for name in machine.stamps.values())
+    counts = "accepted bigint, rejected bigint, late bigint"
+    current = rows.select("key", "ts", "seq", "action", start.alias("start")).groupBy("key").applyInPandasWithState(
+        _step(machine), f"key {kind}, status string{stamps}, {counts}", f"status int, {counts}, last_ts bigint, last_seq bigint{stamps}",
+        "update", GroupStateTimeout.NoTimeout)
+    return write_batches(current, path, checkpoint, "key", "update", trigger)
+
+
+def states_now(spark: SparkSession, path: str) -> DataFrame:
+    """(key, status, times set, accepted, rejected, late) per key after all batches written so far."""
+    return ledger.read_latest(spark, path, "key")
 
 
 # -- run statistics ------------------------------------------------------------
@@ -226,10 +258,8 @@ def compact_states(
 def follow_run_totals(
     stats: DataFrame, path: str, checkpoint: str, trigger: Trigger = ALL_THERE_IS
 ) -> StreamingQuery:
-    """Run totals per timetable, kept current; read them with :func:`read_latest`.
+    """Run totals per timetable, kept current in the ledger at ``path``; read them with :func:`ledger.read_latest`.
 
     A batch writes the totals that changed in it, not all there are.
     """
-    return write_batches(
-        run_totals(stats), lambda totals: totals, path, checkpoint, "update", trigger
-    )
+    return write_batches(run_totals(stats), path, checkpoint, "timetable_uid", "update", trigger)
