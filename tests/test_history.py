@@ -117,3 +117,31 @@ def test_given_initial_states(spark):
         H.replay_transitions(spark.createDataFrame(rows, SCHEMA), H.JOB_MACHINE, initial=initial), H.JOB_MACHINE)
     assert got == {"a": ("FINISHED", None, 1, 1, 0), "b": ("CLOSED", None, None, 0, 1),
                    "c": ("RUNNING", 1, None, 1, 0)}
+
+
+def longest_list(spark, pieces, machine, fold):
+    """The most effects that one group of the round's fold has."""
+    return fold(pieces, machine).groupBy("key").count().agg(F.max("count")).first()[0]
+
+
+def test_lists_stay_short_in_rounds(spark, monkeypatch):
+    """A key with 3,000 slices is folded to at most ``FOLD`` effects, and comes out as by brute force."""
+    machine, rng = H.TIMETABLE_MACHINE, random.Random(8)
+    rows = [("hot", n, n, rng.choice(["pause", "resume", "resume", "unknown"])) for n in range(3000)] + [("cold", 1, 1, "pause"), ("cold", 2, 2, "cancel")]
+    per_event = H.effects(spark.createDataFrame(rows, SCHEMA).withColumn("key", F.concat_ws("/", "key", "seq")), machine)
+    # as if each event had been a slice of its own
+    pieces = per_event.withColumn("slice", F.col("first_seq").cast("int")).withColumn("key", F.split("key", "/")[0]).checkpoint()
+    want = {key: brute(events, machine) for key, events in by_key(rows).items()}
+    assert longest_list(spark, pieces, machine, lambda p, m: H._by_slices(p, m, 3000)) <= H.FOLD
+    assert longest_list(spark, pieces, machine, lambda p, m: H._by_counting(p, m, H.ORDER)) <= H.FOLD
+    assert replayed(H.settle(H._by_slices(pieces, machine, 3000), machine), machine) == want
+    assert replayed(H.settle(H.compose(pieces, machine), machine), machine) == want
+    spark.conf.set("spark.sql.shuffle.partitions", "70")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(H, "FOLD", 4)
+    try:
+        got = H.replay_transitions(spark.createDataFrame(rows, SCHEMA).repartition(5), machine)
+        assert replayed(got, machine) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -45,6 +45,16 @@ def test_rows_without_a_key_stay(spark, tmp_path):
     assert rows == sorted(("a", n, n * 10) for n in range(9) for _ in range(n % 3))
 
 
+def test_large_folders_without_a_key_stay_as_they_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "SMALL", 3000)
+    path = str(tmp_path / "t")
+    for n in range(12):
+        ledger.commit(batch(spark, [(f"{n}-{i}", i) for i in range(300 if n % 4 == 1 else 1)]).coalesce(1), path, n)
+    folders = ledger.newest(path)["folders"]
+    assert ledger.read(spark, path).count() == 3 * 300 + 9
+    assert 3 < len(folders) < 12 and [f["name"] for f in folders if f["bytes"] > 3000] == [f["name"] for f in folders if f["first"] == f["last"] and f["first"] % 4 == 1]
+
+
 def test_repeated_batches_change_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     ledger.commit(batch(spark, [("a", 1)]), path, 3, "key")

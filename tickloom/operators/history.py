@@ -16,9 +16,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import scratch_dir
+
 
 @dataclass(frozen=True)
 class Machine:
@@ -147,10 +150,11 @@ def _fold_batches(machine: Machine):
                             mask=None if mask is None else mask.ravel())
             return pa.ListArray.from_arrays(offsets, flat)
 
-        arrays = [keys, pa.array(first_ts, pa.int64()), pa.array(first_seq, pa.int64()),
+        part = TaskContext.get().partitionId()
+        arrays = [keys, pa.array(np.full(len(count), part, np.int32)), pa.array(first_ts, pa.int64()), pa.array(first_seq, pa.int64()),
                   pa.array(count, pa.int64()), lists(ends, pa.int32()), lists(accepted, pa.int64())]
         arrays += [lists(t, pa.int64(), t == UNSET) for t in times]
-        names = ["key", "first_ts", "first_seq", "events", "ends", "accepted"]
+        names = ["key", "slice", "first_ts", "first_seq", "events", "ends", "accepted"]
         return pa.RecordBatch.from_arrays(arrays, names + [f"at_{i}" for i in range(len(times))])
 
     def joined(a, b):
@@ -228,7 +232,7 @@ def effects(
     seq_col: str = "seq",
     action_col: str = "action",
 ) -> DataFrame:
-    """Effects of ordered events: one row per key and slice of the range partitioning.
+    """Effects of ordered events: one row per key and slice of the range partitioning, whose number is ``slice``.
 
     ``ts_col`` and ``seq_col`` are bigints and order a key's events, equal ones in the order of the machine's actions. Rows without an
     action are left out; an action the machine does not know is always rejected.
@@ -237,7 +241,7 @@ def effects(
     kind = rows.schema["key"].dataType.simpleString()
     stamps = "".join(f", at_{i} array<bigint>" for i in range(len(machine.stamps)))
     schema = (
-        f"key {kind}, first_ts bigint, first_seq bigint, events bigint, "
+        f"key {kind}, slice int, first_ts bigint, first_seq bigint, events bigint, "
         f"ends array<int>, accepted array<bigint>{stamps}"
     )
     return (
@@ -247,14 +251,18 @@ def effects(
     )
 
 
-def compose(
-    pieces: DataFrame, machine: Machine, order: tuple[str, ...] = ("first_ts", "first_seq")
-) -> DataFrame:
-    """One effect per key out of many, applied in the given order."""
+# Effects of a key that one list holds at most; a key with more is folded in rounds.
+FOLD = 32
+# How the effects of one ``effects`` follow each other.
+ORDER = ("first_ts", "first_seq")
+
+
+def _folded(pieces: DataFrame, machine: Machine, order: tuple[str, ...], groups: list[str]) -> DataFrame:
+    """One effect per key and ``groups`` out of at most a list of them, applied in the given order."""
     width = len(machine.states)
     stamps = [f"at_{i}" for i in range(len(machine.stamps))]
     fields = [*order, "events", "ends", "accepted", *stamps]
-    listed = pieces.groupBy("key").agg(
+    listed = pieces.groupBy("key", *groups).agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("pieces")
     )
 
@@ -282,21 +290,72 @@ def compose(
     )
     first = [F.get(F.col("pieces"), F.lit(0))[c].alias(c) for c in order]
     return listed.select(
-        "key", *first, F.aggregate("pieces", begin, follow).alias("whole")
-    ).select("key", *order, "whole.*")
+        "key", *groups, *first, F.aggregate("pieces", begin, follow).alias("whole")
+    ).select("key", *groups, *order, "whole.*")
+
+
+def _by_slices(pieces: DataFrame, machine: Machine, slices: int) -> DataFrame:
+    """The effects of one :func:`effects` with neighbouring slices of a key folded, round by round, to at most ``FOLD`` a key.
+
+    A key's slices have consecutive numbers in order, so dividing them by ``FOLD`` makes groups of neighbours. A key that
+    spans all slices never has a longer list, and no effect is counted first: how many rounds there are follows from ``slices``.
+    """
+    while slices > FOLD:
+        grouped = pieces.withColumn("group", F.floor(F.col("slice") / FOLD))
+        folded = _folded(grouped.drop("slice"), machine, ORDER, ["group"])
+        pieces = folded.withColumnRenamed("group", "slice")
+        slices = -(-slices // FOLD)
+    return pieces
+
+
+def _by_counting(pieces: DataFrame, machine: Machine, order: tuple[str, ...]) -> DataFrame:
+    """The same for effects of several batches: a key's effects are numbered in order, and every ``FOLD`` neighbours become one.
+
+    Numbers come from the places of the ordered effects in their partition and from the partitions' counts, so a key that has most
+    of all effects is neither a list nor a window in one task. Effects are counted when this is called, and where a key
+    has many they are checkpointed once a round.
+    """
+    crowd = pieces.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    columns = pieces.columns
+    context = pieces.sparkSession.sparkContext
+    if crowd > FOLD and context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_dir(pieces.sparkSession))
+    while crowd > FOLD:
+        ordered = pieces.repartitionByRange("key", *order).sortWithinPartitions("key", *order)
+        # the counts and the rows must see the same partitions
+        placed = ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")).checkpoint()
+        starts = placed.groupBy("key", "part").agg(F.min("place").alias("from"), F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        starts = starts.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
+        number = F.col("before") + F.col("place") - F.col("from")
+        grouped = placed.join(starts, ["key", "part"]).withColumn("group", F.floor(number / FOLD))
+        pieces = _folded(grouped, machine, order, ["group"]).select(*[c for c in columns if c != "slice"])
+        crowd = -(-crowd // FOLD)
+    return pieces
+
+
+def compose(pieces: DataFrame, machine: Machine, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """One effect per key out of many, applied in the given order; no list holds more than ``FOLD`` of them.
+
+    Effects of several batches, told apart by a column of ``order``, may be any number a key.
+    """
+    return _folded(_by_counting(pieces, machine, order), machine, order, [])
 
 
 def settle(
     pieces: DataFrame,
     machine: Machine,
-    order: tuple[str, ...] = ("first_ts", "first_seq"),
+    order: tuple[str, ...] = ORDER,
     initial: DataFrame | None = None,
 ) -> DataFrame:
     """Final status per key from effects, applied in the given order.
 
     ``initial`` (key, status) gives keys that do not start in the machine's initial
-    state. A key brings at most one effect per slice, so the lists stay short.
+    state. Effects of one :func:`effects` fold in rounds of at most ``FOLD`` a key; those of several batches are
+    brought down to that by :func:`compose` first, where a key may have many.
     """
+    if order == ORDER and "slice" in pieces.columns:
+        pieces = _by_slices(pieces, machine, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     states = F.array(*map(F.lit, machine.states))
     stamps = [f"at_{i}" for i in range(len(machine.stamps))]
     fields = [*order, "events", "ends", "accepted", *stamps]

@@ -4,8 +4,9 @@ A batch first writes its rows to a folder of their own; nobody reads it before t
 is one small file that is there whole or not at all. So a batch is seen whole or not at all on stores that cannot move
 folders too. A batch that is tried again finds its entry and changes nothing.
 
-Folders are put together as a binary counter counts: two of one size become one of the next. After n batches at most
-about log2(n) folders count, and each row is rewritten at most that often. Where rows have a key, a folder keeps its newest.
+Folders of a table with a key are put together as a binary counter counts: two of one size become one of the next, with the newest
+row of each key. After n batches at most about log2(n) folders count, and each row is rewritten at most that often. Without
+a key only small folders are put together, until they hold ``SMALL`` bytes; others stay as they were written.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tickloom.sources.logs import file_system
 
 # Entries that stay readable: a reader that began with an older one may lose its files.
 KEPT = 8
+# Bytes up to which folders of rows without a key are put together.
+SMALL = 8 << 20
 
 
 def _entries(path: str) -> list[tuple[int, str]]:
@@ -54,6 +57,11 @@ def _put(path: str, batch_id: int, entry: dict) -> None:
     system.move(aside, f"{root}/{batch_id:020d}.json")
 
 
+def _bytes(path: str, name: str) -> int:
+    system, root = file_system(f"{path}/data/{name}")
+    return sum(info.size or 0 for info in system.get_file_info(fs.FileSelector(root)))
+
+
 def committed(path: str, batch_id: int) -> bool:
     last = newest(path)
     return last is not None and last["batch"] >= batch_id
@@ -85,16 +93,16 @@ def commit(rows: DataFrame, path: str, batch_id: int, key: str | None = None) ->
 
     stamped = rows.withColumn("batch", F.lit(batch_id).cast("bigint"))
     schema = stamped.schema.json()
-    size, merged, first = 0, [], batch_id
-    while folders and folders[-1]["size"] == size:
+    own = write(stamped)
+    size, merged, first, held = 0, [], batch_id, 0 if key else _bytes(path, own)
+    while folders and folders[-1]["size"] == size and (key or held + folders[-1]["bytes"] <= SMALL):
         taken = folders.pop()
         merged.append(taken["name"])
-        size, first = size + 1, taken["first"]
-    own = write(stamped)
+        size, first, held = size + 1, taken["first"], held + taken["bytes"]
     if merged:
         table = spark.read.schema(stamped.schema).parquet(*[f"{path}/data/{name}" for name in [*merged, own]])
         own = write(_latest(table, key).select(*stamped.columns) if key else table)
-    folders.append({"name": own, "size": size, "first": first, "last": batch_id})
+    folders.append({"name": own, "size": size, "first": first, "last": batch_id, "bytes": held})
     _put(path, batch_id, {"batch": batch_id, "schema": schema, "folders": folders})
     _tidy(path)
 

@@ -202,9 +202,7 @@ def _step(machine: Machine):
             now = int(ends[0, now])
         last = max(tuple(map(int, last)), (int(ts[-1]), int(seq[-1])))
         state.update((now, accepted, rejected, late, *last, *times))
-        row = [*key, states[now], *times, accepted, rejected, late]
-        frame = pd.DataFrame([row], columns=names)
-        yield frame.astype({name: "Int64" for name in machine.stamps.values()})
+        yield pd.DataFrame([[*key, states[now], *times, accepted, rejected, late]], columns=names)
 
     return step
 
