@@ -135,3 +135,23 @@ def test_validation(spark):
     assert {r.rule: r.rows for r in counts.collect()} == {"status": 2, "createtime": 2}
     address = spark.sql("SELECT 'spark://h:1' AS m, 'http://h:1' AS u, 'jdbc:' AS j")
     assert quality.tag_violations(address, quality.address_rules("m", "u", "j")).first().violations == ["jdbc_url"]
+
+
+def test_json_is_read_whole_or_not_at_all(spark):
+    """As ``json.loads`` reads, but that NaN and Infinity are no JSON."""
+    import json
+
+    texts = ['{"a":1}', '{"a":1} tail', "{'a':1}", '{"a":1,"a":2}', "[1]", "1", "", "  ", '{"a":1}]', '{"a":1},{"b":2}', "1],[2", '1,"x":2', "1}",
+             '{"a":"x\ty"}', '{"a":01}', "nul", "null", ' {"a":1}\n', '{"a":1}}', '"s"', "{a:1}", '{"a":1,}', "[1,]", '{"a":"\\x"}', '{"a":.5}',
+             '{"a":+1}', "// c\n{}", '1},"w":{"x":1', '1}]', '[1],"v":[2', "true false", '"a" "b"', '{"a":{"b":[1,{"c":null}]}}']
+
+    def loads(text):
+        try:
+            json.loads(text)
+        except ValueError:
+            return False
+        return True
+
+    rows = spark.createDataFrame([(t,) for t in [*texts, None, '{"a":NaN}', "Infinity"]], "t string")
+    got = {r.t: r.ok for r in rows.select("t", C.is_json("t").alias("ok")).collect()}
+    assert got == {**{t: loads(t) for t in texts}, None: False, '{"a":NaN}': False, "Infinity": False}

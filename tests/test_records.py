@@ -56,6 +56,16 @@ def test_template_keeps_its_keys(spark):
     assert got == {1: {"key": "value", "z": {"a": [1, None]}}, 2: None, 3: None}
 
 
+def test_content_with_a_tail_is_no_document(spark):
+    texts = ['{"a":1} tail', '{"a":1}}', '{"a":1},{"b":2}', '{"a":NaN}', "{'a':1}", '{"a":1,"a":2}', ' {"a":"8077001254390267311"}\n', '{"n":1e5}']
+    df = spark.createDataFrame(list(enumerate(texts)), "uid bigint, content string").selectExpr("uid", "'t' AS name", "content", "uid * 2 AS later")
+    found = {i: d for i, d in documents(df, "template").items()}
+    assert [found[i]["content"] for i in range(8)] == [None] * 5 + [{"a": 2}, {"a": "8077001254390267311"}, {"n": 1e5}]
+    assert [found[i]["later"] for i in range(8)] == list(range(0, 16, 2)) and list(found[0]) == ["uid", "name", "content", "later"]
+    only = documents(df.select("uid", "content"), "template")
+    assert list(only[6]) == ["uid", "content"]
+
+
 def documents(df, kind):
     return {r.uid: json.loads(r.document) for r in R.to_documents(df, kind).collect()}
 
@@ -74,8 +84,16 @@ def test_documents(spark):
         (True, False, True), (False, True, True), (False, False, False)]
     assert docs[1]["stats"] == {"jobs": 3}
     rule = documents(spark.sql("SELECT 1L AS uid, 'ACTIVE' AS status, '5 * * JAN,2 * *' AS cron"), "timetable")[1]["cron"]
-    assert rule == {"pattern": "5 * * JAN,2 * *", "minute": [5], "hour": None, "day": None, "month": [1, 2],
+    assert rule == {"pattern": "5 * * JAN,2 * *", "minute": 5, "hour": None, "day": None, "month": [1, 2],
                     "weekday": None, "year": None}
+    lone = spark.sql("SELECT 1L AS uid, 'ACTIVE' AS status, '*/60 5-5 7 dec Fri 2015,2015' AS cron, named_struct('uid', 4L, 'status', 'READY') AS job")
+    found = documents(lone, "timetable")[1]
+    assert {f: found["cron"][f] for f in ("minute", "hour", "day", "month", "weekday", "year")} == {
+        "minute": [0], "hour": [5], "day": 7, "month": 12, "weekday": 5, "year": [2015]}
+    assert found["job"] == {"uid": 4, "status": "READY", "can_close": True}
+    assert documents(lone.withColumn("job", F.expr("if(uid = 0, job, null)")), "timetable")[1]["job"] is None
+    bad = spark.createDataFrame([(1, "x y")], "uid bigint, cron string").withColumn("status", F.lit("ACTIVE"))
+    assert not any(v for k, v in documents(bad, "timetable")[1]["cron"].items() if k != "pattern")
     templates = spark.createDataFrame([(1, '{"name": "x"}')], "uid bigint, content string")
     assert documents(templates, "template")[1]["content"]["name"] == "x"
     with pytest.raises(ValueError):

@@ -45,17 +45,33 @@ def floor_div(value: Column, unit: int) -> Column:
 # -- values or defaults --------------------------------------------------------
 
 
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def is_json(text: Column | str) -> Column:
+    """Whether the whole text is one JSON value; FALSE for NULL.
+
+    The parsers stop at a value's end and never see what follows. As the only item of a list, a value may be followed by
+    nothing but white space and what closes the list; as a member of an object, by nothing that closes a list. So a text
+    that fits both places has no tail. NaN and Infinity are no JSON; of equal keys any may come first.
+    """
+    text = _col(text)
+    item = F.from_json(F.concat(F.lit("["), text, F.lit("\n]")), T.ArrayType(T.StringType()), _STRICT)
+    member = F.from_json(
+        F.concat(F.lit('{"v":'), text, F.lit("\n}")), "v string, bad string", {**_STRICT, "columnNameOfCorruptRecord": "bad"})
+    return F.coalesce((F.size(item) == 1) & member.isNotNull() & member["bad"].isNull(), F.lit(False))
+
+
 def json_or_else(text: Column | str, schema: T.DataType, default: Column | None = None) -> Column:
-    """Parsed JSON, or the default where the text is NULL or cannot be read."""
+    """Parsed JSON, or the default where the text is NULL, is not JSON as a whole or does not fit the schema."""
     text = _col(text)
     default = F.lit(None) if default is None else default
-    options = {"allowSingleQuotes": "false"}
     if not isinstance(schema, T.StructType):
-        return F.coalesce(F.from_json(text, schema, options), default.cast(schema))
+        return F.coalesce(F.when(is_json(text), F.from_json(text, schema, _STRICT)), default.cast(schema))
     bad = "_unreadable"
     widened = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
-    parsed = F.from_json(text, widened, {**options, "columnNameOfCorruptRecord": bad})
-    readable = parsed.isNotNull() & parsed[bad].isNull()
+    parsed = F.from_json(text, widened, {**_STRICT, "columnNameOfCorruptRecord": bad})
+    readable = is_json(text) & parsed.isNotNull() & parsed[bad].isNull()
     return F.when(readable, parsed.dropFields(bad)).otherwise(default.cast(schema))
 
 

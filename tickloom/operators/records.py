@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,9 +72,9 @@ def expand_templates(templates: DataFrame) -> DataFrame:
     return parsed.withColumns({**named, "fields": every}).drop("_fields")
 
 
-def action_flags(kind: str) -> dict:
+def action_flags(kind: str, status: Column | None = None) -> dict:
     """What the status allows, as booleans by name."""
-    status = F.col("status")
+    status = F.col("status") if status is None else status
     if kind == "job":
         return {"can_close": status.isin("READY", "DELAYED")}
     if kind == "timetable":
@@ -86,37 +88,65 @@ def action_flags(kind: str) -> dict:
     raise ValueError(f"unknown kind of record: {kind!r}")
 
 
-# Stands in a document's text until the stored content takes its place; no other text holds a number there.
-_MARK = "8077001254390267311"
+def _members(parts: list[tuple[str, Column, bool]]) -> Column:
+    """One JSON object of (name, value, whether the value is JSON text already); neighbours that are not are written together."""
+    pieces, typed = [], []
+
+    def written() -> None:
+        if typed:
+            text = F.to_json(F.struct(*[value.alias(name) for name, value in typed]), {"ignoreNullFields": "false"})
+            pieces.append(F.substring(text, F.lit(2), F.length(text) - 2))
+            typed.clear()
+
+    for name, value, is_text in parts:
+        if is_text:
+            written()
+            pieces.append(F.concat(F.lit(json.dumps(name) + ":"), F.coalesce(value, F.lit("null"))))
+        else:
+            typed.append((name, value))
+    written()
+    return F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}"))
+
+
+def _rule_text() -> Column:
+    """A parsed rule as JSON: its text and the values of each field, a number where the field names one value alone."""
+    words = F.regexp_extract_all(F.trim("cron"), F.lit(r"\S+"), F.lit(0))
+    parts = [("pattern", F.col("cron"), False)]
+    for i, f in enumerate(FIELDS):
+        values = F.col(f"{f.name}_values")
+        alone = F.get(words, F.lit(i)).rlike("^[0-9A-Za-z]+$")
+        parts.append((f.name, F.when(alone, F.get(values, F.lit(0)).cast("string")).otherwise(F.to_json(values)), True))
+    return _members(parts)
 
 
 def to_documents(df: DataFrame, kind: str) -> DataFrame:
     """(uid, status, document): one JSON text per row, NULL fields kept.
 
-    A timetable's rule becomes an object of its text and the values of each field, NULL
-    for any. Documents of timetables want the columns of :func:`run_stats` and
-    :func:`enrich_timetables`; those present are nested under ``stats`` and kept as ``job``.
+    A timetable's rule becomes an object of its text and the values of each field: NULL
+    for any, a number for a field that names one value alone, else a list. Documents of timetables want the columns of
+    :func:`run_stats` and :func:`enrich_timetables`; those present are nested under ``stats`` and as ``job``, which has the flags
+    of jobs where it has a status. A template's stored JSON stands as it is, with all its keys; what is not JSON as a whole is NULL.
     """
-    flags = [flag.alias(name) for name, flag in action_flags(kind).items()]
-    columns, replaced, nested = df.columns, {}, []
+    flags, nested = action_flags(kind), []
+    replaced: dict[str, tuple[Column, bool]] = {}
     if kind == "timetable":
-        nested = [c for c in ("jobs", "last_time", "last_job_uid") if c in columns]
-        if "cron" in columns:
+        nested = [c for c in ("jobs", "last_time", "last_job_uid") if c in df.columns]
+        if "job" in df.columns and isinstance(df.schema["job"].dataType, T.StructType):
+            record = df.schema["job"].dataType.names
+            own = [flag.alias(name) for name, flag in action_flags("job", F.col("job")["status"]).items()] if "status" in record else []
+            whole = F.struct(*[F.col("job")[c].alias(c) for c in record], *own)
+            replaced["job"] = (F.when(F.col("job").isNotNull(), whole), False)
+        if "cron" in df.columns:
             # few rules are shared by many rows: each is parsed once
-            rules = parse_schedules(df.select("cron").distinct())
-            values = [F.col(f"{f.name}_values").alias(f.name) for f in FIELDS]
-            rules = rules.select(F.col("cron").alias("_rule"), F.struct(F.col("cron").alias("pattern"), *values).alias("_parsed"))
+            rules = parse_schedules(df.select("cron").distinct()).select(F.col("cron").alias("_rule"), _rule_text().alias("_parsed"))
             df = df.join(rules, F.col("cron").eqNullSafe(F.col("_rule")), "left")
-            replaced["cron"] = F.col("_parsed")
-    fields = [replaced.get(c, F.col(c)).alias(c) for c in columns if c not in nested]
-    if kind == "template" and "content" in columns:
-        fields = [F.lit(int(_MARK)).alias(c) if c == "content" else f for c, f in zip(columns, fields)]
+            replaced["cron"] = (F.col("_parsed"), True)
+    if kind == "template" and "content" in df.columns:
+        replaced["content"] = (F.when(json_or_else("content", TEMPLATE_FIELDS).isNotNull(), F.trim("content")), True)
+    columns = [c for c in df.columns if c not in nested and not (c in ("_rule", "_parsed") and "cron" in replaced)]
+    parts = [(c, *replaced.get(c, (F.col(c), False))) for c in columns]
     if nested:
-        fields.append(F.struct(*nested).alias("stats"))
+        parts.append(("stats", F.struct(*nested), False))
+    parts += [(name, flag, False) for name, flag in flags.items()]
     status = F.col("status") if "status" in columns else F.lit(None).cast("string")
-    document = F.to_json(F.struct(*fields, *flags), {"ignoreNullFields": "false"})
-    if kind == "template" and "content" in columns:
-        # the stored JSON stands as it is, with all its keys
-        whole = F.when(json_or_else("content", TEMPLATE_FIELDS).isNotNull(), F.trim("content")).otherwise(F.lit("null"))
-        document = F.replace(document, F.lit(f'"content":{_MARK}'), F.concat(F.lit('"content":'), whole))
-    return df.select("uid", status.alias("status"), document.alias("document"))
+    return df.select("uid", status.alias("status"), _members(parts).alias("document"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.functions.clean import json_or_else
+
+# What a cluster's status is called.
 FREE, BUSY, DOWN = 0, -1, -2
 
 APPS = T.ArrayType(
@@ -27,7 +30,7 @@ def apps_column(body: Column) -> Column:
 
     An app is completed when all its attempts are, so also when it has none.
     """
-    parsed = F.from_json(body, APPS, {"allowSingleQuotes": "false"})
+    parsed = json_or_else(body, APPS)
     whole = F.filter(
         parsed,
         lambda a: a["id"].isNotNull() & a["name"].isNotNull() & a["attempts"].isNotNull(),

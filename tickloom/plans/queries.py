@@ -315,7 +315,7 @@ def b15_timetable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = records.run_stats(
         fx.timetables(spark, sf_dir), fx.timetable_stats(events(spark, sf_dir))
     )
-    job = fx.jobs(spark, sf_dir).select("uid", "name", "status")
+    job = fx.jobs(spark, sf_dir).drop("pool")
     return records.to_documents(
         records.enrich_timetables(counted, job).select("uid", "name", "status", "canceltime", "cron",
                                                        "job", "jobs", "last_time", "last_job_uid"),
@@ -487,6 +487,34 @@ def f1_json_or_else(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", clean.json_or_else(text, schema, default)["k"].alias("k"))
 
 
+@query
+def f1_json_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored JSON with tails, words that are no JSON, other quotes, repeated keys and spaces around it."""
+    key = F.col("p_partkey")
+    value = F.concat(F.lit('{"k":'), key, F.lit(',"s":"'), "p_name", F.lit('"}'))
+    text = (
+        F.when(key % 9 == 0, F.concat(value, F.lit(" tail"))).when(key % 9 == 1, F.concat(value, value))
+        .when(key % 9 == 2, F.concat(value, F.lit(","), value)).when(key % 9 == 3, F.concat(value, F.lit("}")))
+        .when(key % 9 == 4, F.lit('{"k":NaN}')).when(key % 9 == 5, F.translate(value, '"', "'"))
+        .when(key % 9 == 6, F.concat(F.lit('{"k":0,'), F.substr(value, F.lit(2)))).when(key % 9 == 7, F.concat(F.lit(" \n"), value, F.lit("\t ")))
+        .otherwise(value)
+    )
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.StringType())])
+    default = F.struct(F.lit(-1).cast("bigint").alias("k"), F.lit("none").alias("s"))
+    parsed = clean.json_or_else(text, schema, default)
+    return fx.table(spark, sf_dir, "part").select("p_partkey", clean.is_json(text).alias("whole"), parsed["k"].alias("k"), parsed["s"].alias("s"))
+
+
+@query
+def b5_admit_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs by name, every fifth without a priority, few priorities for the others."""
+    jobs = fx.jobs(spark, sf_dir)
+    urgent = F.when(F.col("uid") % 5 != 2, F.col("uid") % 3)
+    waiting = jobs.filter(queue.is_runnable(NOW_MS)).select(
+        F.concat(F.lit("job-"), F.col("uid") % 1000, F.lit("-"), "uid").alias("uid"), "pool", urgent.alias("priority"))
+    return queue.admit(waiting, queue.running(jobs), 700)
+
+
 @query
 def f2_int_or_else(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = ("%s", " %s ", "+%s", "-%s", "%sabs", "%s.5", "%sL", "")
@@ -533,6 +561,23 @@ def f6_violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts
 
 
+@query
+def f6_timetable_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rules of timetables: status and times."""
+    rows = fx.timetables(spark, sf_dir).select(
+        "uid", F.when(F.col("uid") % 6 == 1, F.lower("status")).otherwise(F.col("status")).alias("status"),
+        (F.col("uid") % 4 - 1).alias("createtime"))
+    tagged = quality.tag_violations(rows, quality.timetable_rules())
+    return tagged.select("uid", F.array_join(F.array_sort("violations"), ",").alias("violations"))
+
+
+@query
+def f6_address_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same addresses as every kind of address."""
+    tagged = quality.tag_violations(fx.addresses(spark, sf_dir), quality.address_rules("address", "address", "address"))
+    return tagged.select("uid", F.array_join("violations", ",").alias("violations"))
+
+
 @query
 def f7_parse_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = clean.parse_uri("address")

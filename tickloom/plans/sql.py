@@ -76,21 +76,33 @@ def fires(uid: str, ts: str) -> str:
 
 
 def cron_values(uid: str) -> str:
-    """Values of the rule's fields as JSON members, by uid."""
+    """Values of the rule's fields as JSON members, by uid; a field of one value is a number."""
     any_day = '"day":null,"month":null,"weekday":null,"year":null'
     return f"""(CASE
       WHEN {uid} % 500 = 8 THEN '"minute":null,"hour":null,{any_day}'
-      WHEN {uid} % 8 = 0 THEN '"minute":[' || ({uid} % 60) || '],"hour":[' || ({uid} % 24) || '],{any_day}'
+      WHEN {uid} % 8 = 0 THEN '"minute":' || ({uid} % 60) || ',"hour":' || ({uid} % 24) || ',{any_day}'
       WHEN {uid} % 8 = 1 THEN '"minute":[0,15,30,45],"hour":[8,9,10,11,12,13,14,15,16,17],"day":null,'
         || '"month":null,"weekday":[1,2,3,4,5],"year":null'
-      WHEN {uid} % 8 = 2 THEN '"minute":[0],"hour":[0,12],"day":[1],"month":[2,4,6,8,10,12],"weekday":null,"year":null'
-      WHEN {uid} % 8 = 3 THEN '"minute":[0],"hour":[9],"day":null,"month":null,"weekday":null,"year":[2024]'
-      WHEN {uid} % 8 = 4 THEN '"minute":[0],"hour":[12],"day":null,"month":null,"weekday":[1,2,3,4,5],"year":null'
-      WHEN {uid} % 8 = 5 THEN '"minute":[45],"hour":[17],"day":[7],"month":[6],"weekday":null,"year":[2015,2016]'
-      WHEN {uid} % 8 = 6 THEN '"minute":[30],"hour":[0,6,12,18],"day":[1,15,31],"month":[1],"weekday":null,"year":null'
+      WHEN {uid} % 8 = 2 THEN '"minute":0,"hour":[0,12],"day":1,"month":[2,4,6,8,10,12],"weekday":null,"year":null'
+      WHEN {uid} % 8 = 3 THEN '"minute":0,"hour":9,"day":null,"month":null,"weekday":null,"year":2024'
+      WHEN {uid} % 8 = 4 THEN '"minute":0,"hour":12,"day":null,"month":null,"weekday":[1,2,3,4,5],"year":null'
+      WHEN {uid} % 8 = 5 THEN '"minute":45,"hour":17,"day":7,"month":6,"weekday":null,"year":[2015,2016]'
+      WHEN {uid} % 8 = 6 THEN '"minute":30,"hour":[0,6,12,18],"day":[1,15,31],"month":1,"weekday":null,"year":null'
       ELSE '"minute":[5,35],"hour":[0,1,2,3,4,5],"day":null,"month":null,"weekday":[6,7],"year":null' END)"""
 
 
+# A job's document from its columns.
+JOB_DOCUMENT = f"""'{{"uid":' || uid || ',"name":"' || name || '","status":"' || status
+          || '","createtime":' || createtime || ',"submittime":' || submittime
+          || ',"starttime":' || coalesce(CAST(starttime AS VARCHAR), 'null')
+          || ',"finishtime":' || coalesce(CAST(finishtime AS VARCHAR), 'null')
+          || ',"priority":' || priority || ',"sparkappid":' || coalesce('"' || sparkappid || '"', 'null')
+          || ',"entrypoint":"' || entrypoint || '","jar":"' || jar
+          || '","options":{{"spark.driver.memory":"' || (uid % 7 + 1) || 'g","spark.executor.memory":"4g"}}'
+          || ',"jobconf":["--key","' || uid || '"],"can_close":'
+          || CASE WHEN status IN ('READY', 'DELAYED') THEN 'true' ELSE 'false' END || '}}'"""
+
+
 def grid(start: str, end: str) -> str:
     return (
         f"grid AS (SELECT unnest(generate_series(TIMESTAMP '{start}', "
@@ -339,6 +351,13 @@ ORACLE: dict[str, str] = {
                    FROM jobs WHERE {RUNNABLE})
         SELECT uid, pool, priority FROM queued LEFT JOIN busy USING (pool)
         WHERE r <= 700 - coalesce(n, 0)""",
+    "b5_admit_nulls": f"""
+        WITH {JOBS}, busy AS (SELECT pool, count(*) AS n FROM jobs WHERE status = 'RUNNING' GROUP BY pool),
+        waiting AS (SELECT 'job-' || (uid % 1000) || '-' || uid AS uid, pool, CASE WHEN uid % 5 <> 2 THEN uid % 3 END AS priority
+                    FROM jobs WHERE {RUNNABLE}),
+        queued AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY priority NULLS FIRST, uid) AS r FROM waiting)
+        SELECT uid, pool, priority FROM queued LEFT JOIN busy USING (pool)
+        WHERE r <= 700 - coalesce(n, 0)""",
     "b5_admit_by_pool": f"""
         WITH {JOBS}, slots AS (SELECT * FROM (VALUES {_SLOTS}) AS s(pool, slots)),
         busy AS (SELECT pool, count(*) AS n, count(*) FILTER (starttime <= {NOW_MS}) AS tracked
@@ -392,29 +411,19 @@ ORACLE: dict[str, str] = {
     "b14_delete_by_key": f"""
         WITH {JOBS}, {TIMETABLES} SELECT uid, name FROM jobs
         WHERE uid NOT IN (SELECT job_uid FROM timetables)""",
-    "b15_job_documents": f"""
-        WITH {JOBS} SELECT uid, status, '{{"uid":' || uid || ',"name":"' || name || '","status":"' || status
-          || '","createtime":' || createtime || ',"submittime":' || submittime
-          || ',"starttime":' || coalesce(CAST(starttime AS VARCHAR), 'null')
-          || ',"finishtime":' || coalesce(CAST(finishtime AS VARCHAR), 'null')
-          || ',"priority":' || priority || ',"sparkappid":' || coalesce('"' || sparkappid || '"', 'null')
-          || ',"entrypoint":"' || entrypoint || '","jar":"' || jar
-          || '","options":{{"spark.driver.memory":"' || (uid % 7 + 1) || 'g","spark.executor.memory":"4g"}}'
-          || ',"jobconf":["--key","' || uid || '"],"can_close":'
-          || CASE WHEN status IN ('READY', 'DELAYED') THEN 'true' ELSE 'false' END || '}}' AS document
-        FROM jobs""",
+    "b15_job_documents": f"WITH {JOBS} SELECT uid, status, {JOB_DOCUMENT} AS document FROM jobs",
     "b15_timetable_documents": f"""
-        WITH {JOBS}, {TIMETABLES}, {STATS}
+        WITH {JOBS}, {TIMETABLES}, {STATS}, docs AS (SELECT uid, {JOB_DOCUMENT} AS document FROM jobs)
         SELECT t.uid, t.status, '{{"uid":' || t.uid || ',"name":"' || t.name || '","status":"' || t.status
           || '","canceltime":' || coalesce(CAST(canceltime AS VARCHAR), 'null')
           || ',"cron":{{"pattern":"' || cron || '",' || {cron_values('t.uid')} || '}},"job":'
-          || coalesce('{{"uid":' || j.uid || ',"name":"' || j.name || '","status":"' || j.status || '"}}', 'null')
+          || coalesce(j.document, 'null')
           || ',"stats":{{"jobs":' || coalesce(jobs, 0)
           || ',"last_time":' || coalesce(CAST(last_time AS VARCHAR), 'null')
           || ',"last_job_uid":' || coalesce(CAST(last_job_uid AS VARCHAR), 'null')
           || '}},"can_pause":' || (t.status = 'ACTIVE') || ',"can_resume":' || (t.status = 'PAUSED')
           || ',"can_cancel":' || (t.status <> 'CANCELLED') || '}}' AS document
-        FROM timetables t LEFT JOIN jobs j ON j.uid = t.job_uid LEFT JOIN totals ON timetable_uid = t.uid""",
+        FROM timetables t LEFT JOIN docs j ON j.uid = t.job_uid LEFT JOIN totals ON timetable_uid = t.uid""",
     "b15_template_documents": f"""
         WITH {SUBMISSIONS}, esc AS (
           SELECT uid, CASE WHEN uid % 9 = 0 THEN '  ' ELSE name END AS shown, name, memory, entrypoint, jar,
@@ -502,6 +511,9 @@ ORACLE: dict[str, str] = {
     "f1_json_or_else": """
         SELECT event_id, CASE WHEN event_id % 4 IN (1, 2) THEN -1
           ELSE CAST(regexp_extract(props, '[0-9]+') AS BIGINT) END AS k FROM events""",
+    "f1_json_tails": """
+        SELECT p_partkey, p_partkey % 9 >= 6 AS whole, CASE WHEN p_partkey % 9 >= 6 THEN p_partkey ELSE -1 END AS k,
+               CASE WHEN p_partkey % 9 >= 6 THEN p_name ELSE 'none' END AS s FROM part""",
     "f2_int_or_else": """
         SELECT event_id, CASE WHEN event_id % 8 <= 2 THEN event_id WHEN event_id % 8 = 3 THEN -event_id
           ELSE -7 END AS number FROM events""",
@@ -516,11 +528,18 @@ ORACLE: dict[str, str] = {
         WITH {SUBMISSIONS} SELECT uid, CASE WHEN uid % 11 <> 5 THEN 'a=2;name=' || name
           || ';spark.driver.memory=' || lower(memory) || ';spark.executor.memory=' || lower(memory) END AS options
         FROM submissions""",
+    "f6_timetable_rules": f"""
+        WITH {TIMETABLES} SELECT uid, concat_ws(',', CASE WHEN uid % 4 - 1 <= 0 THEN 'createtime' END,
+               CASE WHEN uid % 6 = 1 THEN 'status' END) AS violations FROM timetables""",
     "f6_validate": f"WITH {SUBMISSIONS} SELECT uid, violations FROM checked",
     "f6_violation_counts": f"""
         WITH {SUBMISSIONS}, r AS (SELECT unnest(string_split(violations, ',')) AS rule FROM checked
                                   WHERE violations <> '')
         SELECT rule, count(*) AS rows FROM r GROUP BY rule""",
+    "f6_address_rules": """
+        SELECT s_suppkey AS uid, concat_ws(',', CASE WHEN s_suppkey % 5 <> 0 THEN 'master_url' END,
+               CASE WHEN s_suppkey % 5 NOT IN (1, 2) THEN 'ui_url' END, CASE WHEN s_suppkey % 5 <> 3 THEN 'jdbc_url' END) AS violations
+        FROM supplier""",
     "f7_parse_uri": """
         SELECT s_suppkey AS uid,
           CASE WHEN s_suppkey % 5 < 3 THEN 'node-' || s_suppkey || '.example.org'
