@@ -27,7 +27,9 @@ def odd(spark, odd_rows):
     """The odd rows as documents, with columns whose names the operators use inside."""
     schema = "doc_id long, text string, source string, lang string"
     docs = spark.createDataFrame(odd_rows, schema).selectExpr(
-        "*", "1 AS row", "2 AS size", "'x' AS key", "3 AS h", "4 AS rep", "5 AS place", "6 AS digest", "7 AS next", "8 AS hashes", "9 AS label")
+        "*", "1 AS row", "2 AS size", "'x' AS key", "3 AS h", "4 AS rep", "5 AS place", "6 AS digest", "7 AS next", "8 AS hashes", "9 AS label",
+        *[f"{k} AS {name}" for k, name in enumerate(("_id _source _digest _text _copy _rank _kept _kept_text _times _more id `from` mixed times more "
+                                                     "copy rank first least root class head bag").split())])
     return docs.repartition(3)
 
 

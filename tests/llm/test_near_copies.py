@@ -120,3 +120,24 @@ def test_components(spark):
     links = spark.createDataFrame(pairs, "a long, b long").repartition(7)
     assert {r[0]: r[1] for r in components.classes_of(links).collect()} == {i: root(i) for i in list(label)}
     assert components.classes_of(links.filter("false")).count() == 0
+
+
+def test_a_crowd_of_near_copies_takes_a_pair_a_text(spark, monkeypatch):
+    """What is compared stays near the number of texts, not a multiple of it."""
+    pairs, plain = [], near_copies.compare
+    monkeypatch.setattr(near_copies, "compare", lambda p, *more: (pairs.append(p.count()), plain(p, *more))[1])
+    base = text_of(9, 120).split()
+    rows = [(k, " ".join([*base[: k % 110], f"x{k}", *base[k % 110 + 1 :]])) for k in range(600)]
+    got = classes(near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert set(got.values()) == {0} and sum(pairs) < 1.3 * len(rows)
+
+
+def test_short_forms_never_say_too_little():
+    draw = np.random.default_rng(6)
+    for size in (1, 30, 500, 9000):
+        a, b = (np.unique(draw.integers(0, 1 << 63, size).astype(np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([b[: size // 5], a[: size - size // 5]]))
+        short = near_copies.bound(near_copies.shortened(a), near_copies.shortened(b))
+        assert short >= near_copies.likeness(a, b) - 1e-12
+        if size < 1000:
+            assert short < near_copies.likeness(a, b) + 0.05

@@ -92,3 +92,22 @@ def test_odd_rows(spark, odd, none):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_columns_of_any_name_change_nothing(spark, odd):
+    """Each stage keeps the same rows with columns named as its own as without them."""
+    plain = odd.select("doc_id", "text", "source", "lang")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        with_all, without = stage(spark, odd, SF), stage(spark, plain, SF)
+        assert with_all.columns == odd.columns
+        key = lambda df: sorted(map(str, df.select("doc_id", "text", "source", "lang").collect()))
+        assert key(with_all) == key(without)
+        others = [c for c in odd.columns if c not in plain.columns]
+        assert with_all.select(*[f"`{c}`" for c in others]).distinct().count() == 1
+
+
+def test_the_row_kept_among_equals_is_fixed(spark):
+    rows = [(1, "a b c d e f", source) for source in ("z", "b", None, "c")] + [(2, "other words here", "q")]
+    for parts in (1, 3):
+        kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts), SF)
+        assert sorted((r["doc_id"], r["source"]) for r in kept.collect()) == [(1, None), (2, "q")]

@@ -56,26 +56,36 @@ def _count(links: DataFrame):
     return links.selectExpr("count(*) AS n", "sum(xxhash64(a, b) % 1000003) AS mark").first()
 
 
+# Links of a node from which on it is a hub, as a number and as a share of all links: there are at most 20,000 hubs.
+_HUB, _HUB_SHARE = 1000, 1e-4
+
+
+def _met(rows: DataFrame, table: DataFrame, key: str, links: int) -> DataFrame:
+    """``rows`` joined to ``table`` (key, n, value) by ``key``; hubs, few by their definition, are sent to the rows instead."""
+    hubs = F.broadcast(table.filter(F.col("n") > max(_HUB, int(links * _HUB_SHARE))).drop("n"))
+    rest = rows.join(hubs.select(key), key, "left_anti").join(table.drop("n"), key)
+    return rows.join(hubs, key).unionByName(rest)
+
+
 def classes_of(links: DataFrame) -> DataFrame:
     """(node, class_id): the smallest node reachable from every node of ``links`` (a, b long), itself included.
 
     Links are first contracted within each partition. Then, in rounds, every node sends its
     larger neighbours to its smallest one, and its smaller neighbours to the smallest of them, until all
-    components are stars. Links stay in tables; those with a null end are ignored.
+    components are stars. Links stay in tables and their partitions, and a node with a great share of them is no
+    task of its own; those with a null end are ignored.
     """
     links = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     links = cut(links.mapInArrow(_contracted, "a long, b long").distinct())
     before = _count(links)
-    # as many tasks as there is work for: rounds are short where few links are left
-    few = lambda df: df.coalesce(before["n"] // _HELD + 1)
     while before["n"]:
-        links = few(links)
         both = links.union(links.select("b", "a"))
-        least = cut(few(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("root"))))
-        large = few(both.filter("b > a").join(least, "a").select(F.col("b").alias("x"), F.col("root").alias("y")).distinct())
-        to_least = few(large.groupBy("x").agg(F.min("y").alias("root")))
-        small = large.join(to_least, "x").filter("y > root").select(F.col("y").alias("a"), F.col("root").alias("b"))
-        links = cut(few(small.union(to_least.select("x", "root")).distinct()))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select("a", "n", F.least("a", "least").alias("root")))
+        large = _met(both.filter("b > a"), least, "a", before["n"]).select(F.col("b").alias("x"), F.col("root").alias("y")).distinct()
+        large = cut(large)
+        to_least = large.groupBy("x").agg(F.min("y").alias("root"), F.count("*").alias("n"))
+        small = _met(large, to_least, "x", before["n"]).filter("y > root").select(F.col("y").alias("a"), F.col("root").alias("b"))
+        links = cut(small.union(to_least.select("x", "root")).distinct())
         after = _count(links)
         if after == before:
             break

@@ -110,16 +110,17 @@ def repeat_rows(docs: DataFrame, mix: DataFrame) -> DataFrame:
     Rows meet by id, source and text, whether they have an id or not. Rows equal in all three are taken equally often,
     but for the few between which a source's budget ends: there some are taken once more than the others.
     """
-    alike = mix.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"))
-    times = cut(alike.agg(F.sum("whole").alias("_sum"), F.count("*").alias("_n")).select(
-        "_id", "_source", "_digest", F.expr("_sum div _n").alias("_times"), F.expr("_sum % _n").alias("_more")))
-    marked = docs.withColumn("_text", digest_of())
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-            & (F.col("_text") == F.col("_digest")))
-    out = marked.join(times.filter("_times > 0"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    out = out.select(*docs.columns)
-    some = times.filter("_more > 0")
+    times = cut(mix.groupBy("doc_id", "source", "digest").agg(F.sum("whole").alias("all"), F.count("*").alias("n")).select(
+        F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("digest").alias("mixed"),
+        F.expr("all div n").alias("times"), F.expr("all % n").alias("more")))
+    # a row is one value beside what it is found by, so its columns may have any names
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), digest_of().alias("digest"),
+                         F.struct("*").alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("from")) & (F.col("digest") == F.col("mixed"))
+    out = marked.join(times.filter("times > 0"), same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    out = out.select("row.*")
+    some = times.filter("more > 0")
     if some.take(1):  # at most one group of equal rows per source
-        rank = F.row_number().over(W.partitionBy("_id", "_source", "_digest").orderBy("_more"))
-        out = out.union(marked.join(some, same).withColumn("_rank", rank).filter("_rank <= _more").select(*docs.columns))
+        rank = F.row_number().over(W.partitionBy("id", "from", "mixed").orderBy("more"))
+        out = out.union(marked.join(some, same).withColumn("rank", rank).filter("rank <= more").select("row.*"))
     return out

@@ -157,7 +157,8 @@ class Sieve:
 
 
 def bag_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, bag) of the texts in ``wanted`` (rep, first, digest), ``doc_id`` being ``rep``: sorted 64-bit hashes, one per shingle and occurrence.
+    """(doc_id, bag, short) of the texts in ``wanted`` (rep, first, digest), ``doc_id`` being ``rep``: sorted 64-bit hashes, one per shingle
+    and occurrence, and their short form.
 
     A text is found by its digest in the rows with the id ``first``.
     The n-th occurrence of a shingle has a hash of its own, so that bags are sets.
@@ -177,11 +178,23 @@ def bag_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     each = np.where(nth > 0, mix(shingle[who] + nth * _STEP), shingle[who])
                 at = np.searchsorted(doc[who], np.arange(part.num_rows + 1))
-                bag = [np.sort(each[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("first"), part.column("digest"), pa.array(bag, pa.binary())], ["first", "digest", "bag"])
+                bag = [np.sort(each[a:b]) for a, b in zip(at[:-1], at[1:])]
+                raw = lambda rows: pa.array([x.tobytes() for x in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("first"), part.column("digest"), raw(bag), raw([shortened(x) for x in bag])], ["first", "digest", "bag", "short"])
 
-    made = rows.mapInArrow(run, "first long, digest binary, bag binary").join(wanted, ["first", "digest"])
-    return made.select(F.col("rep").alias("doc_id"), "bag").dropDuplicates(["doc_id"])
+    made = rows.mapInArrow(run, "first long, digest binary, bag binary, short binary").join(wanted, ["first", "digest"])
+    return made.select(F.col("rep").alias("doc_id"), "bag", "short").dropDuplicates(["doc_id"])
+
+
+def shortened(bag: np.ndarray) -> np.ndarray:
+    """The first 16 bits of each hash of a bag, in order: two bags share at most as many hashes as they share of these."""
+    return (bag >> np.uint64(48)).astype(np.uint16)
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> float:
+    """At least the likeness of the bags that ``a`` and ``b`` are the short forms of."""
+    return likeness(*[x.astype(np.uint64) << np.uint64(32) | (np.arange(len(x)) - np.searchsorted(x, x)).astype(np.uint64) for x in (a, b)])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -196,38 +209,49 @@ PARTS = 128
 CROWD = 512
 
 
-def compare(pairs: DataFrame, bags_of: DataFrame) -> DataFrame:
-    """(a, b, like) of all ``pairs`` (a, b) by their whole bags: each group's b comes first, then all its a."""
+def _judged(pairs: DataFrame, values: DataFrame, judge, kind) -> DataFrame:
+    """(a, b, like) of all ``pairs`` (a, b), ``judge`` of their ``values`` (doc_id, value): each group's b comes first, then all its a."""
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(PARTS)).alias("part"))
-    left = dealt.join(bags_of.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "bag")
-    right = dealt.select("b", "part").distinct().join(bags_of.withColumnRenamed("doc_id", "b"), "b").select(
-        "b", "part", F.lit(None).cast("long").alias("a"), "bag")
+    left = dealt.join(values.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "value")
+    right = dealt.select("b", "part").distinct().join(values.withColumnRenamed("doc_id", "b"), "b").select(
+        "b", "part", F.lit(None).cast("long").alias("a"), "value")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = left.union(right).repartition(parts, "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     @tidy
     def run(batches):
-        head = np.zeros(0, np.uint64)
+        head = np.zeros(0, kind)
         for batch in batches:
             like = np.zeros(batch.num_rows)
-            for i, (a, bag) in enumerate(zip(batch.column("a").to_pylist(), batch.column("bag"))):
+            for i, (a, value) in enumerate(zip(batch.column("a").to_pylist(), batch.column("value"))):
                 if a is None:
-                    head = np.frombuffer(bag.as_py(), np.uint64)
+                    head = np.frombuffer(value.as_py(), kind)
                 else:
-                    like[i] = likeness(np.frombuffer(bag.as_py(), np.uint64), head)
+                    like[i] = judge(np.frombuffer(value.as_py(), kind), head)
             whole = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(like)], ["a", "b", "like"])
             yield whole.filter(batch.column("a").is_valid())
 
     return rows.mapInArrow(run, "a long, b long, like double")
 
 
+def compare(pairs: DataFrame, bags_of: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """(a, b) of the ``pairs`` whose likeness is at least that.
+
+    Short forms, a quarter of the bags, meet first and rule out nearly all pairs that are unlike, surely; the others meet by their whole bags.
+    """
+    short = _judged(pairs, bags_of.select("doc_id", F.col("short").alias("value")), bound, np.uint16)
+    left = cut(short.filter(F.col("like") >= least - 1e-9).select("a", "b"))
+    exact = _judged(left, bags_of.select("doc_id", F.col("bag").alias("value")), likeness, np.uint64)
+    return exact.filter(F.col("like") >= least).select("a", "b")
+
+
 def near_copies(docs: DataFrame, likeness_at_least: float = LIKENESS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, kept): the class of near copies of every row of ``docs`` (doc_id, text).
 
     Texts of equal bytes are one class at once (so are all empty or missing texts). Different texts
     that share a band are linked if their likeness is ``likeness_at_least`` or more: every text of
-    a band's bucket is compared with the bucket's smallest id and with its neighbour when the bucket is
-    ordered by the texts' other bands; where a bucket's texts are then still in different classes, they are compared
+    a band's bucket is compared with the smallest id of its buckets, then, where these are of another class, with the smallest
+    ids of its other buckets and with its neighbours when a bucket is ordered by the texts' other bands; where a bucket's texts are then still in different classes, they are compared
     with all texts of other classes that an exact prefix filter on rare shingles leaves possible. Classes are the connected
     components; ``class_id`` is the smallest id of the class and ``kept`` marks that row. Rows that repeat
     an id and its text share a class; rows that repeat an id with another text are texts by themselves, and where several
@@ -247,22 +271,24 @@ def classes_of_texts(docs: DataFrame, likeness_at_least: float = LIKENESS, bands
                  .withColumn("rep", F.monotonically_increasing_id()))
     items = firsts.filter("size > 0").select("rep", F.posexplode("bands").alias("band", "key"))
     crowd = items.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = items.join(crowd, "key").join(firsts.select("rep", "size", "bands"), "rep")
-    members = cut(members.select("key", "rep", "head", "size", F.expr(f"bands[(band + 1) % {bands}]").alias("beside")))
-    # a pair whose sizes differ by more cannot be linked
-    enough = F.least("size", "other_size") >= likeness_at_least * F.greatest("size", "other_size") - 1e-6
-    sizes = firsts.select(F.col("rep").alias("other"), F.col("size").alias("other_size"))
-    pairs = cut(_candidates(members).join(sizes, F.col("b") == F.col("other")).filter(enough).select("a", "b"))
+    members = items.join(crowd, "key").join(firsts.select("rep", "bands"), "rep")
+    members = cut(members.select("key", "rep", "head", F.expr(f"bands[(band + 1) % {bands}]").alias("beside")))
+    sizes = firsts.select("rep", "size")
     wanted = cut(firsts.select("rep", "first", "digest").join(members.select("rep").distinct(), "rep", "left_semi"))
     packed = cut(bag_table(texts, wanted))
-    likes = cut(compare(pairs, packed))
-    links = likes.filter(F.col("like") >= likeness_at_least).select("a", "b")
-    found = cut(classes_of(links))
-    again = cut(_missed(members, likes, found, packed, likeness_at_least))
-    if again.take(1):
-        more = cut(compare(again, packed)).filter(F.col("like") >= likeness_at_least)
-        if more.take(1):
-            found = classes_of(found.select(F.col("node").alias("a"), F.col("class_id").alias("b")).union(more.select("a", "b")))
+    # a text's smallest head first: it settles a crowd of near copies with one pair a text
+    first = members.filter("rep <> head").groupBy("rep").agg(F.min("head").alias("head")).toDF("a", "b")
+    compared, found = None, None
+    for make in (lambda: first, lambda: _candidates(members, found), lambda: _missed(members, found, packed, likeness_at_least)):
+        pairs = _near_in_size(make(), sizes, likeness_at_least)
+        pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
+        compared = pairs if compared is None else compared.union(pairs)
+        if found is not None and not pairs.take(1):
+            continue
+        links = compare(pairs, packed, likeness_at_least)
+        if found is not None:
+            links = links.union(found.select(F.col("node").alias("a"), F.col("class_id").alias("b")))
+        found = cut(classes_of(links))
     linked = found.select(F.col("node").alias("rep"), F.col("class_id").alias("root")).join(firsts.select("rep", "first", "digest"), "rep")
     least = linked.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("least"))
     named = firsts.select("digest", "rep", "first").join(linked.join(least, "root").select("rep", "least"), "rep", "left")
@@ -273,25 +299,40 @@ def classes_of_texts(docs: DataFrame, likeness_at_least: float = LIKENESS, bands
     return out.union(lone)
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """Pairs (a, b, size of a), each once: texts with their bucket's head and with their neighbour in the bucket."""
-    heads = members.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"), "size")
+def _near_in_size(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sizes leave the wanted likeness possible."""
+    of = lambda name: sizes.select(F.col("rep").alias(name), F.col("size").alias(f"size_{name}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6).select("a", "b")
+
+
+def _classed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with the class that each text has come to so far."""
+    named = found.select(F.col("node").alias("rep"), "class_id")
+    return members.join(named, "rep", "left").withColumn("class", F.coalesce("class_id", "rep")).drop("class_id")
+
+
+def _candidates(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b), each once, of different classes: texts with their buckets' other heads and with their neighbours in a bucket."""
+    classed = cut(_classed(members, found))
+    other = found.select(F.col("node").alias("head"), F.col("class_id").alias("head_class"))
+    heads = classed.filter("rep <> head").select("rep", "head", "class").distinct().join(other, "head", "left")
+    heads = heads.filter(F.col("class") != F.coalesce("head_class", "head")).select(F.col("rep").alias("a"), F.col("head").alias("b"))
     # a bucket is ordered by the texts' next band and cut into 256 runs there, so that none is one window
     order = "PARTITION BY key, shiftright(beside, 56) ORDER BY beside, rep"
-    beside = members.selectExpr("rep", "size", f"lag(struct(rep AS rep, size AS size)) OVER ({order}) AS before").filter("before.rep <> rep")
-    beside = beside.selectExpr("greatest(rep, before.rep) AS a", "least(rep, before.rep) AS b", "if(rep > before.rep, size, before.size) AS size")
-    return heads.union(beside).groupBy("a", "b").agg(F.min("size").alias("size"))
+    beside = classed.selectExpr("rep", "class", f"lag(struct(rep, class)) OVER ({order}) AS before").filter("before.class <> class")
+    beside = beside.selectExpr("greatest(rep, before.rep) AS a", "least(rep, before.rep) AS b")
+    return heads.union(beside).distinct()
 
 
-def _missed(members: DataFrame, likes: DataFrame, found: DataFrame, packed: DataFrame, least: float) -> DataFrame:
+def _missed(members: DataFrame, found: DataFrame, packed: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) that heads and neighbours have not settled.
 
     They are of texts that share some bucket with a text of another class, whatever their distance to its head. Which of
     these texts may be linked is told by an exact prefix filter: two bags of the wanted likeness share one of their
     rarest hashes, of each the share that may differ and one more, and have enough hashes behind it.
     """
-    classed = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", F.col("rep").alias("doc_id"), F.coalesce("class_id", "rep").alias("class"))
+    classed = _classed(members.select("key", "rep"), found).select("key", F.col("rep").alias("doc_id"), "class")
     mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
     open_ = cut(classed.join(mixed, "key", "left_semi").select("doc_id", "class").distinct())
 
@@ -318,5 +359,4 @@ def _missed(members: DataFrame, likes: DataFrame, found: DataFrame, packed: Data
     enough = most * (1 + least) >= (F.col("size") + F.col("other_size")) * least - 1e-6
     met = part.join(other, ["hash", "part"]).filter((F.col("doc_id") > F.col("other")) & (F.col("class") != F.col("other_class")) & enough & (
         F.least("size", "other_size") >= least * F.greatest("size", "other_size") - 1e-6))
-    pairs = met.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    return pairs.join(likes.select("a", "b"), ["a", "b"], "left_anti")
+    return met.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()

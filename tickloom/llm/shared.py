@@ -21,7 +21,7 @@ SLICE_BYTES = 2 << 20
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared checkpoint folder, without their lineage."""
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
