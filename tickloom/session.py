@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,11 +31,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, or below the warehouse where that is not set.
 
-    Both are folders that the driver and all executors share.
+    Both are folders that the driver and all executors share. On a cluster that sets neither, a folder of
+    each machine would be all there is, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
+        context = spark.sparkContext
+        if not context.getConf().contains("spark.sql.warehouse.dir") and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
