@@ -76,6 +76,33 @@ def test_pages_of_random_text(spark, log, origin, chunk, window):
         assert got == want
 
 
+@pytest.mark.parametrize("origin", ["start", "end"])
+@pytest.mark.parametrize("segment", [1, 64, 333])
+def test_runs_of_pages_join_up(spark, log, origin, segment, monkeypatch):
+    monkeypatch.setattr(L, "SEGMENT", segment)
+    texts = [log, "", "\n" * 90, "é\n" * 300, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    for chunk, window in [(100, 100), (7, 30), (33, 0), (1000, 5)]:
+        got = {(r.id, r.page): (r.page_count, r.block if r.block is None else bytes(r.block))
+               for r in L.paginate(df, "text", chunk, window, origin).collect()}
+        want = {(4, 1): (1, None)}
+        for i, text in enumerate(texts[:4]):
+            data = text.encode()
+            for number in range(1, count(data, chunk) + 1):
+                want[i, number] = (count(data, chunk), page(data, number, chunk, window, origin))
+        assert got == want
+
+
+@pytest.mark.parametrize("origin", ["start", "end"])
+def test_a_long_text_in_small_rows(spark, origin):
+    line = "0123456789" * 9 + "\n"
+    df = spark.range(1).select("id", F.repeat(F.lit(line), 230_000).alias("text"))  # 21 MB
+    pages = L.paginate(df, "text", L.LOG_CHUNK, L.LOG_WINDOW, origin)
+    data = (line * 230_000).encode()
+    got = {r.page: bytes(r.block) for r in pages.collect()}
+    assert got == {n: page(data, n, L.LOG_CHUNK, L.LOG_WINDOW, origin) for n in range(1, count(data, L.LOG_CHUNK) + 1)}
+
+
 def test_single_pages(spark, log):
     df = spark.createDataFrame([(log,)], "text string")
     data = log.encode()

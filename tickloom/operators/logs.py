@@ -13,6 +13,8 @@ from tickloom.functions.bind import let
 
 # Block size and line window of the log viewer.
 LOG_CHUNK, LOG_WINDOW = 65_536, 128
+# Bytes of pages that are cut off a text together, before they are cut into pages.
+SEGMENT = 1 << 20
 
 
 def as_bytes(df: DataFrame, col: str) -> Column:
@@ -87,34 +89,56 @@ def paginate(
 ) -> DataFrame:
     """One row per page: ``page`` (from 1), ``page_count``, ``block`` (binary).
 
-    Counted from the start, or from the end, where the last page may be short. The
-    blocks are cut inside the row before it is exploded, so the text itself is never
-    copied per page.
+    Counted from the start, or from the end, where the last page may be short. A text is
+    cut twice: into runs of pages of about :data:`SEGMENT` bytes, each with the window on
+    both sides, and those into pages. So no row but the text's own holds more than a run,
+    however long the text, and neither the text nor a run is copied per page.
     """
     if origin not in ("start", "end"):
         raise ValueError("origin is 'start' or 'end'")
     rest = [c for c in df.columns if c != col]
-    size = F.octet_length(col).cast("bigint")
+    size, at = F.octet_length(col).cast("bigint"), F.col("_at")
+    run, window = max(SEGMENT // chunk, 1), max(offset, 0)
+
+    def first_byte(page: Column, size: Column) -> Column:
+        return (page - 1) * chunk if origin == "start" else size - page * chunk
 
-    def page(data: Column, size: Column, number: Column) -> Column:
-        first = (number - 1) * chunk if origin == "start" else size - number * chunk
+    def segment(data: Column, size: Column, first: Column) -> Column:
+        last = F.least(first + (run - 1), F.col("page_count"))
+        left, right = (first, last) if origin == "start" else (last, first)
+        low = F.greatest(first_byte(left, size) - window, F.lit(0))
+        high = first_byte(right, size) + (chunk + window)
         return let(
-            first,
-            lambda at: F.struct(
-                number.alias("page"), page_block(data, at, chunk, offset).alias("block")
+            low,
+            lambda low: F.struct(
+                first.alias("first"), last.alias("last"), (first_byte(first, size) - low).alias("at"),
+                byte_range(data, low, high - low).alias("data"),
             ),
         )
 
-    numbers = F.sequence(F.lit(1).cast("bigint"), F.col("page_count"))
-    pages = let(
+    firsts = F.sequence(F.lit(1).cast("bigint"), F.col("page_count"), F.lit(run).cast("bigint"))
+    segments = let(
         as_bytes(df, col),
-        lambda data: let(
-            size, lambda n: F.transform(numbers, lambda number: page(data, n, number))
+        lambda data: let(size, lambda n: F.transform(firsts, lambda first: segment(data, n, first))),
+    )
+    step = chunk if origin == "start" else -chunk
+    pages = let(
+        F.col("_data"),
+        lambda data: F.transform(
+            F.sequence("_first", "_last"),
+            lambda page: F.struct(
+                page.alias("page"),
+                let(at + (page - F.col("_first")) * step, lambda low: page_block(data, low, chunk, offset)).alias("block"),
+            ),
         ),
     )
-    counted = df.select(*rest, col, pages_of(size, chunk).alias("page_count"))
-    return counted.select(*rest, "page_count", F.explode(pages).alias("_page")).select(
-        *rest, "_page.page", "page_count", "_page.block"
+    parts = [F.col(f"_run.{name}").alias(f"_{name}") for name in ("first", "last", "at", "data")]
+    return (
+        df.select(*rest, col, pages_of(size, chunk).alias("page_count"))
+        .select(*rest, "page_count", F.explode(segments).alias("_run"))
+        .select(*rest, "page_count", *parts)
+        .select(*rest, "page_count", F.explode(pages).alias("_page"))
+        .select(*rest, "_page.page", "page_count", "_page.block")
     )
 
 
