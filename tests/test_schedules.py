@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.cron import compile_rule, cron_match
 from tickloom.operators import schedules as S
+from tickloom.operators.spread import tiled_join
 
 SPANS = {"minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12), "weekday": (1, 7),
          "year": (2014, 2031)}
@@ -186,11 +187,40 @@ def test_matching_against_brute_force(spark, seed, hot):
 
 def test_due_minutes_may_be_written_first(spark, tmp_path):
     _, _, events, timetables = match_tables(spark, 3, True)
-    for match, name in ((S.match_rules, "rules"), (S.match_schedules, "pairs")):
-        plain, written = match(events, timetables), match(events, timetables, via=str(tmp_path / name))
+    S.due_minutes(events, S.active(timetables)).write.parquet(str(tmp_path / "due"))
+    due = spark.read.parquet(str(tmp_path / "due"))
+    for match, tables in ((S.match_rules, S.active(timetables)), (S.match_schedules, timetables)):
+        plain, written = match(events, tables), match(events, tables, due=due)
         assert sorted(map(tuple, written.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
-        plan = written._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin [minute" in plan and "hashpartitioning" not in plan  # events stay in place
+    plan = S.match_rules(events, timetables, due=due)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [minute" in plan and "hashpartitioning" not in plan  # events stay in place
+
+
+def test_hot_rule_and_hot_minute_are_dealt_out(spark):
+    base = datetime(2024, 2, 28)
+    events = spark.createDataFrame(
+        [(i, base + timedelta(minutes=(i * 7) % 4000)) for i in range(400)] + [(i, base) for i in range(400, 600)],
+        "event_id bigint, ts timestamp_ntz")
+    rules = ["* * * * * *", "*/2 * * * * *", "* */2 * * * *", "* * 29 * * *"]
+    timetables = spark.createDataFrame(
+        [(i, rules[0 if i % 2 else i // 2 % 4], "ACTIVE") for i in range(300)], "uid bigint, cron string, status string")
+    pairs = S.match_schedules(events, timetables, most=300)
+    made = sorted(r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect())
+    assert len(made) == int(spark.conf.get("spark.sql.shuffle.partitions")) and made[-1] < 2 * made[len(made) // 2]
+    whole = S.match_schedules(events, timetables)
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, whole.select(pairs.columns).collect()))
+
+
+@pytest.mark.parametrize("most", [1, 4, 50, 10**9])
+def test_tiles_hold_every_pair_once(spark, most):
+    rng = random.Random(most)
+    rows = [[(i, rng.choice([None, "a", "a", "a", "b", "c"])) for i in range(n)] for n in (60, 35)]
+    rows[0] += rows[0][:5]
+    left = spark.createDataFrame(rows[0], "l bigint, k string")
+    right = spark.createDataFrame(rows[1], "r bigint, k string").withColumn("m", F.create_map(F.lit("x"), "r"))
+    sizes = left.groupBy("k").agg(F.count("*").alias("lefts")).join(right.groupBy("k").agg(F.count("*").alias("rights")), "k")
+    got = sorted((r.l, r.r, r.k) for r in tiled_join(left, right, "k", sizes, most).collect())
+    assert got == sorted((a, b, k) for a, k in rows[0] for b, other in rows[1] if k is not None and k == other)
 
 
 def test_matching_makes_no_nested_loop(spark):

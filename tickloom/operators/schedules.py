@@ -13,7 +13,7 @@ from tickloom.functions.cron import (
     DAY, FIELDS, HOUR, MINUTE, MONTH, WEEKDAY, YEAR, Field,
     allowed_values, cron_match, cron_word, cron_words, in_mask, listed_values, value_mask,
 )
-from tickloom.operators.spread import spread
+from tickloom.operators.spread import TILE, spread, tiled_join
 
 
 def parse_schedules(df: DataFrame, cron_col: str = "cron") -> DataFrame:
@@ -117,11 +117,16 @@ def rule_minutes(minutes: DataFrame, schedules: DataFrame, cron_col: str = "cron
     month, then the surviving (rule, day, hour) meet the minutes on the hour, where
     one bit test is left.
     """
-    return minutes_of_rules(minutes, parse_schedules(schedules.select(cron_col).distinct(), cron_col), cron_col)
+    rules = spread(schedules.select(cron_col).distinct(), cron_col)
+    return minutes_of_rules(minutes, parse_schedules(rules, cron_col), cron_col)
 
 
 def minutes_of_rules(minutes: DataFrame, rules: DataFrame, cron_col: str = "cron") -> DataFrame:
-    """:func:`rule_minutes` for rules that are distinct and parsed already."""
+    """:func:`rule_minutes` for rules that are distinct and parsed already.
+
+    Distinct days are few, so they are sent to where the rules are once Spark has measured them; twelve months
+    are then not all the keys there are.
+    """
     day = F.col("match_day")
     days = (
         minutes.select(F.col("minute").cast("date").alias("match_day"))
@@ -149,16 +154,18 @@ def minutes_of_rules(minutes: DataFrame, rules: DataFrame, cron_col: str = "cron
     )
 
 
-def _minutes_of(keyed: DataFrame) -> DataFrame:
-    return keyed.select("minute").filter("minute IS NOT NULL").distinct()
-
+def due_minutes(
+    events: DataFrame, schedules: DataFrame, ts_col: str = "ts", cron_col: str = "cron"
+) -> DataFrame:
+    """(cron, minute, events): each distinct rule, each minute of the events it names, and their number in it.
 
-def _joined_on_minute(keyed: DataFrame, due: DataFrame, via: str | None) -> DataFrame:
-    """Events with what is due in their minute; see :func:`match_rules` for ``via``."""
-    if via is not None:
-        due.write.parquet(via)
-        due = due.sparkSession.read.schema(due.schema).parquet(via)
-    return keyed.join(due, "minute").drop("minute")
+    Made from the time column alone. Written and read again it can be given to
+    :func:`match_rules` and :func:`match_schedules` as ``due``: Spark then knows its size before
+    it reads the events, and where it is small leaves them in place.
+    """
+    minute = to_minute(F.col(ts_col)).alias("minute")
+    minutes = events.filter(F.col(ts_col).isNotNull()).groupBy(minute).agg(F.count("*").alias("events"))
+    return rule_minutes(minutes, schedules, cron_col).select(cron_col, "minute", "events")
 
 
 def match_rules(
@@ -166,18 +173,17 @@ def match_rules(
     schedules: DataFrame,
     ts_col: str = "ts",
     cron_col: str = "cron",
-    via: str | None = None,
+    due: DataFrame | None = None,
 ) -> DataFrame:
     """Events joined to each distinct rule that names their minute.
 
     As one plan the events are shuffled by minute, since the size of the other side is
-    only known once it has been computed. Given a new folder ``via``, the (rule, minute)
-    rows, made from the time column alone, are written there first. Spark then knows
-    their size before it reads the events, and where they are few it broadcasts them and
-    leaves the events in place.
+    only known once it has been computed; :func:`due_minutes` may be written beforehand.
     """
+    if due is None:
+        due = due_minutes(events, schedules, ts_col, cron_col)
     keyed = events.withColumn("minute", to_minute(F.col(ts_col)))
-    return _joined_on_minute(keyed, rule_minutes(_minutes_of(keyed), schedules, cron_col), via)
+    return keyed.join(due.select(cron_col, "minute"), "minute").drop("minute")
 
 
 def match_schedules(
@@ -186,18 +192,26 @@ def match_schedules(
     ts_col: str = "ts",
     uid_col: str = "uid",
     cron_col: str = "cron",
-    via: str | None = None,
+    due: DataFrame | None = None,
+    most: int = TILE,
 ) -> DataFrame:
     """Events with each ACTIVE timetable that is due in their minute.
 
-    Timetables join their rule's minutes first, so the events, the widest rows, take
-    part in one join; ``via`` works as in :func:`match_rules`. The result has one row per
+    Events meet the distinct rules first and the timetables of each rule last. How many
+    pairs a rule makes is known from the counts of :func:`due_minutes` before any is made, and a rule
+    of more than ``most`` pairs is made in many places, so neither a rule that half of the timetables
+    share nor a minute with a third of the events is the work of one task. The result has one row per
     pair; use :func:`match_summary` when totals will do.
     """
-    due = active(timetables).select(F.col(uid_col).alias("timetable_uid"), cron_col)
-    keyed = events.withColumn("minute", to_minute(F.col(ts_col)))
-    fires = rule_minutes(_minutes_of(keyed), due, cron_col).join(due, cron_col).drop(cron_col)
-    return _joined_on_minute(keyed, fires, via)
+    tables = active(timetables).select(F.col(uid_col).alias("timetable_uid"), cron_col)
+    if due is None:
+        due = due_minutes(events, tables, ts_col, cron_col)
+    sizes = (
+        due.groupBy(cron_col).agg(F.sum("events").alias("lefts"))
+        .join(tables.groupBy(cron_col).agg(F.count("*").alias("rights")), cron_col)
+    )
+    matched = match_rules(events, tables, ts_col, cron_col, due)
+    return tiled_join(matched, tables, cron_col, sizes, most).drop(cron_col)
 
 
 def match_summary(

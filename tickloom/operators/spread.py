@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Pairs of one key that a join may make in one place.
+TILE = 1 << 20
 
 
 def _partitions(df: DataFrame) -> int:
@@ -14,7 +19,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(_partitions(df), *keys)
 
 
-
 def deal(df: DataFrame) -> DataFrame:
     """Wide rows, each in turn to the next shuffle partition, before a step that costs far more than moving them.
 
@@ -22,3 +26,32 @@ def deal(df: DataFrame) -> DataFrame:
     bytes, which say little about the work: markup packs to a tenth.
     """
     return df.repartition(_partitions(df))
+
+
+def tiled_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, most: int = TILE) -> DataFrame:
+    """Inner join on ``key`` whose work is dealt out by the pairs it makes, not by the rows it reads.
+
+    ``sizes`` holds (key, lefts, rights), the rows of each key on either side. A key with more than ``most``
+    pairs becomes a grid of tiles of about that many: rows of a side are dealt to its slices by their hash and
+    repeated for each slice of the other side, so every pair meets in one tile. Tiles are as near to squares as
+    the sides allow, which keeps the repeats few. Rows alike in all columns share a slice. The join is asked for
+    as a merge, since the optimizer knows nothing of the repeats.
+    """
+    edge = most**0.5
+    lefts, rights = F.col("lefts").cast("double"), F.col("rights").cast("double")
+    cuts = sizes.filter(lefts * rights > most).select(
+        key,
+        F.ceil(lefts / F.greatest(F.lit(edge), most / rights)).alias("_lefts"),
+        F.ceil(rights / F.greatest(F.lit(edge), most / lefts)).alias("_rights"),
+    )
+
+    def dealt(side: DataFrame, mine: str, other: str, slice_of: tuple[str, str]) -> DataFrame:
+        hashed = [f.name for f in side.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        own: Column = F.pmod(F.xxhash64(*hashed), F.coalesce(mine, F.lit(1).cast("bigint")))
+        every = F.sequence(F.lit(0).cast("bigint"), F.coalesce(other, F.lit(1).cast("bigint")) - 1)
+        tiles = side.join(cuts, key, "left").withColumns({slice_of[0]: own}).withColumn(slice_of[1], F.explode(every))
+        return spread(tiles.drop("_lefts", "_rights"), key, "_i", "_j")
+
+    a = dealt(left, "_lefts", "_rights", ("_i", "_j"))
+    b = dealt(right, "_rights", "_lefts", ("_j", "_i"))
+    return a.hint("merge").join(b, [key, "_i", "_j"]).drop("_i", "_j")

@@ -102,8 +102,9 @@ def a2_cron_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def a3_match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    due = schedules.active(fx.timetables(spark, sf_dir))
-    matched = schedules.match_rules(events(spark, sf_dir), due, via=scratch_dir(spark))
+    rules, folder = schedules.active(fx.timetables(spark, sf_dir)), scratch_dir(spark)
+    schedules.due_minutes(events(spark, sf_dir), rules).write.parquet(folder)
+    matched = schedules.match_rules(events(spark, sf_dir), rules, due=spark.read.parquet(folder))
     return matched.groupBy("cron", "event_type").agg(
         F.count("*").alias("events"), F.sum("event_id").alias("event_ids")
     )
