@@ -258,9 +258,15 @@ def test_stored_tables(spark, tmp_path):
 
 
 def test_database_reads_are_split():
-    options = tables.jdbc_options("jdbc:mysql://h:1/d", "timetable_stats", 8, 0, 100, user="u")
+    options = tables.jdbc_options("jdbc:mysql://h:1/d", "timetable_stats", 8, (1, 100), user="u")
     assert options["partitionColumn"] == "timetable_uid" and options["numPartitions"] == "8"
     assert options["dbtable"] == "timetable_stats" and options["user"] == "u"
+    assert (options["lowerBound"], options["upperBound"]) == ("1", "101")
+    assert tables.bounds_query("timetable_stats") == "SELECT MIN(timetable_uid) AS low, MAX(timetable_uid) AS high FROM timetable_stats"
+    assert tables.jdbc_options("jdbc:mysql://h:1/d", "job", 8, (5, 7))["numPartitions"] == "3"
+    assert tables.jdbc_options("jdbc:mysql://h:1/d", "job", 8, (5, 5))["numPartitions"] == "1"
+    empty = tables.jdbc_options("jdbc:mysql://h:1/d", "job", 8, (None, None), user="u")
+    assert empty == {"url": "jdbc:mysql://h:1/d", "dbtable": "job", "user": "u"}
 
 
 def test_scratch_needs_a_shared_folder(spark):

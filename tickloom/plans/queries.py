@@ -606,8 +606,8 @@ def f9_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- S: sources, sinks, streams ------------------------------------------------
 
 
-@query
-def s1_read_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """The named tables written to a folder of tables, and read back."""
     folder = scratch_dir(spark)
     made = {
         "job": fx.jobs(spark, sf_dir).drop("pool"),
@@ -615,17 +615,42 @@ def s1_read_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         "timetable_stats": fx.timetable_stats(events(spark, sf_dir)),
         "template": fx.templates(spark, sf_dir),
     }
-    for name, rows in made.items():
-        rows.write.parquet(f"{folder}/{name}")
-    read = stored.read_tables(spark, folder)
+    for name in names:
+        made[name].write.parquet(f"{folder}/{name}")
+    return stored.read_tables(spark, folder, names=names)
+
+
+@query
+def s1_read_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         rows.agg(F.count("*").alias("rows"), F.sum("createtime").alias("createtimes"))
         .withColumn("table", F.lit(name))
-        for name, rows in read.items()
+        for name, rows in stored_tables(spark, sf_dir, *stored.SCHEMAS).items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query
+def s1_read_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored_tables(spark, sf_dir, "job")["job"]
+    return rows.withColumn("options", map_text(F.col("options"))).withColumn("jobconf", F.array_join("jobconf", " "))
+
+
+@query
+def s1_read_timetables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_tables(spark, sf_dir, "timetable")["timetable"]
+
+
+@query
+def s1_read_timetable_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_tables(spark, sf_dir, "timetable_stats")["timetable_stats"]
+
+
+@query
+def s1_read_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_tables(spark, sf_dir, "template")["template"]
+
+
 @query
 def s2_write_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark)

@@ -563,6 +563,16 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'timetable', count(*), CAST(sum(createtime) AS BIGINT) FROM timetables
         UNION ALL SELECT 'timetable_stats', count(*), CAST(sum(createtime) AS BIGINT) FROM stats
         UNION ALL SELECT 'template', count(*), CAST(sum(p_partkey + 1) AS BIGINT) FROM part""",
+    "s1_read_jobs": f"WITH {JOBS} SELECT * EXCLUDE (pool) FROM jobs",
+    "s1_read_timetables": f"WITH {TIMETABLES} SELECT * FROM timetables",
+    "s1_read_timetable_stats": f"WITH {STATS} SELECT * FROM stats",
+    "s1_read_templates": f"""
+        WITH {SUBMISSIONS} SELECT uid, CASE WHEN uid % 9 = 0 THEN '  ' ELSE name END AS name, uid + 1 AS createtime,
+               CASE WHEN uid % 13 = 6 THEN '{{broken' ELSE '{{"name":"' || name || '","entrypoint":"' || entrypoint
+               || '","dmemory":"' || memory || '","ememory":"' || memory
+               || '","options":"' || replace(options, '"', '\\"') || '","jobconf":"' || replace(jobconf, '\\', '\\\\')
+               || '","delay":"' || delay || '","jar":"' || jar || '"}}' END AS content
+        FROM submissions""",
     "s2_write_metadata": f"WITH {JOBS} SELECT * EXCLUDE (pool) FROM jobs",
     "s3_read_logs": """
         SELECT doc_id AS uid, 'stdout' AS type, CAST(octet_length(encode(text)) AS BIGINT) AS length,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,39 +44,62 @@ def decode_jobs(jobs: DataFrame) -> DataFrame:
     return jobs
 
 
-def jdbc_options(url: str, table: str, parts: int, low: int, high: int, **extra: str) -> dict[str, str]:
-    """Options of one table read by ``parts`` connections over the key range low..high.
+def bounds_query(table: str) -> str:
+    """The query a database answers with the range of the table's split key."""
+    key = _SPLIT_BY[table]
+    return f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {table}"
+
 
-    The range only spreads the rows: keys outside it are read as well.
+def jdbc_options(
+    url: str, table: str, parts: int, bounds: tuple[int | None, int | None], **extra: str
+) -> dict[str, str]:
+    """Options of one table read by up to ``parts`` connections over the key range ``bounds``.
+
+    The range only spreads the rows: keys outside it are read as well. Where it is empty, as
+    for an empty table or one without keys, one connection reads all.
     """
+    low, high = bounds
+    whole = {"url": url, "dbtable": table, **extra}
+    if low is None or high is None:
+        return whole
     return {
-        "url": url,
-        "dbtable": table,
+        **whole,
         "partitionColumn": _SPLIT_BY[table],
         "lowerBound": str(low),
-        "upperBound": str(high),
-        "numPartitions": str(parts),
-        **extra,
+        "upperBound": str(high + 1),  # the last part starts below it
+        "numPartitions": str(max(1, min(parts, high - low + 1))),
     }
 
 
+def key_bounds(spark: SparkSession, url: str, table: str, **extra: str) -> tuple[int | None, int | None]:
+    """Smallest and largest split key of a table, found by the database itself."""
+    options = {"url": url, "query": bounds_query(table), **extra}
+    low, high = spark.read.format("jdbc").options(**options).load().first()
+    return (None, None) if low is None else (int(low), int(high))
+
+
 def read_tables(
     spark: SparkSession,
     location: str,
     parts: int = 64,
-    low: int = 0,
-    high: int = 2**31 - 1,
+    bounds: Mapping[str, tuple[int | None, int | None]] | None = None,
+    names: Iterable[str] = tuple(SCHEMAS),
     **extra: str,
 ) -> dict[str, DataFrame]:
-    """All four tables by name, from a folder of Parquet tables or a ``jdbc:`` address."""
+    """The stored tables by name, from a folder of Parquet tables or a ``jdbc:`` address.
+
+    A database is asked for the range of each table's key unless ``bounds`` gives it.
+    """
     tables = {}
-    for name, schema in SCHEMAS.items():
+    for name in names:
         if location.startswith("jdbc:"):
-            options = jdbc_options(location, name, parts, low, high, **extra)
+            known = (bounds or {}).get(name) or key_bounds(spark, location, name, **extra)
+            options = jdbc_options(location, name, parts, known, **extra)
             tables[name] = spark.read.format("jdbc").options(**options).load()
         else:
-            tables[name] = spark.read.schema(schema).parquet(f"{location.rstrip('/')}/{name}")
-    tables["job"] = decode_jobs(tables["job"])
+            tables[name] = spark.read.schema(SCHEMAS[name]).parquet(f"{location.rstrip('/')}/{name}")
+    if "job" in tables:
+        tables["job"] = decode_jobs(tables["job"])
     return tables
 
 
