@@ -103,6 +103,12 @@ def test_coder_round_trip(steps):
         assert (id_coder.decode_blocks(codes, steps) == rows).all()
 
 
+@pytest.mark.parametrize("beyond", [65536, 2**31 + 5, 2**32 - 1])
+def test_ids_beyond_the_bound_are_refused(beyond):
+    with pytest.raises(ValueError):
+        id_coder.encode_blocks(np.array([[1, 2, beyond]], np.uint32))
+
+
 def test_coder_compresses():
     words = np.random.default_rng(1).integers(0, 50_000, (40, 3))
     rows = np.concatenate([words[np.random.default_rng(k).integers(0, 40, 600)].reshape(1, -1) for k in range(4)])

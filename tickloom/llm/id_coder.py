@@ -1,8 +1,9 @@
-"""Token-id files: a context-mixing model drives a range coder, in blocks that stand alone.
+"""Token-id files: predictions of orders 0 to 2 drive a range coder, in blocks that stand alone.
 
 The next id has three predictions: the ids that followed its last two and its last one id before, each with
 a confidence, and an order-0 distribution of the block's ids. Their weights are adaptive counts, one set for each
-pair of confidences. The range coder codes the predictor that is right and, where it is order 0, the id.
+pair of confidences. The range coder codes the predictor that is right and, where it is order 0, the id. So predictors are chosen, their
+probabilities are not mixed.
 
 A block has its own model state, coder and checksum, so any block can be read without the others. Blocks of a task are
 coded side by side: one step codes one id in each of many blocks by array operations.
@@ -182,8 +183,10 @@ def _u(x) -> np.ndarray:
 
 
 def encode_blocks(blocks: np.ndarray) -> list[bytes]:
-    """The code of every row of ``blocks`` (lanes, steps); rows are coded independently."""
+    """The code of every row of ``blocks`` (lanes, steps); rows are coded independently. Ids of ``MOST_IDS`` and more are an error."""
     lanes, steps = blocks.shape
+    if blocks.size and (blocks.min() < 0 or blocks.max() >= MOST_IDS):
+        raise ValueError(f"token ids must be below {MOST_IDS}")
     model, coder = _Model(lanes, steps), _Writer(lanes, steps)
     for t in range(steps):
         x = blocks[:, t].astype(np.int32)
