@@ -131,8 +131,26 @@ def read(spark: SparkSession, path: str, schema: str | T.StructType | None = Non
         if schema is None:
             raise FileNotFoundError(f"no batches in {path}")
         return spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("bigint"))
-    kept = T.StructType.fromJson(json.loads(last["schema"]))
-    return spark.read.schema(kept).parquet(*[f"{path}/data/{f['name']}" for f in last["folders"]])
+    return _rows_in(spark, path, last, last["folders"])
+
+
+def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The rows that count of one batch, without ``batch``; only folders that may hold them are read.
+
+    A batch that is not in the ledger has no rows.
+    """
+    last = newest(path)
+    if last is None:
+        raise FileNotFoundError(f"no batches in {path}")
+    holding = [f for f in last["folders"] if f["first"] <= batch_id <= f["last"]]
+    return _rows_in(spark, path, last, holding).filter(F.col("batch") == batch_id).drop("batch")
+
+
+def _rows_in(spark: SparkSession, path: str, entry: dict, folders: list[dict]) -> DataFrame:
+    kept = T.StructType.fromJson(json.loads(entry["schema"]))
+    if not folders:
+        return spark.createDataFrame([], kept)
+    return spark.read.schema(kept).parquet(*[f"{path}/data/{f['name']}" for f in folders])
 
 
 def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:

@@ -105,7 +105,7 @@ def follow_due_runs(
     statuses change while the stream runs, pass a function that reads the table. A batch tried again counts once.
 
     Each task first thins its ticks out to single minutes, so a minute with most of the
-    ticks is no bottleneck where its ticks meet. Rules are parsed once and kept in ``path/rules``, a batch parses those it
+    ticks is no bottleneck where its ticks meet. A batch's new minutes are written once (``path/minutes``) and read from there. Rules are parsed once and kept in ``path/rules``, a batch parses those it
     meets for the first time. It finds the few timetables that are due before it looks at jobs, and reads only the jobs
     those copy.
     """
@@ -136,22 +136,24 @@ def follow_due_runs(
         if ledger.committed(f"{path}/runs", batch_id):
             _run(batch)
         else:
-            fresh = batch.persist()
+            # written, since whatever reads the batch itself runs the stream's state again
+            if ledger.committed(f"{path}/minutes", batch_id):
+                _run(batch)
+            else:
+                ledger.commit(batch, f"{path}/minutes", batch_id)
+            fresh = ledger.read_batch(spark, f"{path}/minutes", batch_id)
+            if fresh.isEmpty():
+                return
+            listed, templates = (t() if callable(t) else t for t in (timetables, jobs))
+            due = active(listed).select(F.col("uid").alias("timetable_uid"), "cron")
+            fires = minutes_of_rules(fresh, rules_of(due, batch_id), "cron").join(due, "cron")
+            fires = fires.select("timetable_uid", F.col("minute").alias("fire_ts")).persist()
             try:
-                if fresh.count() == 0:  # a count reads the whole batch, as the state needs
-                    return
-                listed, templates = (t() if callable(t) else t for t in (timetables, jobs))
-                due = active(listed).select(F.col("uid").alias("timetable_uid"), "cron")
-                fires = minutes_of_rules(fresh, rules_of(due, batch_id), "cron").join(due, "cron")
-                fires = fires.select("timetable_uid", F.col("minute").alias("fire_ts")).persist()
-                try:
-                    fires.count()  # Spark knows the size of what it has held
-                    ledger.commit(spawn_due(fires, listed, templates), f"{path}/runs", batch_id)
-                finally:
-                    fires.unpersist()
+                fires.count()  # Spark knows the size of what it has held
+                ledger.commit(spawn_due(fires, listed, templates), f"{path}/runs", batch_id)
             finally:
-                fresh.unpersist()
-        runs = ledger.read(spark, f"{path}/runs").filter(F.col("batch") == batch_id)
+                fires.unpersist()
+        runs = ledger.read_batch(spark, f"{path}/runs", batch_id)
         ledger.commit(run_log(runs), f"{path}/log", batch_id)
 
     return (
