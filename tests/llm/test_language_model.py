@@ -65,6 +65,49 @@ def test_normalised(spark):
     assert all(np.isfinite(gain))
 
 
+def test_scores_of_a_table(spark):
+    """Scores, word by word, from the model's parameters and plain counts."""
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    learn = docs.filter("doc_id % 3 > 0")
+    texts = language_model.texts_of(learn)
+    table = language_model.count_tokens(texts)
+    words = language_model.vocabulary(table)
+    model = language_model.train(texts, words)
+    counts = Counter(w for i, t in rows if i % 3 for w in tokens(t))
+    key = lambda w: language_model.END if w is None else w
+    hashes = {w: language_model._hash([key(w)])[0] for i, t in rows for w in tokens(t)}
+    short = {h: int(u) for h, u in zip(words.hashes.tolist(), words.units.tolist()) if u >= 0}
+    kind = {w: int(language_model._classes([key(w)], np.array([h]))[0]) for w, h in hashes.items()}
+    unit = {w: short.get(int(h), language_model.SHORTLIST + kind[w]) for w, h in hashes.items()}
+    alone = {w: u < language_model.SHORTLIST for w, u in unit.items()}
+    mass, once = Counter(), Counter()
+    for w, c in counts.items():
+        if not alone[w]:
+            mass[kind[w]] += c
+            once[kind[w]] += c == 1
+    room = lambda k: mass[k] + once[k] + 1
+    # all words of a class, and as many unseen ones as were seen once and one more, share it without rest
+    for k in set(kind.values()):
+        assert sum(c / room(k) for w, c in counts.items() if kind[w] == k and not alone[w]) + (once[k] + 1) / room(k) == pytest.approx(1)
+
+    def brute(text):
+        own, total, before = tokens(text), 0.0, [unit[None], unit[None]]
+        for w in own:
+            a, b = np.array([before[-2]]), np.array([before[-1]])
+            logits = model.hidden(a, b) @ model.Q.T + model.bias
+            total += float(logits[0, unit[w]] - np.logaddexp.reduce(logits[0].astype(float))) / math.log(10)
+            total += 0.0 if alone[w] else math.log10(max(counts[w], 1) / room(kind[w]))
+            before.append(unit[w])
+        return total
+
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs, table, words, model).collect()}
+    unseen = [i for i, t in rows if any(w not in counts for w in tokens(t))]
+    assert unseen
+    for i, t in [r for r in rows if r[0] % 5 == 0 or r[0] in unseen[:20]][:60]:
+        assert got[i] == pytest.approx(brute(t), rel=1e-4, abs=1e-3)
+
+
 def test_odd_rows(spark, odd, none, odd_rows):
     scores, total = language_model.fit_and_score(odd, odd.filter("doc_id < 12"))
     check_base([r[:2] for r in odd_rows], [t for i, t, *_ in odd_rows if i is not None and i < 12], scores.collect(), total)

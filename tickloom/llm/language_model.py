@@ -8,8 +8,11 @@ its ending, and each class is a unit. The neural part predicts a unit from the t
 
 and is trained on all training texts: every task starts from the same parameters (fitted on a bounded number
 of texts), takes noise-contrastive steps over the texts of its partition, and the parameters are averaged by
-tokens. Scores are normalised exactly over all units by batched matrix products. Within a class a word
-has its share of the class's tokens; the words seen once stand for the mass of unseen words.
+tokens. Scores are normalised exactly over all units by batched matrix products. Within a class a word has its
+share of the class's tokens. The words seen once stand for the mass of unseen words and for their number, so an unseen word has
+as much as a word seen once, and a class's words and as many unseen ones as words seen once, and one more, sum to 1.
+
+The parameters are averaged once, so they depend on how the texts lie in partitions.
 """
 
 from __future__ import annotations
@@ -284,9 +287,9 @@ def score_texts(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: Lo
     """
     n_types = float(words.total + words.distinct + 1)
     end = _end_unit(words)
-    # the share of a class that goes to each of its tokens, per count
+    # the share of a class that goes to each of its tokens, per count; an unseen word counts as one
     room = words.class_tokens + words.class_once + 1.0
-    unseen = np.log10((words.class_once + 1.0) / room)
+    unseen = -np.log10(room)
 
     def make():
         units_n = len(words.unit_counts)
