@@ -18,7 +18,7 @@ def brute(text: str | None, threshold: float = 0.9):
     stride = max(len(t.split()) for _, t in license_scan.TEMPLATES)
     blocks = set()
     for s in range(0, max(len(words), 1), stride):
-        held = set(words[s : s + 2 * stride])
+        held = set(words[s : s + 3 * stride])
         for label, t in license_scan.TEMPLATES:
             own = set(t.split())
             if len(held & own) >= math.ceil(threshold * len(own) - 1e-9):
@@ -55,6 +55,19 @@ def test_wrapped_and_changed_templates(spark):
     assert len(by_id[3]["places"]) == 3 and by_id[3]["score"] == 1.0 and by_id[2]["score"] == 0.0
 
 
+def test_grants_with_words_between(spark):
+    """A grant of 16 words that spans up to 33, from every offset, and no letter but A-Z is lower-cased."""
+    granted = license_scan.TEMPLATES[3][1].split()
+    rows = []
+    for every in (1, 2, 4, 8):
+        spread = " ".join(w if k % every else f"rem {w}" for k, w in enumerate(granted))
+        rows += [(every * 100 + before, "x " * before + spread + " y" * 40) for before in range(17)]
+    rows += [(1, "all rights reserved, ALL RIGHTS RESERVED"), (2, "\u212aind cc by"), (3, "CC B\u0130")]
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows, found)
+    assert all({b["label"] for b in r["blocks"]} == {"mit"} for r in found if r["doc_id"] >= 100)
+
+
 def test_query_columns(spark):
     rows = {r["doc_id"]: r for r in queries.op6_license_scan(spark, "/root/testdata/sf0.01").collect()}
     some = next(r for r in rows.values() if r["base_labels"] == "gpl")

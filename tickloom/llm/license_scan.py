@@ -1,8 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A text's words are cut into overlapping blocks, long enough that every run of words as long as the longest
-template lies within one. A block matches a template if it holds at least ``threshold`` of the template's distinct words.
-Words are ordered by how many documents hold them, rarest first; a block that matches must hold one
+A text's words are cut into overlapping blocks of three times the longest template's words, a new one each time that many words on, so
+every run of up to twice those words and one more (33) lies within one, whatever stands between a grant's words. A block matches a template if it holds at least ``threshold`` of the template's distinct words.
+The words of all templates are ordered by how many documents hold them, rarest first; a block that matches must hold one
 of a template's first words in that order (prefix filter), be long enough (length filter), and have enough words left
 behind the first shared one (positional filter). Candidates meet in a join on those words and are verified in full.
 
@@ -12,6 +12,7 @@ All of it is DataFrame expressions.
 from __future__ import annotations
 
 import math
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases and labels of the base.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+# Words of a block, in words of the longest template.
+BLOCK = 3
+
 # Sentences by which common licenses are granted, without version numbers.
 TEMPLATES = (
     ("apache", "licensed under the apache license version"),
@@ -42,7 +46,8 @@ TEMPLATES = (
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
+    """Only A-Z are lower-cased."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), BETWEEN), "")
 
 
 def _strings(values) -> Column:
@@ -99,7 +104,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str]
 
     def blocks(words: Column) -> Column:
         begins = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(stride))
-        each = F.transform(begins, lambda s: let(F.slice(words, s + 1, 2 * stride), lambda b: F.struct(
+        each = F.transform(begins, lambda s: let(F.slice(words, s + 1, BLOCK * stride), lambda b: F.struct(
             s.cast("long").alias("start"), F.array_intersect(_strings(order), b).alias("held"))))
         some = F.filter(each, lambda b: F.arrays_overlap(b["held"], _strings(prefixes)))
         return F.when(F.arrays_overlap(words, _strings(prefixes)), some)

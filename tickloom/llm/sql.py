@@ -1,6 +1,8 @@
 """SQL of the queries that SQL can express: those without models, signatures, tokens or Spark's own hash."""
 
-from tickloom.llm.license_scan import PHRASES, TEMPLATES
+from string import ascii_lowercase, ascii_uppercase
+
+from tickloom.llm.license_scan import BLOCK, PHRASES, TEMPLATES
 
 
 def _list(words: list[str]) -> str:
@@ -19,14 +21,14 @@ ORACLE: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> leader THEN leader END AS refers_to FROM led""",
     "op6_license_scan": rf"""
-        WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         phrases(phrase, label) AS (VALUES {_PHRASES}), templates(label, t) AS (VALUES {_TEMPLATES}),
         places AS (SELECT doc_id, label,
                           unnest(list_filter(generate_series(1, len(w)), lambda i: w[i:i + len(phrase) - 1] = phrase)) - 1 AS start
                    FROM words, phrases),
         base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM places GROUP BY doc_id),
         shares AS (SELECT doc_id, label, unnest(list_transform(generate_series(0, greatest(len(w) - 1, 0), {_STRIDE}),
-                          lambda s: len(list_intersect(list_distinct(w[s + 1:s + {2 * _STRIDE}]), t)) / len(t))) AS share
+                          lambda s: len(list_intersect(list_distinct(w[s + 1:s + {BLOCK * _STRIDE}]), t)) / len(t))) AS share
                    FROM words, templates),
         found AS (SELECT * FROM shares WHERE share >= 0.9 - 1e-9),
         best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id),
