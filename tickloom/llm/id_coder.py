@@ -1,9 +1,11 @@
 """Token-id files: predictions of orders 0 to 2 drive a range coder, in blocks that stand alone.
 
-The next id has three predictions: the ids that followed its last two and its last one id before, each with
-a confidence, and an order-0 distribution of the block's ids. Their weights are adaptive counts, one set for each
-pair of confidences. The range coder codes the predictor that is right and, where it is order 0, the id. So predictors are chosen, their
-probabilities are not mixed.
+The ids that followed a block's last two and its last one id before are candidates for the next. Whether a candidate comes is a
+yes or no that orders 2, 1 and 0 each give a probability for: by how sure the two-id and the one-id context are, and by how often the
+block has held the candidate. The three are mixed in the logistic domain by adaptive weights, and the range coder codes
+the answer with the mixed probability. An id that no candidate hits is coded by the block's order-0 counts, current at every id.
+
+All of it is integer arithmetic, so that any machine reads what another has written.
 
 A block has its own model state, coder and checksum, so any block can be read without the others. Blocks of a task are
 coded side by side: one step codes one id in each of many blocks by array operations.
@@ -11,6 +13,7 @@ coded side by side: one step codes one id in each of many blocks by array operat
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,12 +33,24 @@ LANES = 1024
 # Ids are below this; the distribution of order 0 gives every one of them a share.
 MOST_IDS = 1 << 16
 _GAIN, _FRESH = 48, 128
-_SLOTS1, _SLOTS2 = 2048, 4096
+_SLOTS0, _SLOTS1, _SLOTS2 = 4096, 2048, 4096
 _TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48 = np.uint64(16), np.uint64(48)
 MAGIC = b"TLIDS\x01\x00\x00"
 
 
+# Probabilities have 16 bits; their logits have 8 bits after the point.
+_SQUASH = np.array([min(max(round(65536 / (1 + math.exp(-x / 256))), 48), 65488) for x in range(-2047, 2048)], np.int64)
+_STRETCH = np.array([round(min(max(256 * math.log((p + 0.5) / (4095.5 - p)), -2047), 2047)) for p in range(4096)], np.int64)
+_ALL, _WEIGHT, _RATE = 1 << 16, 1 << 16, 12
+# Probabilities that a block starts with, in percent: of a first candidate by order 2 (none, then how sure), by order 1 (none, agreeing,
+# not agreeing) and by order 0 (times held); of a second candidate the same.
+_START = np.array([
+    [[8, 14, 35, 55, 75, 0, 0, 0, 0], [20, 15, 30, 45, 65, 10, 15, 15, 15], [5, 8, 12, 16, 20, 24, 28, 32, 0]],
+    [[10, 10, 8, 8, 8, 0, 0, 0, 0], [8, 8, 14, 25, 40, 8, 14, 25, 40], [4, 6, 8, 11, 14, 18, 22, 26, 0]],
+], np.int64)
+
+
 class _Coder:
     """A carryless range coder per lane, in 16-bit words."""
 
@@ -98,43 +113,66 @@ class _Writer(_Coder):
 class _Model:
     """Predictions of all lanes at one step, and their update."""
 
-    def __init__(self, lanes: int, steps: int):
+    def __init__(self, lanes: int, steps: int, reading: bool = False):
         self.lane = np.arange(lanes)
         self.first = np.full(lanes * _SLOTS1, -1, np.int32)
         self.second = np.full(lanes * _SLOTS2, -1, np.int32)
-        two, one = np.divmod(np.arange(25), 5)
-        start = np.stack([np.array([0, 4, 16, 40, 64])[two], np.array([0, 3, 10, 24, 40])[one], np.full(25, 24)], 1)
-        self.counts = np.tile(start.astype(np.int32), (lanes, 1))
+        self.times = np.zeros(lanes * _SLOTS0, np.uint16)
+        self.chances = np.tile((_START * 65536 // 100).ravel(), lanes)
+        self.weights = [np.full(lanes * 10, _WEIGHT * 2 // 5, np.int64) for _ in range(3)]
         self.seen = np.zeros((lanes, steps), np.int32)
-        self.held = 0  # ids of each lane in the order-0 distribution
+        self.held = self.now = 0  # ids of each lane in the sorted order-0 counts, and in all
+        self.near = [np.zeros((lanes, _FRESH + 1), np.int32) for _ in range(2)] if reading else None
         self.a = np.zeros(lanes, np.int64)
         self.b = np.zeros(lanes, np.int64)
 
-    def predict(self):
-        """Candidates of order 2 and 1 (-1: none), and the parts of the three predictors."""
+    def candidates(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, second) candidate of each lane, -1 for none."""
         self.slot1 = self.lane * _SLOTS1 + ((self.a * 40503) >> 4) % _SLOTS1
         self.slot2 = self.lane * _SLOTS2 + ((self.a * 40503 + self.b * 60493) >> 4) % _SLOTS2
         self.e1, self.e2 = self.first[self.slot1], self.second[self.slot2]
         two, one = self.e2 >> 2, self.e1 >> 2
-        one = np.where(one == two, -1, one)
-        state = np.where(two >= 0, (self.e2 & 3) + 1, 0) * 5 + np.where(one >= 0, (self.e1 & 3) + 1, 0)
-        self.row = self.lane * 25 + state
-        return two, one, self.counts[self.row]
-
-    def update(self, x: np.ndarray, which: np.ndarray, t: int) -> None:
-        self.counts[self.row, which] += 24
-        over = self.row[self.counts[self.row].sum(1) > 4096]
-        if len(over):
-            self.counts[over] = np.where(self.counts[over] > 0, self.counts[over] + 1 >> 1, 0)
+        self.sure2 = np.where(two >= 0, (self.e2 & 3) + 1, 0)
+        agree = (two < 0) | (one == two)
+        self.sure1 = np.where(one >= 0, (self.e1 & 3) + np.where(agree, 1, 5), 0)
+        return np.where(two >= 0, two, one), np.where(agree, -1, one)
+
+    def mixed(self, i: np.ndarray, what: np.ndarray, turn: int) -> np.ndarray:
+        """The chance, of 65536, that the candidates ``what`` of lanes ``i`` come; ``turn`` is 0 for the first, 1 for the second."""
+        held = np.minimum(self.times[i * _SLOTS0 + what % _SLOTS0], 7)
+        place, two = i * 54 + turn * 27, self.sure2[i]
+        self.places = [place + two, place + (self.sure1[i] + 9), place + (held + 18)]
+        self.found = [self.chances[p] for p in self.places]
+        self.logits = [_STRETCH[c >> 4] for c in self.found]
+        self.row = i * 10 + turn * 5 + two
+        self.pulls = [w[self.row] for w in self.weights]
+        logit = sum(w * x for w, x in zip(self.pulls, self.logits)) >> 16
+        self.chance = _SQUASH[np.minimum(np.maximum(logit, -2047), 2047) + 2047]
+        return self.chance
+
+    def learn(self, hit: np.ndarray) -> None:
+        """What became of the candidates last asked for."""
+        goal = hit.astype(np.int64) << 16
+        missed = ((goal - self.chance) >> 4) * _RATE
+        for w, pull, logit, place, chance in zip(self.weights, self.pulls, self.logits, self.places, self.found):
+            w[self.row] = pull + ((logit * missed + (1 << 15)) >> 16)
+            self.chances[place] = chance + ((goal - chance) >> 5)  # stays within 0 and 65505
+
+    def update(self, x: np.ndarray, t: int) -> None:
         for table, slot, e in ((self.first, self.slot1, self.e1), (self.second, self.slot2, self.e2)):
             sure, right = e & 3, (e >> 2) == x
             table[slot] = np.where(right, (x << 2) | np.minimum(sure + 1, 3), np.where((e >= 0) & (sure > 0), e - 1, x << 2))
+        self.times[self.lane * _SLOTS0 + x % _SLOTS0] += 1
         self.seen[:, t] = x
         self.b, self.a = self.a, x.astype(np.int64)
-        if (t + 1) % _FRESH == 0 or t + 1 in (8, 16, 32, 64):
-            self._refresh(t + 1)
+        if self.near is not None:
+            self._insert(x)
+        self.now = t + 1
+        if self.now % _FRESH == 0:
+            self._refresh(self.now)
 
-    # order 0: an id has _GAIN parts for each time it is held, and one more
+    # order 0: an id has _GAIN parts for each time it is held, and one more; ids since the last sorting are counted as they lie,
+    # or, where codes are read, kept in order beside where their parts start among the sorted ones
 
     def _refresh(self, n: int) -> None:
         rows = np.sort(self.seen[:, :n], axis=1)
@@ -151,31 +189,54 @@ class _Model:
         self.by_id = (lane + rows).ravel()
         self.by_part = (lane + rows + _GAIN * place).ravel()
 
+    def _sorted(self, i: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the sorted ids of lanes ``i`` are below ``x``, and how many are ``x``."""
+        if not self.held:
+            return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        at = np.searchsorted(self.by_id, (i.astype(np.int64) << 32) + x)
+        before = at - i * self.held
+        there = np.minimum(at, len(self.rows) - 1)
+        return before, np.where((before < self.held) & (self.rows[there] == x), self.end[there] - before, 0)
+
+    def _insert(self, x: np.ndarray) -> None:
+        n = self.now - self.held
+        start = x + _GAIN * self._sorted(self.lane, x.astype(np.int64))[0].astype(np.int32)
+        after = self.near[0][:, 1 : n + 1] > x[:, None]
+        at = n - np.count_nonzero(after, axis=1)
+        for kept, new in zip(self.near, (x, start)):
+            # the first column is there to shift the others by
+            kept[:, 2 : n + 2] = np.where(after, kept[:, 1 : n + 1], kept[:, 2 : n + 2])
+            kept[self.lane, at + 1] = new
+
     @property
     def parts(self) -> int:
-        return MOST_IDS + _GAIN * self.held
+        return MOST_IDS + _GAIN * self.now
 
     def share(self, i: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of the ids ``x`` in lanes ``i``."""
-        if not self.held:
-            return x, np.ones(len(x), np.int64)
-        at = np.searchsorted(self.by_id, (i.astype(np.int64) << 32) + x)
-        before = at - i * self.held
-        there = np.minimum(at, len(self.rows) - 1)
-        times = np.where((before < self.held) & (self.rows[there] == x), self.end[there] - before, 0)
+        before, times = self._sorted(i, x)
+        if self.now > self.held:
+            late = self.seen[i, self.held : self.now]
+            before = before + np.count_nonzero(late < x[:, None], axis=1)
+            times = times + np.count_nonzero(late == x[:, None], axis=1)
         return x + _GAIN * before, 1 + _GAIN * times
 
-    def find(self, i: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, start, size) that holds the part."""
-        if not self.held:
-            return part, part, np.ones(len(part), np.int64)
-        before = np.searchsorted(self.by_part, (i.astype(np.int64) << 32) + part, side="right") - i * self.held
-        at = np.maximum(before - 1, 0) + i * self.held
-        x = self.rows[at].astype(np.int64)
-        on = (before > 0) & (part < x + 1 + _GAIN * self.end[at].astype(np.int64))
-        ids = np.where(on, x, part - _GAIN * before)
-        start = np.where(on, x + _GAIN * self.begin[at].astype(np.int64), part)
-        return ids, start, np.where(on, 1 + _GAIN * (self.end[at] - self.begin[at]).astype(np.int64), 1)
+    def find(self, i: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The ids that hold the parts."""
+        n = self.now - self.held
+        late, start = self.near[0][i, 1 : n + 1], self.near[1][i, 1 : n + 1] + _GAIN * np.arange(n, dtype=np.int32)
+        j = np.count_nonzero(start <= part[:, None], axis=1)
+        rest = part - _GAIN * j
+        x = rest
+        if self.held:
+            before = np.searchsorted(self.by_part, (i.astype(np.int64) << 32) + rest, side="right") - i * self.held
+            at = np.maximum(before - 1, 0) + i * self.held
+            own = self.rows[at].astype(np.int64)
+            x = np.where((before > 0) & (rest < own + 1 + _GAIN * self.end[at].astype(np.int64)), own, rest - _GAIN * before)
+        if n:
+            last, row = np.maximum(j - 1, 0), np.arange(len(i))
+            x = np.where((j > 0) & (part < start[row, last] + _GAIN), late[row, last], x)
+        return x
 
 
 def _u(x) -> np.ndarray:
@@ -190,15 +251,19 @@ def encode_blocks(blocks: np.ndarray) -> list[bytes]:
     model, coder = _Model(lanes, steps), _Writer(lanes, steps)
     for t in range(steps):
         x = blocks[:, t].astype(np.int32)
-        two, one, parts = model.predict()
-        which = np.where(x == two, 0, np.where(x == one, 1, 2))
-        start = np.where(which == 0, 0, np.where(which == 1, parts[:, 0], parts[:, 0] + parts[:, 1]))
-        coder.take(model.lane, _u(start), _u(parts[model.lane, which]), _u(parts.sum(1)))
-        i = np.flatnonzero(which == 2)
+        open_ = np.ones(lanes, bool)
+        for turn, what in enumerate(model.candidates()):
+            i = np.flatnonzero(open_ & (what >= 0))
+            if len(i):
+                chance, hit = model.mixed(i, what[i], turn), what[i] == x[i]
+                coder.take(i, _u(np.where(hit, 0, chance)), _u(np.where(hit, chance, _ALL - chance)), _u(_ALL))
+                model.learn(hit)
+                open_[i[hit]] = False
+        i = np.flatnonzero(open_)
         if len(i):
             start, size = model.share(i, x[i].astype(np.int64))
-            coder.take(i, _u(start), _u(size), np.uint64(model.parts))
-        model.update(x, which, t)
+            coder.take(i, _u(start), _u(size), _u(model.parts))
+        model.update(x, t)
     return coder.finish()
 
 
@@ -208,21 +273,24 @@ def decode_blocks(codes: list[bytes], steps: int) -> np.ndarray:
     words = np.zeros((lanes, max(map(len, codes)) // 2 + 8), np.uint64)
     for k, code in enumerate(codes):
         words[k, : len(code) // 2] = np.frombuffer(code, "<u2")
-    model, coder = _Model(lanes, steps), _Coder(lanes, words)
+    model, coder = _Model(lanes, steps, reading=True), _Coder(lanes, words)
     for t in range(steps):
-        two, one, parts = model.predict()
-        total = _u(parts.sum(1))
-        value = coder.value(model.lane, total)
-        which = (value >= parts[:, 0]).astype(np.int64) + (value >= parts[:, 0] + parts[:, 1])
-        start = np.where(which == 0, 0, np.where(which == 1, parts[:, 0], parts[:, 0] + parts[:, 1]))
-        coder.take(model.lane, _u(start), _u(parts[model.lane, which]), total)
-        x = np.where(which == 0, two, one).astype(np.int64)
-        i = np.flatnonzero(which == 2)
+        x, open_ = np.zeros(lanes, np.int64), np.ones(lanes, bool)
+        for turn, what in enumerate(model.candidates()):
+            i = np.flatnonzero(open_ & (what >= 0))
+            if len(i):
+                chance = model.mixed(i, what[i], turn)
+                hit = coder.value(i, _u(_ALL)) < chance
+                coder.take(i, _u(np.where(hit, 0, chance)), _u(np.where(hit, chance, _ALL - chance)), _u(_ALL))
+                model.learn(hit)
+                x[i[hit]] = what[i[hit]]
+                open_[i[hit]] = False
+        i = np.flatnonzero(open_)
         if len(i):
-            ids, start, size = model.find(i, coder.value(i, np.uint64(model.parts)))
-            coder.take(i, _u(start), _u(size), np.uint64(model.parts))
-            x[i] = ids
-        model.update(x.astype(np.int32), which, t)
+            x[i] = model.find(i, coder.value(i, _u(model.parts)))
+            start, size = model.share(i, x[i])
+            coder.take(i, _u(start), _u(size), _u(model.parts))
+        model.update(x.astype(np.int32), t)
     return model.seen
 
 
