@@ -37,6 +37,18 @@ def test_newest_row_of_each_key(spark, tmp_path):
     assert len(list((tmp_path / "t" / "entries").iterdir())) == ledger.KEPT
 
 
+def test_rows_of_one_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        ledger.read_batch(spark, path, 0)
+    for n in range(5):
+        ledger.commit(batch(spark, [("a", n)] * (n % 3)).coalesce(1), path, n)
+    for n in range(5):
+        rows = ledger.read_batch(spark, path, n)
+        assert rows.columns == ["key", "value"] and [tuple(r) for r in rows.collect()] == [("a", n)] * (n % 3)
+    assert ledger.read_batch(spark, path, 7).count() == 0
+
+
 def test_rows_without_a_key_stay(spark, tmp_path):
     path = str(tmp_path / "t")
     for n in range(9):
