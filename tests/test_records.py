@@ -169,3 +169,15 @@ def test_path_functions(spark):
     paths = spark.createDataFrame([("/home",), ("/home/x",), ("/home2",), ("/",)], "p string")
     assert [r[0] for r in paths.select(within("p", "/home")).collect()] == [True, True, False, False]
     assert [r[0] for r in paths.select(within("p", "/")).collect()] == [True, True, True, True]
+
+
+def test_check_sum_beyond_a_bigint(spark):
+    """Times of millions of rows add up to more than a bigint holds."""
+    from tickloom.plans.queries import check_sum
+
+    def of(*values):
+        rows = spark.createDataFrame([(v,) for v in values], "n bigint")
+        return rows.agg(check_sum("n").alias("n"), F.typeof(check_sum("n")).alias("kind")).first()
+
+    assert tuple(of(1_704_067_200_000, -5, None)) == (1_704_067_199_995, "bigint")
+    assert of(2**63 - 1, 2**63 - 1, 7).n == 5 and of(-(2**63), -1).n == 2**63 - 1 and of().n is None

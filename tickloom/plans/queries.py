@@ -620,10 +620,18 @@ def stored_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Da
     return stored.read_tables(spark, folder, names=names)
 
 
+def check_sum(col: str) -> Column:
+    """The sum of a bigint column, exact where a bigint holds it and modulo 2^64 beyond; 5.4 million times of today are beyond."""
+    total = F.sum(F.col(col).cast("decimal(19,0)"))  # exact for 10^10 rows of any value
+    half, whole = (F.lit(n).cast("decimal(38,0)") for n in (str(1 << 63), str(1 << 64)))
+    return (F.pmod(total + half, whole) - half).cast("bigint")
+
+
 @query
 def s1_read_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table and a check sum of their times."""
     parts = [
-        rows.agg(F.count("*").alias("rows"), F.sum("createtime").alias("createtimes"))
+        rows.agg(F.count("*").alias("rows"), check_sum("createtime").alias("createtimes"))
         .withColumn("table", F.lit(name))
         for name, rows in stored_tables(spark, sf_dir, *stored.SCHEMAS).items()
     ]
