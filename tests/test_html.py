@@ -120,3 +120,20 @@ def test_values_where_pages_are_parsed(spark):
     assert sorted(r.page_id for r in got) == [1, 2, 3, 4, 5, 6, 8]
     cells = H.html_elements(df, tags=("td",)).collect()
     assert {r.tag for r in cells} == {"td"} and len(cells) == H.html_elements(df).filter("tag = 'td'").count()
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    """Pages of plain tags take the short way, all others the parser's."""
+
+    def parsed(page):
+        parser = H._Elements()
+        parser.feed(page)
+        return parser.rows, not parser.open
+
+    plain = ["", "no tags", " x<p>one", "<!DOCTYPE html>\n<HTML><body class=a ID='b c' hidden a=1 a=\"2\"><img src=i.png>text<br>more</body ></html>tail",
+             "<a><b>x</a>y</b>z", "<td>\n key\x0b\n two </td><td></td>", "<p\n><h1>é</h1>"]
+    other = ["<p>a &amp; b</p>", "<script>if (a < b) { '<p>' }</script>", "<!-- <p> --><p>x", "<p>x<", "<i/>", "</b x>", "<b a = 1>", "<title>T</title>", "<p class='>'>", "<u a=\"1\"b>"]
+    for page in plain:
+        assert H._plain_elements(page) == parsed(page)
+    for page in other:
+        assert H._plain_elements(page) is None and H._page_elements(page) == parsed(page)

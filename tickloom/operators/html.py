@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -18,6 +19,15 @@ SKIPPED_TAGS = frozenset(["html", "head", "link", "meta", "br"])
 CHILDLESS_TAGS = frozenset(["input", "img"])
 
 _BLANKS = " \t\n\r\x0b\x0c"
+# Tags whose content is, or in some versions of the parser is, no markup.
+_RAW_TAGS = frozenset(
+    ["script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"])
+# What precedes the first tag; a plain tag with the text behind it; an attribute of one.
+_HEAD = re.compile(r"[^<]*(?:<!doctype[^<>]*>[^<]*)?", re.I)
+_PLAIN = re.compile(
+    r"<(/?)([a-zA-Z][a-zA-Z0-9]*)"
+    r"((?:[ \t\n\r\f]+[a-zA-Z][a-zA-Z0-9_:-]*(?:=(?:\"[^\"<>]*\"|'[^'<>]*'|[a-zA-Z0-9_.:#-]+))?)*)[ \t\n\r\f]*>([^<]*)")
+_ATTRIBUTE = re.compile(r"([a-zA-Z][a-zA-Z0-9_:-]*)(?:(=)(?:\"([^\"]*)\"|'([^']*)'|([a-zA-Z0-9_.:#-]+)))?")
 # Elements gathered, over pages, before they are sent to Spark.
 _ROWS_PER_BATCH = 8192
 
@@ -51,7 +61,48 @@ class _Elements(HTMLParser):
             self.rows[self.open[-1]][3] = data.strip(_BLANKS).replace("\n", "")
 
 
+def _attributes(text: str) -> list[tuple[str, str | None]]:
+    found = {}
+    for name, given, *values in _ATTRIBUTE.findall(text):
+        found[name.lower()] = "".join(values) if given else None
+    return list(found.items())
+
+
+def _plain_elements(html: str) -> tuple[list[list], bool] | None:
+    """What the parser finds on a page of plain tags and text, at an eighth of its time; None for any other page.
+
+    Every ``<`` must begin a plain tag, so no page is read in part.
+    """
+    if "&" in html:
+        return None
+    at = _HEAD.match(html).end()
+    tokens = _PLAIN.findall(html, at)
+    if len(tokens) != html.count("<", at):
+        return None
+    rows: list[list] = []
+    open_: list[int] = []
+    for end, tag, attributes, text in tokens:
+        tag = tag.lower()
+        if end:
+            if attributes:
+                return None
+            if open_ and rows[open_[-1]][2] == tag:
+                open_.pop()
+        elif tag in _RAW_TAGS:
+            return None
+        elif tag not in SKIPPED_TAGS:
+            rows.append([open_[-1] if open_ else None, len(open_), tag, None, _attributes(attributes) if attributes else []])
+            if tag not in CHILDLESS_TAGS:
+                open_.append(len(rows) - 1)
+        if text and open_:
+            rows[open_[-1]][3] = text.strip(_BLANKS).replace("\n", "")
+    return rows, not open_
+
+
 def _page_elements(html: str) -> tuple[list[list], bool]:
+    plain = _plain_elements(html)
+    if plain is not None:
+        return plain
     parser = _Elements()
     parser.feed(html)  # not closed: an unfinished tag at the end is no element
     return parser.rows, not parser.open
