@@ -188,6 +188,19 @@ def test_repeated_batch_counts_once(spark, tmp_path):
         H.replay_transitions(events, H.JOB_MACHINE))
 
 
+def test_keys_share_rows_of_state(spark, tmp_path, monkeypatch):
+    """Far fewer calls and rows of state than keys, and each key's own result."""
+    monkeypatch.setattr(streams, "_GROUPS", 3)
+    actions = ["run", "finish", "close", "bogus", None]
+    rows = [(n, n * 37 % 211 if n % 3 else n % 19, 2**53 + n * 37 % 101, n % 7, actions[n * 13 % 5]) for n in range(1500)]
+    events = spark.createDataFrame(rows, "n bigint, key bigint, ts bigint, seq bigint, action string")
+    path = str(tmp_path / "states")
+    streams.follow_transitions(stream(spark, events, tmp_path / "in", 3), H.JOB_MACHINE, path, str(tmp_path / "cp")).awaitTermination()
+    parts = [[r[1:] for r in rows[i * 500 : i * 500 + 500] if r[4] is not None] for i in range(3)]
+    assert settled(streams.states_now(spark, path)) == in_arrival(rows, H.JOB_MACHINE, parts)
+    assert stored(spark, tmp_path / "cp").count() == 3
+
+
 def test_run_totals_stream(spark, tmp_path):
     stats = spark.range(500).selectExpr(
         "id AS n", "id % 7 AS timetable_uid", "id AS job_uid", "id div 3 AS createtime")

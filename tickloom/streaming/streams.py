@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -167,44 +168,78 @@ def follow_due_runs(
 # -- status changes ------------------------------------------------------------
 
 
-# Events of a key in a batch from which on they are folded as arrays.
-_MANY = 64
+# Groups that share a row of state; a call of the state function takes a millisecond or two, however many keys it serves.
+_GROUPS = 1 << 11
 
 
-def _step(machine: Machine):
-    """The state function: a key's events of one batch, in order, on what is known of the key."""
-    steps, moves, states = Steps(machine), machine.table(), machine.states
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _step(machine: Machine, key_type: pa.DataType):
+    """The state function: a group's events of one batch, in order, on what is known of its keys.
+
+    State is one small table per group of keys; those that have events are stepped together by array operations.
+    """
+    steps, states = Steps(machine), machine.states
     stamped = [machine.actions.index(a) for a in machine.stamps]
-    names = ["key", "status", *machine.stamps.values(), "accepted", "rejected", "late"]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts = [[b[c].to_numpy() for c in ("ts", "seq", "action", "start")] for b in batches]
-        ts, seq, action, start = (np.concatenate(column) for column in zip(*parts))
-        order = np.lexsort((action, seq, ts))
-        ts, seq, action = ts[order], seq[order], action[order]
-        if state.exists:
-            now, accepted, rejected, late, *times = state.get
-            last, times = tuple(times[:2]), times[2:]
-            late += int(((ts < last[0]) | (ts == last[0]) & (seq < last[1])).sum())
-        else:
-            now, accepted, rejected, late, last, times = int(start[0]), 0, 0, 0, (ts[0], seq[0]), [None] * len(stamped)
-        if len(ts) < _MANY:
-            for at, what in zip(ts.tolist(), action.tolist()):
-                target = moves[what, now]
-                if target < 0:
-                    rejected += 1
-                    continue
-                now, accepted = int(target), accepted + 1
-                if what in stamped:
-                    times[stamped.index(what)] = at
-        else:
-            ends, total, set_at = segment_effects(action, ts, np.array([0]), steps, stamped)
-            times = [old if new[0, now] == UNSET else int(new[0, now]) for old, new in zip(times, set_at)]
-            accepted, rejected = accepted + int(total[0, now]), rejected + len(ts) - int(total[0, now])
-            now = int(ends[0, now])
-        last = max(tuple(map(int, last)), (int(ts[-1]), int(seq[-1])))
-        state.update((now, accepted, rejected, late, *last, *times))
-        yield pd.DataFrame([[*key, states[now], *times, accepted, rejected, late]], columns=names)
+    counts = ["now", "accepted", "rejected", "late", "last_ts", "last_seq"]
+    times = list(machine.stamps.values())
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(batches), ignore_index=True)
+        found = pa.array(events["key"], key_type)
+        keys = pc.unique(found)
+        known = pa.ipc.open_stream(state.get[0]).read_all().combine_chunks() if state.exists else None
+        place = pc.index_in(keys, known.column("key").combine_chunks()) if known is not None else pa.nulls(len(keys), pa.int32())
+        is_old = place.is_valid().to_numpy(zero_copy_only=False)
+        place = place.fill_null(-1).to_numpy()
+
+        ts, seq, action, start = (events[c].to_numpy() for c in ("ts", "seq", "action", "start"))
+        code = pc.index_in(found, keys).to_numpy()
+        order = np.lexsort((action, seq, ts, code))
+        ts, seq, action, code, start = ts[order], seq[order], action[order], code[order], start[order]
+        firsts = np.searchsorted(code, np.arange(len(keys)))
+        lasts = np.append(firsts[1:], len(code)) - 1
+
+        def before(name: str, new: np.ndarray) -> np.ndarray:
+            """What the state says of the batch's keys; ``new`` of those it does not know."""
+            if known is None:
+                return new.astype(np.int64)
+            return np.where(is_old, known.column(name).to_numpy()[place], new)
+
+        none = np.zeros(len(keys), np.int64)
+        now, last_ts, last_seq = (before(n, v[firsts]) for n, v in (("now", start), ("last_ts", ts), ("last_seq", seq)))
+        is_late = (ts < last_ts[code]) | (ts == last_ts[code]) & (seq < last_seq[code])
+        late = before("late", none) + np.bincount(code[is_late & is_old[code]], minlength=len(keys))
+        ends, total, set_at = segment_effects(action, ts, firsts, steps, stamped)
+        rows = np.arange(len(keys))
+        taken = total[rows, now]
+        new_ts, new_seq = ts[lasts], seq[lasts]
+        newer = (new_ts > last_ts) | (new_ts == last_ts) & (new_seq > last_seq)
+        values = {
+            "now": ends[rows, now], "accepted": before("accepted", none) + taken,
+            "rejected": before("rejected", none) + (lasts - firsts + 1) - taken, "late": late,
+            "last_ts": np.where(newer, new_ts, last_ts), "last_seq": np.where(newer, new_seq, last_seq),
+        }
+        for name, at in zip(times, set_at):
+            values[name] = np.where(at[rows, now] == UNSET, before(name, none + UNSET), at[rows, now])
+
+        mine = pa.table([keys, *[pa.array(values[c].astype(np.int64)) for c in (*counts, *times)]], names=["key", *counts, *times])
+        table = mine
+        if known is not None:
+            others = np.ones(known.num_rows, bool)
+            others[place[is_old]] = False
+            table = pa.concat_tables([known.filter(pa.array(others)), mine])
+        state.update((_packed(table.combine_chunks()),))
+        out = {"key": keys.to_pandas(), "status": np.array(states, object)[values["now"]]}
+        out |= {name: pd.array(values[name], dtype="Int64") for name in times}
+        for name in times:
+            out[name][values[name] == UNSET] = pd.NA
+        yield pd.DataFrame(out | {name: values[name] for name in ("accepted", "rejected", "late")})
 
     return step
 
@@ -223,13 +258,14 @@ def follow_transitions(
 ) -> StreamingQuery:
     """Keeps the status of every key, in the stream's state and in the ledger at ``path``; read it with :func:`states_now`.
 
-    A batch touches only the keys it has events of, and neither it nor a reader folds earlier events again: a key's state is one
-    row. Within a batch events are ordered by (ts, seq), equal ones in the order of the machine's actions. An event that
+    Neither a batch nor a reader folds earlier events again: a key's state is one row of a small table, and a batch touches only
+    the tables it has keys of. Keys are dealt to ``_GROUPS`` tables by their hash, since a call of the state function costs far
+    more than a key's events; a group's number is part of the checkpoint. Within a batch events are ordered by (ts, seq), equal ones in the order of the machine's actions. An event that
     comes in a later batch than one of greater (ts, seq) is applied when it comes, as the queue's owner would, and counted
     in ``late``. ``initial`` (key, status) gives keys that do not start in the machine's initial state; it counts when a key is
     met first. Rows without a key or an action are left out.
 
-    A key's events of one batch meet in one task, as 17 bytes each; the source's limit on a batch bounds them.
+    A group's events of one batch meet in one task, as some 30 bytes each; the source's limit on a batch bounds them.
     """
     rows = numbered(events, machine, key_col, ts_col, seq_col, action_col)
     states = F.array(*map(F.lit, machine.states))
@@ -238,11 +274,12 @@ def follow_transitions(
         given = initial.select("key", (F.array_position(states, F.col("status")) - 1).cast("int").alias("given"))
         rows = rows.join(given, "key", "left")
         start = F.when(F.col("given") >= 0, F.col("given")).otherwise(start)
-    kind = rows.schema["key"].dataType.simpleString()
+    kind = rows.schema["key"].dataType
     stamps = "".join(f", {name} bigint" for name in machine.stamps.values())
-    counts = "accepted bigint, rejected bigint, late bigint"
-    current = rows.select("key", "ts", "seq", "action", start.alias("start")).groupBy("key").applyInPandasWithState(
-        _step(machine), f"key {kind}, status string{stamps}, {counts}", f"status int, {counts}, last_ts bigint, last_seq bigint{stamps}",
+    group = F.pmod(F.xxhash64("key"), F.lit(_GROUPS)).alias("group")
+    current = rows.select("key", "ts", "seq", "action", start.alias("start"), group).groupBy("group").applyInPandasWithState(
+        _step(machine, to_arrow_type(kind)),
+        f"key {kind.simpleString()}, status string{stamps}, accepted bigint, rejected bigint, late bigint", "keys binary",
         "update", GroupStateTimeout.NoTimeout)
     return write_batches(current, path, checkpoint, "key", "update", trigger)
 
