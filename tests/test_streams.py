@@ -81,6 +81,22 @@ def test_ticks_out_of_order(spark, tmp_path):
     assert stored(spark, tmp_path / "cp").count() == len(set(minutes))
 
 
+def test_runs_of_the_minutes_of_rules(spark):
+    """Minutes per rule give the runs that fires per timetable give, in tiles of any size."""
+    timetables = spark.createDataFrame(
+        [(uid, f"t{uid}", "PAUSED" if uid % 7 == 0 else "ACTIVE", "* * * * * *" if uid % 3 else "*/5 * * * * *", uid % 4) for uid in range(40)],
+        "uid bigint, name string, status string, cron string, job_uid bigint")
+    jobs = spark.sql("SELECT explode(array(0L, 1L, 2L)) AS uid, 'Main' AS entrypoint, '/a.jar' AS jar, map('a','b') AS options, array('x') AS jobconf")
+    start, end = datetime(2024, 1, 5, 8, 0), datetime(2024, 1, 5, 8, 30)
+    minutes = spark.createDataFrame([(start + timedelta(minutes=n),) for n in range(30)], "minute timestamp_ntz")
+    due = schedules.rule_minutes(minutes, timetables).select("cron", "minute").persist()
+    want, _ = schedules.planned_runs(timetables, jobs, start, end)
+    for most in (8, 1 << 20):
+        got = schedules.spawn_due(due, timetables, jobs, most)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 500
+
+
 def test_paused_while_the_stream_runs(spark, ticks, tmp_path):
     jobs = spark.sql("SELECT 10L AS uid, 'Main' AS entrypoint, '/a.jar' AS jar, map('a','b') AS options, array('x') AS jobconf")
     reads = []

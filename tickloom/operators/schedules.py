@@ -294,15 +294,19 @@ def spawn_runs(
     return runs, run_log(runs)
 
 
-def spawn_due(fires: DataFrame, timetables: DataFrame, jobs: DataFrame) -> DataFrame:
-    """New job rows for a written table of ``fires``, few against all timetables and jobs.
+def spawn_due(due: DataFrame, timetables: DataFrame, jobs: DataFrame, most: int = TILE) -> DataFrame:
+    """New job rows for a held table ``due`` (cron, minute): each distinct rule with the minutes it fires in.
 
-    The timetables that fire are picked first, then the jobs those copy, so neither table is shuffled whole
-    where Spark sees that the other side is small.
+    The ACTIVE timetables of those rules are picked first, then the jobs those copy, so neither table is shuffled whole
+    where Spark sees that the other side is small. They take their job along before they meet the minutes, in tiles of at
+    most about ``most`` fires: no fire is ever shuffled, and a rule that many share is the work of many tasks.
     """
-    firing = timetables.join(fires.select(F.col("timetable_uid").alias("uid")).distinct(), "uid", "left_semi")
+    minutes = due.groupBy("cron").agg(F.count("*").alias("rights"))
+    firing = timetables.join(minutes.select("cron"), "cron", "left_semi")
     copied = jobs.join(active(firing).select(F.col("job_uid").alias("uid")).distinct(), "uid", "left_semi")
-    return _as_runs(fires.join(_with_template(firing, copied), "timetable_uid"))
+    sizes = active(timetables).groupBy("cron").agg(F.count("*").alias("lefts")).join(minutes, "cron")
+    fires = due.select("cron", F.col("minute").alias("fire_ts"))
+    return _as_runs(tiled_join(_with_template(firing, copied), fires, "cron", sizes, most))
 
 
 def planned_runs(

@@ -107,8 +107,8 @@ def follow_due_runs(
 
     Each task first thins its ticks out to single minutes, so a minute with most of the
     ticks is no bottleneck where its ticks meet. A batch's new minutes are written once (``path/minutes``) and read from there. Rules are parsed once and kept in ``path/rules``, a batch parses those it
-    meets for the first time. It finds the few timetables that are due before it looks at jobs, and reads only the jobs
-    those copy.
+    meets for the first time. It holds the minutes of each distinct rule, not of each timetable, finds the timetables
+    that are due before it looks at jobs, and reads only the jobs those copy.
     """
     minutes = (
         ticks.select(to_minute(F.col(ts_col)).alias("minute"))
@@ -118,11 +118,11 @@ def follow_due_runs(
     )
     indexed = []  # whether a table that stays as it is has had its rules parsed
 
-    def rules_of(due: DataFrame, batch_id: int) -> DataFrame:
+    def rules_of(listed: DataFrame, batch_id: int) -> DataFrame:
         """The parsed rules; those that no batch has met before are added."""
-        spark, place = due.sparkSession, f"{path}/rules"
+        spark, place = listed.sparkSession, f"{path}/rules"
         if not indexed or callable(timetables):
-            texts = due.select("cron").distinct()
+            texts = listed.select("cron").distinct()
             if ledger.newest(place) is not None:
                 texts = texts.join(ledger.read(spark, place).select("cron"), "cron", "left_anti")
             ledger.commit(parse_schedules(texts, "cron"), place, batch_id)
@@ -146,14 +146,12 @@ def follow_due_runs(
             if fresh.isEmpty():
                 return
             listed, templates = (t() if callable(t) else t for t in (timetables, jobs))
-            due = active(listed).select(F.col("uid").alias("timetable_uid"), "cron")
-            fires = minutes_of_rules(fresh, rules_of(due, batch_id), "cron").join(due, "cron")
-            fires = fires.select("timetable_uid", F.col("minute").alias("fire_ts")).persist()
+            due = minutes_of_rules(fresh, rules_of(active(listed), batch_id), "cron").select("cron", "minute").persist()
             try:
-                fires.count()  # Spark knows the size of what it has held
-                ledger.commit(spawn_due(fires, listed, templates), f"{path}/runs", batch_id)
+                due.count()  # Spark knows the size of what it has held
+                ledger.commit(spawn_due(due, listed, templates), f"{path}/runs", batch_id)
             finally:
-                fires.unpersist()
+                due.unpersist()
         runs = ledger.read_batch(spark, f"{path}/runs", batch_id)
         ledger.commit(run_log(runs), f"{path}/log", batch_id)
 
