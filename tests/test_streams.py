@@ -303,3 +303,15 @@ def test_scratch_needs_a_shared_folder(spark):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     first, second = scratch_dir(spark), scratch_dir(spark)
     assert first.startswith(root) and first != second
+
+
+def test_short_logs_share_a_batch(tmp_path, monkeypatch):
+    monkeypatch.setattr(log_files, "_HELD", 100)
+    sizes = [10, 0, 30, 250, 5, 60, 60]
+    rows = []
+    for uid, size in enumerate(sizes):
+        (tmp_path / str(uid)).write_bytes(b"x" * size)
+        rows.append({"path": str(tmp_path / str(uid)), "uid": uid, "type": "stdout", "length": size})
+    batches = [b.to_pylist() for b in log_files._contents([log_files.pa.RecordBatch.from_pylist(rows)])]
+    assert [[r["uid"] for r in b] for b in batches] == [[0, 1, 2], [3], [4, 5], [6]]
+    assert [r["length"] for b in batches for r in b] == [len(r["content"]) for b in batches for r in b] == sizes

@@ -42,12 +42,22 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Many short logs make one batch; a batch a log would cost more than most logs."""
+    rows, held = [], 0
     for batch in batches:
         for row in batch.to_pylist():
+            if rows and held + row["length"] > _HELD:  # a long log is alone
+                yield pa.RecordBatch.from_pylist(rows, schema=_WHOLE)
+                rows, held = [], 0
             with _open(row["path"]) as file:
                 content = file.read()
-            yield pa.RecordBatch.from_pylist([{**{k: row[k] for k in ("uid", "type")}, "length": len(content), "content": content}],
-                                             schema=_WHOLE)
+            rows.append({**{k: row[k] for k in ("uid", "type")}, "length": len(content), "content": content})
+            held += len(content)
+            if held >= _HELD or len(rows) >= _HELD_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=_WHOLE)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_WHOLE)
 
 
 _WHOLE = pa.schema([("uid", pa.int64()), ("type", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
