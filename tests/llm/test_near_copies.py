@@ -141,3 +141,18 @@ def test_short_forms_never_say_too_little():
         assert short >= near_copies.likeness(a, b) - 1e-12
         if size < 1000:
             assert short < near_copies.likeness(a, b) + 0.05
+
+
+def test_a_crowd_with_strays_takes_few_pairs_a_text(spark, monkeypatch):
+    """Texts at and beyond the edge of a crowd are settled with few pairs too, and all links are found."""
+    pairs, plain = [], near_copies.compare
+    monkeypatch.setattr(near_copies, "compare", lambda p, *more: (pairs.append(p.count()), plain(p, *more))[1])
+    draw, base, rows = np.random.default_rng(17), text_of(12, 150).split(), []
+    for k in range(500):
+        own = list(base)
+        for at in draw.choice(150, int(draw.integers(1, 9)), replace=False):
+            own[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(own)))
+    got = classes(near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert got == brute(rows) and 50 < len(set(got.values())) < 450
+    assert sum(pairs) < 12 * len(rows), pairs

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import cut, tidy
+from tickloom.llm.shared import cut, cut_small, gathered, tidy
 
 # Links a task contracts at once.
 _HELD = 200_000
@@ -52,10 +52,6 @@ def _merge(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
     return [_contract(table.column("a").to_numpy(), table.column("b").to_numpy())]
 
 
-def _count(links: DataFrame):
-    return links.selectExpr("count(*) AS n", "sum(xxhash64(a, b) % 1000003) AS mark").first()
-
-
 # Links of a node from which on it is a hub, as a number and as a share of all links: there are at most 20,000 hubs.
 _HUB, _HUB_SHARE = 1000, 1e-4
 
@@ -76,19 +72,18 @@ def classes_of(links: DataFrame) -> DataFrame:
     task of its own; those with a null end are ignored.
     """
     links = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    links = cut(links.mapInArrow(_contracted, "a long, b long").distinct())
-    before = _count(links)
-    while before["n"]:
+    links = cut_small(links.mapInArrow(_contracted, "a long, b long").distinct())
+    while True:
         both = links.union(links.select("b", "a"))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select("a", "n", F.least("a", "least").alias("root")))
-        large = _met(both.filter("b > a"), least, "a", before["n"]).select(F.col("b").alias("x"), F.col("root").alias("y")).distinct()
-        large = cut(large)
-        to_least = large.groupBy("x").agg(F.min("y").alias("root"), F.count("*").alias("n"))
-        small = _met(large, to_least, "x", before["n"]).filter("y > root").select(F.col("y").alias("a"), F.col("root").alias("b"))
-        links = cut(small.union(to_least.select("x", "root")).distinct())
-        after = _count(links)
-        if after == before:
+        least = cut_small(both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select("a", "n", F.least("a", "least").alias("root")))
+        # all are stars once every node with a smaller neighbour has no other
+        seen = least.selectExpr("coalesce(sum(n) div 2, 0) AS links", "coalesce(bool_or(root < a AND n > 1), false) AS more").first()
+        if not seen["more"]:
             break
-        before = after
+        large = _met(both.filter("b > a"), least, "a", seen["links"]).select(F.col("b").alias("x"), F.col("root").alias("y")).distinct()
+        large = cut(gathered(large, seen["links"]))
+        to_least = large.groupBy("x").agg(F.min("y").alias("root"), F.count("*").alias("n"))
+        small = _met(large, to_least, "x", seen["links"]).filter("y > root").select(F.col("y").alias("a"), F.col("root").alias("b"))
+        links = cut(gathered(small.union(to_least.select("x", "root")).distinct(), seen["links"]))
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("class_id")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("class_id")).union(roots)

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import classes_of
-from tickloom.llm.shared import Words, cut, in_slices, mix, slices, texts_of, tidy
+from tickloom.llm.shared import Words, cut, cut_small, in_slices, mix, slices, texts_of, tidy
 
 SHINGLE = 5
 LIKENESS = 0.8
@@ -183,8 +183,8 @@ def bag_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("first"), part.column("digest"), raw(bag), raw([shortened(x) for x in bag])], ["first", "digest", "bag", "short"])
 
-    made = rows.mapInArrow(run, "first long, digest binary, bag binary, short binary").join(wanted, ["first", "digest"])
-    return made.select(F.col("rep").alias("doc_id"), "bag", "short").dropDuplicates(["doc_id"])
+    made = rows.mapInArrow(run, "first long, digest binary, bag binary, short binary").dropDuplicates(["first", "digest"])
+    return made.join(wanted, ["first", "digest"]).select(F.col("rep").alias("doc_id"), "bag", "short")
 
 
 def shortened(bag: np.ndarray) -> np.ndarray:
@@ -240,7 +240,7 @@ def compare(pairs: DataFrame, bags_of: DataFrame, least: float = LIKENESS) -> Da
     Short forms, a quarter of the bags, meet first and rule out nearly all pairs that are unlike, surely; the others meet by their whole bags.
     """
     short = _judged(pairs, bags_of.select("doc_id", F.col("short").alias("value")), bound, np.uint16)
-    left = cut(short.filter(F.col("like") >= least - 1e-9).select("a", "b"))
+    left = cut_small(short.filter(F.col("like") >= least - 1e-9).select("a", "b"))
     exact = _judged(left, bags_of.select("doc_id", F.col("bag").alias("value")), likeness, np.uint64)
     return exact.filter(F.col("like") >= least).select("a", "b")
 
@@ -250,9 +250,9 @@ def near_copies(docs: DataFrame, likeness_at_least: float = LIKENESS, bands: int
 
     Texts of equal bytes are one class at once (so are all empty or missing texts). Different texts
     that share a band are linked if their likeness is ``likeness_at_least`` or more: every text of
-    a band's bucket is compared with the smallest id of its buckets, then, where these are of another class, with the smallest
-    ids of its other buckets and with its neighbours when a bucket is ordered by the texts' other bands; where a bucket's texts are then still in different classes, they are compared
-    with all texts of other classes that an exact prefix filter on rare shingles leaves possible. Classes are the connected
+    a band's bucket is compared with the smallest id of most of its buckets, then, where these are of another class, with its neighbours
+    when a bucket is ordered by the texts' next bands; where a bucket's texts are then still in different classes, they
+    are compared with all texts of other classes that an exact prefix filter on rare shingles leaves possible. Classes are the connected
     components; ``class_id`` is the smallest id of the class and ``kept`` marks that row. Rows that repeat
     an id and its text share a class; rows that repeat an id with another text are texts by themselves, and where several
     texts of a class have its smallest id, one of them is kept. Rows without an id are compared with nothing and kept (class
@@ -267,43 +267,58 @@ def classes_of_texts(docs: DataFrame, likeness_at_least: float = LIKENESS, bands
     sketches = cut(sketch(texts, bands, rows))
     held = sketches.filter("doc_id IS NOT NULL")
     # a number per text, since texts may share their smallest id
-    firsts = cut(held.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    firsts = cut_small(held.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
                  .withColumn("rep", F.monotonically_increasing_id()))
-    items = firsts.filter("size > 0").select("rep", F.posexplode("bands").alias("band", "key"))
-    crowd = items.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = items.join(crowd, "key").join(firsts.select("rep", "bands"), "rep")
-    members = cut(members.select("key", "rep", "head", F.expr(f"bands[(band + 1) % {bands}]").alias("beside")))
-    sizes = firsts.select("rep", "size")
-    wanted = cut(firsts.select("rep", "first", "digest").join(members.select("rep").distinct(), "rep", "left_semi"))
-    packed = cut(bag_table(texts, wanted))
-    # a text's smallest head first: it settles a crowd of near copies with one pair a text
-    first = members.filter("rep <> head").groupBy("rep").agg(F.min("head").alias("head")).toDF("a", "b")
+    crowd = firsts.filter("size > 0").select("rep", F.explode("bands").alias("key")).groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n"))
+    crowd = cut_small(crowd.filter("n > 1").drop("n"))
+    members = cut_small(_members(firsts.filter("size > 0"), crowd).join(crowd, "key"))
+    wanted = cut_small(firsts.select("rep", "first", "digest").join(members.select("rep").distinct(), "rep", "left_semi"))
+    packed = cut_small(bag_table(texts, wanted))
+    # the head of most of a text's buckets first: it settles most of a crowd of near copies with one pair a text
+    first = members.filter("rep <> head").groupBy("rep").agg(F.mode("head", True).alias("head")).toDF("a", "b")
     compared, found = None, None
-    for make in (lambda: first, lambda: _candidates(members, found), lambda: _missed(members, found, packed, likeness_at_least)):
-        pairs = _near_in_size(make(), sizes, likeness_at_least)
-        pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
+    for make in (lambda: first, lambda: _neighbours(members, found, likeness_at_least), lambda: _missed(members, found, packed, likeness_at_least)):
+        pairs = make()
+        pairs = cut_small(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
         compared = pairs if compared is None else compared.union(pairs)
         if found is not None and not pairs.take(1):
             continue
         links = compare(pairs, packed, likeness_at_least)
         if found is not None:
             links = links.union(found.select(F.col("node").alias("a"), F.col("class_id").alias("b")))
-        found = cut(classes_of(links))
+        found = cut_small(classes_of(links))
     linked = found.select(F.col("node").alias("rep"), F.col("class_id").alias("root")).join(firsts.select("rep", "first", "digest"), "rep")
     least = linked.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("least"))
     named = firsts.select("digest", "rep", "first").join(linked.join(least, "root").select("rep", "least"), "rep", "left")
-    named = cut(named.select("digest", F.coalesce("least", F.struct("first", "digest")).alias("least")))
+    named = cut_small(named.select("digest", F.coalesce("least", F.struct("first", "digest")).alias("least")))
     out = held.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", F.col("least.first").alias("class_id"), (
         (F.col("doc_id") == F.col("least.first")) & (F.col("digest") == F.col("least.digest"))).alias("kept"))
     lone = sketches.filter("doc_id IS NULL").select("doc_id", "digest", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
     return out.union(lone)
 
 
-def _near_in_size(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sizes leave the wanted likeness possible."""
-    of = lambda name: sizes.select(F.col("rep").alias(name), F.col("size").alias(f"size_{name}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6).select("a", "b")
+def _members(firsts: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(key, rep, size, beside): a row per text of ``firsts`` and band whose key may be in ``crowd``, with the key of its next band."""
+    sieve = Sieve(crowd.select("key"), "key")
+
+    @tidy
+    def run(batches):
+        for batch in batches:
+            keys = np.stack(batch.column("bands").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, 1), np.int64)
+            places = np.stack(batch.column("places").to_numpy(zero_copy_only=False)) if batch.num_rows else keys
+            row, band = np.nonzero(sieve.passes(places))
+            beside = keys[row, (band + 1) % keys.shape[1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[row, band]), batch.column("rep").take(pa.array(row)), batch.column("size").take(pa.array(row)), pa.array(beside)],
+                ["key", "rep", "size", "beside"])
+
+    placed = firsts.select("rep", "size", "bands", F.transform("bands", sieve.place).alias("places"))
+    return placed.mapInArrow(run, "key long, rep long, size long, beside long")
+
+
+def _alike_in_size(a, b, least: float):
+    """Whether the sizes ``a`` and ``b`` leave the wanted likeness possible."""
+    return F.least(a, b) >= least * F.greatest(a, b) - 1e-6
 
 
 def _classed(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -312,17 +327,14 @@ def _classed(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(named, "rep", "left").withColumn("class", F.coalesce("class_id", "rep")).drop("class_id")
 
 
-def _candidates(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b), each once, of different classes: texts with their buckets' other heads and with their neighbours in a bucket."""
-    classed = cut(_classed(members, found))
-    other = found.select(F.col("node").alias("head"), F.col("class_id").alias("head_class"))
-    heads = classed.filter("rep <> head").select("rep", "head", "class").distinct().join(other, "head", "left")
-    heads = heads.filter(F.col("class") != F.coalesce("head_class", "head")).select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    # a bucket is ordered by the texts' next band and cut into 256 runs there, so that none is one window
-    order = "PARTITION BY key, shiftright(beside, 56) ORDER BY beside, rep"
-    beside = classed.selectExpr("rep", "class", f"lag(struct(rep, class)) OVER ({order}) AS before").filter("before.class <> class")
-    beside = beside.selectExpr("greatest(rep, before.rep) AS a", "least(rep, before.rep) AS b")
-    return heads.union(beside).distinct()
+def _neighbours(members: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), each once, of different classes: texts at most three apart when a bucket is ordered by the texts' next band."""
+    # a bucket is cut into 256 runs of that order, so that none is one window
+    order = W.partitionBy("key", F.shiftright("beside", 56)).orderBy("beside", "rep")
+    before = F.array(*[F.lag(F.struct("rep", "class", "size"), k).over(order) for k in (1, 2, 3)])
+    other = lambda x: (x["class"] != F.col("class")) & _alike_in_size(F.col("size"), x["size"], least)
+    near = _classed(members, found).withColumn("before", before).withColumn("before", F.explode(F.filter("before", other)))
+    return near.selectExpr("greatest(rep, before.rep) AS a", "least(rep, before.rep) AS b").distinct()
 
 
 def _missed(members: DataFrame, found: DataFrame, packed: DataFrame, least: float) -> DataFrame:
@@ -332,9 +344,9 @@ def _missed(members: DataFrame, found: DataFrame, packed: DataFrame, least: floa
     these texts may be linked is told by an exact prefix filter: two bags of the wanted likeness share one of their
     rarest hashes, of each the share that may differ and one more, and have enough hashes behind it.
     """
-    classed = _classed(members.select("key", "rep"), found).select("key", F.col("rep").alias("doc_id"), "class")
+    classed = _classed(members.select("key", "rep", "size"), found).withColumnRenamed("rep", "doc_id")
     mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
-    open_ = cut(classed.join(mixed, "key", "left_semi").select("doc_id", "class").distinct())
+    open_ = cut_small(classed.join(mixed, "key", "left_semi").select("doc_id", "class", "size").distinct())
 
     def hashes(batches):
         for part in slices(batches, "bag"):
@@ -342,14 +354,14 @@ def _missed(members: DataFrame, found: DataFrame, packed: DataFrame, least: floa
             size = np.array([len(b) for b in bag], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(part.column("doc_id").to_numpy(), size)), pa.array(np.repeat(part.column("class").to_numpy(), size)),
-                 pa.array(np.repeat(size, size)), pa.array(np.concatenate(bag))], ["doc_id", "class", "size", "hash"])
+                 pa.array(np.concatenate(bag))], ["doc_id", "class", "hash"])
 
-    held = packed.join(open_, "doc_id").mapInArrow(tidy(hashes), "doc_id long, class long, size long, hash long")
-    seen = held.groupBy("hash").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    held = packed.select("doc_id", "bag").join(open_, "doc_id").mapInArrow(tidy(hashes), "doc_id long, class long, hash long")
+    seen = held.groupBy("hash").agg(F.count("*").alias("n"), (F.min("class") != F.max("class")).alias("mixed"))
     order = W.partitionBy("doc_id").orderBy("n", "hash")
-    first = held.join(seen, "hash").withColumn("at", F.row_number().over(order))
-    first = first.filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-6) + 1).filter("low <> high")
-    first = cut(first.withColumn("parts", F.ceil(F.col("n") / CROWD)).select("doc_id", "class", "size", "hash", "at", "parts"))
+    first = held.select("doc_id", "hash").join(seen, "hash").withColumn("at", F.row_number().over(order)).filter("mixed").join(open_, "doc_id")
+    first = first.filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-6) + 1)
+    first = cut_small(first.withColumn("parts", F.ceil(F.col("n") / CROWD)).select("doc_id", "class", "size", "hash", "at", "parts"))
     # a hash of many texts is many tasks: each text stands in one part of it, and meets all parts
     part = first.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
     other = first.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
@@ -357,6 +369,6 @@ def _missed(members: DataFrame, found: DataFrame, packed: DataFrame, least: floa
     # behind the first shared hash there must be enough left in both
     most = 1 + F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
     enough = most * (1 + least) >= (F.col("size") + F.col("other_size")) * least - 1e-6
-    met = part.join(other, ["hash", "part"]).filter((F.col("doc_id") > F.col("other")) & (F.col("class") != F.col("other_class")) & enough & (
-        F.least("size", "other_size") >= least * F.greatest("size", "other_size") - 1e-6))
+    met = part.join(other, ["hash", "part"]).filter((F.col("doc_id") > F.col("other")) & (F.col("class") != F.col("other_class")) & enough
+                                                   & _alike_in_size(F.col("size"), F.col("other_size"), least))
     return met.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()

@@ -26,6 +26,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows of ids and numbers that a task takes.
+_TASK_ROWS = 20_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of so many rows in as many partitions as these need, two for each core at least.
+
+    A shuffle writes files for each partition, so a small table in many partitions costs far more than its rows.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // _TASK_ROWS))
+
+
+def cut_small(df: DataFrame) -> DataFrame:
+    """``cut``, then ``gathered``."""
+    df = cut(df)
+    return gathered(df, df.count())
+
+
 def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id long, text string) with a missing text as the empty one; other columns are left out."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
