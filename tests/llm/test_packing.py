@@ -28,6 +28,27 @@ def test_ids_are_the_tokenizers(plain):
         assert [flat[a:b].tolist() for a, b in zip(starts, starts[1:])] == [plain(t) for t in texts]
 
 
+def test_pieces_of_former_slices_are_not_encoded_again(plain, monkeypatch):
+    encoder, seen = token_ids.Encoder(queries.vocabulary()), []
+    distinct = encoder._distinct
+    monkeypatch.setattr(encoder, "_distinct", lambda pieces: seen.append(len(pieces)) or distinct(pieces))
+    for texts in (["one two, three two", " lead"], ["three lead two", "four four"], ["two " + "x" * 90, "x" * 90], ["x" * 90 + " four"]):
+        starts, flat = encoder.encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(starts, starts[1:])] == [plain(t) for t in texts]
+    # "one", " two", ",", " three", " lead"; "three", "four", " four"; "two"; a piece too long to be kept, three times
+    assert sum(seen) == 5 + 3 + 1 + 3
+
+
+def test_ids_of_texts_of_odd_characters(plain, monkeypatch):
+    monkeypatch.setattr(token_ids, "_KEPT", 300)
+    encoder, draw = token_ids.Encoder(queries.vocabulary()), np.random.default_rng(8)
+    signs = [*" \n\t ' ab,.X1-\x00\u00d7\u00f7\u00df\u00e9\u024f\u0250\u00a0\u00ad\u3000\u65e5\u0301\x85", " the", "'s", "\U0001f642", "  "]
+    for _ in range(20):
+        texts = ["".join(signs[k] for k in draw.integers(0, len(signs), draw.integers(0, 60))) for _ in range(50)]
+        starts, flat = encoder.encode(pa.array(["skipped", *texts]).slice(1))
+        assert [flat[a:b].tolist() for a, b in zip(starts, starts[1:])] == [plain(t) for t in texts]
+
+
 def test_long_text_in_parts(plain, monkeypatch):
     monkeypatch.setattr(token_ids, "TOKEN_SLICE", 2000)
     text = " ".join(ODD[2:] * 40) + "x" * 3000 + " y" * 3000

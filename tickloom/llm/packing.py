@@ -49,7 +49,7 @@ def pack(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cutting: bool = T
         room, bin_ = cap.copy(), []
         while left and room.min() >= (0 if not cutting else 1) and room[0] >= 1 and room[1] >= 1:
             gain = share @ (room / cap)
-            fits = live & (need <= room).all(1)
+            fits = live & (need[:, 0] <= room[0]) & (need[:, 1] <= room[1]) & (need[:, 2] <= room[2])
             if fits.any():
                 i = int(np.argmax(np.where(fits, gain, -1.0)))
                 n = int(need[i, 0])
