@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from tickloom.operators import html as H
@@ -137,3 +139,26 @@ def test_plain_pages_are_read_as_the_parser_reads_them():
         assert H._plain_elements(page) == parsed(page)
     for page in other:
         assert H._plain_elements(page) is None and H._page_elements(page) == parsed(page)
+
+
+def test_pages_of_one_shape_are_worked_out_once(monkeypatch):
+    """Texts may differ, be blank or missing, or hold signs of tags."""
+    made, shape = [], H._plain_shape
+    monkeypatch.setattr(H, "_plain_shape", lambda *a: made.append(a) or shape(*a))
+    page = "{0}<!doctype html>{1}<table><tr>{2}<td>{3}</td>{0}<td a='{4}'>{1}<br>{2}</td></tr>{4}</table>{3}"
+    texts = ["", " ", "\n", "a", " b\nc ", "d > e", "/td", "x='", "é"]
+    pages, draw = H._Pages(), random.Random(3)
+    for _ in range(300):
+        html = page.format(*draw.choices(texts, k=4), "k")
+        parser = H._Elements()
+        parser.feed(html)
+        found = pages.read(html)
+        assert (H._elements(*found), found[0].balanced) == (parser.rows, not parser.open)
+    assert len(made) == 1
+
+
+def test_only_the_columns_asked_for_are_sent(spark):
+    df = spark.createDataFrame([(1, "<p>a<b x=1>c</b></p>"), (2, "<p>&amp;<b>d</b>"), (3, None)], "page_id int, html string")
+    whole, part = H.html_elements(df, tags=("b",)), H.html_elements(df, tags=("b",), columns=("data", "page_id", "elem_id"))
+    assert part.columns == ["data", "page_id", "elem_id"]
+    assert sorted(part.collect()) == sorted(whole.select(part.columns).collect()) == [("c", 1, 1), ("d", 2, 1)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,10 @@ _PLAIN = re.compile(
     r"<(/?)([a-zA-Z][a-zA-Z0-9]*)"
     r"((?:[ \t\n\r\f]+[a-zA-Z][a-zA-Z0-9_:-]*(?:=(?:\"[^\"<>]*\"|'[^'<>]*'|[a-zA-Z0-9_.:#-]+))?)*)[ \t\n\r\f]*>([^<]*)")
 _ATTRIBUTE = re.compile(r"([a-zA-Z][a-zA-Z0-9_:-]*)(?:(=)(?:\"([^\"]*)\"|'([^']*)'|([a-zA-Z0-9_.:#-]+)))?")
+# What stands between a tag's end and the next tag.
+_BETWEEN = re.compile(r">([^<]*)")
+# Shapes of pages that a task keeps, and the characters of one.
+_SHAPES, _SHAPE_SIZE = 256, 1 << 14
 # Elements gathered, over pages, before they are sent to Spark.
 _ROWS_PER_BATCH = 8192
 
@@ -68,20 +73,34 @@ def _attributes(text: str) -> list[tuple[str, str | None]]:
     return list(found.items())
 
 
-def _plain_elements(html: str) -> tuple[list[list], bool] | None:
-    """What the parser finds on a page of plain tags and text, at an eighth of its time; None for any other page.
+class _Shape(NamedTuple):
+    """Elements by column, without their data: what all pages share that differ in their texts only."""
 
-    Every ``<`` must begin a plain tag, so no page is read in part.
-    """
-    if "&" in html:
-        return None
-    at = _HEAD.match(html).end()
-    tokens = _PLAIN.findall(html, at)
-    if len(tokens) != html.count("<", at):
+    elem_id: list[int]
+    parent_id: list[int | None]
+    depth: list[int]
+    tag: list[str]
+    attributes: list[list]
+    balanced: bool
+    texts: list[int]  # for each text, which of the elements it is the data of, or -1
+
+
+def _shape(rows: list[list], balanced: bool, texts: list[int], tags: frozenset[str]) -> _Shape:
+    kept = [n for n, r in enumerate(rows) if not tags or r[2] in tags]
+    place = {n: k for k, n in enumerate(kept)}
+    columns = ([rows[n][c] for n in kept] for c in (0, 1, 2, 4))
+    return _Shape(kept, *columns, balanced, [place.get(n, -1) for n in texts])
+
+
+def _plain_shape(tagged: str, tags: frozenset[str]) -> _Shape | None:
+    """The shape of a page given without its texts; None where a ``<`` begins no plain tag, so no page is read in part."""
+    tokens = _PLAIN.findall(tagged)
+    if len(tokens) != tagged.count("<"):
         return None
     rows: list[list] = []
     open_: list[int] = []
-    for end, tag, attributes, text in tokens:
+    texts: list[int] = []
+    for end, tag, attributes, _ in tokens:
         tag = tag.lower()
         if end:
             if attributes:
@@ -94,40 +113,90 @@ def _plain_elements(html: str) -> tuple[list[list], bool] | None:
             rows.append([open_[-1] if open_ else None, len(open_), tag, None, _attributes(attributes) if attributes else []])
             if tag not in CHILDLESS_TAGS:
                 open_.append(len(rows) - 1)
-        if text and open_:
-            rows[open_[-1]][3] = text.strip(_BLANKS).replace("\n", "")
-    return rows, not open_
+        texts.append(open_[-1] if open_ else -1)
+    return _shape(rows, not open_, texts, tags)
+
+
+class _Pages:
+    """Reads pages as (shape, data of its elements), with the elements of ``tags`` only, if there are any.
+
+    A page of plain tags and text is cut at its tags. What remains without the texts is the same for most pages that one program
+    makes, so its shape is worked out once; plain tags hold no ``>``, so the cuts are those of the tags. Other pages go to the parser.
+    """
+
+    def __init__(self, tags: frozenset[str] = frozenset()):
+        self.tags = tags
+        self.shapes: dict[str, _Shape | None] = {}
+
+    def plain(self, html: str) -> tuple[_Shape, list[str | None]] | None:
+        if "&" in html:
+            return None
+        parts = _BETWEEN.split(html[_HEAD.match(html).end() :])
+        tagged = ">".join(parts[::2])
+        if tagged in self.shapes:
+            shape = self.shapes[tagged]
+        else:
+            shape = _plain_shape(tagged, self.tags)
+            if len(tagged) <= _SHAPE_SIZE:
+                if len(self.shapes) == _SHAPES:
+                    self.shapes.clear()
+                self.shapes[tagged] = shape
+        if shape is None:
+            return None
+        data: list[str | None] = [None] * len(shape.tag)
+        for text, n in zip(parts[1::2], shape.texts):
+            if n >= 0 and text:
+                data[n] = text.strip(_BLANKS).replace("\n", "")
+        return shape, data
+
+    def read(self, html: str) -> tuple[_Shape, list[str | None]]:
+        found = self.plain(html)
+        if found is None:
+            parser = _Elements()
+            parser.feed(html)  # not closed: an unfinished tag at the end is no element
+            shape = _shape(parser.rows, not parser.open, [], self.tags)
+            found = shape, [parser.rows[n][3] for n in shape.elem_id]
+        return found
+
+
+def _elements(shape: _Shape, data: list[str | None]) -> list[list]:
+    return [list(e) for e in zip(shape.parent_id, shape.depth, shape.tag, data, shape.attributes)]
+
+
+def _plain_elements(html: str) -> tuple[list[list], bool] | None:
+    """What the parser finds on a page of plain tags and text; None for any other page."""
+    found = _Pages().plain(html)
+    return found and (_elements(*found), found[0].balanced)
 
 
 def _page_elements(html: str) -> tuple[list[list], bool]:
-    plain = _plain_elements(html)
-    if plain is not None:
-        return plain
-    parser = _Elements()
-    parser.feed(html)  # not closed: an unfinished tag at the end is no element
-    return parser.rows, not parser.open
+    shape, data = _Pages().read(html)
+    return _elements(shape, data), shape.balanced
 
 
 def _parse_batches(schema: pa.Schema, tags: frozenset[str]):
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
-        )
+    def batch_of(columns: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        pages = _Pages(tags)
+        columns: dict[str, list] = {name: [] for name in schema.names}
+        held = 0
         for batch in batches:
             for page_id, html in zip(*(column.to_pylist() for column in batch.columns)):
                 if html is None:
                     continue
-                elements, balanced = _page_elements(html)
-                rows.extend((page_id, n, *e, balanced) for n, e in enumerate(elements) if not tags or e[2] in tags)
-                if len(rows) >= _ROWS_PER_BATCH:
-                    yield batch_of(rows)
-                    rows = []
-        if rows:
-            yield batch_of(rows)
+                shape, data = pages.read(html)
+                n = len(data)
+                found = {**shape._asdict(), "page_id": [page_id] * n, "data": data, "balanced": [shape.balanced] * n}
+                for name, values in columns.items():
+                    values += found[name]
+                held += n
+                if held >= _ROWS_PER_BATCH:
+                    yield batch_of(columns)
+                    columns, held = {name: [] for name in schema.names}, 0
+        if held:
+            yield batch_of(columns)
 
     return parse
 
@@ -137,14 +206,15 @@ def html_elements(
     id_col: str = "page_id",
     html_col: str = "html",
     tags: tuple[str, ...] = (),
+    columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """Element rows (page_id, elem_id, parent_id, depth, tag, data, attributes, balanced).
 
     elem_id counts in document order, parent_id is NULL for outermost elements.
     ``balanced`` is FALSE for pages that leave tags open.
-    With ``tags`` only elements of those leave the parser.
+    With ``tags`` only elements of those leave the parser, with ``columns`` only these.
 
-    Pages are dealt out evenly before they are parsed: parsing takes some twenty times as long as moving
+    Pages are dealt out evenly before they are parsed: parsing takes several times as long as moving
     them, and files, or pages made from a few rows, seldom hold as much HTML as a task should.
     """
     kind = pages.schema[id_col].dataType
@@ -160,6 +230,8 @@ def html_elements(
             T.StructField("balanced", T.BooleanType()),
         ]
     )
+    if columns:
+        schema = T.StructType([schema[name] for name in columns])
     return deal(pages.select(id_col, html_col)).mapInArrow(_parse_batches(to_arrow_schema(schema), frozenset(tags)), schema)
 
 
@@ -181,11 +253,13 @@ def page_values(
     arrow = to_arrow_schema(schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read_page = _Pages().read
         for batch in batches:
             rows = []
             for page_id, html in zip(*(column.to_pylist() for column in batch.columns)):
                 if html is not None:
-                    values = _values_in(_page_elements(html)[0], keys)
+                    shape, data = read_page(html)
+                    values = _values_in(shape.parent_id, data, keys)
                     rows.append((page_id, *[values.get(name) for name in keys], list(values)))
             columns = zip(*rows) if rows else [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
@@ -193,11 +267,11 @@ def page_values(
     return deal(pages.select(id_col, html_col)).mapInArrow(read, schema)
 
 
-def _values_in(elements: list[list], keys: dict[str, str]) -> dict[str, str | None]:
+def _values_in(parents: list[int | None], data: list[str | None], keys: dict[str, str]) -> dict[str, str | None]:
     children: dict[int, list] = {}
-    for parent, _, _, data, _ in elements:
+    for parent, text in zip(parents, data):
         if parent is not None:
-            children.setdefault(parent, []).append(data)
+            children.setdefault(parent, []).append(text)
     found = {}
     for name, key in keys.items():
         first = min((p for p, texts in children.items() if key in texts), default=None)

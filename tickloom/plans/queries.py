@@ -369,8 +369,9 @@ def c4_html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def c4_settings_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = html.html_elements(fx.environment_pages(spark, sf_dir), "app_id", tags=("td",))
-    return cells.select(F.col("page_id").alias("app_id"), "elem_id", "parent_id", "depth", "data", "balanced")
+    columns = ("page_id", "elem_id", "parent_id", "depth", "data", "balanced")
+    cells = html.html_elements(fx.environment_pages(spark, sf_dir), "app_id", tags=("td",), columns=columns)
+    return cells.withColumnRenamed("page_id", "app_id")
 
 
 @query
