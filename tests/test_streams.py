@@ -315,3 +315,20 @@ def test_short_logs_share_a_batch(tmp_path, monkeypatch):
     batches = [b.to_pylist() for b in log_files._contents([log_files.pa.RecordBatch.from_pylist(rows)])]
     assert [[r["uid"] for r in b] for b in batches] == [[0, 1, 2], [3], [4, 5], [6]]
     assert [r["length"] for b in batches for r in b] == [len(r["content"]) for b in batches for r in b] == sizes
+
+
+def test_requested_logs_are_looked_up_once(spark, tmp_path):
+    for uid, text in ((1, "a" * 25), (2, "")):
+        (tmp_path / f"job-{uid}").mkdir()
+        (tmp_path / f"job-{uid}" / "stdout").write_text(text)
+    (tmp_path / "job-1" / "other").write_text("no log")
+    asked = [(1, "stdout", 3), (1, "stdout", 1), (1, "stdout", 1), (1, "stdout", 4), (1, "stdout", 0), (1, "stdout", None), (1, "stderr", 1),
+             (1, "other", 1), (2, "stdout", 1), (3, "stdout", 1), (None, "stdout", 1), (1, None, 1)]
+    requests = spark.createDataFrame(asked, "uid long, type string, page long")
+    read = log_files.read_log_pages(spark, str(tmp_path), 10, 0, requests=requests)
+    assert read._jdf.queryExecution().executedPlan().toString().count("MapInArrow _stat") == 1
+    there = {(1, "stdout", 3): b"aaaaa", (1, "stdout", 1): b"a" * 10, (2, "stdout", 1): b""}
+    count = lambda uid, kind: {(1, "stdout"): 3, (2, "stdout"): 1}.get((uid, kind))
+    want = {(*k, count(*k[:2]), there.get(k)) for k in asked}
+    got = [(r.uid, r.type, r.page, r.page_count, r.block if r.block is None else bytes(r.block)) for r in read.collect()]
+    assert set(got) == want and len(got) == len(want)

@@ -38,7 +38,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
     Schemes are those of pyarrow's file systems: local files, hdfs, s3, gs.
     """
-    return _files_of(spark.range(1).mapInArrow(_jobs_in(path), "uid bigint"), path)
+    return _files_of(_logs_of(spark.range(1).mapInArrow(_jobs_in(path), "uid bigint")), path)
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,18 +93,18 @@ def _read_pages(chunk: int, window: int, origin: str):
         rows, held = [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                if row["path"] != name:
+                if row["path"] is not None and row["path"] != name:
                     if file is not None:
                         file.close()
                     name, file = row["path"], _open(row["path"])
-                size = row["length"]
-                start = (row["page"] - 1) * chunk if origin == "start" else size - row["page"] * chunk
+                size, page = row["length"] or 0, row["page"] or 0
+                start = (page - 1) * chunk if origin == "start" else size - page * chunk
 
                 def piece(low: int, high: int) -> bytes:
                     low, high = max(low, 0), min(high, size)
                     return file.read_at(high - low, low) if high > low else b""
 
-                block = piece(start, start + chunk)
+                block = piece(start, start + chunk) if row["path"] is not None else None
                 if block and window > 0:
                     block = (
                         _line_window(piece(start - window, start), True)
@@ -112,7 +112,7 @@ def _read_pages(chunk: int, window: int, origin: str):
                         + _line_window(piece(start + chunk, start + chunk + window), False)
                     )
                 rows.append({**{k: row[k] for k in _PAGE.names[:-1]}, "block": block})
-                held += len(block)
+                held += len(block or b"")
                 if held >= _HELD or len(rows) >= _HELD_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema=_PAGE)
                     rows, held = [], 0
@@ -147,11 +147,15 @@ def _stat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(found, schema=_FILE)
 
 
-def _files_of(jobs: DataFrame, path: str) -> DataFrame:
-    """The log files the given jobs have, looked up by name in the tasks."""
-    kinds = F.explode(F.array(F.lit("stdout"), F.lit("stderr"))).alias("type")
+def _logs_of(jobs: DataFrame) -> DataFrame:
+    """(uid, type) of the logs the jobs may have."""
+    return jobs.select(F.col("uid").cast("bigint"), F.explode(F.array(F.lit("stdout"), F.lit("stderr"))).alias("type"))
+
+
+def _files_of(named: DataFrame, path: str) -> DataFrame:
+    """The files there are of the logs (uid, type) named, looked up by name in the tasks."""
     name = F.concat(F.lit(f"{path.rstrip('/')}/job-"), "uid", F.lit("/"), "type")
-    names = jobs.select(F.col("uid").cast("bigint"), kinds).select(name.alias("path"), "uid", "type")
+    names = named.filter(F.col("uid").isNotNull() & F.col("type").isin("stdout", "stderr")).select(name.alias("path"), "uid", "type")
     return spread(names, "path").mapInArrow(
         _stat, "path string, uid bigint, type string, length bigint"
     )
@@ -178,21 +182,23 @@ def read_log_pages(
     """
     if origin not in ("start", "end"):
         raise ValueError("origin is 'start' or 'end'")
-    named = jobs if requests is None else requests.select("uid").distinct()
-    files = _files(spark, path) if named is None else _files_of(named, path)
+    if requests is not None:
+        asked = requests.select(F.col("uid").cast("bigint"), "type", F.col("page").cast("bigint")).distinct()
+        files = _files_of(asked.select("uid", "type").distinct(), path)
+    elif jobs is not None:
+        files = _files_of(_logs_of(jobs), path)
+    else:
+        files = _files(spark, path)
     files = files.select("path", "uid", "type", "length", pages_of(F.col("length"), chunk).alias("page_count"))
     if requests is None:
         pages = files.withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("page_count"))))
     else:
-        asked = requests.select(F.col("uid").cast("bigint"), "type", F.col("page").cast("bigint")).distinct()
-        pages = asked.join(files, ["uid", "type"], "left")
-    there = F.coalesce(F.col("page").between(F.lit(1), F.col("page_count")), F.lit(False))
-    found = pages.filter(there).withColumn("run", F.call_function("div", F.col("page"), F.lit(_RUN).cast("bigint")))
+        # a page that is not there goes along without a path, so logs are looked up once for both kinds
+        there = F.col("page").between(F.lit(1), F.col("page_count"))
+        pages = asked.join(files, ["uid", "type"], "left").withColumn("path", F.when(there, F.col("path")))
+    runs = pages.withColumn("run", F.call_function("div", F.col("page"), F.lit(_RUN).cast("bigint")))
     # a row of a page is short and its reading long: tasks are not merged by row size
-    read = spread(found, "path", "run").sortWithinPartitions("path", "page").mapInArrow(
+    return spread(runs, "uid", "type", "run").sortWithinPartitions("path", "page").mapInArrow(
         _read_pages(chunk, offset, origin),
         "uid bigint, type string, page bigint, page_count bigint, block binary",
     )
-    if requests is None:
-        return read
-    return read.unionByName(pages.filter(~there).select("uid", "type", "page", "page_count", F.lit(None).cast("binary").alias("block")))
