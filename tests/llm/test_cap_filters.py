@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from tickloom.llm import cap_filters, queries
 
@@ -62,6 +63,30 @@ def test_blocks_of_a_full_filter(spark, monkeypatch):
     assert got == want
 
 
+def test_no_row_per_pair(spark, monkeypatch):
+    """What leaves the tasks grows with the members of a group, not with its pairs; each pair counts once, with its copies."""
+    monkeypatch.setattr(cap_filters, "BLOCK_ROWS", 64)
+    draw = np.random.default_rng(7)
+    centre = draw.normal(size=32)
+    rows = [(k, (centre + draw.normal(size=32) * 0.05).tolist(), 1 + k % 3) for k in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, copies long")
+    found = cap_filters.links_of(frame, 0.9).collect()
+    assert len(found) < 30 * len(rows)  # of 44,850 pairs
+    n = dict.fromkeys(range(300), 0)
+    for a, b, many in found:
+        n[a] += many or 0
+        assert (b is None) != (many is None)
+    assert n == {k: sum(r[2] for r in rows) - c for k, _, c in rows}
+
+
+def test_filters_in_common():
+    draw = np.random.default_rng(3)
+    lists = [draw.choice(400, size=draw.integers(0, 30), replace=False).tolist() for _ in range(200)]
+    a, b = np.triu_indices(200, 1)
+    whole = pa.array([[1], *lists], pa.list_(pa.int64())).slice(1)
+    assert cap_filters._in_common(whole, a, b).tolist() == [bool(set(lists[x]) & set(lists[y])) for x, y in zip(a, b)]
+
+
 def test_odd_rows(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [float("nan"), 1.0, 0.0]),
             (8, [None, 1.0, 0.0]), (9, [float("inf"), 0.0, 0.0]), (10, [1.0, 0.0]), (11, [3.0, 0.0]), (12, [-1.0, 0.0, 0.0]), (13, [5.0]), (14, [-5.0]),

@@ -4,7 +4,7 @@ After a random rotation a unit vector is split into blocks. Each block has a sma
 a filter is one codeword per block, so a few codewords span very many filter directions. A vector belongs
 to every filter whose direction it exceeds a threshold in; these are listed without trying all: the sums
 of the first half of the blocks are matched with the sorted sums of the second half. Vectors meet in their filters; pairs
-whose sign sketches are too far apart are dropped, the rest is verified by the exact cosine.
+whose sign sketches are too far apart are dropped, the rest is verified by the exact cosine, each pair once. No pair is ever a row of a table.
 
 There are a few such codes. They grow with the number of vectors n (16 n filters in all) and the thresholds are set so
 that a vector has ``per_vector`` filters on average, so lists stay as long and filters as full at any size.
@@ -13,13 +13,14 @@ that a vector has ``per_vector`` filters on average, so lists stay as long and f
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.components import classes_of
+from tickloom.llm.components import classes_of, contracted
 from tickloom.llm.shared import cut, gather_runs, tidy
 
 BLOCKS = 4
@@ -28,8 +29,9 @@ BLOCKS = 4
 CODES = 8
 PER_VECTOR = 48
 SKETCH_BITS = 256
-# Members of a filter that are compared as one block; a filter of any size is many pairs of blocks.
+# Members of a filter or a class that are compared as one block, at least and at most; one of any size is many pairs of blocks.
 BLOCK_ROWS = 1024
+MOST_ROWS = 16384
 
 
 class Code:
@@ -98,107 +100,222 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def memberships(vectors: DataFrame, codes: list[Code]) -> DataFrame:
-    """(vec_id, key, s0..s3): every filter of every vector, with the vector's sketch."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def profiles(vectors: DataFrame, codes: list[Code]) -> DataFrame:
+    """(vec_id, keys, s0..s3): all filters and the sketch of every vector."""
 
     @tidy
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("embedding"))
-            x = x / np.abs(x).max(1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            who, keys = (np.concatenate(z) for z in zip(*(code.filters(x) for code in codes)))
-            signs = _sketch(x)[who]
-            ids = batch.column("vec_id").to_numpy()[who]
-            for a in range(0, len(ids), 1 << 16):
-                s = slice(a, a + (1 << 16))
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                x = _unit(_matrix(part.column("embedding")))
+                who, keys = (np.concatenate(z) for z in zip(*(code.filters(x) for code in codes)))
+                ends = np.cumsum(np.bincount(who, minlength=len(x)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(keys[np.argsort(who, kind="stable")]))
+                signs = _sketch(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[s]), pa.array(keys[s]), *(pa.array(np.ascontiguousarray(signs[s, k])) for k in range(signs.shape[1]))],
-                    ["vec_id", "key", "s0", "s1", "s2", "s3"])
+                    [part.column("vec_id"), lists, *(pa.array(np.ascontiguousarray(signs[:, k])) for k in range(signs.shape[1]))],
+                    ["vec_id", "keys", "s0", "s1", "s2", "s3"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, key long, s0 long, s1 long, s2 long, s3 long")
+    return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, keys array<long>, s0 long, s1 long, s2 long, s3 long")
 
 
-def _near_pairs(far: int):
-    """For rows ordered by unit (key, lo, hi): the pairs of each unit whose sketches differ in ``far`` signs at most."""
+def _in_units(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` once for each pair of blocks (lo, hi) of their ``key`` that their own block is one of, pairs of blocks together and in order.
+
+    A key has up to eight blocks of ``BLOCK_ROWS`` rows; beyond that blocks grow, so that rows are not repeated more often, up to ``MOST_ROWS``.
+    """
+    n = F.col("n")
+    size = F.least(F.lit(max(MOST_ROWS, BLOCK_ROWS)), F.greatest(F.lit(BLOCK_ROWS), F.ceil(n / 8)))
+    crowd = rows.groupBy(key).agg(F.count("*").alias("n")).filter(n > 1).select(key, F.ceil(n / size).cast("int").alias("blocks"))
+    units = rows.join(crowd, key).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("blocks", "other").withColumnRenamed(key, "key")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "vec_id")
 
-    def pairs(held: pa.Table):
+
+def _whole_units(batches):
+    """Tables of whole units (key, lo, hi) from rows in their order, with the unit number of each row."""
+
+    def unit_of(held: pa.Table) -> np.ndarray:
         unit = np.stack([held.column(c).to_numpy() for c in ("key", "lo", "hi")], 1)
-        new = np.ones(len(unit), np.int64)
-        new[1:] = (unit[1:] != unit[:-1]).any(1)
-        group = np.cumsum(new)
-        ids, own = held.column("vec_id").to_numpy(), held.column("own").to_numpy()
-        cross = unit[:, 1] != unit[:, 2]
-        signs = np.stack([held.column(f"s{k}").to_numpy() for k in range(4)], 1).view(np.uint64)
-        left = np.arange(len(ids))
+        return np.cumsum(np.append(False, (unit[1:] != unit[:-1]).any(1)))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) < 8 * BLOCK_ROWS:
+            continue
+        table = pa.Table.from_batches(held)
+        unit = unit_of(table)
+        whole = int(np.searchsorted(unit, unit[-1]))
+        if whole:
+            yield table.slice(0, whole).combine_chunks(), unit[:whole]
+            table = table.slice(whole)
+        held = table.combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table.combine_chunks(), unit_of(table)
+
+
+# Rows up to which units are compared side by side.
+_FEW = 32
+
+
+def _near(far: int):
+    """For rows in units (key, lo, hi): pairs (a, b) that join what the pairs join whose sketches differ in ``far`` signs at most.
+
+    In a large unit a row is only compared with those that it is not joined to yet, so a group of near copies takes as many
+    steps as it has members.
+    """
+
+    def links(signs: np.ndarray, group: np.ndarray):
+        size = np.bincount(group)
+        left = np.flatnonzero(size[group] <= _FEW)
         step = 1
         while True:
-            left = left[left + step < len(ids)]
+            left = left[left + step < len(group)]
             left = left[group[left] == group[left + step]]
             if not len(left):
-                return
-            right = left + step
-            on = ~cross[left] | (own[left] != own[right])
-            a, b = left[on], right[on]
-            near = np.bitwise_count(signs[a] ^ signs[b]).sum(1) <= far
-            a, b = ids[a[near]], ids[b[near]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+                break
+            on = left[np.bitwise_count(signs[left] ^ signs[left + step]).sum(1) <= far]
+            yield on, on + step
             step += 1
+        for first, count in zip((np.cumsum(size) - size)[size > _FEW], size[size > _FEW]):
+            own, part = signs[first : first + count], np.arange(count)
+            for i in range(count):
+                others = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+                if not len(others):
+                    break  # all that follow are joined
+                on = others[np.bitwise_count(own[others] ^ own[i]).sum(1) <= far]
+                if len(on):
+                    part[np.isin(part, part[on])] = part[i]
+                    yield np.full(len(on), first + i), first + on
+
+    def pairs(batches):
+        for held, group in _whole_units(batches):
+            ids = held.column("vec_id").to_numpy()
+            signs = np.stack([held.column(f"s{k}").to_numpy() for k in range(4)], 1).view(np.uint64)
+            for a, b in links(signs, group):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b]))], ["a", "b"])
 
     @tidy
     def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows < 8 * BLOCK_ROWS:
-                continue
-            last = [held.column(c)[-1].as_py() for c in ("key", "lo", "hi")]
-            same = np.ones(held.num_rows, bool)
-            for c, value in zip(("key", "lo", "hi"), last):
-                same &= held.column(c).to_numpy() == value
-            whole = held.num_rows - int(same.sum())
-            if whole:
-                yield from pairs(held.slice(0, whole).combine_chunks())
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield from pairs(held.combine_chunks())
+        yield from contracted(pairs(batches))
 
     return run
 
 
-def _verify(batches, cosine: float):
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = _matrix(batch.column("x")), _matrix(batch.column("y"))
-        x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
-        value = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-        yield batch.select(["a", "b"]).filter(pa.array(value >= cosine))
+def _in_common(lists: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` have a number in common; numbers that many rows have are looked at first, 64 at a time."""
+    offsets = lists.offsets.to_numpy()
+    row = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    _, code, many = np.unique(lists.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True, return_counts=True)
+    rank = np.empty(len(many), np.int64)
+    rank[np.argsort(-many, kind="stable")] = np.arange(len(many))
+    order = np.argsort(rank[code], kind="stable")[: int(many[many > 1].sum())]
+    row, rank = row[order], rank[code][order]
+    found, left = np.zeros(len(a), bool), np.arange(len(a))
+    start = 0
+    while start < len(rank) and len(left):
+        end = int(np.searchsorted(rank, (rank[start] // 64 + 1) * 64))
+        word = np.zeros(len(lists), np.uint64)
+        np.bitwise_or.at(word, row[start:end], np.uint64(1) << (rank[start:end] % 64).astype(np.uint64))
+        hit = (word[a[left]] & word[b[left]]) != 0
+        found[left[hit]] = True
+        left, start = left[~hit], end
+    return found
+
+
+# Cosines that are looked at at once; how far the product of two matrices may be from a sum of products.
+_CELLS, _ROUNDING = 1 << 21, 1e-9
+
+
+def _verified(cosine: float, far: int):
+    """For rows in units: (a, n) with the copies linked to a vector in a unit, and (a, b) that join what the links join."""
+
+    def linked(held: pa.Table, group: np.ndarray):
+        """Each pair of rows once that is linked, as row numbers."""
+        x = _matrix(held.column("embedding").chunk(0))
+        x, unit = x / np.abs(x).max(1, keepdims=True), _unit(x)
+        signs, own = _sketch(unit).view(np.uint64), held.column("own").to_numpy()
+        cross = held.column("lo").to_numpy() != held.column("hi").to_numpy()
+        square = (x * x).sum(1)
+        for start in range(0, len(x), tile := max(1, _CELLS // len(x))):
+            a, b = np.nonzero(unit[start : start + tile] @ unit[start:].T >= cosine - _ROUNDING)
+            a, b = a + start, b + start
+            on = (a < b) & (group[a] == group[b]) & (~cross[a] | (own[a] != own[b]))
+            a, b = a[on], b[on]
+            for k in range(0, len(a), _CELLS // 64):
+                p, q = a[k : k + _CELLS // 64], b[k : k + _CELLS // 64]
+                value = (x[p] * x[q]).sum(1) / (np.sqrt(square[p]) * np.sqrt(square[q]))
+                on = (value >= cosine) & (np.bitwise_count(signs[p] ^ signs[q]).sum(1) <= far)
+                p, q = p[on], q[on]
+                if len(p):
+                    on = _in_common(held.column("keys").chunk(0), p, q)
+                    yield p[on], q[on]
+
+    def chunks(held: pa.Table, group: np.ndarray):
+        """A large unit alone, small ones by some hundred rows."""
+        starts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+        first = 0
+        for k in range(1, len(starts)):
+            if k + 1 == len(starts) or starts[k + 1] - first > 512:
+                yield held.slice(first, starts[k] - first).combine_chunks(), group[first : starts[k]]
+                first = starts[k]
+
+    def pairs(batches, counts: list[pa.RecordBatch]):
+        for table, groups in _whole_units(batches):
+            for held, group in chunks(table, groups):
+                ids, copies = held.column("vec_id").to_numpy(), held.column("copies").to_numpy()
+                n = np.zeros(len(ids), np.int64)
+                for a, b in linked(held, group):
+                    np.add.at(n, a, copies[b])
+                    np.add.at(n, b, copies[a])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b]))], ["a", "b"])
+                some = np.flatnonzero(n)
+                counts.append(pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(n[some])], ["a", "b", "n"]))
+
+    @tidy
+    def run(batches):
+        counts: list[pa.RecordBatch] = []
+        for part in contracted(pairs(batches, counts)):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, pa.int64())], ["a", "b", "n"])
+            yield from counts
+            counts.clear()
+        yield from counts
+
+    return run
 
 
 def links_of(vectors: DataFrame, cosine: float, per_vector: int = PER_VECTOR) -> DataFrame:
-    """(a, b) with a > b: the pairs of different ``vectors`` (vec_id, embedding; distinct, usable) found with at least that cosine."""
-    found = None
+    """(a, n) with the ``copies`` that a vector is linked to, in parts, and (a, b) with a > b that join what the links join.
+
+    ``vectors`` (vec_id, embedding, copies) are distinct and usable. Links are too many to be rows: a group of m near vectors has m * m / 2, met
+    in each filter that they share. So first the pairs with near sketches are contracted where they are met, to classes that
+    hold all links. Then each pair of a class is looked at once, by blocks with the vectors and their filters at hand, and is a link
+    if its cosine, its sketches and a filter in common say so. What leaves a task are counts and few links.
+    """
+    found = []
     sizes = vectors.groupBy(F.size("embedding").alias("dims")).count().collect()  # a row per vector length
+    far = _far(cosine)
     for dims, n in sizes:
         own = vectors.filter(F.size("embedding") == dims)
-        rows = cut(memberships(own, [Code(dims, n, per_vector / CODES, k) for k in range(CODES)]))
-        crowd = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
-        units = rows.join(crowd.drop("n"), "key").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-        units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "s0", "s1", "s2", "s3")
-        parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        units = units.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "vec_id")
-        near = cut(units.mapInArrow(_near_pairs(_far(cosine)), "a long, b long").distinct())
-        pairs = near.join(own.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), "a")
-        pairs = pairs.join(own.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b").select("a", "b", "x", "y")
-        links = pairs.mapInArrow(lambda batches: _verify(batches, cosine), "a long, b long")
-        found = links if found is None else found.union(links)
-    return found if found is not None else vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"))
+        known = cut(profiles(own, [Code(dims, n, per_vector / CODES, k) for k in range(CODES)]))
+        met = _in_units(known.select(F.explode("keys").alias("filter"), "vec_id", "s0", "s1", "s2", "s3"), "filter")
+        classes = cut(classes_of(met.mapInArrow(_near(far), "a long, b long")).withColumnRenamed("node", "vec_id"))
+        members = classes.join(own, "vec_id").join(known.select("vec_id", "keys"), "vec_id")
+        found.append(_in_units(members, "class_id").mapInArrow(_verified(cosine, far), "a long, b long, n long"))
+    none = vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.col("vec_id").alias("n")).filter("false")
+    return reduce(DataFrame.union, found, none)
 
 
 def cap_filter_classes(vectors: DataFrame, cosine: float = 0.9, per_vector: int = PER_VECTOR) -> DataFrame:
@@ -216,11 +333,9 @@ def cap_filter_classes(vectors: DataFrame, cosine: float = 0.9, per_vector: int
         & F.exists("embedding", lambda v: v != 0), F.lit(False))
     good = rows.filter(usable).dropDuplicates(["vec_id"])
     firsts = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    links = cut(links_of(firsts.select(F.col("rep").alias("vec_id"), "embedding"), cosine, per_vector))
-    both = links.union(links.select("b", "a")).toDF("rep", "other")
-    others = firsts.select(F.col("rep").alias("other"), "copies")
-    degree = both.join(others, "other").groupBy("rep").agg(F.sum("copies").alias("n"))
-    found = classes_of(links).withColumnRenamed("node", "rep")
+    links = cut(links_of(firsts.select(F.col("rep").alias("vec_id"), "embedding", "copies"), cosine, per_vector))
+    degree = links.filter("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    found = classes_of(links.filter("n IS NULL")).withColumnRenamed("node", "rep")
     named = cut(firsts.join(degree, "rep", "left").join(found, "rep", "left").select(
         "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_id", "rep").alias("component_id")))
     out = rows.filter(usable).join(named, "embedding").select("vec_id", "n_links", "component_id")

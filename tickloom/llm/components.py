@@ -33,8 +33,8 @@ def _contract(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], ["a", "b"])
 
 
-@tidy
-def _contracted(batches):
+def contracted(batches):
+    """Batches of links (a, b) as fewer that join the same nodes; what is held at once is bounded."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
@@ -48,8 +48,8 @@ def _contracted(batches):
 
 
 def _merge(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-    table = pa.Table.from_batches(held)
-    return [_contract(table.column("a").to_numpy(), table.column("b").to_numpy())]
+    # columns, not tables: links as Spark sends them cannot be null by their schema, contracted ones can
+    return [_contract(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("a", "b")))]
 
 
 # Links of a node from which on it is a hub, as a number and as a share of all links: there are at most 20,000 hubs.
@@ -72,7 +72,7 @@ def classes_of(links: DataFrame) -> DataFrame:
     task of its own; those with a null end are ignored.
     """
     links = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    links = cut_small(links.mapInArrow(_contracted, "a long, b long").distinct())
+    links = cut_small(links.mapInArrow(tidy(contracted), "a long, b long").distinct())
     while True:
         both = links.union(links.select("b", "a"))
         least = cut_small(both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select("a", "n", F.least("a", "least").alias("root")))
