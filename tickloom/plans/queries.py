@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tickloom.functions import clean, paths
 from tickloom.functions.cron import FIELDS
 from tickloom.operators import history, html, inventory, logs, quality, queue, records, schedules, status
-from tickloom.operators.spread import spread
+from tickloom.operators.spread import packed_join, spread
 from tickloom.plans import fixtures as fx
 from tickloom.plans import flows
 from tickloom.session import scratch_dir
@@ -750,9 +750,9 @@ def s5_spawn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).awaitTermination()
     runs = ledger.read(spark, f"{folder}/runs")
     log = ledger.read(spark, f"{folder}/log").select("timetable_uid", "createtime", "job_name")
-    return runs.join(log, ["timetable_uid", "createtime"]).select(
-        "timetable_uid", "name", "status", "createtime", "priority", "entrypoint", "job_name"
-    )
+    wanted = runs.select("timetable_uid", "name", "status", "createtime", "priority", "entrypoint")
+    # a timetable's runs of some 25 days lie together
+    return packed_join(wanted, log, ["timetable_uid", "createtime"], [F.col("timetable_uid"), F.shiftright("createtime", 31)])
 
 
 def followed(spark: SparkSession, rows: DataFrame, machine: history.Machine) -> DataFrame:
